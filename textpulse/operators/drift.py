@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions import stats
-from textpulse.functions.text import text_features
+from textpulse.functions.text import with_text_features
 from textpulse.operators.ordered import order_statistics, running_total
+from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
 NO_CHANGE_THRESHOLD = 0.1
@@ -49,7 +50,7 @@ def finite(value: Column) -> Column:
 
 def feature_values(df: DataFrame, text_col: str, features: Sequence[str] = FEATURES) -> DataFrame:
     """B21 + unpivot: ``(feature, value)`` rows for the selected features."""
-    wide = df.select(*text_features(F.col(text_col)))
+    wide = with_text_features(df.select(text_col), text_col)
     pairs = ", ".join(f"'{f}', `{f}`" for f in features)
     return wide.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, value)")
 
@@ -64,12 +65,20 @@ def psi_by_feature(reference: DataFrame, production: DataFrame, buckets: int = 1
     Output: ``(*extra_keys, feature, psi, status, reference_rows, production_rows)``.
     """
     keys = list(extra_keys)
-    ref = reference.where(finite(F.col("value")))
-    prod = production.where(finite(F.col("value")))
-
-    # value counts (partial aggregation before any shuffle)
-    ref_vc = ref.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    prod_vc = prod.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # One aggregation for both sides (partial aggregation before the shuffle);
+    # the distinct-value table is checkpointed because the quantile, bucket
+    # and grid branches below all read it.
+    prod_types = dict(production.dtypes)
+    ref_side = reference.where(finite(F.col("value"))).select(
+        F.lit(0).alias("_side"), *[F.lit(None).cast(prod_types[k]).alias(k) for k in keys],
+        "feature", F.col("value").cast("double").alias("value"))
+    prod_side = production.where(finite(F.col("value"))).select(
+        F.lit(1).alias("_side"), *keys, "feature", F.col("value").cast("double").alias("value"))
+    vc = materialize(ref_side.unionByName(prod_side)
+                     .groupBy("_side", *keys, "feature", "value")
+                     .agg(F.count(F.lit(1)).alias("cnt")))
+    ref_vc = vc.where(F.col("_side") == 0).select("feature", "value", "cnt")
+    prod_vc = vc.where(F.col("_side") == 1).select(*keys, "feature", "value", "cnt")
 
     ref_stats = ref_vc.groupBy("feature").agg(
         F.sum("cnt").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
@@ -144,11 +153,11 @@ def ks_statistic(a: DataFrame, b: DataFrame, value_col: str = "value") -> DataFr
 
     Both samples become value counts; the empirical CDFs are compared at every
     distinct value through running totals split into value blocks."""
-    va = a.groupBy(F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("ca"))
-    vb = b.groupBy(F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("cb"))
-    both = (va.select("v", "ca", F.lit(0).cast("bigint").alias("cb"))
-              .unionByName(vb.select("v", F.lit(0).cast("bigint").alias("ca"), "cb"))
-              .groupBy("v").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb")))
+    both = (a.select(F.col(value_col).alias("v"), F.lit(1).alias("ca"), F.lit(0).alias("cb"))
+             .unionByName(b.select(F.col(value_col).alias("v"), F.lit(0).alias("ca"), F.lit(1).alias("cb")))
+             .groupBy("v").agg(F.sum("ca").cast("bigint").alias("ca"),
+                               F.sum("cb").cast("bigint").alias("cb")))
+    both = materialize(both)
     cum = running_total(both, [], "v", ["ca", "cb"])
     n = both.agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"))
     d = cum.crossJoin(F.broadcast(n)).select(

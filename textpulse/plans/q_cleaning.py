@@ -16,7 +16,7 @@ def cleaned_documents(spark, sf, cond=None):
     d = table(spark, sf, "documents")
     if cond is not None:
         d = d.where(cond)
-    c = d.select("doc_id", "lang", "text", T.clean_text("text").alias("cleaned_text"))
+    c = d.select("doc_id", "lang", "text", T.compute_once(T.clean_text("text")).alias("cleaned_text"))
     return c.where(F.length("cleaned_text") > 0)
 
 
@@ -31,7 +31,7 @@ SELECT page_id, cleaned_text FROM (SELECT page_id, {T.sql_clean('html')} AS clea
 WHERE length(cleaned_text) > 0""")
 def clean_pages(spark, sf):
     """B11/B12 on raw HTML pages (tags, URLs, e-mails)."""
-    p = table(spark, sf, "pages").select("page_id", T.clean_text("html").alias("cleaned_text"))
+    p = table(spark, sf, "pages").select("page_id", T.compute_once(T.clean_text("html")).alias("cleaned_text"))
     return p.where(F.length("cleaned_text") > 0)
 
 
@@ -40,7 +40,8 @@ SELECT conv_id, turn, cleaned_text FROM (SELECT conv_id, turn, {T.sql_clean('tex
 FROM conversations) WHERE length(cleaned_text) > 0""")
 def clean_turns(spark, sf):
     """B11/B12 on conversation turns."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", T.clean_text("text").alias("cleaned_text"))
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", T.compute_once(T.clean_text("text")).alias("cleaned_text"))
     return c.where(F.length("cleaned_text") > 0)
 
 
@@ -50,7 +51,8 @@ AS cleaned_text FROM documents) WHERE length(cleaned_text) > 0""")
 def clean_keep_case(spark, sf):
     """B11 with lowercase and special-character removal switched off."""
     d = table(spark, sf, "documents").select(
-        "doc_id", T.clean_text("text", lowercase=False, remove_special=False).alias("cleaned_text"))
+        "doc_id", T.compute_once(T.clean_text("text", lowercase=False, remove_special=False))
+        .alias("cleaned_text"))
     return d.where(F.length("cleaned_text") > 0)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
+    if os.environ.get("TEXTPULSE_EVENT_LOG"):
+        # stage/task timings for profiling, written to a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true") \
+                         .config("spark.eventLog.dir", os.environ["TEXTPULSE_EVENT_LOG"])
     # build_session is the local/test entry point: a scratch folder stands in
     # for the shared checkpoint folder a cluster names.
     builder = builder.config("spark.checkpoint.dir",
@@ -54,3 +59,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="textpulse-ckpt-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` as a parquet table under the reliable
+    checkpoint folder and read it back.
+
+    Used for small aggregated tables that several branches of one plan reuse,
+    so the scan below them runs once and a lost executor does not recompute
+    it. (``Dataset.checkpoint`` would run the plan twice: once for the eager
+    count and again to write the files.)"""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
