@@ -6,7 +6,7 @@ group ``g`` in a single task. Here groups can be hot (a third of all rows in
 one label or one feature), so the helpers split every group into value blocks:
 
 * running_total: exact prefix sums over (usually pre-aggregated) rows.
-  Rows are cut into ``blocks`` equal-width value ranges per group; the block
+  A group small enough for one task (checked) gets a plain window; otherwise rows are cut into ``blocks`` equal-width value ranges per group; the block
   totals (groups x blocks rows) get a small window, and each block computes
   its local running sum in its own task. Deterministic, fully lazy, no
   checkpoint needed.
@@ -22,6 +22,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCKS = 1024
+# A group up to this many rows is sorted in one task (a few seconds, spills
+# if needed); larger groups are split into value blocks.
+DIRECT_MAX_ROWS = 4_000_000
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the largest group (one small aggregation job)."""
+    g = list(group_cols)
+    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else df.agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).collect()[0][0] or 0
 
 
 def _block_of(value: Column, lo: Column, hi: Column, blocks: int) -> Column:
@@ -37,6 +47,10 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_col: str,
     group in ascending ``order_col`` (numeric, unique within the group)."""
     g = list(group_cols)
     ws = list(weight_cols)
+    if largest_group(df, g) <= DIRECT_MAX_ROWS:
+        w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy(order_col) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*df.columns, *[F.sum(c).over(w).alias(f"{c}{suffix}") for c in ws])
     stats = df.groupBy(*g).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
     keyed = (df.join(stats, g, "inner") if g else df.crossJoin(stats))
     keyed = keyed.withColumn("_blk", _block_of(F.col(order_col), F.col("_lo"), F.col("_hi"), blocks)) \

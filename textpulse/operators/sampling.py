@@ -15,6 +15,8 @@ Exact ranks inside a group would need the whole group in one task. Instead
    one row per group);
 4. only the rows of the cut cells are ranked exactly (about n / 2^20 rows per
    group for a hash key) and joined back by id.
+When the largest group is small enough for one task (checked first), the
+rows are ranked directly with a window instead.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpulse.operators.ordered import running_total
+from textpulse.operators.ordered import DIRECT_MAX_ROWS, largest_group, running_total
 
 # ---- fixed values ---------------------------------------------------------
 DEFAULT_SEED = 42
@@ -55,6 +57,13 @@ def select_by_rank(df: DataFrame, group_cols: Sequence[str], key: Column, id_col
     nothing selected). Exact, and no task ever holds a whole group."""
     g = list(group_cols)
     keyed = df.withColumn("_key", key)
+    q = quotas.select(*g, F.col("quota").cast("bigint").alias("_q"))
+    if largest_group(df, g) <= DIRECT_MAX_ROWS:
+        # size-checked shortcut: every group fits one task, rank it directly
+        w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_key", id_col)
+        j = keyed.join(F.broadcast(q), g, "left") if g else keyed.crossJoin(F.broadcast(q))
+        sel = F.coalesce(F.row_number().over(w) <= F.col("_q"), F.lit(False))
+        return j.withColumn(out_col, sel).drop("_key", "_q")
     rng = keyed.groupBy(*g).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
     cells = 1 << CELL_BITS
     width = (F.col("_hi") - F.col("_lo")).cast("decimal(38,0)") + 1

@@ -8,6 +8,7 @@ from textpulse.functions.stats import sql_ks_pvalue
 from textpulse.operators import drift as D
 from textpulse.plans.catalog import register
 from textpulse.plans.q_cleaning import cleaned_documents
+from textpulse.session import materialize
 from textpulse.plans.sqltext import cleaned_docs, feature_rows, psi_sql, view
 from textpulse.sources.tables import prediction_log, production_text, reference_text, reviews
 
@@ -107,7 +108,7 @@ def concept_drift(spark, sf):
                     "drift_detected")
 
 
-@register("drift_summary", f"""
+DRIFT_FLAGS_SQL = f"""
 WITH a AS (SELECT length(coalesce(text, '')) AS v FROM {view('ref_text')}),
 b AS (SELECT length(coalesce(text, '')) AS v FROM {view('prod_text')}),
 na AS (SELECT count(*) AS n1 FROM a), nb AS (SELECT count(*) AS n2 FROM b),
@@ -127,19 +128,28 @@ con AS (SELECT coalesce(avg(confidence) FILTER (WHERE prediction <> true_label),
              - coalesce(avg(confidence) FILTER (WHERE prediction = true_label), 0.0) > 0.15 AS concept FROM l)
 SELECT covariate AS covariate_drift, label AS label_drift, concept AS concept_drift,
        (covariate AND concept) AS domain_shift,
-       (covariate OR label) AS retrain_required FROM cov, lab, con""")
+       (covariate OR label) AS retrain_required FROM cov, lab, con"""
+
+
+@register("drift_summary", DRIFT_FLAGS_SQL)
 def drift_summary(spark, sf):
     """The four drift flags and the retrain trigger in one row."""
+    return drift_flags(spark, sf)
+
+
+def drift_flags(spark, sf):
     rv = reviews(spark, sf)
     cov = D.text_length_drift(reference_text(spark, sf), production_text(spark, sf))
     lab = D.label_drift(rv.where(EN), rv.where(NOT_EN), "sentiment")
     con = D.concept_drift(prediction_log(spark, sf))
-    return (cov.select(F.col("drift_detected").alias("covariate_drift"))
-            .crossJoin(lab.select(F.col("drift_detected").alias("label_drift")))
-            .crossJoin(con.select(F.col("drift_detected").alias("concept_drift")))
-            .select("covariate_drift", "label_drift", "concept_drift",
-                    (F.col("covariate_drift") & F.col("concept_drift")).alias("domain_shift"),
-                    (F.col("covariate_drift") | F.col("label_drift")).alias("retrain_required")))
+    flags = (cov.select(F.col("drift_detected").alias("covariate_drift"))
+             .crossJoin(lab.select(F.col("drift_detected").alias("label_drift")))
+             .crossJoin(con.select(F.col("drift_detected").alias("concept_drift")))
+             .select("covariate_drift", "label_drift", "concept_drift",
+                     (F.col("covariate_drift") & F.col("concept_drift")).alias("domain_shift"),
+                     (F.col("covariate_drift") | F.col("label_drift")).alias("retrain_required")))
+    # one row read by several alert/health branches: written once
+    return materialize(flags)
 
 
 _LAT_REF = "(SELECT 'latency_ms' AS feature, latency_ms AS value FROM " + view("pred_log") + \

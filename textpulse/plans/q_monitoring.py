@@ -1 +1,126 @@
-"""Queries registered later."""
+"""Monitoring queries (H1-H9, I3 batch twin) over drift flags and the log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textpulse.operators import monitoring as M
+from textpulse.plans.catalog import register
+from textpulse.plans.q_drift import DRIFT_FLAGS_SQL, drift_flags
+from textpulse.plans.q_evaluation import _HEALTH_SQL, _LAST50, health_frame, online_accuracy
+from textpulse.plans.sqltext import view
+from textpulse.sources.tables import prediction_log
+
+LOG = view("pred_log")
+
+_ALERTS_SQL = f"""
+fl AS ({DRIFT_FLAGS_SQL}),
+acc AS (SELECT round(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) / count(*), 3) AS a FROM {_LAST50}),
+al AS (
+  SELECT 'DRIFT' AS type, 'WARNING' AS severity, 'Covariate drift detected' AS message FROM fl WHERE covariate_drift
+  UNION ALL SELECT 'DRIFT', 'WARNING', 'Label drift detected' FROM fl WHERE label_drift
+  UNION ALL SELECT 'DRIFT', 'CRITICAL', 'Concept drift detected' FROM fl WHERE concept_drift
+  UNION ALL SELECT 'DRIFT', 'CRITICAL', 'Domain shift detected' FROM fl WHERE domain_shift
+  UNION ALL SELECT 'RETRAIN', 'INFO', CASE WHEN retrain_required THEN 'Model retrained successfully'
+                                           ELSE 'Retraining skipped' END FROM fl
+  UNION ALL SELECT 'METRICS', CASE WHEN a < 0.6 THEN 'CRITICAL' ELSE 'WARNING' END,
+                   CASE WHEN a < 0.6 THEN 'Severe accuracy drop detected' ELSE 'Moderate accuracy drop detected' END
+            FROM acc WHERE a < 0.75)"""
+
+
+def alerts_frame(spark, sf):
+    flags = drift_flags(spark, sf)
+    acc = online_accuracy(spark, sf).select(F.col("window_accuracy").alias("accuracy"))
+    return (M.drift_alerts(flags).unionByName(M.retrain_alert(flags))
+            .unionByName(M.accuracy_alerts(acc)))
+
+
+@register("alerts", f"WITH {_ALERTS_SQL} SELECT type, severity, message FROM al")
+def alerts(spark, sf):
+    """H1-H3: drift, retrain and accuracy alerts of the current state."""
+    return alerts_frame(spark, sf)
+
+
+@register("alert_rollup", f"""WITH {_ALERTS_SQL}
+SELECT coalesce(type, 'ALL') AS type, coalesce(severity, 'ALL') AS severity, CAST(count(*) AS BIGINT) AS alerts
+FROM al GROUP BY ROLLUP (type, severity)""")
+def alert_rollup(spark, sf):
+    """H9: alert counts by type and severity with roll-up totals."""
+    return M.alert_rollup(alerts_frame(spark, sf))
+
+
+@register("monitoring_health", f"""WITH {_HEALTH_SQL},
+fl AS ({DRIFT_FLAGS_SQL}),
+pen AS (SELECT (CASE WHEN covariate_drift THEN 0.2 ELSE 0.0 END) + (CASE WHEN label_drift THEN 0.2 ELSE 0.0 END)
+             + (CASE WHEN concept_drift THEN 0.3 ELSE 0.0 END) + (CASE WHEN domain_shift THEN 0.3 ELSE 0.0 END)
+             AS p0 FROM fl),
+pen2 AS (SELECT CAST(p0 AS DOUBLE) AS p FROM pen),
+f AS (SELECT round(score, 3) AS base, p, CAST(greatest(round(round(score, 3) - p, 3), 0.0) AS DOUBLE) AS final FROM h, pen2)
+SELECT base AS evaluation_health_score, round(p, 3) AS drift_penalty, final AS system_health_score,
+       CASE WHEN final < 0.4 THEN 'CRITICAL' WHEN final < 0.7 THEN 'WARNING' ELSE 'HEALTHY' END AS system_status,
+       CASE WHEN final >= 0.7 THEN 'System stable' ELSE 'Retrain model executed or required' END AS recommendation
+FROM f""")
+def monitoring_health(spark, sf):
+    """H5: evaluation health minus drift penalties, status and recommendation."""
+    h = health_frame(spark, sf).select("system_health_score")
+    j = h.crossJoin(drift_flags(spark, sf))
+    penalty, score, status, advice = M.drift_adjusted_health(F.col("system_health_score"))
+    return j.select(F.col("system_health_score").alias("evaluation_health_score"),
+                    F.round(penalty, 3).alias("drift_penalty"), score.alias("system_health_score"),
+                    status.alias("system_status"), advice.alias("recommendation"))
+
+
+@register("service_snapshot", f"""
+SELECT CAST(count(*) AS BIGINT) AS prediction_count, CAST(count(true_label) AS BIGINT) AS feedback_count,
+       round(avg(latency_ms), 3) AS average_latency_ms, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_request_at
+FROM {LOG}""")
+def service_snapshot(spark, sf):
+    """H7, H8: counts, mean latency and last request time of the log."""
+    return M.service_snapshot(prediction_log(spark, sf))
+
+
+@register("service_metrics_windows", f"""
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+       CAST(count(*) AS BIGINT) AS requests, round(avg(latency_ms), 3) AS mean_latency_ms,
+       CAST(count(true_label) AS BIGINT) AS labelled
+FROM {LOG} GROUP BY ALL""")
+def service_metrics_windows(spark, sf):
+    """I3 batch twin: requests, mean latency and labelled count per day and type."""
+    log = prediction_log(spark, sf)
+    g = log.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
+        F.count(F.lit(1)).cast("bigint").alias("requests"), F.round(F.avg("latency_ms"), 3).alias("mean_latency_ms"),
+        F.count("true_label").cast("bigint").alias("labelled"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+                    "requests", "mean_latency_ms", "labelled")
+
+
+@register("service_metrics_sliding", f"""
+WITH s AS (SELECT TIMESTAMP '2023-12-31 00:00:00' + INTERVAL (h) HOUR AS ws FROM range(0, 24 * 40, 12) t(h))
+SELECT strftime(s.ws, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS requests,
+       round(avg(latency_ms), 3) AS mean_latency_ms
+FROM {LOG} l JOIN s ON l.ts >= s.ws AND l.ts < s.ws + INTERVAL 1 DAY GROUP BY s.ws""")
+def service_metrics_sliding(spark, sf):
+    """I3 batch twin, sliding form: 1-day windows every 12 hours."""
+    log = prediction_log(spark, sf)
+    g = log.groupBy(F.window("ts", "1 day", "12 hours").alias("w")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("requests"), F.round(F.avg("latency_ms"), 3).alias("mean_latency_ms"))
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
+                    "mean_latency_ms")
+
+
+@register("monitoring_report")
+def monitoring_report(spark, sf):
+    """H6: the monitoring report as one row of nested structs plus its JSON
+    text (drift, retraining, metrics, evaluation, health, recommendation)."""
+    flags = drift_flags(spark, sf)
+    health = monitoring_health(spark, sf)
+    online = online_accuracy(spark, sf)
+    log = prediction_log(spark, sf)
+    fb = log.agg(F.count("true_label").cast("bigint").alias("feedback_samples"))
+    row = (flags.select(F.struct(*flags.columns).alias("drift"))
+           .crossJoin(flags.select(F.struct(F.when(F.col("retrain_required"), "retrained")
+                                            .otherwise("skipped").alias("status")).alias("retraining")))
+           .crossJoin(online.select(F.struct(*online.columns).alias("metrics")))
+           .crossJoin(fb)
+           .crossJoin(health))
+    return row.withColumn("report_json", F.to_json(F.struct(*[c for c in row.columns])))
