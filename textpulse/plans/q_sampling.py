@@ -12,20 +12,25 @@ from textpulse.sources.tables import reviews, table
 
 H = S.sql_hash_key("doc_id")
 
-_SPLIT_SQL = f"""
-k AS (SELECT doc_id, text, sentiment, {H} AS h FROM {view('reviews')}),
+def split_sql(src: str) -> str:
+    """CTEs ending in ``sp`` = ``src`` columns + ``split`` (quota per class, hash order)."""
+    return f"""
+k AS (SELECT *, {H} AS h FROM {src}),
 cc AS (SELECT sentiment, count(*) AS nc FROM k GROUP BY sentiment),
 tot AS (SELECT sum(nc) AS n, CAST(ceil(0.2 * sum(nc)) AS BIGINT) AS nt FROM cc),
 b AS (SELECT sentiment, (CAST(nt AS HUGEINT) * nc) // n AS base, (CAST(nt AS HUGEINT) * nc) % n AS rem, nt
       FROM cc, tot),
 q AS (SELECT sentiment, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, CAST(sentiment AS VARCHAR))
                                      <= nt - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
-sp AS (SELECT k.doc_id, k.text, k.sentiment,
+sp AS (SELECT k.* EXCLUDE (h),
          CASE WHEN row_number() OVER (PARTITION BY k.sentiment ORDER BY k.h, k.doc_id) <= q.quota
               THEN 'test' ELSE 'train' END AS split
        FROM k JOIN q ON k.sentiment = q.sentiment)"""
 
 
+_SPLIT_SQL = split_sql(f"(SELECT doc_id, text, sentiment FROM {view('reviews')})")
+
+
 def split_reviews(spark, sf):
     rv = reviews(spark, sf).select("doc_id", "text", "sentiment")
     return S.stratified_split(rv, "sentiment", "doc_id")
