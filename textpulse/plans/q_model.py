@@ -1 +1,133 @@
-"""Queries registered later."""
+"""Label mapping (B13-B16) and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textpulse.functions import labels as L
+from textpulse.operators import model as MD
+from textpulse.operators.evaluation import confusion_counts, summary
+from textpulse.plans.catalog import register
+from textpulse.plans.q_drift import drift_flags
+from textpulse.plans.q_features import split_clean
+from textpulse.plans.sqltext import view
+from textpulse.sources.tables import prediction_log, table
+
+LOG = view("pred_log")
+_STARS_SQL = f"(1 + (CAST(json_extract_string(props, '$.k') AS INTEGER) % 9) * 0.5)"
+
+
+@register("star_sentiment", f"""
+SELECT event_id, CAST({_STARS_SQL} AS DOUBLE) AS stars, {L.sql_stars_to_sentiment(_STARS_SQL)} AS sentiment
+FROM events""")
+def star_sentiment(spark, sf):
+    """Star ratings 1.0-5.0 in half steps (derived from events.props.k)
+    mapped to negative / neutral / positive."""
+    ev = table(spark, sf, "events")
+    stars = (F.lit(1) + (F.get_json_object("props", "$.k").cast("int") % 9) * F.lit(0.5)).cast("double")
+    return ev.select("event_id", stars.alias("stars"), L.stars_to_sentiment(stars).alias("sentiment"))
+
+
+@register("label_normalization", f"""
+SELECT doc_id, {L.sql_normalize_label('quality')} AS quality_label, {L.sql_normalize_label('toxic')} AS toxic_label
+FROM labels""")
+def label_normalization(spark, sf):
+    """Numeric 0/1 labels to negative/positive."""
+    lb = table(spark, sf, "labels")
+    return lb.select("doc_id", L.normalize_label(F.col("quality")).alias("quality_label"),
+                     L.normalize_label(F.col("toxic")).alias("toxic_label"))
+
+
+@register("event_type_labels", f"""
+SELECT event_id, {L.sql_normalize_label('upper(event_type)')} AS label FROM events""")
+def event_type_labels(spark, sf):
+    """B14 on text labels: unknown labels are lower-cased."""
+    ev = table(spark, sf, "events")
+    return ev.select("event_id", L.normalize_label(F.upper("event_type")).alias("label"))
+
+
+@register("prediction_records", f"""
+SELECT id, CASE WHEN confidence >= 1 - confidence THEN prediction
+                ELSE CASE WHEN prediction = 'positive' THEN 'negative' ELSE 'positive' END END AS prediction,
+       round(greatest(confidence, 1 - confidence), 6) AS confidence,
+       round(CASE WHEN prediction = 'negative' THEN confidence ELSE 1 - confidence END, 6) AS p_negative,
+       CAST(0.0 AS DOUBLE) AS p_neutral,
+       round(CASE WHEN prediction = 'positive' THEN confidence ELSE 1 - confidence END, 6) AS p_positive
+FROM {LOG}""")
+def prediction_records(spark, sf):
+    """Two-class probabilities (logged class = confidence) expanded
+    to the fixed class set, argmax and confidence."""
+    log = prediction_log(spark, sf)
+    other = F.when(F.col("prediction") == "positive", "negative").otherwise("positive")
+    names = F.array(F.col("prediction"), other)
+    probs = F.array(F.col("confidence"), F.lit(1.0) - F.col("confidence"))
+    cols = L.expand_probabilities(names, probs)
+    out = log.select("id", *cols)
+    return out.select("id", "prediction", *[F.round(c, 6).alias(c) for c in
+                                            ("confidence", "p_negative", "p_neutral", "p_positive")])
+
+
+def _fitted(spark, sf):
+    sp = split_clean(spark, sf)
+    train = sp.where(F.col("split") == "train")
+    test = sp.where(F.col("split") == "test")
+    return MD.fit(train, "doc_id", "cleaned_text", "sentiment"), train, test
+
+
+@register("lr_test_predictions")
+def lr_test_predictions(spark, sf):
+    """Class-weighted TF-IDF logistic regression fitted on the
+    train split, scored on the test split."""
+    m, _, test = _fitted(spark, sf)
+    return MD.predict(m, test, ["doc_id", "sentiment"])
+
+
+@register("lr_test_metrics")
+def lr_test_metrics(spark, sf):
+    """E11 + F1-F2: the composed job (clean, split, TF-IDF, fit, evaluate)."""
+    m, _, test = _fitted(spark, sf)
+    pred = MD.predict(m, test, ["doc_id", "sentiment"])
+    pairs = pred.select(MD.label_names(F.col("sentiment")).alias("t"), F.col("prediction").alias("p"))
+    return summary(confusion_counts(pairs, "t", "p"))
+
+
+RUN_SCHEMA = T.StructType([
+    T.StructField("sample_size", T.LongType()), T.StructField("status", T.StringType()),
+    T.StructField("accuracy", T.DoubleType()), T.StructField("f1_score", T.DoubleType()),
+    T.StructField("error", T.StringType())])
+
+
+def run_log(spark, sf, sizes=(100, 200, 400)):
+    sp = split_clean(spark, sf)
+    train = sp.where(F.col("split") == "train")
+    test = sp.where(F.col("split") == "test")
+    runs = MD.learning_curve(train, test, "doc_id", "cleaned_text", "sentiment", list(sizes))
+    return spark.createDataFrame([tuple(r[f.name] for f in RUN_SCHEMA.fields) for r in runs], RUN_SCHEMA)
+
+
+@register("learning_curve")
+def learning_curve(spark, sf):
+    """Nested hash-rank samples of 100, 200, 400 training rows, one fit each."""
+    return run_log(spark, sf)
+
+
+@register("best_run")
+def best_run(spark, sf):
+    """Best logged run by accuracy (ties: larger sample)."""
+    runs = run_log(spark, sf).where(F.col("status") == "ok")
+    return runs.orderBy(F.desc("accuracy"), F.desc("sample_size")).limit(1)
+
+
+@register("drift_retrain")
+def drift_retrain(spark, sf):
+    """Refit with the retrain parameters (unigrams, 5,000 terms, no stop
+    words, raw text) only when covariate or label drift is flagged."""
+    flags = drift_flags(spark, sf).collect()[0]
+    if not flags["retrain_required"]:
+        return spark.range(1).select(F.lit("skipped").alias("status"), F.lit(0).cast("bigint").alias("samples"))
+    sp = split_clean(spark, sf)
+    docs = sp.where(F.col("split") == "train").join(
+        table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    MD.fit(docs, "doc_id", "text", "sentiment", max_features=5000, ngram_max=1, stop_words=())
+    return docs.agg(F.lit("retrained").alias("status"), F.count(F.lit(1)).cast("bigint").alias("samples"))
