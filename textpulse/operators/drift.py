@@ -80,6 +80,40 @@ def psi_by_feature(reference: DataFrame, production: DataFrame, buckets: int = 1
     ref_vc = vc.where(F.col("_side") == 0).select("feature", "value", "cnt")
     prod_vc = vc.where(F.col("_side") == 1).select(*keys, "feature", "value", "cnt")
 
+    edges = reference_edges(ref_vc, buckets)
+
+    def bucketize(vc: DataFrame, k: Sequence[str]) -> DataFrame:
+        j = vc.join(F.broadcast(edges.select("feature", "inner")), "feature")
+        b = F.size(F.filter("inner", lambda e: F.col("value") >= e))
+        return j.groupBy(*k, "feature", b.alias("bucket")).agg(F.sum("cnt").alias("cnt"))
+
+    ref_b = bucketize(ref_vc, [])
+    prod_b = bucketize(prod_vc, keys)
+    prod_n = prod_vc.groupBy(*keys, "feature").agg(F.sum("cnt").alias("m"))
+
+    grid = (prod_n.join(F.broadcast(edges.select("feature", "n", "bins")), "feature")
+            .select(*keys, "feature", "n", "m",
+                    F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bucket")))
+    shares = (grid.join(ref_b.withColumnRenamed("cnt", "e_cnt"), ["feature", "bucket"], "left")
+                  .join(prod_b.withColumnRenamed("cnt", "a_cnt"), [*keys, "feature", "bucket"], "left"))
+    e = F.coalesce(F.col("e_cnt"), F.lit(0)) / F.col("n")
+    a = F.coalesce(F.col("a_cnt"), F.lit(0)) / F.col("m")
+    e = F.when(e == 0, F.lit(epsilon)).otherwise(e)
+    a = F.when(a == 0, F.lit(epsilon)).otherwise(a)
+    shares = shares.select(*keys, "feature", "n", "m", ((a - e) * F.log(a / e)).alias("term"))
+    psi = shares.groupBy(*keys, "feature").agg(
+        F.sum("term").alias("psi_raw"), F.first("n").alias("reference_rows"),
+        F.first("m").alias("production_rows"))
+    return psi.select(*keys, "feature", F.round("psi_raw", 6).alias("psi"),
+                      classify_psi(F.col("psi_raw")).alias("status"),
+                      F.col("reference_rows").cast("bigint").alias("reference_rows"),
+                      F.col("production_rows").cast("bigint").alias("production_rows"))
+
+
+def reference_edges(ref_vc: DataFrame, buckets: int = 10) -> DataFrame:
+    """G1-G3 on reference value counts ``(feature, value, cnt)``: per feature
+    ``(feature, n, bins, inner)`` with the interior bin edges (outer edges are
+    -inf/+inf)."""
     ref_stats = ref_vc.groupBy("feature").agg(
         F.sum("cnt").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
 
@@ -107,35 +141,9 @@ def psi_by_feature(reference: DataFrame, production: DataFrame, buckets: int = 1
     all_edges = F.when(F.size("qedges") <= 2, linear).otherwise(F.col("qedges"))
     edges = edges.select("feature", "n", all_edges.alias("edges"))
     # Outer edges become -inf/+inf, so bins = size - 1, interior = edges[1..size-2]
-    edges = edges.select("feature", "n", (F.size("edges") - 1).alias("bins"),
+    return edges.select("feature", "n", (F.size("edges") - 1).alias("bins"),
                          F.slice("edges", 2, F.size("edges") - 2).alias("inner"))
 
-    def bucketize(vc: DataFrame, k: Sequence[str]) -> DataFrame:
-        j = vc.join(F.broadcast(edges.select("feature", "inner")), "feature")
-        b = F.size(F.filter("inner", lambda e: F.col("value") >= e))
-        return j.groupBy(*k, "feature", b.alias("bucket")).agg(F.sum("cnt").alias("cnt"))
-
-    ref_b = bucketize(ref_vc, [])
-    prod_b = bucketize(prod_vc, keys)
-    prod_n = prod_vc.groupBy(*keys, "feature").agg(F.sum("cnt").alias("m"))
-
-    grid = (prod_n.join(F.broadcast(edges.select("feature", "n", "bins")), "feature")
-            .select(*keys, "feature", "n", "m",
-                    F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bucket")))
-    shares = (grid.join(ref_b.withColumnRenamed("cnt", "e_cnt"), ["feature", "bucket"], "left")
-                  .join(prod_b.withColumnRenamed("cnt", "a_cnt"), [*keys, "feature", "bucket"], "left"))
-    e = F.coalesce(F.col("e_cnt"), F.lit(0)) / F.col("n")
-    a = F.coalesce(F.col("a_cnt"), F.lit(0)) / F.col("m")
-    e = F.when(e == 0, F.lit(epsilon)).otherwise(e)
-    a = F.when(a == 0, F.lit(epsilon)).otherwise(a)
-    shares = shares.select(*keys, "feature", "n", "m", ((a - e) * F.log(a / e)).alias("term"))
-    psi = shares.groupBy(*keys, "feature").agg(
-        F.sum("term").alias("psi_raw"), F.first("n").alias("reference_rows"),
-        F.first("m").alias("production_rows"))
-    return psi.select(*keys, "feature", F.round("psi_raw", 6).alias("psi"),
-                      classify_psi(F.col("psi_raw")).alias("status"),
-                      F.col("reference_rows").cast("bigint").alias("reference_rows"),
-                      F.col("production_rows").cast("bigint").alias("production_rows"))
 
 
 def overall_psi_status(per_feature: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

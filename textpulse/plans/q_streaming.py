@@ -1 +1,133 @@
-"""Queries registered later."""
+"""Streaming queries (I1-I7, A7, A10): each runs a Structured Streaming query
+over the driver tables with an ``availableNow`` trigger into a sink under the
+shared checkpoint folder and returns what the sink holds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textpulse.operators import drift as D
+from textpulse.plans.catalog import ORACLES, register
+from textpulse.plans.q_cleaning import cleaned_documents  # noqa: F401  (batch twin)
+from textpulse.plans.q_drift import _LAT_PROD, _LAT_REF
+from textpulse.plans.sqltext import cleaned_docs, psi_sql, view
+from textpulse.session import materialize
+from textpulse.sources.sinks import write_alerts
+from textpulse.sources.tables import prediction_log
+from textpulse.streaming import operators as SO
+from textpulse.streaming.runner import run_available_now, stream_dir, table_stream
+
+LOG = view("pred_log")
+CLOSED = f"(SELECT max(ts) - INTERVAL 1 HOUR FROM {LOG})"
+
+
+@register("stream_clean_documents", f"SELECT doc_id, cleaned_text FROM {cleaned_docs()}")
+def stream_clean_documents(spark, sf):
+    """The cleaner on a document stream, exactly-once parquet sink."""
+    s = SO.cleaned_document_stream(table_stream(spark, sf, "documents", max_files_per_trigger=1))
+    return spark.read.parquet(run_available_now(s))
+
+
+@register("stream_prediction_log", f"""
+SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text, prediction, latency_ms FROM {LOG}""")
+def stream_prediction_log(spark, sf):
+    """I2 + A7: the prediction log stream appended to a CSV inference log."""
+    s = SO.prediction_stream(table_stream(spark, sf, "events")).select(
+        "id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts_text"), "prediction", "latency_ms")
+    out = run_available_now(s, fmt="csv")
+    return spark.read.schema("id bigint, ts_text string, prediction string, latency_ms double").csv(out)
+
+
+@register("stream_service_metrics", f"""
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, requests, mean_latency_ms, labelled
+FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS ws, event_type, CAST(count(*) AS BIGINT) AS requests,
+             round(avg(latency_ms), 3) AS mean_latency_ms, CAST(count(true_label) AS BIGINT) AS labelled
+      FROM {LOG} GROUP BY time_bucket(INTERVAL 1 DAY, ts), event_type)
+WHERE ws + INTERVAL 1 DAY <= {CLOSED}""")
+def stream_service_metrics(spark, sf):
+    """Per day and event type, written when the watermark closes the day."""
+    s = SO.windowed_metrics(SO.prediction_stream(table_stream(spark, sf, "events")))
+    return spark.read.parquet(run_available_now(s))
+
+
+@register("stream_service_metrics_sliding", f"""
+WITH s AS (SELECT TIMESTAMP '2023-12-31 00:00:00' + INTERVAL (h) HOUR AS ws FROM range(0, 24 * 40, 12) t(h))
+SELECT strftime(s.ws, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS requests,
+       round(avg(latency_ms), 3) AS mean_latency_ms, CAST(count(true_label) AS BIGINT) AS labelled
+FROM {LOG} l JOIN s ON l.ts >= s.ws AND l.ts < s.ws + INTERVAL 1 DAY
+WHERE s.ws + INTERVAL 1 DAY <= {CLOSED} GROUP BY s.ws""")
+def stream_service_metrics_sliding(spark, sf):
+    """I3 sliding: 1-day windows every 12 hours."""
+    s = SO.windowed_metrics(SO.prediction_stream(table_stream(spark, sf, "events")), "1 day", "12 hours",
+                            by_type=False)
+    return spark.read.parquet(run_available_now(s))
+
+
+@register("stream_window_accuracy", f"""
+SELECT key, CAST(count(*) AS BIGINT) AS total_samples,
+       CAST(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       round(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) / count(*), 3) AS accuracy
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) AS rn
+      FROM {LOG} WHERE true_label IS NOT NULL)
+WHERE rn <= 50 GROUP BY key""")
+def stream_window_accuracy(spark, sf):
+    """I4: rolling last-50 labelled accuracy per key with bounded state."""
+    s = SO.rolling_last_n_accuracy(SO.prediction_stream(table_stream(spark, sf, "events")), 50)
+    return SO.latest_per_key(spark.read.parquet(run_available_now(s)))
+
+
+@register("stream_delayed_labels", f"""
+SELECT event_id AS id, CASE WHEN value >= 20 THEN 'positive' ELSE 'negative' END AS prediction,
+       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'positive' ELSE 'negative' END
+         AS true_label,
+       CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 60 AS BIGINT) AS label_delay_min
+FROM events WHERE event_type <> 'error'""")
+def stream_delayed_labels(spark, sf):
+    """Prediction stream joined with the later label stream (watermarks on
+    both sides, label within one hour of the prediction)."""
+    j = SO.delayed_labels(table_stream(spark, sf, "events"), table_stream(spark, sf, "events"))
+    return spark.read.parquet(run_available_now(j))
+
+
+_DAILY = psi_sql(_LAT_REF, _LAT_PROD, prod_keys=("day",))
+
+
+@register("stream_daily_drift", f"""
+SELECT day, feature, psi, status, production_rows FROM ({_DAILY})
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= {CLOSED}""")
+def stream_daily_drift(spark, sf):
+    """I6 + I7: latency PSI of each closed day against the first week; days
+    whose status is not 'No change' are appended to the alert log."""
+    log = prediction_log(spark, sf)
+    cut = F.lit("2024-01-08 00:00:00").cast("timestamp")
+    ref_vc = materialize(log.where(F.col("ts") < cut).groupBy(F.lit("latency_ms").alias("feature"),
+                                                              F.col("latency_ms").alias("value"))
+                         .agg(F.count(F.lit(1)).alias("cnt")))
+    edges = D.reference_edges(ref_vc, 10).collect()[0]  # one row: <= 9 interior edges
+    inner, bins, n = list(edges["inner"]), edges["bins"], edges["n"]
+    e = F.size(F.filter(F.array(*[F.lit(float(x)) for x in inner]) if inner else F.array().cast("array<double>"),
+                        lambda x: F.col("value") >= x))
+    base = ref_vc.groupBy(e.alias("bucket")).agg((F.sum("cnt") / F.lit(n)).alias("e"))
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bucket"))
+    baseline = materialize(grid.join(base, "bucket", "left").select("bucket", F.coalesce("e", F.lit(0.0)).alias("e")))
+
+    pred = SO.prediction_stream(table_stream(spark, sf, "events")).where(F.col("ts") >= cut)
+    counts = SO.bucket_counts(pred, inner)
+    base_dir = stream_dir(spark)
+    out = f"{base_dir}/psi"
+
+    def per_batch(batch, batch_id):
+        r = SO.window_psi(batch, baseline, bins)
+        r.write.mode("append").parquet(out)
+        alerts = r.where(F.col("status") != D.STATUS_NO_CHANGE).select(
+            F.lit("DRIFT").alias("type"), F.lit("WARNING").alias("severity"),
+            F.concat(F.lit("Latency drift on "), F.col("day")).alias("message"),
+            F.to_json(F.struct("day", "psi", "status")).alias("meta"))
+        write_alerts(alerts, f"{base_dir}/alerts")
+
+    run_available_now(counts, foreach_batch=per_batch, base=base_dir)
+    return spark.read.schema("day string, feature string, psi double, status string, production_rows bigint") \
+        .parquet(out)
+
+
+assert all(k in ORACLES for k in ("stream_daily_drift", "stream_window_accuracy"))

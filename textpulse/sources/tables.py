@@ -57,7 +57,11 @@ def production_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction log ``(id, ts, key, event_type, prediction, true_label,
     confidence, latency_ms)`` derived row by row from ``events``."""
-    ev = table(spark, sf_dir, "events")
+    return prediction_columns(table(spark, sf_dir, "events"))
+
+
+def prediction_columns(ev: DataFrame) -> DataFrame:
+    """The prediction-log projection of an events frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.col("event_id").alias("id"),
