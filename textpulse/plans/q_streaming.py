@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse.operators import drift as D
-from textpulse.plans.catalog import ORACLES, register
+from textpulse.plans.catalog import register
 from textpulse.plans.q_cleaning import cleaned_documents  # noqa: F401  (batch twin)
 from textpulse.plans.q_drift import _LAT_PROD, _LAT_REF
 from textpulse.plans.sqltext import cleaned_docs, psi_sql, view
@@ -117,17 +117,14 @@ def stream_daily_drift(spark, sf):
     out = f"{base_dir}/psi"
 
     def per_batch(batch, batch_id):
+        # idempotent on retry: each micro-batch owns (and overwrites) one folder
         r = SO.window_psi(batch, baseline, bins)
-        r.write.mode("append").parquet(out)
+        r.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         alerts = r.where(F.col("status") != D.STATUS_NO_CHANGE).select(
             F.lit("DRIFT").alias("type"), F.lit("WARNING").alias("severity"),
             F.concat(F.lit("Latency drift on "), F.col("day")).alias("message"),
             F.to_json(F.struct("day", "psi", "status")).alias("meta"))
-        write_alerts(alerts, f"{base_dir}/alerts")
+        write_alerts(alerts, f"{base_dir}/alerts/batch_id={batch_id}", overwrite=True)
 
     run_available_now(counts, foreach_batch=per_batch, base=base_dir)
-    return spark.read.schema("day string, feature string, psi double, status string, production_rows bigint") \
-        .parquet(out)
-
-
-assert all(k in ORACLES for k in ("stream_daily_drift", "stream_window_accuracy"))
+    return spark.read.parquet(out).select("day", "feature", "psi", "status", "production_rows")

@@ -77,12 +77,16 @@ def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
         "is_accurate", F.col("is_accurate").cast("boolean"))
 
 
-def write_alerts(alerts: DataFrame, path: str) -> None:
-    """A10: alerts with an event timestamp, appended as JSON lines."""
+def write_alerts(alerts: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A10: alerts with an event timestamp as JSON lines (appended, or owning
+    ``path`` when ``overwrite`` - the idempotent form for micro-batches)."""
     stamped = alerts.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
                             "type", "severity", "message",
                             (F.col("meta") if "meta" in alerts.columns else F.lit("{}")).alias("meta"))
-    append_json(stamped, path)
+    if overwrite:
+        stamped.write.mode("overwrite").json(path)
+    else:
+        append_json(stamped, path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
