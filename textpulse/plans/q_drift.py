@@ -12,13 +12,17 @@ from textpulse.session import materialize
 from textpulse.plans.sqltext import cleaned_docs, feature_rows, psi_sql, view
 from textpulse.sources.tables import prediction_log, production_text, reference_text, reviews
 
-EN = F.col("lang") == "en"
-NOT_EN = F.col("lang") != "en"
+def _en():
+    return F.col("lang") == "en"
+
+
+def _not_en():
+    return F.col("lang") != "en"
 
 
 def psi_clean(spark, sf):
-    ref = D.feature_values(cleaned_documents(spark, sf, EN), "cleaned_text")
-    prod = D.feature_values(cleaned_documents(spark, sf, NOT_EN), "cleaned_text")
+    ref = D.feature_values(cleaned_documents(spark, sf, _en()), "cleaned_text")
+    prod = D.feature_values(cleaned_documents(spark, sf, _not_en()), "cleaned_text")
     return D.psi_by_feature(ref, prod)
 
 
@@ -56,8 +60,8 @@ SELECT CASE WHEN cnt.production_rows = 0 THEN 'insufficient_data'
 FROM cnt LEFT JOIN p ON TRUE GROUP BY cnt.reference_rows, cnt.production_rows""")
 def psi_status(spark, sf):
     """G7 + A4: worst feature status; 'insufficient_data' when production is empty."""
-    ref_docs = cleaned_documents(spark, sf, EN)
-    prod_docs = cleaned_documents(spark, sf, NOT_EN)
+    ref_docs = cleaned_documents(spark, sf, _en())
+    prod_docs = cleaned_documents(spark, sf, _not_en())
     per = D.psi_by_feature(D.feature_values(ref_docs, "cleaned_text"),
                            D.feature_values(prod_docs, "cleaned_text"))
     return D.psi_report_status(per, ref_docs, prod_docs)
@@ -91,7 +95,7 @@ SELECT round(d, 6) AS distribution_shift, d > 0.2 AS drift_detected FROM s""")
 def label_drift(spark, sf):
     """Label share shift between English and other-language reviews."""
     rv = reviews(spark, sf)
-    r = D.label_drift(rv.where(EN), rv.where(NOT_EN), "sentiment")
+    r = D.label_drift(rv.where(_en()), rv.where(_not_en()), "sentiment")
     return r.select(F.round("distribution_shift", 6).alias("distribution_shift"), "drift_detected")
 
 
@@ -140,7 +144,7 @@ def drift_summary(spark, sf):
 def drift_flags(spark, sf):
     rv = reviews(spark, sf)
     cov = D.text_length_drift(reference_text(spark, sf), production_text(spark, sf))
-    lab = D.label_drift(rv.where(EN), rv.where(NOT_EN), "sentiment")
+    lab = D.label_drift(rv.where(_en()), rv.where(_not_en()), "sentiment")
     con = D.concept_drift(prediction_log(spark, sf))
     flags = (cov.select(F.col("drift_detected").alias("covariate_drift"))
              .crossJoin(lab.select(F.col("drift_detected").alias("label_drift")))

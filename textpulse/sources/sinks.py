@@ -44,7 +44,9 @@ def read_star_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
            .option("columnNameOfCorruptRecord", "_bad").json(path))
     good = raw.where(F.col("_bad").isNull() & F.col("text").isNotNull() & F.col("stars").isNotNull())
     rows = good.select("text", "stars", stars_to_sentiment(F.col("stars")).alias("sentiment"))
-    bad = raw.agg(F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("bad_lines"))
+    # the scan must read a data column besides the corrupt-record one
+    bad = raw.agg(F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("bad_lines"),
+                  F.count(F.when(F.col("_bad").isNull() & F.col("text").isNotNull(), 1)).alias("text_lines"))
     return rows, bad
 
 
