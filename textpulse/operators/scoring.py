@@ -23,11 +23,12 @@ def balanced_weights(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def log_count_ratio_weights(train: DataFrame, id_col: str, text_col: str, label_col: str,
-                            vocab: DataFrame, **term_args) -> tuple[DataFrame, DataFrame]:
+                            vocab: DataFrame, tf: DataFrame | None = None, **term_args
+                            ) -> tuple[DataFrame, DataFrame]:
     """A fixed, data-derived weight rule (so scoring is checkable by SQL):
     coef(t) = ln((pos_df + 1) / (n_pos + 2)) - ln((neg_df + 1) / (n_neg + 2)),
     intercept = ln(n_pos / n_neg), for labels 1 (positive) / 0 (negative)."""
-    tf = TF.term_counts(train, id_col, text_col, **term_args)
+    tf = tf if tf is not None else TF.term_counts(train, id_col, text_col, **term_args)
     lab = train.select(id_col, label_col)
     d = tf.join(lab, id_col).groupBy("term").agg(
         F.count(F.when(F.col(label_col) == 1, 1)).alias("pos_df"),

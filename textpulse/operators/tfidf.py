@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.session import materialize
+
 # ---- fixed values ---------------------------------------------------------
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 DEFAULT_MAX_FEATURES = 10_000
@@ -63,7 +65,10 @@ def terms(text: Column, ngram_max: int = 2, stop_words=STOP_WORDS, lowercase: bo
 def term_counts(docs: DataFrame, id_col: str, text_col: str, **term_args) -> DataFrame:
     """``(doc_id, term, tf)``. Documents are hash-partitioned by id once,
     so the count per (doc, term) and later per-document sums need no shuffle."""
-    d = docs.select(id_col, text_col).repartition(id_col)
+    # explicit count: AQE must not coalesce this CPU-heavy stage into a few
+    # tasks because the text is small in bytes
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(id_col, text_col).repartition(n, id_col)
     t = d.select(id_col, F.explode(terms(F.col(text_col), **term_args)).alias("term"))
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
 
@@ -92,9 +97,12 @@ def tfidf(tf: DataFrame, id_col: str, vocab: DataFrame) -> DataFrame:
 
 
 def fit_transform(docs: DataFrame, id_col: str, text_col: str, max_features: int = DEFAULT_MAX_FEATURES,
-                  **term_args) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary/IDF fitted on ``docs`` and the TF-IDF cells of ``docs``."""
-    tf = term_counts(docs, id_col, text_col, **term_args)
+                  tf: DataFrame | None = None, **term_args) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary/IDF fitted on ``docs`` and the TF-IDF cells of ``docs``
+    (``tf``: precomputed term counts of ``docs``)."""
+    if tf is None:
+        # read by the vocabulary and by the weighting: tokenize once, write once
+        tf = materialize(term_counts(docs, id_col, text_col, **term_args))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = vocabulary(tf, id_col, n_docs, max_features)
     return vocab, tfidf(tf, id_col, vocab)

@@ -106,7 +106,9 @@ def class_weights(spark, sf):
 
 
 def split_clean(spark, sf):
-    return materialize(S.stratified_split(cleaned_reviews(spark, sf), "sentiment", "doc_id"))
+    # the cleaned reviews feed the size check, the quotas and the split: clean once
+    cr = materialize(cleaned_reviews(spark, sf))
+    return materialize(S.stratified_split(cr, "sentiment", "doc_id"))
 
 
 _NB_SQL = f"""WITH {_SPLIT_CLEAN},
@@ -133,8 +135,10 @@ def nb_scores(spark, sf):
     sp = split_clean(spark, sf)
     train = sp.where(F.col("split") == "train")
     test = sp.where(F.col("split") == "test")
-    vocab, _ = TF.fit_transform(train, "doc_id", "cleaned_text")
-    weights, intercept = SC.log_count_ratio_weights(train, "doc_id", "cleaned_text", "sentiment", vocab)
+    # training term counts are read by the vocabulary and the weights: written once
+    tf = materialize(TF.term_counts(train, "doc_id", "cleaned_text"))
+    vocab, _ = TF.fit_transform(train, "doc_id", "cleaned_text", tf=tf)
+    weights, intercept = SC.log_count_ratio_weights(train, "doc_id", "cleaned_text", "sentiment", vocab, tf=tf)
     cells = TF.transform(test, "doc_id", "cleaned_text", vocab)
     return SC.linear_scores(test.select("doc_id", "sentiment"), cells, weights, intercept, "doc_id")
 
