@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpulse.operators.scalars import attach
+
 from textpulse.functions import stats
 from textpulse.functions.text import with_text_features
 from textpulse.operators.ordered import order_statistics, running_total
@@ -168,7 +170,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, value_col: str = "value") -> DataFr
     both = materialize(both)
     cum = running_total(both, [], "v", ["ca", "cb"])
     n = both.agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"))
-    d = cum.crossJoin(F.broadcast(n)).select(
+    d = attach(cum, n).select(
         "n1", "n2", F.abs(F.col("ca_cum") / F.col("n1") - F.col("cb_cum") / F.col("n2")).alias("gap"))
     return d.groupBy("n1", "n2").agg(F.max("gap").alias("ks_statistic")).select(
         F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"),
@@ -192,7 +194,7 @@ def label_drift(reference: DataFrame, production: DataFrame, label_col: str = "l
         c = df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("lbl")) \
               .agg(F.count(F.lit(1)).alias("c"))
         tot = c.agg(F.sum("c").alias("t"))
-        return c.crossJoin(F.broadcast(tot)).select("lbl", (F.col("c") / F.col("t")).alias(name))
+        return attach(c, tot).select("lbl", (F.col("c") / F.col("t")).alias(name))
     j = shares(reference, "pa").join(shares(production, "pb"), "lbl", "full_outer")
     shift = F.sum(F.abs(F.coalesce(F.col("pa"), F.lit(0.0)) - F.coalesce(F.col("pb"), F.lit(0.0))))
     return j.agg(F.coalesce(shift, F.lit(0.0)).alias("distribution_shift")) \
@@ -229,11 +231,10 @@ def full_drift(reference: DataFrame, production: DataFrame, scored: DataFrame |
     else:
         con = concept_drift(scored)
         note = F.lit(None).cast("string")
-    row = (cov.select(F.struct("ks_statistic", "p_value", "drift_detected", "n1", "n2")
-                      .alias("covariate_drift"))
-           .crossJoin(lab.select(F.struct("distribution_shift", "drift_detected").alias("label_drift")))
-           .crossJoin(con.select(F.struct("avg_conf_correct", "avg_conf_wrong", "confidence_gap",
-                                          "drift_detected", note.alias("note")).alias("concept_drift"))))
+    row = cov.select(F.struct("ks_statistic", "p_value", "drift_detected", "n1", "n2").alias("covariate_drift"))
+    row = attach(row, lab.select(F.struct("distribution_shift", "drift_detected").alias("label_drift")))
+    row = attach(row, con.select(F.struct("avg_conf_correct", "avg_conf_wrong", "confidence_gap",
+                                          "drift_detected", note.alias("note")).alias("concept_drift")))
     return row.withColumn("domain_shift", F.struct(
         (F.col("covariate_drift.drift_detected") & F.col("concept_drift.drift_detected"))
         .alias("drift_detected")))
@@ -242,8 +243,8 @@ def full_drift(reference: DataFrame, production: DataFrame, scored: DataFrame |
 def psi_report_status(per_feature: DataFrame, reference: DataFrame, production: DataFrame) -> DataFrame:
     """G7 + A4: one row ``(status, reference_rows, production_rows)``; an empty
     production side gives ``insufficient_data`` instead of an error."""
-    counts = reference.agg(F.count(F.lit(1)).alias("reference_rows")).crossJoin(
-        production.agg(F.count(F.lit(1)).alias("production_rows")))
+    counts = attach(reference.agg(F.count(F.lit(1)).alias("reference_rows")),
+                    production.agg(F.count(F.lit(1)).alias("production_rows")))
     worst = overall_psi_status(per_feature)
     j = counts.join(worst, F.lit(True), "left")
     return j.select(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.operators.scalars import attach
+
 from textpulse.operators.ordered import order_statistics
 from textpulse.session import materialize
 
@@ -30,8 +32,9 @@ def confusion_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
         F.col(true_col).cast("string").alias("y_true"), F.col(pred_col).cast("string").alias("y_pred")
     ).agg(F.count(F.lit(1)).alias("n"))
     labels = pairs.select(F.col("y_true").alias("label")).union(pairs.select("y_pred")).distinct()
-    grid = labels.select(F.col("label").alias("y_true")).crossJoin(
-        F.broadcast(labels.select(F.col("label").alias("y_pred"))))  # labels x labels, tiny
+    # every (true, predicted) label pair; the label set is the class list
+    ls = labels.agg(F.array_sort(F.collect_set("label")).alias("ls"))
+    grid = ls.select(F.explode("ls").alias("y_true"), "ls").select("y_true", F.explode("ls").alias("y_pred"))
     conf = grid.join(pairs, ["y_true", "y_pred"], "left").select(
         "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     # labels x labels rows, read by several metric branches: written once
@@ -61,7 +64,7 @@ def summary(conf: DataFrame) -> DataFrame:
                     / F.sum("n")).alias("accuracy"), F.sum("n").cast("bigint").alias("samples"))
     w = pc.agg(*[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(m)
                  for m in ("precision", "recall", "f1_score")])
-    return acc.crossJoin(w)
+    return attach(acc, w)
 
 
 def report(conf: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def compare_variants(stats: DataFrame, variant_col: str, baseline: str = "baseli
 
     def gain(x, base):
         return F.when(base == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - x / base), 2))
-    return stats.crossJoin(F.broadcast(b)).select(
+    return attach(stats, b).select(
         variant_col, "mean_latency_ms", "p95_latency_ms",
         gain(F.col("mean_latency_ms"), F.col("_bm")).alias("latency_improvement_pct"),
         gain(F.col("p95_latency_ms"), F.col("_bp")).alias("p95_improvement_pct"))

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.operators.scalars import attach
+
 DEFAULT_BLOCKS = 1024
 # A group up to this many rows is sorted in one task (a few seconds, spills
 # if needed); larger groups are split into value blocks.
@@ -52,7 +54,7 @@ def running_total(df: DataFrame, group_cols: Sequence[str], order_col: str,
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(*df.columns, *[F.sum(c).over(w).alias(f"{c}{suffix}") for c in ws])
     stats = df.groupBy(*g).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-    keyed = (df.join(stats, g, "inner") if g else df.crossJoin(stats))
+    keyed = (df.join(stats, g, "inner") if g else attach(df, stats))
     keyed = keyed.withColumn("_blk", _block_of(F.col(order_col), F.col("_lo"), F.col("_hi"), blocks)) \
                  .drop("_lo", "_hi")
     totals = keyed.groupBy(*g, "_blk").agg(*[F.sum(w).alias(f"_bt_{w}") for w in ws])

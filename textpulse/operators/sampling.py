@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.operators.scalars import attach
+
 from textpulse.operators.ordered import DIRECT_MAX_ROWS, largest_group, running_total
 
 # ---- fixed values ---------------------------------------------------------
@@ -61,26 +63,26 @@ def select_by_rank(df: DataFrame, group_cols: Sequence[str], key: Column, id_col
     if largest_group(df, g) <= DIRECT_MAX_ROWS:
         # size-checked shortcut: every group fits one task, rank it directly
         w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_key", id_col)
-        j = keyed.join(F.broadcast(q), g, "left") if g else keyed.crossJoin(F.broadcast(q))
+        j = keyed.join(F.broadcast(q), g, "left") if g else attach(keyed, q)
         sel = F.coalesce(F.row_number().over(w) <= F.col("_q"), F.lit(False))
         return j.withColumn(out_col, sel).drop("_key", "_q")
     rng = keyed.groupBy(*g).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
     cells = 1 << CELL_BITS
     width = (F.col("_hi") - F.col("_lo")).cast("decimal(38,0)") + 1
     cell = F.floor((F.col("_key") - F.col("_lo")).cast("decimal(38,0)") * cells / width).cast("int")
-    keyed = (keyed.join(F.broadcast(rng), g, "inner") if g else keyed.crossJoin(F.broadcast(rng)))
+    keyed = (keyed.join(F.broadcast(rng), g, "inner") if g else attach(keyed, rng))
     keyed = keyed.withColumn("_cell", cell).drop("_lo", "_hi")
 
     counts = keyed.groupBy(*g, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     cum = running_total(counts, g, "_cell", ["_n"])
     cum = cum.join(F.broadcast(quotas.select(*g, F.col("quota").cast("bigint").alias("_q"))), g, "inner") \
-        if g else cum.crossJoin(F.broadcast(quotas.select(F.col("quota").cast("bigint").alias("_q"))))
+        if g else attach(cum, quotas.select(F.col("quota").cast("bigint").alias("_q")))
     cut = cum.where((F.col("_n_cum") - F.col("_n") < F.col("_q")) & (F.col("_q") <= F.col("_n_cum"))) \
              .select(*g, F.col("_cell").alias("_cut"), (F.col("_q") - (F.col("_n_cum") - F.col("_n")))
                      .alias("_need"), F.col("_n").alias("_cut_rows"))
 
     # exact ranks only inside the cut cells
-    in_cut = (keyed.join(F.broadcast(cut), g, "inner") if g else keyed.crossJoin(F.broadcast(cut)))
+    in_cut = (keyed.join(F.broadcast(cut), g, "inner") if g else attach(keyed, cut))
     in_cut = in_cut.where(F.col("_cell") == F.col("_cut"))
     w = Window.partitionBy(*g).orderBy("_key", id_col) if g else Window.orderBy("_key", id_col)
     ranked = in_cut.select(*g, id_col, (F.row_number().over(w) <= F.col("_need")).alias("_in"))
@@ -90,7 +92,7 @@ def select_by_rank(df: DataFrame, group_cols: Sequence[str], key: Column, id_col
     ranked_side = F.broadcast(ranked) if cut_rows <= BROADCAST_ROWS else ranked
 
     j = (keyed.join(F.broadcast(cut.drop("_cut_rows")), g, "left") if g
-         else keyed.crossJoin(F.broadcast(cut.drop("_cut_rows"))))
+         else attach(keyed, cut.drop("_cut_rows")))
     j = j.join(ranked_side, [*g, id_col], "left")
     sel = (F.when(F.col("_cut").isNull(), F.lit(False))
             .when(F.col("_cell") < F.col("_cut"), F.lit(True))
@@ -105,7 +107,7 @@ def stratified_quotas(df: DataFrame, label_col: str, test_size: float = DEFAULT_
     cc = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("nc"))
     tot = cc.agg(F.sum("nc").alias("n")).select(
         "n", F.ceil(F.lit(test_size) * F.col("n")).cast("bigint").alias("nt"))
-    b = cc.crossJoin(F.broadcast(tot))
+    b = attach(cc, tot)
     prod = F.col("nt").cast("decimal(38,0)") * F.col("nc").cast("decimal(38,0)")
     b = b.select(label_col, "nc", "nt", F.expr("0").alias("_z"),
                  (prod - (prod % F.col("n"))).alias("_p"), (prod % F.col("n")).alias("rem"), "n")
@@ -151,7 +153,7 @@ def class_distribution(df: DataFrame, label_col: str) -> DataFrame:
     """C4: ``(label, n, share)`` and the number of distinct classes."""
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     tot = c.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("n_classes"))
-    return c.crossJoin(F.broadcast(tot)).select(
+    return attach(c, tot).select(
         label_col, F.col("n").cast("bigint").alias("n"), (F.col("n") / F.col("t")).alias("share"),
         F.col("n_classes").cast("bigint").alias("n_classes"))
 

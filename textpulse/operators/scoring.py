@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpulse.operators.scalars import attach
+
 from textpulse.operators import tfidf as TF
 
 
@@ -18,7 +20,7 @@ def balanced_weights(df: DataFrame, label_col: str) -> DataFrame:
     """``n / (k * n_c)`` per class (k = number of classes)."""
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     t = c.agg(F.sum("n").alias("_t"), F.count(F.lit(1)).alias("_k"))
-    return c.crossJoin(F.broadcast(t)).select(
+    return attach(c, t).select(
         label_col, "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
@@ -35,7 +37,7 @@ def log_count_ratio_weights(train: DataFrame, id_col: str, text_col: str, label_
         F.count(F.when(F.col(label_col) == 0, 1)).alias("neg_df"))
     n = train.agg(F.count(F.when(F.col(label_col) == 1, 1)).alias("n_pos"),
                   F.count(F.when(F.col(label_col) == 0, 1)).alias("n_neg"))
-    w = vocab.select("term").join(d, "term", "left").crossJoin(F.broadcast(n)).select(
+    w = attach(vocab.select("term").join(d, "term", "left"), n).select(
         "term", (F.log((F.coalesce("pos_df", F.lit(0)) + 1.0) / (F.col("n_pos") + 2.0))
                  - F.log((F.coalesce("neg_df", F.lit(0)) + 1.0) / (F.col("n_neg") + 2.0))).alias("coef"))
     intercept = n.select(F.log(F.col("n_pos") / F.col("n_neg")).alias("intercept"))
@@ -50,7 +52,7 @@ def linear_scores(docs: DataFrame, cells: DataFrame, weights: DataFrame, interce
     s = cells.join(F.broadcast(weights), "term").groupBy(id_col).agg(
         F.sum(F.col("weight") * F.col("coef")).alias("_s"))
     z = F.coalesce(F.col("_s"), F.lit(0.0)) + F.col("intercept")
-    out = docs.join(s, id_col, "left").crossJoin(F.broadcast(intercept)).withColumn("score", z)
+    out = attach(docs.join(s, id_col, "left"), intercept).withColumn("score", z)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))
     return out.select(*docs.columns, "score", p.alias("probability"),
                       F.when(p >= 0.5, 1).otherwise(0).alias("prediction"))

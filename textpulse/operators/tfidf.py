@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpulse.operators.scalars import attach
+
 from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
@@ -81,7 +83,7 @@ def vocabulary(tf: DataFrame, id_col: str, n_docs: DataFrame, max_features: int
                                    F.count(F.lit(1)).cast("bigint").alias("df"))
     top = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     idx = F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1  # <= max_features rows
-    v = top.crossJoin(F.broadcast(n_docs)).select(
+    v = attach(top, n_docs).select(
         "term", "cf", "df", idx.alias("index"),
         (F.log((F.lit(1) + F.col("n_docs")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     return v
