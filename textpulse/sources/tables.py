@@ -29,8 +29,11 @@ def spread(df: DataFrame) -> DataFrame:
     A large input already scans as thousands of splits and is returned as is;
     only an input with fewer scan splits than cores (a single small file)
     is dealt round-robin to all cores, so regex work does not run on one."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as is
         return df
     return df.repartition(cores)
 
