@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpulse.llm import line_dedup
+from textpulse.llm import decontaminate, line_dedup, simhash
 from textpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,4 +22,11 @@ def _on_documents(name: str, run, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_on_documents("op1_simhash_dedup", simhash.simhash_groups)
 _on_documents("op4_line_dedup", line_dedup.digest, line_dedup.SQL)
+QUERIES["op5_decontamination"] = op5_decontamination
+ORACLES["op5_decontamination"] = decontaminate.SQL
