@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpulse.llm import decontaminate, line_dedup, simhash
+from textpulse.llm import decontaminate, language, line_dedup, quality, simhash
 from textpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +26,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _on_documents("op1_simhash_dedup", simhash.simhash_groups)
 _on_documents("op4_line_dedup", line_dedup.digest, line_dedup.SQL)
 QUERIES["op5_decontamination"] = op5_decontamination
 ORACLES["op5_decontamination"] = decontaminate.SQL
+QUERIES["op6_quality_classifier"] = op6_quality_classifier
+_on_documents("op7_language_id", language.language_id)
