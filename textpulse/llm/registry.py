@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpulse.llm import decontaminate, language, line_dedup, quality, simhash
+from textpulse.llm import (decontaminate, language, line_dedup, packing, quality, simhash, substring,
+                           suffixes)
 from textpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,6 @@ QUERIES["op5_decontamination"] = op5_decontamination
 ORACLES["op5_decontamination"] = decontaminate.SQL
 QUERIES["op6_quality_classifier"] = op6_quality_classifier
 _on_documents("op7_language_id", language.language_id)
+_on_documents("op8_packing", packing.pack)
+_on_documents("op9_substring_dedup", substring.digest, substring.SQL)
+_on_documents("op10_suffix_array_dedup", suffixes.digest, suffixes.SQL)
