@@ -49,7 +49,7 @@ def split_hot(rows: DataFrame, key: str, member: str, cap: int) -> DataFrame:
     Keys of up to ``cap`` members are one cell. A larger key's members are
     hashed into g = ceil(n / cap) blocks, and each block travels to the g cells
     that pair it with every block, its own included: no pair is lost, no task
-    holds a whole hot key. Adds ``cell_i`` and ``cell_j``."""
+    holds a whole hot key. Adds ``block``, ``cell_i`` and ``cell_j``."""
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members"))
     big = save(sizes.where(F.col("members") > cap)
                .select(key, F.ceil(F.col("members") / cap).cast("int").alias("blocks")))
@@ -60,7 +60,7 @@ def split_hot(rows: DataFrame, key: str, member: str, cap: int) -> DataFrame:
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("cell_i", F.least("block", "other"))
             .withColumn("cell_j", F.greatest("block", "other"))
-            .drop("blocks", "block", "other"))
+            .drop("blocks", "other"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

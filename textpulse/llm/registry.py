@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpulse.llm import (decontaminate, language, line_dedup, packing, quality, simhash, substring,
-                           suffixes)
+from textpulse.llm import (decontaminate, embedding, language, line_dedup, packing, pii, quality,
+                           simhash, substring, suffixes)
 from textpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 _on_documents("op1_simhash_dedup", simhash.simhash_groups)
+QUERIES["op2_embedding_dedup"] = op2_embedding_dedup
+_on_documents("op3_pii", pii.digest)
 _on_documents("op4_line_dedup", line_dedup.digest, line_dedup.SQL)
 QUERIES["op5_decontamination"] = op5_decontamination
 ORACLES["op5_decontamination"] = decontaminate.SQL
