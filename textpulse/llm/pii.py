@@ -25,6 +25,7 @@ may have any name.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,8 @@ DOT = re.compile(r"\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?", re.IGNORECASE)
 LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![0-9])"
                       r"|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
-LOOSE_PHONE = re.compile(r"(?<![0-9+.\x20(-])\x20?(\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9.-])")
+LOOSE_PHONE = re.compile(r"(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-]|\.[0-9])")
+BRACKET_AT = re.compile(r"[\[({]\x20?[Aa][Tt]\x20?[\])}]")
 DIGIT = re.compile(r"[0-9]")
 
 # Gazetteers (fixed values)
@@ -113,7 +115,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _loose(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, normal form) of the candidates."""
     out, done = [], 0
-    for m in AT.finditer(text) if "@" in text or "at" in text.lower() or "＠" in text else ():
+    some = "@ " in text or " @" in text or "＠" in text or BRACKET_AT.search(text)
+    for m in AT.finditer(text) if some else ():
         before = text[max(done, m.start() - 64):m.start()]
         size = len(before) - len(before.rstrip(LOCAL))
         domain = LOOSE_DOMAIN.match(text, m.end()) if size else None
@@ -127,7 +130,8 @@ def _loose(text: str) -> list[tuple[int, int, int, str]]:
         for m in LOOSE_CARD.finditer(text):
             out.append((2, m.start(), m.end(), re.sub(r"[._/]", "", m[0])))
         for m in LOOSE_PHONE.finditer(text):
-            out.append((3, m.start(1), m.end(1), m[1]))
+            if not any(c in "0123456789+" for c in text[max(0, m.start() - 2):m.start()]):
+                out.append((3, m.start(), m.end(), m[0]))
     return out
 
 
@@ -166,7 +170,7 @@ def find(text: str) -> list[tuple[int, int, int, bool, str]]:
     out = [(k, a, b, True, _votes(text, k, a, b, text[a:b], True)) for k, a, b in base]
     taken = {k: sorted((a, b) for x, a, b in base if x == k) for k in range(4)}
     for k, a, b, form in _loose(text):
-        at = int(np.searchsorted([s for s, _ in taken[k]], a, "right"))
+        at = bisect_right(taken[k], (a, b))
         if (at and taken[k][at - 1][1] > a) or (at < len(taken[k]) and taken[k][at][0] < b):
             continue
         taken[k].insert(at, (a, b))
