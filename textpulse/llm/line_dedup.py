@@ -65,15 +65,14 @@ def line_dedup(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Data
     kept = F.when(F.col("gone").isNull(), F.coalesce("row.text", F.lit(""))) \
         .otherwise(F.array_join(F.flatten(runs), "\n"))
     return rows.select("row", F.size("lines").cast("long").alias("n_lines"),
-                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+                       F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
                        kept.alias("kept"))
 
 
 def digest(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> DataFrame:
     """The query's columns: doc_id, n_lines, n_dropped, kept_sha256."""
     out = line_dedup(docs.select("doc_id", "text"), min_length, min_docs)
-    n_dropped = F.when(F.col("n_dropped") < 0, 0).otherwise(F.col("n_dropped")).cast("long")
-    return out.select("row.doc_id", "n_lines", n_dropped.alias("n_dropped"),
+    return out.select("row.doc_id", "n_lines", "n_dropped",
                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

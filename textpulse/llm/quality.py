@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpulse.llm.common import learn_split
 
@@ -215,11 +216,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column(0).field("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(_score_all(model, texts))], ["row", "score"])
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    out = rows.mapInArrow(run, f"row {docs.schema.simpleString()}, score double")
+    out = docs.select(F.struct("*").alias("row")).mapInArrow(run, T.StructType(
+        [T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())]))
     held_out = F.coalesce(learn_split(F.col("row.doc_id")) == 0, F.lit(False))
     return out.select("row", held_out.alias("held_out"), "score",
                       F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
