@@ -3,90 +3,105 @@ one task.
 
 Spark has no row order, and a window ``partitionBy(g).orderBy(v)`` runs each
 group ``g`` in a single task. Here groups can be hot (a third of all rows in
-one label or one feature), so the helpers split every group into value blocks:
-
-* running_total: exact prefix sums over (usually pre-aggregated) rows.
-  A group small enough for one task (checked) gets a plain window; otherwise rows are cut into ``blocks`` equal-width value ranges per group; the block
-  totals (groups x blocks rows) get a small window, and each block computes
-  its local running sum in its own task. Deterministic, fully lazy, no
-  checkpoint needed.
-* order_statistics: values at given 0-based ranks of a value-count table,
-  through running_total plus a broadcast of the (bounded) rank targets.
+one label or one feature), so ordered work is cut by position instead:
+
+* running_total: exact prefix sums. Rows are range-partitioned by (group,
+  value), so a large group spreads over many partitions however its values are
+  distributed; each partition sums locally, the totals of partitions and groups
+  (few rows) give the offsets.
+* order_statistics: values at given 0-based ranks of a value-count table.
+* rank_threshold: the key at a given rank of each group, by radix selection
+  over key prefixes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpulse.operators.scalars import attach
+from textpulse.session import materialize
 
-DEFAULT_BLOCKS = 1024
-# A group up to this many rows is sorted in one task (a few seconds, spills
-# if needed); larger groups are split into value blocks.
-DIRECT_MAX_ROWS = 4_000_000
+LEVEL_BITS = 16  # key bits that one radix level settles
 
 
-def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Row count of the largest group (one small aggregation job)."""
-    g = list(group_cols)
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else df.agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).collect()[0][0] or 0
-
-
-def _block_of(value: Column, lo: Column, hi: Column, blocks: int) -> Column:
-    width = hi.cast("double") - lo.cast("double")
-    raw = F.floor((value.cast("double") - lo.cast("double")) / width * F.lit(blocks))
-    return F.when(width > 0, F.least(raw, F.lit(blocks - 1))).otherwise(F.lit(0)).cast("int")
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    """Null-safe equality of the columns of two frames."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_o_{c}"]) for c in columns])
 
 
 def running_total(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                  weight_cols: Sequence[str], suffix: str = "_cum",
-                  blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+                  weight_cols: Sequence[str], suffix: str = "_cum") -> DataFrame:
     """Add ``<w><suffix>``: inclusive running sum of each weight column per
-    group in ascending ``order_col`` (numeric, unique within the group)."""
-    g = list(group_cols)
-    ws = list(weight_cols)
-    if largest_group(df, g) <= DIRECT_MAX_ROWS:
-        w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy(order_col) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(*df.columns, *[F.sum(c).over(w).alias(f"{c}{suffix}") for c in ws])
-    stats = df.groupBy(*g).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-    keyed = (df.join(stats, g, "inner") if g else attach(df, stats))
-    keyed = keyed.withColumn("_blk", _block_of(F.col(order_col), F.col("_lo"), F.col("_hi"), blocks)) \
-                 .drop("_lo", "_hi")
-    totals = keyed.groupBy(*g, "_blk").agg(*[F.sum(w).alias(f"_bt_{w}") for w in ws])
-    wb = Window.partitionBy(*g).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_blk", *[
-        F.coalesce(F.sum(f"_bt_{w}").over(wb), F.lit(0)).alias(f"_off_{w}") for w in ws])
-    wl = Window.partitionBy(*g, "_blk").orderBy(order_col) \
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = keyed.select("*", *[F.sum(w).over(wl).alias(f"_loc_{w}") for w in ws])
-    out = local.join(offsets, [*g, "_blk"], "inner")
-    return out.select(*[c for c in df.columns],
-                      *[(F.col(f"_loc_{w}") + F.col(f"_off_{w}")).alias(f"{w}{suffix}") for w in ws])
+    group in ascending ``order_col`` (unique within the group)."""
+    g, ws = list(group_cols), list(weight_cols)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: range borders are sampled, so the partition of a row must be kept
+    cut = materialize(df.repartitionByRange(n, *g, order_col).withColumn("_part", F.spark_partition_id()))
+    keys = [*g, "_part"]
+    totals = cut.groupBy(*keys).agg(*[F.sum(w).alias(f"_t_{w}") for w in ws])
+    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in keys], *[
+        F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in ws])
+    here = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.select("*", *[F.sum(w).over(here).alias(f"_loc_{w}") for w in ws])
+    out = local.join(offsets, _same(local, offsets, keys))
+    return out.select(*df.columns, *[(F.col(f"_loc_{w}") + F.col(f"_off_{w}")).alias(f"{w}{suffix}") for w in ws])
 
 
 def order_statistics(value_counts: DataFrame, group_cols: Sequence[str], value_col: str,
                      count_col: str, targets: DataFrame, rank_col: str = "rank") -> DataFrame:
     """For each ``targets`` row (group cols + 0-based ``rank_col`` + any extra
     columns) return it with ``value``: the value at that rank of the multiset
-    described by ``value_counts`` (group cols, value, count).
-
-    ``targets`` is tiny by contract (groups x a handful of ranks), so it is
-    broadcast and each value-count row probes only its own group's targets.
-    """
+    described by ``value_counts`` (group cols, value, count)."""
     g = list(group_cols)
     cum = running_total(value_counts, g, value_col, [count_col])
     cum = cum.select(*g, F.col(value_col).alias("_val"),
                      (F.col(f"{count_col}_cum") - F.col(count_col)).alias("_before"),
                      F.col(f"{count_col}_cum").alias("_upto"))
     # rename the target side so a shared lineage cannot make columns ambiguous
-    t = targets.select(*[F.col(c).alias(f"_t_{c}") for c in targets.columns])
-    cond = [F.col(c) == F.col(f"_t_{c}") for c in g] + [
-        F.col(f"_t_{rank_col}") >= F.col("_before"), F.col(f"_t_{rank_col}") < F.col("_upto")]
-    joined = cum.join(F.broadcast(t), cond, "inner")
-    return joined.select(*[F.col(f"_t_{c}").alias(c) for c in targets.columns],
-                         F.col("_val").alias("value"))
+    t = targets.select(*[F.col(c).alias(f"_o_{c}") for c in targets.columns])
+    within = (F.col(f"_o_{rank_col}") >= F.col("_before")) & (F.col(f"_o_{rank_col}") < F.col("_upto"))
+    joined = cum.join(t, (_same(cum, t, g) & within) if g else within)
+    return joined.select(*[F.col(f"_o_{c}").alias(c) for c in targets.columns], F.col("_val").alias("value"))
+
+
+def rank_threshold(rows: DataFrame, group_cols: Sequence[str], key_col: str, id_col: str,
+                   quotas: DataFrame) -> DataFrame:
+    """Per group with a quota ``(group cols, quota)``: ``(group cols, cut_key,
+    cut_id)`` such that exactly ``quota`` rows (all, if there are fewer) have
+    (key, id) up to it; nothing for a quota of 0. Keys are bigints.
+
+    Radix selection: each level counts rows by the next ``LEVEL_BITS`` bits of
+    the key among those that share the prefix found so far, so every count is a
+    combined aggregate of at most 2^LEVEL_BITS rows a group, whatever the
+    values. Rows that tie on the whole key are ordered by id."""
+    g = list(group_cols)
+    narrow = materialize(rows.select(*g, F.col(key_col).alias("_key"),
+                                     F.col(key_col).bitwiseXOR(F.lit(-1 << 63)).alias("_bits"), F.col(id_col).alias("_id")))
+    size = narrow.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"))
+    q = quotas.select(*[F.col(c).alias(f"_o_{c}") for c in g], F.col("quota").cast("bigint").alias("_q"))
+    sized = size.join(q, _same(size, q, g)) if g else attach(size, q)
+    state = materialize(sized.where("_q > 0").select(
+        *[F.col(c).alias(f"_o_{c}") for c in g], F.least("_q", "_rows").alias("_need"),
+        F.lit(0).cast("bigint").alias("_prefix")))
+    for low in range(64 - LEVEL_BITS, -1, -LEVEL_BITS):
+        # order-preserving bits: unsigned shifts of the key with its sign bit turned
+        above = F.shiftrightunsigned("_bits", low + LEVEL_BITS) if low + LEVEL_BITS < 64 else F.lit(0).cast("bigint")
+        live = narrow.join(state, (_same(narrow, state, g) if g else F.lit(True)) & (above == F.col("_prefix"))) \
+            if g else attach(narrow, state).where(above == F.col("_prefix"))
+        keep = [*[F.col(f"_o_{c}") for c in g], F.col("_need")]
+        counts = live.groupBy(*keep, F.shiftrightunsigned("_bits", low).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = Window.partitionBy(*[f"_o_{c}" for c in g]).orderBy("_next")
+        cum = counts.withColumn("_upto", F.sum("_n").over(upto))
+        state = materialize(cum.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+                            .select(*[f"_o_{c}" for c in g], (F.col("_need") - (F.col("_upto") - F.col("_n"))).alias("_need"),
+                                    F.col("_next").alias("_prefix")))
+    tied = narrow.join(state, _same(narrow, state, g) & (F.col("_bits") == F.col("_prefix"))) if g \
+        else attach(narrow, state).where(F.col("_bits") == F.col("_prefix"))
+    order = Window.partitionBy(*[f"_o_{c}" for c in g]).orderBy("_id")
+    last = tied.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_need"))
+    return last.select(*[F.col(f"_o_{c}").alias(c) for c in g], F.col("_key").alias("cut_key"), F.col("_id").alias("cut_id"))

@@ -6,29 +6,25 @@ a seeded hash of their id (or by any bigint key), and a row is selected iff
 its rank inside its group is within the group's quota.
 
 Exact ranks inside a group would need the whole group in one task. Instead
-(``select_by_rank``):
-1. every row gets a cell = its key's position among 2^20 equal-width cells of
-   the group's key range (map-only);
-2. cell counts per group (partial aggregation, at most groups x 2^20 rows);
-3. running totals over cells give, per group, the one "cut" cell holding the
-   quota boundary; rows below it are in, above it out (map-only, broadcast of
-   one row per group);
-4. only the rows of the cut cells are ranked exactly (about n / 2^20 rows per
-   group for a hash key) and joined back by id.
-When the largest group is small enough for one task (checked first), the
-rows are ranked directly with a window instead.
+(``select_by_rank``) the key at the quota's rank is found per group by radix
+selection over narrow columns (``ordered.rank_threshold``), and a row is
+selected iff its (key, id) is not above it: one comparison per row against one
+row per group, so texts are never shuffled or ranked. Rows that repeat an id
+are selected together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpulse.operators.scalars import attach
 
-from textpulse.operators.ordered import DIRECT_MAX_ROWS, largest_group, running_total
+from textpulse.operators.ordered import rank_threshold
+from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
 DEFAULT_SEED = 42
@@ -37,9 +33,6 @@ DEFAULT_MAX_PER_CLASS = 30_000
 DEFAULT_BALANCED_SAMPLE = 5_000
 # ---------------------------------------------------------------------------
 
-CELL_BITS = 20
-BROADCAST_ROWS = 2_000_000
-
 
 def hash_key(id_col, seed: int = DEFAULT_SEED) -> Column:
     """60-bit non-negative bigint: first 15 hex digits of md5('<seed>:<id>')."""
@@ -58,47 +51,16 @@ def select_by_rank(df: DataFrame, group_cols: Sequence[str], key: Column, id_col
     within ``quotas.quota`` (``quotas`` has one row per group; missing group =
     nothing selected). Exact, and no task ever holds a whole group."""
     g = list(group_cols)
-    keyed = df.withColumn("_key", key)
-    q = quotas.select(*g, F.col("quota").cast("bigint").alias("_q"))
-    if largest_group(df, g) <= DIRECT_MAX_ROWS:
-        # size-checked shortcut: every group fits one task, rank it directly
-        w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_key", id_col)
-        j = keyed.join(F.broadcast(q), g, "left") if g else attach(keyed, q)
-        sel = F.coalesce(F.row_number().over(w) <= F.col("_q"), F.lit(False))
-        return j.withColumn(out_col, sel).drop("_key", "_q")
-    rng = keyed.groupBy(*g).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
-    cells = 1 << CELL_BITS
-    width = (F.col("_hi") - F.col("_lo")).cast("decimal(38,0)") + 1
-    cell = F.floor((F.col("_key") - F.col("_lo")).cast("decimal(38,0)") * cells / width).cast("int")
-    keyed = (keyed.join(F.broadcast(rng), g, "inner") if g else attach(keyed, rng))
-    keyed = keyed.withColumn("_cell", cell).drop("_lo", "_hi")
-
-    counts = keyed.groupBy(*g, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_total(counts, g, "_cell", ["_n"])
-    cum = cum.join(F.broadcast(quotas.select(*g, F.col("quota").cast("bigint").alias("_q"))), g, "inner") \
-        if g else attach(cum, quotas.select(F.col("quota").cast("bigint").alias("_q")))
-    cut = cum.where((F.col("_n_cum") - F.col("_n") < F.col("_q")) & (F.col("_q") <= F.col("_n_cum"))) \
-             .select(*g, F.col("_cell").alias("_cut"), (F.col("_q") - (F.col("_n_cum") - F.col("_n")))
-                     .alias("_need"), F.col("_n").alias("_cut_rows"))
-
-    # exact ranks only inside the cut cells
-    in_cut = (keyed.join(F.broadcast(cut), g, "inner") if g else attach(keyed, cut))
-    in_cut = in_cut.where(F.col("_cell") == F.col("_cut"))
-    w = Window.partitionBy(*g).orderBy("_key", id_col) if g else Window.orderBy("_key", id_col)
-    ranked = in_cut.select(*g, id_col, (F.row_number().over(w) <= F.col("_need")).alias("_in"))
-
-    # size check before broadcasting the ranked cut rows (bounded ~n/2^20 per group)
-    cut_rows = cut.agg(F.sum("_cut_rows")).collect()[0][0] or 0
-    ranked_side = F.broadcast(ranked) if cut_rows <= BROADCAST_ROWS else ranked
-
-    j = (keyed.join(F.broadcast(cut.drop("_cut_rows")), g, "left") if g
-         else attach(keyed, cut.drop("_cut_rows")))
-    j = j.join(ranked_side, [*g, id_col], "left")
-    sel = (F.when(F.col("_cut").isNull(), F.lit(False))
-            .when(F.col("_cell") < F.col("_cut"), F.lit(True))
-            .when(F.col("_cell") > F.col("_cut"), F.lit(False))
-            .otherwise(F.coalesce(F.col("_in"), F.lit(False))))
-    return j.withColumn(out_col, sel).drop("_key", "_cell", "_cut", "_need", "_in")
+    keyed = df.withColumn("_k", key)
+    cut = rank_threshold(keyed, g, "_k", id_col, quotas)
+    cut = materialize(cut.select(*[F.col(c).alias(f"_o_{c}") for c in g], "cut_key", "cut_id"))  # one row a group
+    if g:
+        same = [keyed[c].eqNullSafe(cut[f"_o_{c}"]) for c in g]
+        j = keyed.join(cut, reduce(lambda a, b: a & b, same), "left")
+    else:
+        j = attach(keyed, cut.agg(F.max("cut_key").alias("cut_key"), F.max("cut_id").alias("cut_id")))
+    below = (F.col("_k") < F.col("cut_key")) | ((F.col("_k") == F.col("cut_key")) & (F.col(id_col) <= F.col("cut_id")))
+    return j.select(*df.columns, F.coalesce(below, F.lit(False)).alias(out_col))
 
 
 def stratified_quotas(df: DataFrame, label_col: str, test_size: float = DEFAULT_TEST_SIZE) -> DataFrame:
@@ -163,12 +125,12 @@ def head_rows(df: DataFrame, n: int, order_col: str) -> DataFrame:
     return df.orderBy(order_col).limit(n)
 
 
-def shuffled_write(df: DataFrame, path: str, id_col: str, partitions: int | None = None,
+def shuffled_write(df: DataFrame, path: str, id_col: str, partitions: int,
                    seed: int = DEFAULT_SEED) -> None:
-    """Write rows in seeded hash order (physical shuffle only at write time)."""
-    k = hash_key(id_col, seed)
-    out = df.repartition(partitions) if partitions else df
-    out.withColumn("_h", k).sortWithinPartitions("_h").drop("_h").write.mode("overwrite").parquet(path)
+    """Write all rows in one seeded hash order: file after file, row after
+    row (range partitions of the hash, each sorted)."""
+    out = df.withColumn("_h", hash_key(id_col, seed)).repartitionByRange(partitions, "_h", id_col)
+    out.sortWithinPartitions("_h", id_col).drop("_h").write.mode("overwrite").parquet(path)
 
 
 def split_quality_gate(split_df: DataFrame, text_col: str, label_col: str,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,15 +29,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+        .config("spark.textpulse.text.partitions", cpus)
     )
     if os.environ.get("TEXTPULSE_EVENT_LOG"):
         # stage/task timings for profiling, written to a scratch folder
         builder = builder.config("spark.eventLog.enabled", "true") \
                          .config("spark.eventLog.dir", os.environ["TEXTPULSE_EVENT_LOG"])
-    # build_session is the local/test entry point: a scratch folder stands in
-    # for the shared checkpoint folder a cluster names.
-    builder = builder.config("spark.checkpoint.dir",
-                             tempfile.mkdtemp(prefix="textpulse-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -45,9 +44,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, wiring it into the SparkContext.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a scratch folder is created.
-    """
+    ``spark.checkpoint.dir`` names a folder that driver and executors share and
+    is used as is. A scratch folder stands in for it only where there is nothing
+    to share: in a local session without the setting. On a cluster a missing
+    setting is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -55,8 +55,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = sc.getConf().get("spark.checkpoint.dir", None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        # Unset only in ad-hoc local sessions (tests); never on a cluster.
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="textpulse-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -65,11 +68,19 @@ def materialize(df):
     """Cut lineage: write ``df`` as a parquet table under the reliable
     checkpoint folder and read it back.
 
-    Used for small aggregated tables that several branches of one plan reuse,
-    so the scan below them runs once and a lost executor does not recompute
-    it. (``Dataset.checkpoint`` would run the plan twice: once for the eager
-    count and again to write the files.)"""
+    For tables that several branches of one plan read, so the scan below them
+    runs once and a lost executor does not recompute it. (``Dataset.checkpoint``
+    would run the plan twice: once for the eager count and again to write the
+    files.) The folder goes when the session's driver ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _written(spark, path)
     return spark.read.parquet(path)
+
+
+def _written(spark: SparkSession, path: str) -> None:
+    """Have Hadoop's file system remove the folder when this driver's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -16,26 +16,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # tables whose rows carry long text: CPU-heavy regex work follows their scan
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+# off unless set: deal text tables round-robin to so many partitions, for inputs
+# that are one small file on many cores (the bench and test sessions set it)
+TEXT_PARTITIONS = "spark.textpulse.text.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
-
-    A large input already scans as thousands of splits and is returned as is;
-    only an input with fewer scan splits than cores (a single small file)
-    is dealt round-robin to all cores, so regex work does not run on one."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(cores)
+    parts = spark.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts and name in TEXT_TABLES else df
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
