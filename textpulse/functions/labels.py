@@ -31,14 +31,16 @@ def normalize_label(label: Column, lowercase_unknown: bool = True) -> Column:
 def expand_probabilities(classes: Column, probs: Column) -> list[Column]:
     """Class names (array) + probabilities (array, same order) ->
     prediction = normalized argmax, confidence = its probability, and one
-    column per standard class (missing 0.0, unknown classes dropped)."""
+    column per standard class (missing 0.0, unknown classes dropped; of classes
+    with one normalized name the last counts)."""
     names = F.transform(classes, lambda c: normalize_label(c))
-    m = F.map_from_arrays(names, probs)
     best = F.array_max(probs)
-    pos = F.array_position(probs, best)
-    pred = F.element_at(names, pos.cast("int"))
-    return ([pred.alias("prediction"), best.alias("confidence")] +
-            [F.coalesce(F.try_element_at(m, F.lit(c)), F.lit(0.0)).alias(f"p_{c}") for c in STANDARD_CLASSES])
+    pred = F.element_at(names, F.array_position(probs, best).cast("int"))
+
+    def of(name: str) -> Column:
+        own = F.filter(F.arrays_zip(names.alias("n"), probs.alias("p")), lambda x: x["n"] == name)
+        return F.coalesce(F.try_element_at(own, F.lit(-1))["p"], F.lit(0.0)).alias(f"p_{name}")
+    return [pred.alias("prediction"), best.alias("confidence"), *map(of, STANDARD_CLASSES)]
 
 
 def sql_stars_to_sentiment(stars: str) -> str:

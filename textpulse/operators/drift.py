@@ -4,9 +4,9 @@ drift (G10), concept drift (G11), domain shift (G12) and the combined result
 
 Everything is aggregated before anything is ordered: the rows become value
 counts with map-side partial aggregation, so the ordered work (quantiles,
-cumulative distributions) runs on distinct values, split into value blocks by
-``ordered.running_total``. What is broadcast is bounded by construction:
-features x (buckets + 1) breakpoints, or a handful of class rows.
+cumulative distributions) runs on distinct values, range-partitioned by
+``ordered.running_total``. Joins against edges (one row a feature) are left to
+Spark's own size check.
 """
 
 from __future__ import annotations
@@ -50,42 +50,50 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
 
-def feature_values(df: DataFrame, text_col: str, features: Sequence[str] = FEATURES) -> DataFrame:
-    """B21 + unpivot: ``(feature, value)`` rows for the selected features."""
-    wide = with_text_features(df.select(text_col), text_col)
+def feature_values(df: DataFrame, text_col: str, features: Sequence[str] = FEATURES,
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """B21 + unpivot: ``(keep, feature, value)`` rows for the selected features."""
+    wide = with_text_features(df.select(*keep, text_col), text_col)
     pairs = ", ".join(f"'{f}', `{f}`" for f in features)
-    return wide.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, value)")
+    return wide.selectExpr(*keep, f"stack({len(features)}, {pairs}) AS (feature, value)")
+
+
+def value_counts(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """How often each finite value occurs, by side (``_side``: 0 reference, 1
+    production), keys and feature: one aggregation over one scan of both sides,
+    combined before its shuffle, saved because quantiles, buckets and totals all
+    read it."""
+    value = F.col("value").cast("double")
+    return materialize(rows.where(finite(value)).groupBy("_side", *keys, "feature", value.alias("value"))
+                       .agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def psi_by_feature(reference: DataFrame, production: DataFrame, buckets: int = 10,
                    epsilon: float = PSI_EPSILON, extra_keys: Sequence[str] = ()) -> DataFrame:
-    """PSI of ``production`` against ``reference``.
-
-    Inputs are ``(feature, value)`` rows; ``production`` may carry extra key
-    columns (e.g. a time window) and then gets one PSI per key and feature,
-    each against the same reference breakpoints.
-    Output: ``(*extra_keys, feature, psi, status, reference_rows, production_rows)``.
-    """
+    """PSI of ``production`` against ``reference``, two frames of
+    ``(feature, value)`` rows; ``production`` may carry extra key columns (e.g. a
+    time window) and then gets one PSI per key and feature, each against the same
+    reference breakpoints."""
+    types = dict(production.dtypes)
+    ref = reference.select(F.lit(0).alias("_side"), *[F.lit(None).cast(types[k]).alias(k) for k in extra_keys],
+                           "feature", "value")
+    prod = production.select(F.lit(1).alias("_side"), *extra_keys, "feature", "value")
+    return psi_from_counts(value_counts(ref.unionByName(prod), extra_keys), buckets, epsilon, extra_keys)
+
+
+def psi_from_counts(vc: DataFrame, buckets: int = 10, epsilon: float = PSI_EPSILON,
+                    extra_keys: Sequence[str] = ()) -> DataFrame:
+    """G1-G6 on ``value_counts``:
+    ``(*extra_keys, feature, psi, status, reference_rows, production_rows)``. A
+    feature without a finite value on either side has no row (G5; see
+    ``psi_report_status``)."""
     keys = list(extra_keys)
-    # One aggregation for both sides (partial aggregation before the shuffle);
-    # the distinct-value table is checkpointed because the quantile, bucket
-    # and grid branches below all read it.
-    prod_types = dict(production.dtypes)
-    ref_side = reference.where(finite(F.col("value"))).select(
-        F.lit(0).alias("_side"), *[F.lit(None).cast(prod_types[k]).alias(k) for k in keys],
-        "feature", F.col("value").cast("double").alias("value"))
-    prod_side = production.where(finite(F.col("value"))).select(
-        F.lit(1).alias("_side"), *keys, "feature", F.col("value").cast("double").alias("value"))
-    vc = materialize(ref_side.unionByName(prod_side)
-                     .groupBy("_side", *keys, "feature", "value")
-                     .agg(F.count(F.lit(1)).alias("cnt")))
     ref_vc = vc.where(F.col("_side") == 0).select("feature", "value", "cnt")
     prod_vc = vc.where(F.col("_side") == 1).select(*keys, "feature", "value", "cnt")
+    edges = materialize(reference_edges(ref_vc, buckets))  # one row a feature
 
-    edges = reference_edges(ref_vc, buckets)
-
-    def bucketize(vc: DataFrame, k: Sequence[str]) -> DataFrame:
-        j = vc.join(F.broadcast(edges.select("feature", "inner")), "feature")
+    def bucketize(counts: DataFrame, k: Sequence[str]) -> DataFrame:
+        j = counts.join(edges.select("feature", "inner"), "feature")
         b = F.size(F.filter("inner", lambda e: F.col("value") >= e))
         return j.groupBy(*k, "feature", b.alias("bucket")).agg(F.sum("cnt").alias("cnt"))
 
@@ -93,7 +101,7 @@ def psi_by_feature(reference: DataFrame, production: DataFrame, buckets: int = 1
     prod_b = bucketize(prod_vc, keys)
     prod_n = prod_vc.groupBy(*keys, "feature").agg(F.sum("cnt").alias("m"))
 
-    grid = (prod_n.join(F.broadcast(edges.select("feature", "n", "bins")), "feature")
+    grid = (prod_n.join(edges.select("feature", "n", "bins"), "feature")
             .select(*keys, "feature", "n", "m",
                     F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bucket")))
     shares = (grid.join(ref_b.withColumnRenamed("cnt", "e_cnt"), ["feature", "bucket"], "left")
@@ -158,33 +166,35 @@ def overall_psi_status(per_feature: DataFrame, keys: Sequence[str] = ()) -> Data
                         .otherwise(STATUS_NO_CHANGE).alias("status"))
 
 
-def ks_statistic(a: DataFrame, b: DataFrame, value_col: str = "value") -> DataFrame:
-    """One row ``(n1, n2, ks_statistic)`` of the two-sample KS statistic.
-
-    Both samples become value counts; the empirical CDFs are compared at every
-    distinct value through running totals split into value blocks."""
-    both = (a.select(F.col(value_col).alias("v"), F.lit(1).alias("ca"), F.lit(0).alias("cb"))
-             .unionByName(b.select(F.col(value_col).alias("v"), F.lit(0).alias("ca"), F.lit(1).alias("cb")))
-             .groupBy("v").agg(F.sum("ca").cast("bigint").alias("ca"),
-                               F.sum("cb").cast("bigint").alias("cb")))
-    both = materialize(both)
-    cum = running_total(both, [], "v", ["ca", "cb"])
-    n = both.agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"))
-    d = attach(cum, n).select(
-        "n1", "n2", F.abs(F.col("ca_cum") / F.col("n1") - F.col("cb_cum") / F.col("n2")).alias("gap"))
-    return d.groupBy("n1", "n2").agg(F.max("gap").alias("ks_statistic")).select(
-        F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"),
-        "ks_statistic")
-
-
-def text_length_drift(reference: DataFrame, production: DataFrame, text_col: str = "text") -> DataFrame:
-    """G8 + G9 on character length: ``(n1, n2, ks_statistic, p_value, drift_detected)``."""
-    ra = reference.select(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("value"))
-    pb = production.select(F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("value"))
-    ks = ks_statistic(ra, pb)
+def ks_statistic(rows: DataFrame) -> DataFrame:
+    """One row ``(n1, n2, ks_statistic)`` of the two-sample KS statistic of
+    ``(_side, value)`` rows (0: first sample, 1: second); null where a sample is
+    empty.
+
+    Both samples become value counts in one pass; the empirical CDFs are compared
+    at every distinct value through running totals."""
+    counts = rows.groupBy("value").agg(*[F.count(F.when(F.col("_side") == k, 1)).alias(c)
+                                         for k, c in ((0, "ca"), (1, "cb"))])
+    counts = materialize(counts)
+    n = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(k) for c, k in (("ca", "n1"), ("cb", "n2"))])
+    cum = attach(running_total(counts, [], "value", ["ca", "cb"]), n)
+    gap = F.abs(F.try_divide(F.col("ca_cum"), F.col("n1")) - F.try_divide(F.col("cb_cum"), F.col("n2")))
+    return attach(cum.agg(F.max(gap).alias("ks_statistic")), n).select("n1", "n2", "ks_statistic")
+
+
+def text_length_drift(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """G8 + G9 on character length of ``(_side, text)`` rows:
+    ``(n1, n2, ks_statistic, p_value, drift_detected)``. Without rows on either
+    side there is nothing to compare: null statistic and p-value, no drift."""
+    ks = ks_statistic(rows.select("_side", F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("value")))
     p = stats.ks_pvalue(F.col("ks_statistic"), F.col("n1"), F.col("n2"))
     return ks.select("n1", "n2", "ks_statistic", p.alias("p_value")) \
-             .withColumn("drift_detected", F.col("p_value") < KS_ALPHA)
+             .withColumn("drift_detected", F.coalesce(F.col("p_value") < KS_ALPHA, F.lit(False)))
+
+
+def sides(reference: DataFrame, production: DataFrame) -> DataFrame:
+    """Two frames with the same columns as one, with ``_side`` 0 and 1."""
+    return reference.withColumn("_side", F.lit(0)).unionByName(production.withColumn("_side", F.lit(1)))
 
 
 def label_drift(reference: DataFrame, production: DataFrame, label_col: str = "label") -> DataFrame:
@@ -214,41 +224,48 @@ def concept_drift(scored: DataFrame, pred_col: str = "prediction", label_col: st
     return res.withColumn("drift_detected", F.col("confidence_gap") > CONFIDENCE_GAP_THRESHOLD)
 
 
-def full_drift(reference: DataFrame, production: DataFrame, scored: DataFrame | None,
-               text_col: str = "text", label_col: str = "label") -> DataFrame:
-    """Covariate (KS on length), label, concept and domain flags in one
-    row of nested structs. ``scored`` None means no model: concept drift is
-    not detected and carries a note."""
-    cov = text_length_drift(reference, production, text_col)
-    lab = label_drift(reference, production, label_col)
+def full_drift(texts: DataFrame, reference_labels: DataFrame, production_labels: DataFrame,
+               scored: DataFrame | None, text_col: str = "text", label_col: str = "label") -> DataFrame:
+    """Covariate (KS on length of ``(_side, text)`` rows), label, concept
+    and domain results as one row of four structs. ``scored`` None means no
+    model: concept drift is not detected and carries a note."""
+    cov = text_length_drift(texts, text_col)
+    lab = label_drift(reference_labels, production_labels, label_col)
     if scored is None:
-        con = reference.sparkSession.range(1).select(
-            F.lit(None).cast("double").alias("avg_conf_correct"),
-            F.lit(None).cast("double").alias("avg_conf_wrong"),
-            F.lit(None).cast("double").alias("confidence_gap"),
-            F.lit(False).alias("drift_detected"))
+        con = cov.select(*[F.lit(None).cast("double").alias(c) for c in
+                           ("avg_conf_correct", "avg_conf_wrong", "confidence_gap")], F.lit(False).alias("drift_detected"))
         note = F.lit("model_not_loaded")
     else:
         con = concept_drift(scored)
         note = F.lit(None).cast("string")
-    row = cov.select(F.struct("ks_statistic", "p_value", "drift_detected", "n1", "n2").alias("covariate_drift"))
-    row = attach(row, lab.select(F.struct("distribution_shift", "drift_detected").alias("label_drift")))
-    row = attach(row, con.select(F.struct("avg_conf_correct", "avg_conf_wrong", "confidence_gap",
-                                          "drift_detected", note.alias("note")).alias("concept_drift")))
+    method = lambda name: F.lit(name).alias("method")
+    row = cov.select(F.struct(method("covariate_text_length_ks"), "ks_statistic", "p_value", "drift_detected",
+                              "n1", "n2").alias("covariate_drift"))
+    row = attach(row, lab.select(F.struct(method("label_distribution_shift"), "distribution_shift",
+                                          "drift_detected").alias("label_drift")))
+    row = attach(row, con.select(F.struct(method("concept_confidence_mismatch"), "avg_conf_correct", "avg_conf_wrong",
+                                          "confidence_gap", "drift_detected", note.alias("note"))
+                                 .alias("concept_drift")))
     return row.withColumn("domain_shift", F.struct(
-        (F.col("covariate_drift.drift_detected") & F.col("concept_drift.drift_detected"))
-        .alias("drift_detected")))
-
-
-def psi_report_status(per_feature: DataFrame, reference: DataFrame, production: DataFrame) -> DataFrame:
-    """G7 + A4: one row ``(status, reference_rows, production_rows)``; an empty
-    production side gives ``insufficient_data`` instead of an error."""
-    counts = attach(reference.agg(F.count(F.lit(1)).alias("reference_rows")),
-                    production.agg(F.count(F.lit(1)).alias("production_rows")))
-    worst = overall_psi_status(per_feature)
-    j = counts.join(worst, F.lit(True), "left")
-    return j.select(
-        F.when(F.col("production_rows") == 0, F.lit("insufficient_data"))
-         .otherwise(F.coalesce(F.col("status"), F.lit(STATUS_NO_CHANGE))).alias("status"),
-        F.col("reference_rows").cast("bigint").alias("reference_rows"),
-        F.col("production_rows").cast("bigint").alias("production_rows"))
+        method("domain_shift_detection"),
+        (F.col("covariate_drift.drift_detected") & F.col("concept_drift.drift_detected")).alias("drift_detected")))
+
+
+def drift_flags(full: DataFrame) -> DataFrame:
+    """G12 + H4: the four flags of ``full_drift`` and whether to retrain
+    (covariate or label drift)."""
+    names = ("covariate_drift", "label_drift", "concept_drift", "domain_shift")
+    flags = full.select(*[F.col(f"{c}.drift_detected").alias(c) for c in names])
+    return flags.withColumn("retrain_required", F.col("covariate_drift") | F.col("label_drift"))
+
+
+def psi_report_status(per_feature: DataFrame, vc: DataFrame, feature: str = FEATURES[0]) -> DataFrame:
+    """One row ``(status, reference_rows, production_rows)``; rows are
+    those of ``feature`` (one for each text). An empty side leaves nothing to
+    compare: ``insufficient_data``, never an all-clear."""
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("_side") == k, F.col("cnt"))), F.lit(0)).cast("bigint")
+    counts = vc.where(F.col("feature") == feature).agg(side(0).alias("reference_rows"), side(1).alias("production_rows"))
+    worst = overall_psi_status(per_feature).agg(F.max("status").alias("status"))  # one row, also without features
+    return attach(counts, worst).select(
+        F.when((F.col("reference_rows") == 0) | (F.col("production_rows") == 0), F.lit("insufficient_data"))
+         .otherwise(F.col("status")).alias("status"), "reference_rows", "production_rows")

@@ -1,12 +1,11 @@
 """Model fitting and scoring with ``pyspark.ml``.
 
-The fitted model is one ``PipelineModel``: a SQL stage that turns cleaned
-text into uni+bigram terms (the same expression as ``tfidf.terms``), a
-count vectorizer over the fitted vocabulary, an element-wise product with the
-smooth IDF vector (Spark's own IDF stage lacks the +1), L2 normalization and a
-class-weighted logistic regression. Fitting runs L-BFGS with distributed
-``treeAggregate`` passes; the driver only ever holds the vocabulary
-(``max_features`` strings) and the coefficients.
+A fitted model is one ``PipelineModel``: the featurizer of ``tfidf`` (terms,
+counts over the fitted vocabulary, smooth IDF, L2 norm), the label index and a
+logistic regression, binary or multinomial by the number of classes. Fitting
+runs L-BFGS with distributed ``treeAggregate`` passes over saved feature rows;
+the driver only ever holds the vocabulary (``max_features`` strings) and the
+coefficients.
 
 Objective mapping: C * sum_i w_i loss_i + |b|^2 / 2 (C = 1, balanced w_i)
 divided by C * sum(w) is Spark's sum(w_i loss_i) / sum(w) + regParam / 2 |b|^2,
@@ -15,83 +14,82 @@ so regParam = 1 / (C * sum(w)); standardization off, no elastic net.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from dataclasses import dataclass
+
+from pyspark.errors import PySparkException
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                SQLTransformer)
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpulse.functions.labels import expand_probabilities
+from textpulse.functions.labels import expand_probabilities, normalize_label
 from textpulse.operators import scoring as SC
 from textpulse.operators import tfidf as TF
+from textpulse.operators.evaluation import confusion_counts, summary
+from textpulse.operators.sampling import DEFAULT_SEED, hash_key
+from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
 DEFAULT_C = 1.0
 DEFAULT_MAX_ITER = 1000
 DEFAULT_TOL = 1e-4
 # ---------------------------------------------------------------------------
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def terms_sql(text_col: str, ngram_max: int = 2, stop_words=TF.STOP_WORDS, lowercase: bool = True) -> str:
-    """Spark SQL text of ``tfidf.terms`` for the pipeline's SQL stage."""
-    t = f"coalesce({'lower(' + text_col + ')' if lowercase else text_col}, '')"
-    toks = f"regexp_extract_all({t}, {_sql_str(TF.TOKEN_RE)}, 0)"
-    if stop_words:
-        toks = f"filter({toks}, x -> NOT x IN ({', '.join(_sql_str(w) for w in stop_words)}))"
-    if ngram_max >= 2:
-        n = f"greatest(size(_tk) - 1, 0)"
-        return (f"SELECT *, concat(_tk, zip_with(slice(_tk, 1, {n}), slice(_tk, 2, {n}), "
-                f"(a, b) -> concat_ws(' ', a, b))) AS terms FROM (SELECT *, {toks} AS _tk FROM __THIS__)")
-    return f"SELECT *, {toks} AS terms FROM __THIS__"
-
-
-def fit(train: DataFrame, id_col: str, text_col: str, label_col: str,
-        max_features: int = TF.DEFAULT_MAX_FEATURES, c: float = DEFAULT_C,
-        max_iter: int = DEFAULT_MAX_ITER, tol: float = DEFAULT_TOL, ngram_max: int = 2, stop_words=TF.STOP_WORDS) -> PipelineModel:
-    """Vocabulary + IDF from ``train``, then the weighted LR."""
-    term_args = {"ngram_max": ngram_max, "stop_words": stop_words}
-    tf = TF.term_counts(train, id_col, text_col, **term_args)
-    vocab = TF.vocabulary(tf, id_col, train.agg(F.count(F.lit(1)).alias("n_docs")), max_features)
-    rows = vocab.orderBy("index").select("term", "idf").collect()  # <= max_features rows
-    terms = [r["term"] for r in rows]
-    idf = Vectors.dense([r["idf"] for r in rows]) if rows else Vectors.dense([1.0])
-
-    weights = SC.balanced_weights(train, label_col).select(label_col, F.col("weight").alias("_w"))
-    data = train.join(F.broadcast(weights), label_col).withColumn("_label", F.col(label_col).cast("double"))
-    total_w = data.agg(F.sum("_w")).collect()[0][0]
-
-    stages = [
-        SQLTransformer(statement=terms_sql(text_col, **term_args)),
-        CountVectorizerModel.from_vocabulary(terms or ["_"], inputCol="terms", outputCol="_tf"),
-        ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
-    ]
-    featurizer = PipelineModel(stages=stages)
-    # cached (recomputable on executor loss): every L-BFGS pass reads these rows
-    feats = featurizer.transform(data).select("features", "_label", "_w").persist()
-    lr = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_w",
-                            regParam=1.0 / (c * total_w), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=tol, fitIntercept=True, family="auto")
-    try:
-        return PipelineModel(stages=stages + [lr.fit(feats)])
-    finally:
-        feats.unpersist()
+LABEL_INDEX = "_label"
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Settings of the text classifier; ``fit`` gives a ``PipelineModel``. Any
+    object with ``fit(train, text_col, label_col)`` can take its place (J3)."""
+
+    max_features: int = TF.DEFAULT_MAX_FEATURES
+    c: float = DEFAULT_C
+    max_iter: int = DEFAULT_MAX_ITER
+    tol: float = DEFAULT_TOL
+    ngram_max: int = 2
+    stop_words: tuple[str, ...] | None = None
+    balanced: bool = True
+
+    def fit(self, train: DataFrame, text_col: str, label_col: str) -> PipelineModel:
+        """Vocabulary + IDF from ``train``, then the (weighted) LR. Labels
+        may be numbers or strings; classes are their sorted texts."""
+        train = train.where(F.col(label_col).isNotNull()).withColumn("_class", F.col(label_col).cast("string"))
+        indexer = StringIndexer(inputCol="_class", outputCol=LABEL_INDEX, stringOrderType="alphabetAsc").fit(train)
+        if len(indexer.labels) < 2:
+            raise ValueError("a classifier needs at least two classes to learn from")
+        args = {"ngram_max": self.ngram_max, "stop_words": self.stop_words}
+        features = TF.featurizer(TF.vocabulary(train, text_col, self.max_features, **args), text_col, **args)
+        rows = train.select(text_col, "_class")
+        if self.balanced:
+            rows = rows.join(materialize(SC.balanced_weights(rows, "_class").select("_class", "weight")), "_class")
+        else:
+            rows = rows.withColumn("weight", F.lit(1.0))
+        # saved: every L-BFGS pass reads these rows, also after a lost executor
+        rows = materialize(indexer.transform(features.transform(rows)).select("features", LABEL_INDEX, "weight"))
+        total = rows.agg(F.sum("weight")).first()[0]
+        lr = LogisticRegression(featuresCol="features", labelCol=LABEL_INDEX, weightCol="weight",
+                                regParam=1.0 / (self.c * total), elasticNetParam=0.0, standardization=False,
+                                maxIter=self.max_iter, tol=self.tol, fitIntercept=True, family="auto")
+        return PipelineModel(stages=[*features.stages, indexer, lr.fit(rows)])
+
+
+# the retrain variant (E12): unigrams of raw text, every word, no class weights
+RETRAIN_MODEL = TextModel(max_features=TF.RETRAIN_MAX_FEATURES, ngram_max=1, stop_words=(), balanced=False)
+
+
+def classes(model: PipelineModel) -> list[str]:
+    """The model's classes, in the order of its probabilities."""
+    return next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
 
 
 def predict(model: PipelineModel, docs: DataFrame, keep: list[str]) -> DataFrame:
     """``(keep..., prediction, confidence, p_negative,
-    p_neutral, p_positive)``; class 0 = negative, 1 = positive."""
+    p_neutral, p_positive)``; works on batch and streaming frames."""
+    names = F.array(*[F.lit(c) for c in classes(model)])
     out = model.transform(docs)
-    probs = vector_to_array(F.col("probability"))
-    cls = F.array(F.lit("negative"), F.lit("positive"))
-    return out.select(*keep, *expand_probabilities(cls, probs)).drop("_probs")
+    return out.select(*keep, *expand_probabilities(names, vector_to_array(F.col("probability"))))
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -103,28 +101,43 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def nested_samples(train: DataFrame, id_col: str, sizes: list[int], seed: int = DEFAULT_SEED) -> DataFrame:
+    """``(id, rank)`` of the first max(sizes) rows in seeded hash order, ranked
+    once: the size-n sample is rank <= n. Bounded by the largest size."""
+    first = (train.select(id_col).withColumn("_key", hash_key(id_col, seed))
+             .orderBy("_key", id_col).limit(max(sizes)))
+    rank = F.row_number().over(Window.orderBy("_key", id_col))
+    return first.select(id_col, rank.alias("rank"))
+
+
 def learning_curve(train: DataFrame, test: DataFrame, id_col: str, text_col: str, label_col: str,
-                   sizes: list[int], **fit_args) -> list[dict]:
-    """Nested samples by hash rank (a row is in the size-n sample iff its
-    rank <= n); one fit per size; failures are recorded, not raised."""
-    from textpulse.operators.evaluation import confusion_counts, summary
-    from textpulse.operators.sampling import sample_rows
+                   sizes: list[int], model: TextModel = TextModel()) -> list[dict]:
+    """One fit per nested sample, evaluated on ``test``; ``sample_size`` is
+    the rows there were to fit on, ``requested`` the size asked for. What a fit
+    can't learn from (one class, no term) is a failed run, not an error."""
+    ranks = nested_samples(train, id_col, sizes)
+    ranked = materialize(train.select(id_col, text_col, label_col).join(ranks, id_col))
     runs = []
-    for n in sizes:
+    for size in sizes:
+        part = ranked.where(F.col("rank") <= size)
+        run = {"requested": size, "sample_size": part.count(), "status": "ok", "accuracy": None, "f1_score": None,
+               "error": None}
         try:
-            part = sample_rows(train, n, id_col)
-            m = fit(part, id_col, text_col, label_col, **fit_args)
-            pred = predict(m, test, [id_col, label_col])
-            pairs = pred.select(F.when(F.col(label_col) == 1, "positive").otherwise("negative").alias("t"),
-                                F.col("prediction").alias("p"))
-            s = summary(confusion_counts(pairs, "t", "p")).collect()[0]
-            runs.append({"sample_size": n, "status": "ok", "accuracy": float(s["accuracy"]),
-                         "f1_score": float(s["f1_score"]), "error": None})
-        except Exception as ex:  # noqa: BLE001 - a failed run is a result row
-            runs.append({"sample_size": n, "status": "failed", "accuracy": None, "f1_score": None,
-                         "error": str(ex)[:200]})
+            scored = predict(model.fit(part, text_col, label_col), test, [label_col])
+            scored = scored.select(normalize_label(F.col(label_col)).alias("t"), F.col("prediction").alias("p"))
+            s = summary(confusion_counts(scored, "t", "p")).first()
+            run |= {"accuracy": float(s["accuracy"]), "f1_score": float(s["f1_score"])}
+        except (ValueError, PySparkException) as ex:
+            run |= {"status": "failed", "error": str(ex)[:200]}
+        runs.append(run)
     return runs
 
 
-def label_names(label: Column) -> Column:
-    return F.when(label == 1, "positive").otherwise("negative")
+def retrain(docs: DataFrame, text_col: str, label_col: str, path: str, required: bool,
+            model: TextModel = RETRAIN_MODEL) -> dict:
+    """Refit on the raw training texts and save the model at ``path`` if a
+    retrain is required; ``(status, samples)`` says what was done."""
+    if not required:
+        return {"status": "skipped", "samples": 0}
+    save(model.fit(docs, text_col, label_col), path)
+    return {"status": "retrained", "samples": docs.where(F.col(label_col).isNotNull()).count()}

@@ -1,9 +1,9 @@
 """Relational linear scoring.
 
 A linear text model is a weight per term plus an intercept, so scoring a
-table is a join of its TF-IDF cells with the (broadcast, max_features-bounded)
-weight table, a sum per document and a sigmoid. The cells are already
-partitioned by document id, so the per-document sum adds no shuffle.
+table is a join of its TF-IDF cells with the weight table (max_features rows),
+a sum per document and a sigmoid. A document's cells lie together, so the sum is
+all but done before the shuffle: one number per document moves.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from textpulse.operators.scalars import attach
 
-from textpulse.operators import tfidf as TF
-
 
 def balanced_weights(df: DataFrame, label_col: str) -> DataFrame:
     """``n / (k * n_c)`` per class (k = number of classes)."""
@@ -24,24 +22,15 @@ def balanced_weights(df: DataFrame, label_col: str) -> DataFrame:
         label_col, "n", (F.col("_t") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
-def log_count_ratio_weights(train: DataFrame, id_col: str, text_col: str, label_col: str,
-                            vocab: DataFrame, tf: DataFrame | None = None, **term_args
-                            ) -> tuple[DataFrame, DataFrame]:
-    """A fixed, data-derived weight rule (so scoring is checkable by SQL):
+def log_count_ratio_weights(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A fixed, data-derived weight rule (so scoring is checkable by SQL) from a
+    vocabulary with class counts (``tfidf.vocabulary`` with a label):
     coef(t) = ln((pos_df + 1) / (n_pos + 2)) - ln((neg_df + 1) / (n_neg + 2)),
     intercept = ln(n_pos / n_neg), for labels 1 (positive) / 0 (negative)."""
-    tf = tf if tf is not None else TF.term_counts(train, id_col, text_col, **term_args)
-    lab = train.select(id_col, label_col)
-    d = tf.join(lab, id_col).groupBy("term").agg(
-        F.count(F.when(F.col(label_col) == 1, 1)).alias("pos_df"),
-        F.count(F.when(F.col(label_col) == 0, 1)).alias("neg_df"))
-    n = train.agg(F.count(F.when(F.col(label_col) == 1, 1)).alias("n_pos"),
-                  F.count(F.when(F.col(label_col) == 0, 1)).alias("n_neg"))
-    w = attach(vocab.select("term").join(d, "term", "left"), n).select(
-        "term", (F.log((F.coalesce("pos_df", F.lit(0)) + 1.0) / (F.col("n_pos") + 2.0))
-                 - F.log((F.coalesce("neg_df", F.lit(0)) + 1.0) / (F.col("n_neg") + 2.0))).alias("coef"))
-    intercept = n.select(F.log(F.col("n_pos") / F.col("n_neg")).alias("intercept"))
-    return w, intercept
+    coef = (F.log((F.col("pos_df") + 1.0) / (F.col("n_pos") + 2.0))
+            - F.log((F.col("neg_df") + 1.0) / (F.col("n_neg") + 2.0)))
+    intercept = vocab.agg(F.log(F.max("n_pos") / F.max("n_neg")).alias("intercept"))
+    return vocab.select("term", coef.alias("coef")), intercept
 
 
 def linear_scores(docs: DataFrame, cells: DataFrame, weights: DataFrame, intercept: DataFrame,
@@ -49,7 +38,7 @@ def linear_scores(docs: DataFrame, cells: DataFrame, weights: DataFrame, interce
     """``score = intercept + sum(weight * coef)``, ``probability = sigmoid``,
     ``prediction = probability >= 0.5``; documents without known terms score
     the intercept."""
-    s = cells.join(F.broadcast(weights), "term").groupBy(id_col).agg(
+    s = cells.join(weights, "term").groupBy(id_col).agg(
         F.sum(F.col("weight") * F.col("coef")).alias("_s"))
     z = F.coalesce(F.col("_s"), F.lit(0.0)) + F.col("intercept")
     out = attach(docs.join(s, id_col, "left"), intercept).withColumn("score", z)

@@ -1,12 +1,11 @@
 """TF-IDF features (D1-D10) as DataFrame jobs.
 
-Layout: documents are hash-partitioned by ``doc_id`` once; tokenizing,
-stop-word removal and n-grams are array expressions on the row; the
-per-document term counts and the per-document L2 norm then need no further
-shuffle (both are keyed by ``doc_id``). Only the corpus statistics (document
-frequency per term, vocabulary top-k) shuffle, after map-side partial
-aggregation, so a term present in every document costs one row per partition.
-What is broadcast is the vocabulary / IDF table, bounded by ``max_features``.
+Texts are never shuffled. Tokenizing, stop-word removal, n-grams and sorting are
+array expressions on the row; term counts, weights and the L2 norm are computed
+inside the row too, by the library's vectorizer over the fitted vocabulary. What
+moves is the corpus statistics: ``(term, cf, df)`` partials after map-side
+combination, so a term present in every document costs one row per partition.
+The vocabulary is bounded by ``max_features`` and held by the driver.
 
 Formulas are the smooth-IDF defaults of the reproduced vectorizer:
 idf = ln((1 + n) / (1 + df)) + 1, weight = tf * idf, rows L2-normalized.
@@ -14,11 +13,21 @@ idf = ln((1 + n) / (1 + df)) + 1, weight = tf * idf, rows L2-normalized.
 
 from __future__ import annotations
 
+import unicodedata
+import zipfile
+from collections.abc import Sequence
+from functools import lru_cache
+from pathlib import Path
+
+import pyspark
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer,
+                                StopWordsRemover)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpulse.operators.scalars import attach
-
 from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
@@ -26,96 +35,127 @@ TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 DEFAULT_MAX_FEATURES = 10_000
 RETRAIN_MAX_FEATURES = 5_000
 PRUNED_MAX_FEATURES = 1_000
-# Spark's default English stop-word list (StopWordsRemover), in its order.
-STOP_WORDS = (
-    'i', 'me', 'my', 'myself', 'we', 'our', 'ours', 'ourselves', 'you', 'your', 'yours',
-    'yourself', 'yourselves', 'he', 'him', 'his', 'himself', 'she', 'her', 'hers', 'herself', 'it',
-    'its', 'itself', 'they', 'them', 'their', 'theirs', 'themselves', 'what', 'which', 'who',
-    'whom', 'this', 'that', 'these', 'those', 'am', 'is', 'are', 'was', 'were', 'be', 'been',
-    'being', 'have', 'has', 'had', 'having', 'do', 'does', 'did', 'doing', 'a', 'an', 'the', 'and',
-    'but', 'if', 'or', 'because', 'as', 'until', 'while', 'of', 'at', 'by', 'for', 'with', 'about',
-    'against', 'between', 'into', 'through', 'during', 'before', 'after', 'above', 'below', 'to',
-    'from', 'up', 'down', 'in', 'out', 'on', 'off', 'over', 'under', 'again', 'further', 'then',
-    'once', 'here', 'there', 'when', 'where', 'why', 'how', 'all', 'any', 'both', 'each', 'few',
-    'more', 'most', 'other', 'some', 'such', 'no', 'nor', 'not', 'only', 'own', 'same', 'so',
-    'than', 'too', 'very', 's', 't', 'can', 'will', 'just', 'don', 'should', 'now', "i'll",
-    "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd",
-    "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've",
-    "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't",
-    "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't",
-    "couldn't", 'cannot', 'could', "here's", "how's", "let's", 'ought', "that's", "there's",
-    "what's", "when's", "where's", "who's", "why's", 'would',
-)
 # ---------------------------------------------------------------------------
 
 
-def terms(text: Column, ngram_max: int = 2, stop_words=STOP_WORDS, lowercase: bool = True) -> Column:
+MARKS_RE = r"\p{Mn}"
+
+
+@lru_cache(maxsize=1)
+def stop_word_list() -> tuple[str, ...]:
+    """Spark's default English stop words: from its library, where that lies
+    beside the Python package (no session needed), else from the JVM."""
+    for jar in sorted((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+@lru_cache(maxsize=1)
+def accent_pairs() -> tuple[str, str]:
+    """Letters with an accent and their base letters, from the Unicode
+    decompositions of U+00C0 to U+024F."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def terms(text_col: str, **term_args) -> Column:
     """Lowercase, tokens of >= 2 word characters, stop words removed
-    (before n-grams), then unigrams followed by bigrams. (Accent stripping is
-    a no-op on cleaned text, which is ASCII only.)"""
-    t = F.coalesce(F.lower(text) if lowercase else text, F.lit(""))
-    toks = F.regexp_extract_all(t, F.lit(TOKEN_RE), 0)
-    if stop_words:
-        toks = F.filter(toks, lambda x: ~x.isin(list(stop_words)))
-    if ngram_max >= 2:
-        n = F.greatest(F.size(toks) - 1, F.lit(0))
-        bigrams = F.zip_with(F.slice(toks, 1, n), F.slice(toks, 2, n), lambda a, b: F.concat_ws(" ", a, b))
-        toks = F.concat(toks, bigrams)
-    return toks
+    (before n-grams; None: the default list), then unigrams followed by bigrams.
+    ``accents`` strips them first (cleaned text is ASCII and has none)."""
+    return F.expr(terms_sql(text_col, **term_args))
+
+
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, **term_args) -> DataFrame:
-    """``(doc_id, term, tf)``. Documents are hash-partitioned by id once,
-    so the count per (doc, term) and later per-document sums need no shuffle."""
-    # explicit count: AQE must not coalesce this CPU-heavy stage into a few
-    # tasks because the text is small in bytes
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(id_col, text_col).repartition(n, id_col)
-    t = d.select(id_col, F.explode(terms(F.col(text_col), **term_args)).alias("term"))
-    return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
+def counted_terms(docs: DataFrame, text_col: str, keep: Sequence[str] = (), **term_args) -> DataFrame:
+    """A row for each term of each document, with ``first`` = 1 at its first
+    occurrence there, and the ``keep`` columns; the empty term stands once for
+    each document. Terms are sorted in the row, so equal ones are neighbours."""
+    rows = docs.select(*keep, F.concat(F.array(F.lit("")), F.sort_array(terms(text_col, **term_args)))
+                       .alias("_terms"))
+    at = rows.select(*keep, "_terms", F.posexplode("_terms").alias("_at", "term"))
+    first = (F.col("_at") == 0) | (F.get("_terms", F.col("_at") - 1) != F.col("term"))
+    return at.select(*keep, "term", first.cast("int").alias("first"))
 
 
-def vocabulary(tf: DataFrame, id_col: str, n_docs: DataFrame, max_features: int = DEFAULT_MAX_FEATURES
-               ) -> DataFrame:
+def vocabulary(docs: DataFrame, text_col: str, max_features: int = DEFAULT_MAX_FEATURES,
+               label_col: str | None = None, **term_args) -> DataFrame:
     """D5 + D7: top ``max_features`` terms by corpus count (ties by term) with
-    document frequency, smooth idf and a 0-based column index."""
-    stats = tf.groupBy("term").agg(F.sum("tf").cast("bigint").alias("cf"),
-                                   F.count(F.lit(1)).cast("bigint").alias("df"))
-    top = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    idx = F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1  # <= max_features rows
-    v = attach(top, n_docs).select(
-        "term", "cf", "df", idx.alias("index"),
-        (F.log((F.lit(1) + F.col("n_docs")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    return v
-
-
-def tfidf(tf: DataFrame, id_col: str, vocab: DataFrame) -> DataFrame:
-    """``(doc_id, term, weight)`` L2-normalized per document; the
-    vocabulary is broadcast (at most max_features rows)."""
-    j = tf.join(F.broadcast(vocab.select("term", "idf", "index")), "term", "inner")
-    w = j.select(id_col, "term", "index", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", "index", (F.col("w") / norm).alias("weight"))
-
-
-def fit_transform(docs: DataFrame, id_col: str, text_col: str, max_features: int = DEFAULT_MAX_FEATURES,
-                  tf: DataFrame | None = None, **term_args) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary/IDF fitted on ``docs`` and the TF-IDF cells of ``docs``
-    (``tf``: precomputed term counts of ``docs``)."""
-    if tf is None:
-        # read by the vocabulary and by the weighting: tokenize once, write once
-        tf = materialize(term_counts(docs, id_col, text_col, **term_args))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocab = vocabulary(tf, id_col, n_docs, max_features)
-    return vocab, tfidf(tf, id_col, vocab)
-
-
-def transform(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, **term_args) -> DataFrame:
-    return tfidf(term_counts(docs, id_col, text_col, **term_args), id_col, vocab)
-
-
-def sql_terms(text: str, ngram_max: int = 2, stop_words=STOP_WORDS, lowercase: bool = True) -> str:
+    document frequency, smooth idf and a 0-based column index; with a 0/1
+    ``label_col`` also the document frequency in each class, and the class sizes
+    ``n_pos`` and ``n_neg``. One pass over the texts; saved (small)."""
+    rows = counted_terms(docs, text_col, [label_col] if label_col else [], **term_args)
+    by_label = [F.sum(F.when(F.col(label_col) == v, F.col("first")).otherwise(0)).cast("bigint").alias(f"{c}_df")
+                for v, c in ((1, "pos"), (0, "neg"))] if label_col else []
+    stats = rows.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("cf"),
+                                     F.sum("first").cast("bigint").alias("df"), *by_label)
+    # the empty term counts documents; it goes first here and is left out below
+    order = [F.desc(F.col("term") == ""), F.desc("cf"), F.asc("term")]
+    top = materialize(stats.orderBy(*order).limit(max_features + 1))
+    sizes = top.where("term = ''").select(F.col("df").alias("n_docs"), *[
+        F.col(f"{c}_df").alias(f"n_{c}") for c in (("pos", "neg") if label_col else ())])
+    sizes = sizes.groupBy().agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in sizes.columns])
+    at = F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1  # <= max_features rows
+    idf = F.log((F.lit(1) + F.col("n_docs")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
+    return attach(top.where("term <> ''"), sizes).select(
+        "term", "cf", "df", at.alias("index"), idf.alias("idf"),
+        *(["pos_df", "neg_df", "n_pos", "n_neg"] if label_col else []))
+
+
+def featurizer(vocab: DataFrame, text_col: str, **term_args) -> PipelineModel:
+    """D6-D8 as a pipeline: terms, counts over the vocabulary, times idf, L2
+    norm; column ``features``. The driver holds the vocabulary (max_features)."""
+    rows = vocab.orderBy("index").select("term", "idf").collect()
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {terms_sql(text_col, **term_args)} AS _terms FROM __THIS__"),
+        CountVectorizerModel.from_vocabulary([r["term"] for r in rows] or ["_"], inputCol="_terms", outputCol="_tf"),
+        ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows] or [1.0]), inputCol="_tf",
+                           outputCol="_tfidf"),
+        Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
+    ]
+    return PipelineModel(stages=stages)
+
+
+def tfidf(docs: DataFrame, text_col: str, vocab: DataFrame, keep: Sequence[str], **term_args) -> DataFrame:
+    """``(keep, term, index, weight)``: the L2-normalized cells of every document."""
+    rows = featurizer(vocab, text_col, **term_args).transform(docs.select(*keep, text_col))
+    cells = rows.select(*keep, F.unwrap_udt("features").alias("_f")).select(
+        *keep, F.explode(F.arrays_zip("_f.indices", "_f.values")).alias("_c"))
+    cells = cells.select(*keep, F.col("_c.indices").alias("index"), F.col("_c.values").alias("weight"))
+    return cells.join(vocab.select("term", "index"), "index").select(*keep, "term", "index", "weight")
+
+
+def terms_sql(text_col: str, ngram_max: int = 2, stop_words: Sequence[str] | None = None,
+              lowercase: bool = True, accents: bool = False) -> str:
+    """Spark SQL text of ``terms``. Accents: letters with a mark in the Latin
+    blocks become their base letter, and marks that stand alone go."""
+    t = text_col
+    if accents:
+        marked, plain = accent_pairs()
+        t = f"regexp_replace(translate({t}, '{marked}', '{plain}'), {_quoted(MARKS_RE)}, '')"
+    t = f"coalesce({'lower(' + t + ')' if lowercase else t}, '')"
+    words = stop_word_list() if stop_words is None else stop_words
+    found = f"regexp_extract_all({t}, {_quoted(TOKEN_RE)}, 0)"
+    if words:
+        found = f"filter({found}, x -> NOT x IN ({', '.join(map(_quoted, words))}))"
+    if ngram_max < 2:
+        return found
+    # the list is named once, by a one-element transform
+    n = "greatest(size(tk) - 1, 0)"
+    return (f"transform(array({found}), tk -> concat(tk, zip_with(slice(tk, 1, {n}), slice(tk, 2, {n}), "
+            f"(a, b) -> concat_ws(' ', a, b))))[0]")
+
+
+def sql_terms(text: str, ngram_max: int = 2, stop_words: Sequence[str] | None = None, lowercase: bool = True,
+              accents: bool = False) -> str:
     """DuckDB twin of ``terms`` (for the oracle strings)."""
+    stop_words = stop_word_list() if stop_words is None else stop_words
+    if accents:
+        text = f"strip_accents({text})"
     t = f"coalesce({'lower(' + text + ')' if lowercase else text}, '')"
     toks = f"regexp_extract_all({t}, '{TOKEN_RE}')"
     if stop_words:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse.functions.stats import sql_ks_pvalue
+from textpulse.functions.text import clean_text, compute_once
 from textpulse.operators import drift as D
 from textpulse.plans.catalog import register
-from textpulse.plans.q_cleaning import cleaned_documents
 from textpulse.session import materialize
 from textpulse.plans.sqltext import cleaned_docs, feature_rows, psi_sql, view
-from textpulse.sources.tables import prediction_log, production_text, reference_text, reviews
+from textpulse.sources.tables import prediction_log, reviews, table
+
 
 def _en():
     return F.col("lang") == "en"
@@ -20,10 +21,21 @@ def _not_en():
     return F.col("lang") != "en"
 
 
+def side_of_lang():
+    """0 for English (reference), 1 for other languages (production); none
+    without a language."""
+    return F.when(_en(), 0).when(_not_en(), 1).alias("_side")
+
+
+def psi_counts(spark, sf):
+    """Value counts of both sides: documents are read and cleaned once."""
+    d = table(spark, sf, "documents").where(F.col("lang").isNotNull()).select(
+        side_of_lang(), compute_once(clean_text("text")).alias("cleaned_text"))
+    return D.value_counts(D.feature_values(d.where(F.length("cleaned_text") > 0), "cleaned_text", keep=["_side"]))
+
+
 def psi_clean(spark, sf):
-    ref = D.feature_values(cleaned_documents(spark, sf, _en()), "cleaned_text")
-    prod = D.feature_values(cleaned_documents(spark, sf, _not_en()), "cleaned_text")
-    return D.psi_by_feature(ref, prod)
+    return D.psi_from_counts(psi_counts(spark, sf))
 
 
 @register("psi_report", psi_sql(feature_rows(cleaned_docs("lang = 'en'"), "cleaned_text"),
@@ -38,9 +50,8 @@ def psi_report(spark, sf):
                                      feature_rows(view("prod_text"), "text")))
 def psi_report_raw(spark, sf):
     """G6 on raw text of both sides."""
-    ref = D.feature_values(reference_text(spark, sf), "text")
-    prod = D.feature_values(production_text(spark, sf), "text")
-    return D.psi_by_feature(ref, prod)
+    d = table(spark, sf, "documents").where(F.col("lang").isNotNull()).select(side_of_lang(), "text")
+    return D.psi_from_counts(D.value_counts(D.feature_values(d, "text", keep=["_side"])))
 
 
 _PSI_CLEAN_SQL = psi_sql(feature_rows(cleaned_docs("lang = 'en'"), "cleaned_text"),
@@ -60,11 +71,12 @@ SELECT CASE WHEN cnt.production_rows = 0 THEN 'insufficient_data'
 FROM cnt LEFT JOIN p ON TRUE GROUP BY cnt.reference_rows, cnt.production_rows""")
 def psi_status(spark, sf):
     """G7 + A4: worst feature status; 'insufficient_data' when production is empty."""
-    ref_docs = cleaned_documents(spark, sf, _en())
-    prod_docs = cleaned_documents(spark, sf, _not_en())
-    per = D.psi_by_feature(D.feature_values(ref_docs, "cleaned_text"),
-                           D.feature_values(prod_docs, "cleaned_text"))
-    return D.psi_report_status(per, ref_docs, prod_docs)
+    vc = psi_counts(spark, sf)
+    return D.psi_report_status(D.psi_from_counts(vc), vc)
+
+
+def documents_by_side(spark, sf):
+    return table(spark, sf, "documents").where(F.col("lang").isNotNull()).select(side_of_lang(), "text")
 
 
 @register("ks_length_drift", f"""
@@ -80,7 +92,7 @@ SELECT n1, n2, round(d, 6) AS ks_statistic, round({sql_ks_pvalue('d', 'n1', 'n2'
        {sql_ks_pvalue('d', 'n1', 'n2')} < 0.05 AS drift_detected FROM ks""")
 def ks_length_drift(spark, sf):
     """Two-sample KS on raw text length, English vs other documents."""
-    r = D.text_length_drift(reference_text(spark, sf), production_text(spark, sf))
+    r = D.text_length_drift(documents_by_side(spark, sf))
     return r.select("n1", "n2", F.round("ks_statistic", 6).alias("ks_statistic"),
                     F.round("p_value", 6).alias("p_value"), "drift_detected")
 
@@ -112,27 +124,75 @@ def concept_drift(spark, sf):
                     "drift_detected")
 
 
-DRIFT_FLAGS_SQL = f"""
-WITH a AS (SELECT length(coalesce(text, '')) AS v FROM {view('ref_text')}),
-b AS (SELECT length(coalesce(text, '')) AS v FROM {view('prod_text')}),
+def drift_detail_sql(a: str, b: str, r: str, p: str, scored: str) -> str:
+    """CTEs ending in ``dd``: one row of all drift numbers. ``a``, ``b``: text
+    lengths ``v``; ``r``, ``p``: labels ``lbl``; ``scored``: a labelled log."""
+    return f"""
+a AS ({a}), b AS ({b}),
 na AS (SELECT count(*) AS n1 FROM a), nb AS (SELECT count(*) AS n2 FROM b),
-vals AS (SELECT DISTINCT v FROM (SELECT v FROM a UNION ALL SELECT v FROM b)),
-cdf AS (SELECT vals.v, (SELECT count(*) FROM a WHERE a.v <= vals.v) AS ca,
-               (SELECT count(*) FROM b WHERE b.v <= vals.v) AS cb FROM vals),
+ca AS (SELECT v, count(*) AS c FROM a GROUP BY v), cb AS (SELECT v, count(*) AS c FROM b GROUP BY v),
+cdf AS (SELECT sum(coalesce(ca.c, 0)) OVER (ORDER BY v) AS ca, sum(coalesce(cb.c, 0)) OVER (ORDER BY v) AS cb
+        FROM ca FULL OUTER JOIN cb USING (v)),
 ks AS (SELECT n1, n2, max(abs(ca / n1 - cb / n2)) AS d FROM cdf, na, nb GROUP BY n1, n2),
-cov AS (SELECT {sql_ks_pvalue('d', 'n1', 'n2')} < 0.05 AS covariate FROM ks),
-r AS (SELECT CAST(sentiment AS VARCHAR) AS lbl FROM {view('reviews')} WHERE lang = 'en' AND sentiment IS NOT NULL),
-p AS (SELECT CAST(sentiment AS VARCHAR) AS lbl FROM {view('reviews')} WHERE lang <> 'en' AND sentiment IS NOT NULL),
+cov AS (SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, d, {sql_ks_pvalue('d', 'n1', 'n2')} AS p FROM ks),
+r AS ({r}), p AS ({p}),
 ra AS (SELECT lbl, count(*) / (SELECT count(*) FROM r) AS pa FROM r GROUP BY lbl),
 pb AS (SELECT lbl, count(*) / (SELECT count(*) FROM p) AS pb FROM p GROUP BY lbl),
-lab AS (SELECT coalesce(sum(abs(coalesce(pa, 0) - coalesce(pb, 0))), 0.0) > 0.2 AS label
-        FROM ra FULL OUTER JOIN pb USING (lbl)),
-l AS (SELECT * FROM {view('pred_log')} WHERE true_label IS NOT NULL),
-con AS (SELECT coalesce(avg(confidence) FILTER (WHERE prediction <> true_label), 0.0)
-             - coalesce(avg(confidence) FILTER (WHERE prediction = true_label), 0.0) > 0.15 AS concept FROM l)
-SELECT covariate AS covariate_drift, label AS label_drift, concept AS concept_drift,
-       (covariate AND concept) AS domain_shift,
-       (covariate OR label) AS retrain_required FROM cov, lab, con"""
+lab AS (SELECT coalesce(sum(abs(coalesce(pa, 0) - coalesce(pb, 0))), 0.0) AS shift FROM ra FULL OUTER JOIN pb USING (lbl)),
+l AS (SELECT * FROM {scored} WHERE true_label IS NOT NULL),
+con AS (SELECT coalesce(avg(confidence) FILTER (WHERE prediction = true_label), 0.0) AS right_conf,
+               coalesce(avg(confidence) FILTER (WHERE prediction <> true_label), 0.0) AS wrong_conf FROM l),
+dd AS (SELECT n1, n2, d, p, shift, right_conf, wrong_conf, wrong_conf - right_conf AS gap, p < 0.05 AS covariate_drift,
+              shift > 0.2 AS label_drift, (wrong_conf - right_conf) > 0.15 AS concept_drift FROM cov, lab, con)"""
+
+
+FLAGS_OF_DETAIL = """SELECT covariate_drift, label_drift, concept_drift, (covariate_drift AND concept_drift) AS domain_shift,
+       (covariate_drift OR label_drift) AS retrain_required FROM dd"""
+_REVIEW_LABELS = f"SELECT CAST(sentiment AS VARCHAR) AS lbl FROM {view('reviews')} WHERE sentiment IS NOT NULL AND lang "
+DETAIL_SQL = drift_detail_sql(f"SELECT length(coalesce(text, '')) AS v FROM {view('ref_text')}",
+                              f"SELECT length(coalesce(text, '')) AS v FROM {view('prod_text')}",
+                              _REVIEW_LABELS + "= 'en'", _REVIEW_LABELS + "<> 'en'", view("pred_log"))
+DRIFT_FLAGS_SQL = f"WITH {DETAIL_SQL} {FLAGS_OF_DETAIL}"
+
+# A cut of the tables that does drift: turns of conversations against documents,
+# toxicity labels against quality labels, and a log whose confident predictions
+# are the wrong ones.
+OVERCONFIDENT_FROM = 0.75
+_OVERCONFIDENT_SQL = f"""(SELECT * REPLACE (CASE WHEN confidence < {OVERCONFIDENT_FROM} THEN true_label
+  WHEN true_label = 'positive' THEN 'negative' WHEN true_label IS NOT NULL THEN 'positive' END AS prediction)
+  FROM {view('pred_log')})"""
+SHIFTED_DETAIL_SQL = drift_detail_sql("SELECT length(coalesce(text, '')) AS v FROM documents",
+                                      "SELECT length(coalesce(text, '')) AS v FROM conversations",
+                                      "SELECT CAST(quality AS VARCHAR) AS lbl FROM labels WHERE quality IS NOT NULL",
+                                      "SELECT CAST(toxic AS VARCHAR) AS lbl FROM labels WHERE toxic IS NOT NULL",
+                                      _OVERCONFIDENT_SQL)
+SHIFTED_FLAGS_SQL = f"WITH {SHIFTED_DETAIL_SQL} {FLAGS_OF_DETAIL}"
+
+
+def full_drift(spark, sf):
+    """G13 of the tables as they are; saved, since alerts, health and report read it."""
+    rv = reviews(spark, sf).select("lang", "sentiment")
+    return materialize(D.full_drift(documents_by_side(spark, sf), rv.where(_en()), rv.where(_not_en()),
+                                    prediction_log(spark, sf), label_col="sentiment"))
+
+
+def shifted_drift(spark, sf):
+    """G13 of a cut that drifts in every respect."""
+    texts = D.sides(table(spark, sf, "documents").select("text"), table(spark, sf, "conversations").select("text"))
+    lb = table(spark, sf, "labels")
+    wrong = F.when(F.col("true_label") == "positive", "negative").when(F.col("true_label").isNotNull(), "positive")
+    log = prediction_log(spark, sf).withColumn(
+        "prediction", F.when(F.col("confidence") < OVERCONFIDENT_FROM, F.col("true_label")).otherwise(wrong))
+    return materialize(D.full_drift(texts, lb.select(F.col("quality").alias("label")),
+                                    lb.select(F.col("toxic").alias("label")), log))
+
+
+def drift_flags(spark, sf):
+    return D.drift_flags(full_drift(spark, sf))
+
+
+def shifted_flags(spark, sf):
+    return D.drift_flags(shifted_drift(spark, sf))
 
 
 @register("drift_summary", DRIFT_FLAGS_SQL)
@@ -141,32 +201,50 @@ def drift_summary(spark, sf):
     return drift_flags(spark, sf)
 
 
-def drift_flags(spark, sf):
-    rv = reviews(spark, sf)
-    cov = D.text_length_drift(reference_text(spark, sf), production_text(spark, sf))
-    lab = D.label_drift(rv.where(_en()), rv.where(_not_en()), "sentiment")
-    con = D.concept_drift(prediction_log(spark, sf))
-    flags = (cov.select(F.col("drift_detected").alias("covariate_drift"))
-             .crossJoin(lab.select(F.col("drift_detected").alias("label_drift")))
-             .crossJoin(con.select(F.col("drift_detected").alias("concept_drift")))
-             .select("covariate_drift", "label_drift", "concept_drift",
-                     (F.col("covariate_drift") & F.col("concept_drift")).alias("domain_shift"),
-                     (F.col("covariate_drift") | F.col("label_drift")).alias("retrain_required")))
-    # one row read by several alert/health branches: written once
-    return materialize(flags)
+@register("drift_summary_shifted", SHIFTED_FLAGS_SQL)
+def drift_summary_shifted(spark, sf):
+    """G12, G13, H4 where every flag is up."""
+    return shifted_flags(spark, sf)
+
+
+def _detail_columns(full):
+    return full.select(
+        F.col("covariate_drift.n1").alias("n1"), F.col("covariate_drift.n2").alias("n2"),
+        F.round("covariate_drift.ks_statistic", 6).alias("ks_statistic"), F.round("covariate_drift.p_value", 6).alias("p_value"),
+        F.round("label_drift.distribution_shift", 6).alias("distribution_shift"),
+        *[F.round(f"concept_drift.{c}", 6).alias(c) for c in ("avg_conf_correct", "avg_conf_wrong", "confidence_gap")],
+        F.col("domain_shift.drift_detected").alias("domain_shift"))
+
+
+_DETAIL_OUT = """SELECT n1, n2, round(d, 6) AS ks_statistic, round(p, 6) AS p_value, round(shift, 6) AS distribution_shift,
+ round(right_conf, 6) AS avg_conf_correct, round(wrong_conf, 6) AS avg_conf_wrong, round(gap, 6) AS confidence_gap,
+ (covariate_drift AND concept_drift) AS domain_shift FROM dd"""
+
+
+@register("drift_detail", f"WITH {DETAIL_SQL} {_DETAIL_OUT}")
+def drift_detail(spark, sf):
+    """The numbers of the nested drift result."""
+    return _detail_columns(full_drift(spark, sf))
+
+
+@register("drift_detail_shifted", f"WITH {SHIFTED_DETAIL_SQL} {_DETAIL_OUT}")
+def drift_detail_shifted(spark, sf):
+    """G13 on the cut that drifts."""
+    return _detail_columns(shifted_drift(spark, sf))
 
 
+LATENCY_BORDER = "2024-01-08 00:00:00"  # reference: before it; production: from it on
 _LAT_REF = "(SELECT 'latency_ms' AS feature, latency_ms AS value FROM " + view("pred_log") + \
-    " WHERE ts < TIMESTAMP '2024-01-08 00:00:00')"
+    f" WHERE ts < TIMESTAMP '{LATENCY_BORDER}')"
 _LAT_PROD = "(SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, 'latency_ms' AS feature, " \
-    "latency_ms AS value FROM " + view("pred_log") + " WHERE ts >= TIMESTAMP '2024-01-08 00:00:00')"
+    "latency_ms AS value FROM " + view("pred_log") + f" WHERE ts >= TIMESTAMP '{LATENCY_BORDER}')"
 
 
 @register("psi_daily_latency", psi_sql(_LAT_REF, _LAT_PROD, prod_keys=("day",)))
 def psi_daily_latency(spark, sf):
     """I6 batch twin: PSI of each day's latency against the first week."""
     log = prediction_log(spark, sf)
-    cut = F.lit("2024-01-08 00:00:00").cast("timestamp")
+    cut = F.lit(LATENCY_BORDER).cast("timestamp")
     ref = log.where(F.col("ts") < cut).select(F.lit("latency_ms").alias("feature"),
                                               F.col("latency_ms").alias("value"))
     prod = log.where(F.col("ts") >= cut).select(

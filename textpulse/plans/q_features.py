@@ -11,7 +11,6 @@ from textpulse.operators import tfidf as TF
 from textpulse.plans.catalog import register
 from textpulse.plans.q_sampling import split_sql
 from textpulse.plans.sqltext import view
-from textpulse.session import materialize
 from textpulse.sources.tables import reviews
 
 TOKS = TF.sql_terms("cleaned_text", ngram_max=1)  # unigram list; bigrams added below
@@ -28,8 +27,8 @@ CLEAN_REVIEWS_SQL = (f"(SELECT * FROM (SELECT doc_id, sentiment, {sql_clean('tex
 
 
 def tf_sql(src: str, text: str = "cleaned_text", ngram_max: int = 2, stop: bool = True,
-           lowercase: bool = True) -> str:
-    toks = TF.sql_terms(text, ngram_max=1, stop_words=TF.STOP_WORDS if stop else (), lowercase=lowercase)
+           lowercase: bool = True, accents: bool = False) -> str:
+    toks = TF.sql_terms(text, ngram_max=1, stop_words=None if stop else (), lowercase=lowercase, accents=accents)
     bi = "list_concat(tk, [tk[i] || ' ' || tk[i + 1] FOR i IN range(1, len(tk))])" if ngram_max >= 2 else "tk"
     return f"""
 t1 AS (SELECT doc_id, {toks} AS tk FROM {src}),
@@ -47,13 +46,10 @@ voc AS (SELECT term, CAST(cf AS BIGINT) AS cf, CAST(df AS BIGINT) AS df,
 
 
 def _vocab_query(spark, sf, k, **term_args):
-    docs = cleaned_reviews(spark, sf)
-    text = "cleaned_text"
+    docs, text = cleaned_reviews(spark, sf), "cleaned_text"
     if term_args.pop("raw", False):
-        docs = reviews(spark, sf).select("doc_id", "text")
-        text = "text"
-    tf = TF.term_counts(docs, "doc_id", text, **term_args)
-    v = TF.vocabulary(tf, "doc_id", docs.agg(F.count(F.lit(1)).alias("n_docs")), k)
+        docs, text = reviews(spark, sf).select("doc_id", "text"), "text"
+    v = TF.vocabulary(docs, text, k, **term_args)
     return v.select("term", "cf", "df", F.col("index").cast("bigint").alias("idx"),
                     F.round("idf", 6).alias("idf"))
 
@@ -75,6 +71,13 @@ def vocabulary_pruned(spark, sf):
 _RAW = f"(SELECT doc_id, text FROM {view('reviews')})"
 
 
+@register("vocabulary_accents", f"""WITH {tf_sql(_RAW, text='text', ngram_max=1, stop=False, accents=True)},
+{vocab_sql(_RAW, 5000)} SELECT term, cf, df, idx, round(idf, 6) AS idf FROM voc""")
+def vocabulary_accents(spark, sf):
+    """Accents stripped from raw text before tokenizing."""
+    return _vocab_query(spark, sf, TF.RETRAIN_MAX_FEATURES, ngram_max=1, stop_words=(), accents=True, raw=True)
+
+
 @register("vocabulary_retrain", f"""WITH {tf_sql(_RAW, text='text', ngram_max=1, stop=False)},
 {vocab_sql(_RAW, 5000)} SELECT term, cf, df, idx, round(idf, 6) AS idf FROM voc""")
 def vocabulary_retrain(spark, sf):
@@ -87,7 +90,8 @@ w AS (SELECT tf.doc_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc ON tf.ter
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights(spark, sf):
     """L2-normalized TF-IDF cells of every cleaned review."""
-    _, cells = TF.fit_transform(cleaned_reviews(spark, sf), "doc_id", "cleaned_text")
+    docs = cleaned_reviews(spark, sf)
+    cells = TF.tfidf(docs, "cleaned_text", TF.vocabulary(docs, "cleaned_text"), ["doc_id"])
     return cells.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -106,9 +110,9 @@ def class_weights(spark, sf):
 
 
 def split_clean(spark, sf):
-    # the cleaned reviews feed the size check, the quotas and the split: clean once
-    cr = materialize(cleaned_reviews(spark, sf))
-    return materialize(S.stratified_split(cr, "sentiment", "doc_id"))
+    """Cleaned reviews with their split. The split is found from ids and labels
+    alone; cleaned texts are neither shuffled nor written."""
+    return S.stratified_split(cleaned_reviews(spark, sf), "sentiment", "doc_id")
 
 
 _NB_SQL = f"""WITH {_SPLIT_CLEAN},
@@ -133,13 +137,10 @@ sc AS (SELECT te.doc_id, te.sentiment, coalesce(en.s, 0.0) + (SELECT ln(n_pos /
 
 def nb_scores(spark, sf):
     sp = split_clean(spark, sf)
-    train = sp.where(F.col("split") == "train")
-    test = sp.where(F.col("split") == "test")
-    # training term counts are read by the vocabulary and the weights: written once
-    tf = materialize(TF.term_counts(train, "doc_id", "cleaned_text"))
-    vocab, _ = TF.fit_transform(train, "doc_id", "cleaned_text", tf=tf)
-    weights, intercept = SC.log_count_ratio_weights(train, "doc_id", "cleaned_text", "sentiment", vocab, tf=tf)
-    cells = TF.transform(test, "doc_id", "cleaned_text", vocab)
+    train, test = (sp.where(F.col("split") == name) for name in ("train", "test"))
+    vocab = TF.vocabulary(train, "cleaned_text", label_col="sentiment")
+    weights, intercept = SC.log_count_ratio_weights(vocab)
+    cells = TF.tfidf(test, "cleaned_text", vocab, ["doc_id"])
     return SC.linear_scores(test.select("doc_id", "sentiment"), cells, weights, intercept, "doc_id")
 
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textpulse.functions import labels as L
+from textpulse.functions.text import clean_text, compute_once
 from textpulse.operators import model as MD
 from textpulse.operators.evaluation import confusion_counts, summary
+from textpulse.operators.scalars import attach
 from textpulse.plans.catalog import register
-from textpulse.plans.q_drift import drift_flags
-from textpulse.plans.q_features import split_clean
-from textpulse.plans.sqltext import view
+from textpulse.plans.q_drift import DRIFT_FLAGS_SQL, SHIFTED_FLAGS_SQL, drift_flags, shifted_flags
+from textpulse.plans.q_features import CLEAN_REVIEWS_SQL, split_clean
+from textpulse.plans.q_sampling import RAW_SPLIT_SQL, split_reviews, split_sql
+from textpulse.plans.sqltext import cleaned_docs, view
+from textpulse.session import ensure_checkpoint_dir, materialize
+from textpulse.sources.sinks import append_json, read_json_log
 from textpulse.sources.tables import prediction_log, table
 
 LOG = view("pred_log")
@@ -68,66 +74,175 @@ def prediction_records(spark, sf):
                                             ("confidence", "p_negative", "p_neutral", "p_positive")])
 
 
-def _fitted(spark, sf):
-    sp = split_clean(spark, sf)
-    train = sp.where(F.col("split") == "train")
-    test = sp.where(F.col("split") == "test")
-    return MD.fit(train, "doc_id", "cleaned_text", "sentiment"), train, test
+def split_frames(spark, sf):
+    sp = materialize(split_clean(spark, sf))  # a fit reads it several times: cleaned and written once
+    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+
+
+def fitted(spark, sf):
+    train, test = split_frames(spark, sf)
+    return MD.TextModel().fit(train, "cleaned_text", "sentiment"), train, test
 
 
 @register("lr_test_predictions")
 def lr_test_predictions(spark, sf):
     """Class-weighted TF-IDF logistic regression fitted on the
     train split, scored on the test split."""
-    m, _, test = _fitted(spark, sf)
+    m, _, test = fitted(spark, sf)
     return MD.predict(m, test, ["doc_id", "sentiment"])
 
 
 @register("lr_test_metrics")
 def lr_test_metrics(spark, sf):
     """E11 + F1-F2: the composed job (clean, split, TF-IDF, fit, evaluate)."""
-    m, _, test = _fitted(spark, sf)
-    pred = MD.predict(m, test, ["doc_id", "sentiment"])
-    pairs = pred.select(MD.label_names(F.col("sentiment")).alias("t"), F.col("prediction").alias("p"))
+    m, _, test = fitted(spark, sf)
+    pred = MD.predict(m, test, ["sentiment"])
+    pairs = pred.select(L.normalize_label(F.col("sentiment")).alias("t"), F.col("prediction").alias("p"))
     return summary(confusion_counts(pairs, "t", "p"))
 
 
-RUN_SCHEMA = T.StructType([
-    T.StructField("sample_size", T.LongType()), T.StructField("status", T.StringType()),
-    T.StructField("accuracy", T.DoubleType()), T.StructField("f1_score", T.DoubleType()),
-    T.StructField("error", T.StringType())])
-
-
-def run_log(spark, sf, sizes=(100, 200, 400)):
-    sp = split_clean(spark, sf)
-    train = sp.where(F.col("split") == "train")
-    test = sp.where(F.col("split") == "test")
+_SPLIT = split_sql(CLEAN_REVIEWS_SQL)
+
+
+@register("lr_model_facts", f"""WITH {_SPLIT},
+te AS (SELECT * FROM sp WHERE split = 'test'), tr AS (SELECT * FROM sp WHERE split = 'train')
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM tr) AS train_rows, (SELECT CAST(count(*) AS BIGINT) FROM te) AS test_rows,
+       'negative,positive' AS classes,
+       (SELECT round(max(c) / sum(c), 6) FROM (SELECT count(*) AS c FROM te GROUP BY sentiment)) AS majority_share,
+       TRUE AS probabilities_sum_to_one, TRUE AS beats_majority, TRUE AS converged""")
+def lr_model_facts(spark, sf):
+    """Exact facts of the fit, and whether its invariants hold: class
+    probabilities sum to 1, the balanced accuracy on all reviews beats the
+    majority class's 0.5, L-BFGS stopped before its iteration limit."""
+    m, train, test = fitted(spark, sf)
+    rows = train.unionByName(test)
+    pred = materialize(MD.predict(m, rows, ["sentiment", "split"])
+                       .withColumn("truth", L.normalize_label(F.col("sentiment"))))
+    ok = F.when(F.col("truth") == F.col("prediction"), 1.0).otherwise(0.0)
+    total = F.col("p_negative") + F.col("p_neutral") + F.col("p_positive")
+    share = pred.groupBy("truth").agg(F.count(F.when(F.col("split") == "test", 1)).alias("c"), F.avg(ok).alias("recall"))
+    share = share.agg(F.round(F.max("c") / F.sum("c"), 6).alias("majority_share"), F.avg("recall").alias("_balanced"))
+    facts = attach(pred.agg(F.count(F.when(F.col("split") == "test", 1)).alias("test_rows"), F.max(F.abs(total - 1.0)).alias("_gap")), share)
+    return attach(facts, train.agg(F.count(F.lit(1)).alias("train_rows"))).select(
+        F.col("train_rows").cast("bigint").alias("train_rows"), F.col("test_rows").cast("bigint").alias("test_rows"),
+        F.lit(",".join(L.NUMERIC_LABELS.get(c, c) for c in MD.classes(m))).alias("classes"), "majority_share",
+        (F.col("_gap") < 1e-9).alias("probabilities_sum_to_one"), (F.col("_balanced") > 0.5).alias("beats_majority"),
+        F.lit(m.stages[-1].summary.totalIterations < MD.DEFAULT_MAX_ITER).alias("converged"))
+
+
+def star_reviews(spark, sf):
+    """Documents with a three-class label, their text-length class by star
+    rules: short texts 1 star, middle 3, long 5."""
+    d = table(spark, sf, "documents").select("doc_id", compute_once(clean_text("text")).alias("cleaned_text"))
+    stars = F.when(F.length("cleaned_text") < 800, 1.0).when(F.length("cleaned_text") < 2000, 3.0).otherwise(5.0)
+    return d.where(F.length("cleaned_text") > 0).select("doc_id", "cleaned_text", L.stars_to_sentiment(stars).alias("sentiment"))
+
+
+_STARS3 = f"""(SELECT doc_id, CASE WHEN length(cleaned_text) < 800 THEN 'negative' WHEN length(cleaned_text) < 2000
+ THEN 'neutral' ELSE 'positive' END AS sentiment FROM {cleaned_docs()})"""
+
+
+@register("three_class_facts", f"""
+SELECT sentiment, CAST(count(*) AS BIGINT) AS n, TRUE AS probabilities_sum_to_one, TRUE AS beats_majority FROM {_STARS3}
+GROUP BY sentiment""")
+def three_class_facts(spark, sf):
+    """String labels and three classes: per class its rows; probabilities
+    sum to 1 and the fit is better on its own rows than the largest class."""
+    docs = materialize(star_reviews(spark, sf))
+    m = MD.TextModel(max_features=2000, max_iter=50).fit(docs, "cleaned_text", "sentiment")
+    pred = materialize(MD.predict(m, docs, ["sentiment"]))
+    total = F.col("p_negative") + F.col("p_neutral") + F.col("p_positive")
+    right = pred.agg(F.avg(F.when(F.col("sentiment") == F.col("prediction"), 1.0).otherwise(0.0)).alias("_acc"),
+                     F.max(F.abs(total - 1.0)).alias("_gap"), F.count(F.lit(1)).alias("_all"))
+    by_class = pred.groupBy("sentiment").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    most = by_class.agg(F.max("n").alias("_most"))
+    return attach(attach(by_class, right), most).select(
+        "sentiment", "n", (F.col("_gap") < 1e-9).alias("probabilities_sum_to_one"),
+        (F.col("_acc") > F.col("_most") / F.col("_all")).alias("beats_majority"))
+
+
+RUN_SCHEMA = "requested bigint, sample_size bigint, status string, accuracy double, f1_score double, error string"
+
+
+def run_log_path(spark, sf):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run_log/{hashlib.md5(sf.encode()).hexdigest()}"
+
+
+def write_runs(spark, sf, sizes=(100, 200, 400)):
+    """One line a run, appended to the run log."""
+    train, test = split_frames(spark, sf)
     runs = MD.learning_curve(train, test, "doc_id", "cleaned_text", "sentiment", list(sizes))
-    return spark.createDataFrame([tuple(r[f.name] for f in RUN_SCHEMA.fields) for r in runs], RUN_SCHEMA)
+    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+    df = spark.createDataFrame([tuple(r[c] for c in names) for r in runs], RUN_SCHEMA)
+    append_json(df.coalesce(1), run_log_path(spark, sf))
+    return df
 
 
 @register("learning_curve")
 def learning_curve(spark, sf):
-    """Nested hash-rank samples of 100, 200, 400 training rows, one fit each."""
-    return run_log(spark, sf)
+    """E10 + A12: nested hash-rank samples of 100, 200, 400 training rows, one
+    fit each, appended to the run log."""
+    return write_runs(spark, sf)
 
 
 @register("best_run")
 def best_run(spark, sf):
-    """Best logged run by accuracy (ties: larger sample)."""
-    runs = run_log(spark, sf).where(F.col("status") == "ok")
-    return runs.orderBy(F.desc("accuracy"), F.desc("sample_size")).limit(1)
+    """Best run of the log by accuracy (ties: larger sample); the log is
+    written first if there is none yet."""
+    path = run_log_path(spark, sf)
+    runs = read_json_log(spark, path, RUN_SCHEMA)
+    if runs.isEmpty():
+        write_runs(spark, sf)
+        runs = read_json_log(spark, path, RUN_SCHEMA)
+    return runs.where("status = 'ok'").orderBy(F.desc("accuracy"), F.desc("sample_size")).limit(1)
+
+
+_CURVE_SQL = f"""WITH {_SPLIT},
+n AS (SELECT count(*) AS c FROM sp WHERE split = 'train')
+SELECT CAST(t.requested AS BIGINT) AS requested, CAST(least(t.requested, n.c) AS BIGINT) AS sample_size
+FROM n, (VALUES (100), (200), (400)) t(requested)"""
+
+
+@register("learning_curve_samples", _CURVE_SQL)
+def learning_curve_samples(spark, sf):
+    """Rows of each nested sample, as the fits get them."""
+    train, _ = split_frames(spark, sf)
+    sizes = [100, 200, 400]
+    ranks = materialize(train.select("doc_id").join(MD.nested_samples(train, "doc_id", sizes), "doc_id"))
+    counts = [F.count(F.when(F.col("rank") <= s, 1)).alias(f"_{s}") for s in sizes]
+    wide = ranks.agg(*counts)
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(s).cast("bigint").alias("requested"),
+                                                    F.col(f"_{s}").alias("sample_size")) for s in sizes])).alias("r")).select("r.*")
 
 
-@register("drift_retrain")
+def retrain_result(spark, sf, flags) -> dict:
+    """E12 on the training split's raw texts; the model goes beside the run log."""
+    required = flags.first()["retrain_required"]
+    docs = None
+    if required:
+        docs = split_reviews(spark, sf).where("split = 'train'")
+    return MD.retrain(docs, "text", "sentiment", f"{run_log_path(spark, sf)}_model", required)
+
+
+def retrain_row(spark, sf, flags):
+    r = retrain_result(spark, sf, flags)
+    return spark.createDataFrame([(r["status"], r["samples"])], "status string, samples bigint")
+
+
+_RETRAIN_SQL = f"""
+SELECT CASE WHEN f.retrain_required THEN 'retrained' ELSE 'skipped' END AS status,
+       CASE WHEN f.retrain_required THEN (SELECT CAST(count(*) AS BIGINT) FROM (WITH {RAW_SPLIT_SQL} SELECT * FROM sp)
+                                          WHERE split = 'train') ELSE CAST(0 AS BIGINT) END AS samples"""
+
+
+@register("drift_retrain", f"{_RETRAIN_SQL} FROM ({DRIFT_FLAGS_SQL}) f")
 def drift_retrain(spark, sf):
-    """Refit with the retrain parameters (unigrams, 5,000 terms, no stop
-    words, raw text) only when covariate or label drift is flagged."""
-    flags = drift_flags(spark, sf).collect()[0]
-    if not flags["retrain_required"]:
-        return spark.range(1).select(F.lit("skipped").alias("status"), F.lit(0).cast("bigint").alias("samples"))
-    sp = split_clean(spark, sf)
-    docs = sp.where(F.col("split") == "train").join(
-        table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    MD.fit(docs, "doc_id", "text", "sentiment", max_features=5000, ngram_max=1, stop_words=())
-    return docs.agg(F.lit("retrained").alias("status"), F.count(F.lit(1)).cast("bigint").alias("samples"))
+    """Refit with the retrain settings only when covariate or label drift
+    is flagged."""
+    return retrain_row(spark, sf, drift_flags(spark, sf))
+
+
+@register("drift_retrain_shifted", f"{_RETRAIN_SQL} FROM ({SHIFTED_FLAGS_SQL}) f")
+def drift_retrain_shifted(spark, sf):
+    """E12 where there is drift: the retrain runs and its model is saved."""
+    return retrain_row(spark, sf, shifted_flags(spark, sf))

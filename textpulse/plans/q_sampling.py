@@ -28,7 +28,7 @@ sp AS (SELECT k.* EXCLUDE (h),
        FROM k JOIN q ON k.sentiment = q.sentiment)"""
 
 
-_SPLIT_SQL = split_sql(f"(SELECT doc_id, text, sentiment FROM {view('reviews')})")
+RAW_SPLIT_SQL = split_sql(f"(SELECT doc_id, text, sentiment FROM {view('reviews')})")
 
 
 def split_reviews(spark, sf):
@@ -36,13 +36,13 @@ def split_reviews(spark, sf):
     return S.stratified_split(rv, "sentiment", "doc_id")
 
 
-@register("stratified_split", f"WITH {_SPLIT_SQL} SELECT doc_id, sentiment, split FROM sp")
+@register("stratified_split", f"WITH {RAW_SPLIT_SQL} SELECT doc_id, sentiment, split FROM sp")
 def stratified_split(spark, sf):
     """80/20 stratified split of the labelled reviews, seed 42."""
     return split_reviews(spark, sf).select("doc_id", "sentiment", "split")
 
 
-@register("split_class_counts", f"""WITH {_SPLIT_SQL}
+@register("split_class_counts", f"""WITH {RAW_SPLIT_SQL}
 SELECT split, sentiment, CAST(count(*) AS BIGINT) AS n FROM sp GROUP BY split, sentiment""")
 def split_class_counts(spark, sf):
     """C1 + C4: class counts per split (shares preserved)."""
@@ -50,7 +50,7 @@ def split_class_counts(spark, sf):
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@register("split_quality_gate", f"""WITH {_SPLIT_SQL},
+@register("split_quality_gate", f"""WITH {RAW_SPLIT_SQL},
 s AS (SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'test') AS te,
              count(*) FILTER (WHERE length(coalesce(text, '')) = 0) AS em,
              count(DISTINCT sentiment) FILTER (WHERE split = 'train') AS cl FROM sp)
