@@ -25,18 +25,20 @@ def strip_unicode(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_WS, "")
 
 
-def validate_request(text: Column) -> dict[str, Column]:
+def validate_request(text: Column, stripped_length: bool = False) -> dict[str, Column]:
+    """A single request's limit holds for the text as sent, before the
+    strip; a batch's (``stripped_length``) for the stripped text."""
     stripped = strip_unicode(F.coalesce(text, F.lit("")))
     reason = (F.when(text.isNull(), F.lit(REASON_MISSING))
                .when(F.length(stripped) == 0, F.lit(REASON_BLANK))
-               .when(F.length(stripped) > MAX_TEXT_CHARS, F.lit(REASON_TOO_LONG)))
+               .when(F.length(stripped if stripped_length else text) > MAX_TEXT_CHARS, F.lit(REASON_TOO_LONG)))
     return {"stripped": stripped, "reject_reason": reason}
 
 
 def validate_batches(df: DataFrame, batch_col: str, text_col: str) -> DataFrame:
     """One row per batch: size, invalid texts, accepted flag (size 1..128 and
     every text valid). Partial aggregation keeps a hot batch id cheap."""
-    bad = validate_request(F.col(text_col))["reject_reason"].isNotNull()
+    bad = validate_request(F.col(text_col), stripped_length=True)["reject_reason"].isNotNull()
     agg = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_texts"),
                                     F.count(F.when(bad, 1)).alias("n_invalid"))
     return agg.select(batch_col, F.col("n_texts").cast("bigint").alias("n_texts"),
@@ -45,7 +47,7 @@ def validate_batches(df: DataFrame, batch_col: str, text_col: str) -> DataFrame:
                       .alias("accepted"))
 
 
-def sql_validate_request(text: str) -> str:
+def sql_validate_request(text: str, stripped_length: bool = False) -> str:
     s = f"regexp_replace(coalesce({text}, ''), '{_EDGE_WS}', '', 'g')"
     return (f"(CASE WHEN {text} IS NULL THEN '{REASON_MISSING}' WHEN length({s}) = 0 THEN '{REASON_BLANK}' "
-            f"WHEN length({s}) > {MAX_TEXT_CHARS} THEN '{REASON_TOO_LONG}' END)")
+            f"WHEN length({s if stripped_length else text}) > {MAX_TEXT_CHARS} THEN '{REASON_TOO_LONG}' END)")

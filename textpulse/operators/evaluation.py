@@ -22,6 +22,7 @@ ONLINE_PENALTY = 0.3
 STATUS_CRITICAL_BELOW = 0.4
 STATUS_WARNING_BELOW = 0.7
 DEFAULT_WINDOW = 50
+MAX_CLASSES = 1000
 # ---------------------------------------------------------------------------
 
 
@@ -32,8 +33,12 @@ def confusion_counts(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
         F.col(true_col).cast("string").alias("y_true"), F.col(pred_col).cast("string").alias("y_pred")
     ).agg(F.count(F.lit(1)).alias("n"))
     labels = pairs.select(F.col("y_true").alias("label")).union(pairs.select("y_pred")).distinct()
-    # every (true, predicted) label pair; the label set is the class list
+    # every (true, predicted) label pair; the label set is the class list, and a
+    # column with more values than MAX_CLASSES is no class column
+    many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))
+    labels = labels.limit(MAX_CLASSES + 1)
     ls = labels.agg(F.array_sort(F.collect_set("label")).alias("ls"))
+    ls = ls.select(F.when(F.size("ls") > MAX_CLASSES, many.cast("array<string>")).otherwise(F.col("ls")).alias("ls"))
     grid = ls.select(F.explode("ls").alias("y_true"), "ls").select("y_true", F.explode("ls").alias("y_pred"))
     conf = grid.join(pairs, ["y_true", "y_pred"], "left").select(
         "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
@@ -98,6 +103,32 @@ def window_accuracy(window: DataFrame, keys: list[str] | None = None) -> DataFra
                                   F.sum(ok).cast("bigint").alias("correct"))
 
 
+NO_LABELS = "no labelled data"
+
+
+def _message(n: F.Column) -> F.Column:
+    return F.when(n == 0, F.lit(NO_LABELS))
+
+
+def offline(log: DataFrame) -> DataFrame:
+    """``(accuracy, total_samples, type, message)`` over the labelled records;
+    without any the accuracy is null and the message says so."""
+    labelled = log.where(F.col("true_label").isNotNull())
+    ok = F.when(F.col("prediction") == F.col("true_label"), 1.0).otherwise(0.0)
+    n = F.count(F.lit(1)).cast("bigint")
+    return labelled.agg(F.round(F.avg(ok), 4).alias("accuracy"), n.alias("total_samples")).select(
+        "accuracy", "total_samples", F.lit("offline").alias("type"), _message(F.col("total_samples")).alias("message"))
+
+
+def online(log: DataFrame, n: int = DEFAULT_WINDOW) -> DataFrame:
+    """the same over the last ``n`` labelled records."""
+    w = window_accuracy(last_n_labelled(log, n))
+    acc = F.try_divide(F.col("correct"), F.col("total_samples"))
+    return w.select("total_samples", F.coalesce("correct", F.lit(0)).cast("bigint").alias("correct"),
+                    F.round(acc, 4).alias("accuracy"), F.round(acc, 3).alias("window_accuracy"),
+                    F.lit(n).alias("window_size"), _message(F.col("total_samples")).alias("message"))
+
+
 def health(offline_acc, online_acc):
     """F8: 1 - 0.4 [offline < 0.7] - 0.3 [online < 0.7, when known], floor 0."""
     score = (F.lit(1.0)
@@ -136,30 +167,35 @@ def latency_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:
 
 
 def compare_variants(stats: DataFrame, variant_col: str, baseline: str = "baseline") -> DataFrame:
-    """% improvement of each variant's mean and p95 latency against the
-    'baseline' row (else the first variant by name); 0 when the baseline is 0."""
-    pick = stats.select(variant_col, "mean_latency_ms", "p95_latency_ms",
-                        F.when(F.col(variant_col) == baseline, 0).otherwise(1).alias("_pref"))
-    b = pick.orderBy("_pref", variant_col).limit(1).select(
-        F.col("mean_latency_ms").alias("_bm"), F.col("p95_latency_ms").alias("_bp"))
-
-    def gain(x, base):
+    """% improvement of each variant's mean and p95 latency, peak memory and
+    model size against the 'baseline' row (else the first variant by name); 0
+    when the baseline is 0. Adds the gains to the columns of ``stats``."""
+    gains = {"mean_latency_ms": "latency_improvement_pct", "p95_latency_ms": "p95_improvement_pct",
+             "peak_memory_mb": "memory_improvement_pct", "model_size_mb": "size_reduction_pct"}
+    gains = {c: g for c, g in gains.items() if c in stats.columns}
+    first = stats.orderBy(F.when(F.col(variant_col) == baseline, 0).otherwise(1), variant_col).limit(1)
+    b = first.select(*[F.col(c).alias(f"_b_{c}") for c in gains])
+
+    def gain(c):
+        x, base = F.col(c), F.col(f"_b_{c}")
         return F.when(base == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - x / base), 2))
-    return attach(stats, b).select(
-        variant_col, "mean_latency_ms", "p95_latency_ms",
-        gain(F.col("mean_latency_ms"), F.col("_bm")).alias("latency_improvement_pct"),
-        gain(F.col("p95_latency_ms"), F.col("_bp")).alias("p95_improvement_pct"))
-
+    return attach(stats, b).select(*stats.columns, *[gain(c).alias(g) for c, g in gains.items()])
 
-MARKDOWN_HEADER = ("| Variant | Samples | Mean Latency (ms) | P50 (ms) | P95 (ms) | Throughput (req/s) |\n"
-                   "| --- | --- | --- | --- | --- | --- |")
 
-
-def markdown_table(stats: DataFrame, variant_col: str) -> DataFrame:
-    """the stats as one markdown table string."""
-    line = F.format_string("| %s | %d | %.3f | %.3f | %.3f | %.2f |", F.col(variant_col), F.col("samples"),
-                           F.col("mean_latency_ms"), F.col("p50_latency_ms"), F.col("p95_latency_ms"),
-                           F.col("throughput_rps"))
-    rows = stats.select(F.col(variant_col).alias("_v"), line.alias("line"))
-    body = rows.agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY _v)").alias("body"))
+# ---- fixed values: the report's headings ----------------------------------
+MARKDOWN_COLUMNS = ("Variant", "Mean Latency (ms)", "P50 (ms)", "P95 (ms)", "Throughput (req/s)",
+                    "Peak Memory (MB)", "Model Size (MB)", "Latency vs Baseline", "Memory vs Baseline")
+# ---------------------------------------------------------------------------
+MARKDOWN_HEADER = "\n".join("| " + " | ".join(row) + " |" for row in
+                            (MARKDOWN_COLUMNS, ["---"] * len(MARKDOWN_COLUMNS)))
+MARKDOWN_ROW = "| %s | %.3f | %.3f | %.3f | %.2f | %.3f | %.3f | %.2f%% | %.2f%% |"
+
+
+def markdown_table(comparison: DataFrame, variant_col: str) -> DataFrame:
+    """the comparison, gains included, as one markdown table string."""
+    numbers = ("mean_latency_ms", "p50_latency_ms", "p95_latency_ms", "throughput_rps", "peak_memory_mb",
+               "model_size_mb", "latency_improvement_pct", "memory_improvement_pct")
+    line = F.format_string(MARKDOWN_ROW, F.col(variant_col), *[F.col(c) for c in numbers])
+    rows = comparison.select(F.col(variant_col).alias("_v"), line.alias("line"))
+    body = rows.agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY _v)").alias("body"))
     return body.select(F.concat_ws("\n", F.lit(MARKDOWN_HEADER), F.col("body")).alias("markdown"))

@@ -1,4 +1,4 @@
-"""Monitoring: alerts (H1-H3, H9), retrain trigger (H4), drift-adjusted
+"""Monitoring: alerts (H1-H3, H9), drift-adjusted
 health (H5), report assembly (H6), service metrics (H7, H8).
 
 All inputs are one-row aggregate frames; the rules are column expressions,
@@ -31,34 +31,47 @@ RECOMMEND_STABLE = "System stable"
 # ---------------------------------------------------------------------------
 
 
-def drift_alerts(flags: DataFrame) -> DataFrame:
-    """H1: one alert row per raised drift flag ``(type, severity, message)``."""
-    rules = F.array(*[F.struct(F.col(c).alias("raised"), F.lit(s).alias("severity"), F.lit(m).alias("message"))
-                      for c, s, m in DRIFT_RULES])
-    return flags.select(F.explode(rules).alias("r")).where("r.raised").select(
-        F.lit("DRIFT").alias("type"), "r.severity", "r.message")
+def _number(x) -> F.Column:
+    return F.format_string("%.6f", x.cast("double"))
 
 
-def accuracy_alerts(metrics: DataFrame, acc_col: str = "accuracy") -> DataFrame:
+def drift_meta(name: str) -> F.Column:
+    """The result of one drift check as JSON text, numbers to 6 places."""
+    fields = {"covariate_drift": ("ks_statistic", "p_value"), "label_drift": ("distribution_shift",),
+              "concept_drift": ("avg_conf_correct", "avg_conf_wrong", "confidence_gap"), "domain_shift": ()}[name]
+    parts = [F.concat(F.lit('{"method":"'), F.col(f"{name}.method"), F.lit('"'))]
+    parts += [F.concat(F.lit(f',"{f}":'), F.coalesce(_number(F.col(f"{name}.{f}")), F.lit("null"))) for f in fields]
+    return F.concat(*parts, F.lit(',"drift_detected":'), F.col(f"{name}.drift_detected").cast("string"), F.lit("}"))
+
+
+def drift_alerts(full: DataFrame) -> DataFrame:
+    """H1: one alert row per raised flag of the full drift result
+    ``(type, severity, message, meta)``."""
+    rules = F.array(*[F.struct(F.col(f"{c}.drift_detected").alias("raised"), F.lit(s).alias("severity"),
+                               F.lit(m).alias("message"), drift_meta(c).alias("meta")) for c, s, m in DRIFT_RULES])
+    return full.select(F.explode(rules).alias("r")).where("r.raised").select(
+        F.lit("DRIFT").alias("type"), "r.severity", "r.message", "r.meta")
+
+
+def accuracy_alerts(metrics: DataFrame, acc_col: str = "accuracy", meta: F.Column | None = None) -> DataFrame:
     """H2: CRITICAL below 0.6, WARNING below 0.75, nothing when unknown."""
     a = F.col(acc_col)
     sev = F.when(a < ACCURACY_CRITICAL_BELOW, "CRITICAL").when(a < ACCURACY_WARNING_BELOW, "WARNING")
     msg = F.when(a < ACCURACY_CRITICAL_BELOW, MSG_ACCURACY_CRITICAL).when(a < ACCURACY_WARNING_BELOW,
                                                                            MSG_ACCURACY_WARNING)
-    return metrics.select(F.lit("METRICS").alias("type"), sev.alias("severity"), msg.alias("message")) \
-                  .where(F.col("severity").isNotNull())
-
-
-def retrain_alert(flags: DataFrame, retrained_col: str = "retrain_required") -> DataFrame:
-    """H3: always one INFO row, retrained or skipped."""
-    return flags.select(F.lit("RETRAIN").alias("type"), F.lit("INFO").alias("severity"),
-                        F.when(F.col(retrained_col), MSG_RETRAINED).otherwise(MSG_RETRAIN_SKIPPED)
-                        .alias("message"))
+    if meta is None:
+        meta = F.concat(F.lit('{"accuracy":'), _number(a), F.lit("}"))
+    return metrics.select(F.lit("METRICS").alias("type"), sev.alias("severity"), msg.alias("message"),
+                          meta.alias("meta")).where(F.col("severity").isNotNull())
 
 
-def retrain_trigger(flags: DataFrame) -> DataFrame:
-    """H4: covariate OR label drift (concept/domain do not trigger)."""
-    return flags.withColumn("retrain_required", F.col("covariate_drift") | F.col("label_drift"))
+def retrain_alert(result: DataFrame) -> DataFrame:
+    """H3: always one INFO row, from what the retrain step says it did
+    (``status``, ``samples``)."""
+    done = F.col("status") == "retrained"
+    meta = F.concat(F.lit('{"status":"'), F.col("status"), F.lit('","samples":'), F.col("samples").cast("string"), F.lit("}"))
+    return result.select(F.lit("RETRAIN").alias("type"), F.lit("INFO").alias("severity"),
+                         F.when(done, MSG_RETRAINED).otherwise(MSG_RETRAIN_SKIPPED).alias("message"), meta.alias("meta"))
 
 
 def drift_adjusted_health(base_health_col, flags_prefix: str = "") -> tuple:
@@ -78,9 +91,12 @@ def alert_rollup(alerts: DataFrame) -> DataFrame:
 
 
 def service_snapshot(log: DataFrame) -> DataFrame:
-    """H7, H8: prediction and feedback counts, mean latency, last request."""
+    """H7, H8: requests, predictions made, feedback records (labelled or not),
+    labelled ones, mean latency, last request."""
     return log.agg(
-        F.count(F.lit(1)).cast("bigint").alias("prediction_count"),
-        F.count("true_label").cast("bigint").alias("feedback_count"),
+        F.count(F.lit(1)).cast("bigint").alias("request_count"),
+        F.count("prediction").cast("bigint").alias("prediction_count"),
+        F.count(F.lit(1)).cast("bigint").alias("feedback_count"),
+        F.count("true_label").cast("bigint").alias("labelled_count"),
         F.round(F.avg("latency_ms"), 3).alias("average_latency_ms"),
         F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_request_at"))

@@ -62,7 +62,7 @@ SELECT doc_id, masked FROM (SELECT doc_id, text,
   AS masked FROM documents) WHERE masked <> text""")
 def pii_masked(spark, sf):
     """B2/B3 alone: documents whose text contained an e-mail or handle."""
-    d = table(spark, sf, "documents").select("doc_id", "text", T.mask_pii("text").alias("masked"))
+    d = table(spark, sf, "documents").select("doc_id", "text", T.compute_once(T.mask_pii("text")).alias("masked"))
     return d.where(F.col("masked") != F.col("text")).select("doc_id", "masked")
 
 
@@ -92,8 +92,8 @@ def request_validation(spark, sf):
 
 @register("batch_validation", f"""
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_texts,
-       CAST(count(*) FILTER (WHERE {sql_validate_request('text')} IS NOT NULL) AS BIGINT) AS n_invalid,
-       (count(*) BETWEEN 1 AND 128 AND count(*) FILTER (WHERE {sql_validate_request('text')} IS NOT NULL) = 0)
+       CAST(count(*) FILTER (WHERE {sql_validate_request('text', True)} IS NOT NULL) AS BIGINT) AS n_invalid,
+       (count(*) BETWEEN 1 AND 128 AND count(*) FILTER (WHERE {sql_validate_request('text', True)} IS NOT NULL) = 0)
          AS accepted
 FROM conversations GROUP BY conv_id""")
 def batch_validation(spark, sf):

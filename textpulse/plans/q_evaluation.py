@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse.operators import evaluation as EV
+from textpulse.operators.scalars import attach
 from textpulse.plans.catalog import register
 from textpulse.plans.sqltext import view
-from textpulse.sources.tables import prediction_log
+from textpulse.sources.tables import prediction_log, table
 
 LOG = view("pred_log")
 LABELLED = f"(SELECT * FROM {LOG} WHERE true_label IS NOT NULL)"
@@ -65,32 +66,41 @@ def classification_summary(spark, sf):
                     *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")])
 
 
-@register("offline_evaluation", f"""
+OFFLINE_SQL = f"""
 SELECT round(avg(CASE WHEN prediction = true_label THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
-       CAST(count(*) AS BIGINT) AS total_samples, 'offline' AS type FROM {LABELLED}""")
+       CAST(count(*) AS BIGINT) AS total_samples, 'offline' AS type,
+       CASE WHEN count(*) = 0 THEN 'no labelled data' END AS message FROM {LABELLED}"""
+
+
+@register("offline_evaluation", OFFLINE_SQL)
 def offline_evaluation(spark, sf):
-    """accuracy (4 digits) and sample count over every labelled record."""
-    lab = labelled_pairs(spark, sf)
-    ok = F.when(F.col("prediction") == F.col("true_label"), 1.0).otherwise(0.0)
-    return lab.agg(F.round(F.avg(ok), 4).alias("accuracy"),
-                   F.count(F.lit(1)).cast("bigint").alias("total_samples")).withColumn("type", F.lit("offline"))
+    """accuracy (4 digits) and sample count over every labelled record; null
+    with a message where there is none."""
+    return EV.offline(prediction_log(spark, sf))
 
 
-_LAST50 = f"(SELECT * FROM {LABELLED} ORDER BY ts DESC, id DESC LIMIT 50)"
+@register("offline_evaluation_none", f"""
+SELECT CAST(NULL AS DOUBLE) AS accuracy, CAST(0 AS BIGINT) AS total_samples, 'offline' AS type,
+       CASE WHEN count(*) >= 0 THEN 'no labelled data' END AS message FROM {LABELLED}""")
+def offline_evaluation_none(spark, sf):
+    """F5 on the unlabelled records of the log."""
+    return EV.offline(prediction_log(spark, sf).where("true_label IS NULL"))
 
 
-@register("online_accuracy", f"""
+_LAST50 = f"(SELECT * FROM {LABELLED} ORDER BY ts DESC, id DESC LIMIT 50)"
+ONLINE_SQL = f"""
 SELECT CAST(count(*) AS BIGINT) AS total_samples,
-       CAST(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       CAST(coalesce(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END), 0) AS BIGINT) AS correct,
        round(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) / count(*), 4) AS accuracy,
        round(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) / count(*), 3) AS window_accuracy,
-       50 AS window_size FROM {_LAST50}""")
+       50 AS window_size, CASE WHEN count(*) = 0 THEN 'no labelled data' END AS message FROM {_LAST50}"""
+
+
+@register("online_accuracy", ONLINE_SQL)
 def online_accuracy(spark, sf):
-    """accuracy of the last 50 labelled records (by ts, then id)."""
-    w = EV.window_accuracy(EV.last_n_labelled(prediction_log(spark, sf), 50))
-    acc = F.col("correct") / F.col("total_samples")
-    return w.select("total_samples", "correct", F.round(acc, 4).alias("accuracy"),
-                    F.round(acc, 3).alias("window_accuracy"), F.lit(50).alias("window_size"))
+    """accuracy of the last 50 labelled records (by ts, then id); null
+    with a message where there is none."""
+    return EV.online(prediction_log(spark, sf), 50)
 
 
 @register("window_accuracy_by_key", f"""
@@ -125,13 +135,17 @@ def system_health(spark, sf):
     return health_frame(spark, sf)
 
 
-def health_frame(spark, sf):
-    off = offline_evaluation(spark, sf).select(F.col("accuracy").alias("offline_accuracy"))
-    on = online_accuracy(spark, sf).select(F.col("accuracy").alias("online_accuracy"))
+def health_of(offline, online):
+    """F8 from the two evaluations."""
+    j = attach(offline.select(F.col("accuracy").alias("offline_accuracy")),
+               online.select(F.col("accuracy").alias("online_accuracy")))
     score = EV.health(F.col("offline_accuracy"), F.col("online_accuracy"))
-    return off.crossJoin(on).select("offline_accuracy", "online_accuracy",
-                                    F.round(score, 3).alias("system_health_score"),
-                                    EV.health_status(score).alias("status"))
+    return j.select("offline_accuracy", "online_accuracy", F.round(score, 3).alias("system_health_score"),
+                    EV.health_status(score).alias("status"))
+
+
+def health_frame(spark, sf):
+    return health_of(offline_evaluation(spark, sf), online_accuracy(spark, sf))
 
 
 _LAT_SQL = f"""
@@ -157,24 +171,44 @@ def latency_stats(spark, sf):
     return latency_frame(spark, sf)
 
 
-@register("variant_comparison", f"""WITH {_LAT_SQL},
-b AS (SELECT mean_latency_ms AS bm, p95_latency_ms AS bp FROM st
-      ORDER BY CASE WHEN event_type = 'baseline' THEN 0 ELSE 1 END, event_type LIMIT 1)
-SELECT event_type, mean_latency_ms, p95_latency_ms,
-       CASE WHEN bm = 0 THEN 0.0 ELSE round(100.0 * (1 - mean_latency_ms / bm), 2) END AS latency_improvement_pct,
-       CASE WHEN bp = 0 THEN 0.0 ELSE round(100.0 * (1 - p95_latency_ms / bp), 2) END AS p95_improvement_pct
-FROM st, b""")
+def benchmark_sql() -> str:
+    """CTEs ending in ``tb``: the comparison table."""
+    def gain(x, base):
+        return f"CASE WHEN {base} = 0 THEN 0.0 ELSE round(100.0 * (1 - {x} / {base}), 2) END"
+    return f"""{_LAT_SQL},
+mem AS (SELECT event_type, round(max(CAST(json_extract_string(props, '$.k') AS INTEGER)) + avg(value), 3) AS peak_memory_mb,
+               round(count(DISTINCT user_id) / 1000.0, 3) AS model_size_mb FROM events GROUP BY 1),
+vs AS (SELECT st.*, mem.peak_memory_mb, mem.model_size_mb FROM st JOIN mem ON st.event_type = mem.event_type),
+b AS (SELECT mean_latency_ms AS bm, p95_latency_ms AS bp, peak_memory_mb AS bk, model_size_mb AS bs FROM vs
+      ORDER BY CASE WHEN event_type = 'baseline' THEN 0 ELSE 1 END, event_type LIMIT 1),
+tb AS (SELECT vs.*, {gain('mean_latency_ms', 'bm')} AS latency_improvement_pct,
+       {gain('p95_latency_ms', 'bp')} AS p95_improvement_pct, {gain('peak_memory_mb', 'bk')} AS memory_improvement_pct,
+       {gain('model_size_mb', 'bs')} AS size_reduction_pct FROM vs, b)"""
+
+
+def benchmark_frame(spark, sf):
+    """Variants are event types. The log holds no memory or model sizes; stand-ins
+    are derived from its columns so that the arithmetic runs on real rows."""
+    ev = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    mem = ev.groupBy("event_type").agg(F.round(F.max(k) + F.avg("value"), 3).alias("peak_memory_mb"),
+                                       F.round(F.countDistinct("user_id") / 1000.0, 3).alias("model_size_mb"))
+    return EV.compare_variants(latency_frame(spark, sf).join(mem, "event_type"), "event_type")
+
+
+@register("variant_comparison", f"WITH {benchmark_sql()} SELECT * FROM tb")
 def variant_comparison(spark, sf):
-    """improvement of each variant (event type) against the baseline row."""
-    return EV.compare_variants(latency_frame(spark, sf), "event_type")
+    """latency, memory and size gains of each variant (event type) against
+    the baseline row."""
+    return benchmark_frame(spark, sf)
 
 
-@register("latency_markdown", f"""WITH {_LAT_SQL},
-body AS (SELECT string_agg(printf('| %s | %d | %.3f | %.3f | %.3f | %.2f |', event_type, samples, mean_latency_ms,
-                                  p50_latency_ms, p95_latency_ms, throughput_rps), chr(10) ORDER BY event_type) AS b
-         FROM st)
+@register("latency_markdown", f"""WITH {benchmark_sql()},
+body AS (SELECT string_agg(printf('{EV.MARKDOWN_ROW}', event_type, mean_latency_ms, p50_latency_ms, p95_latency_ms,
+           throughput_rps, peak_memory_mb, model_size_mb, latency_improvement_pct, memory_improvement_pct), chr(10)
+           ORDER BY event_type) AS b FROM tb)
 SELECT concat_ws(chr(10), '{EV.MARKDOWN_HEADER.splitlines()[0]}', '{EV.MARKDOWN_HEADER.splitlines()[1]}', b)
        AS markdown FROM body""")
 def latency_markdown(spark, sf):
-    """the latency table rendered as markdown (one row)."""
-    return EV.markdown_table(latency_frame(spark, sf), "event_type")
+    """the comparison rendered as markdown (one row)."""
+    return EV.markdown_table(benchmark_frame(spark, sf), "event_type")

@@ -7,15 +7,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse.operators import drift as D
+from textpulse.operators import model as MD
+from textpulse.operators import monitoring as M
 from textpulse.plans.catalog import register
-from textpulse.plans.q_cleaning import cleaned_documents  # noqa: F401  (batch twin)
-from textpulse.plans.q_drift import _LAT_PROD, _LAT_REF
+from textpulse.plans.q_drift import _LAT_PROD, _LAT_REF, LATENCY_BORDER
+from textpulse.plans.q_sampling import split_reviews
 from textpulse.plans.sqltext import cleaned_docs, psi_sql, view
-from textpulse.session import materialize
-from textpulse.sources.sinks import write_alerts
-from textpulse.sources.tables import prediction_log
+from textpulse.session import materialize, scratch_path
+from textpulse.sources.sinks import ALERT_SCHEMA, INFERENCE_LOG_SCHEMA, read_json_log, write_alerts
+from textpulse.sources.tables import prediction_columns, prediction_log, table
 from textpulse.streaming import operators as SO
-from textpulse.streaming.runner import run_available_now, stream_dir, table_stream
+from textpulse.streaming.runner import latest, run_available_now, run_updates, stream_dir, table_stream
 
 LOG = view("pred_log")
 CLOSED = f"(SELECT max(ts) - INTERVAL 1 HOUR FROM {LOG})"
@@ -28,24 +30,55 @@ def stream_clean_documents(spark, sf):
     return spark.read.parquet(run_available_now(s))
 
 
-@register("stream_prediction_log", f"""
-SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text, prediction, latency_ms FROM {LOG}""")
-def stream_prediction_log(spark, sf):
-    """I2 + A7: the prediction log stream appended to a CSV inference log."""
-    s = SO.prediction_stream(table_stream(spark, sf, "events")).select(
-        "id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts_text"), "prediction", "latency_ms")
-    out = run_available_now(s, fmt="csv")
-    return spark.read.schema("id bigint, ts_text string, prediction string, latency_ms double").csv(out)
+@register("stream_scored_documents", f"SELECT doc_id, TRUE AS same_as_batch FROM {cleaned_docs()}")
+def stream_scored_documents(spark, sf):
+    """Documents scored on a stream by a saved and reloaded model; whether
+    each record equals the batch score."""
+    path = scratch_path(spark, "model")
+    MD.save(MD.RETRAIN_MODEL.fit(split_reviews(spark, sf).where("split = 'train'"), "text", "sentiment"), path)
+    model = MD.load(path)
+    # the retrain variant reads raw text: cleaned text stands in its column
+    docs = lambda d: d.withColumnRenamed("cleaned_text", "text")
+    stream = SO.cleaned_document_stream(table_stream(spark, sf, "documents", max_files_per_trigger=1))
+    out = spark.read.parquet(run_available_now(MD.predict(model, docs(stream), ["doc_id"])))
+    batch = MD.predict(model, docs(SO.cleaned_document_stream(table(spark, sf, "documents"))), ["doc_id"])
+    return out.join(batch.select("doc_id", F.col("prediction").alias("_p"), F.col("confidence").alias("_c")), "doc_id") \
+        .select("doc_id", ((F.col("prediction") == F.col("_p")) & (F.abs(F.col("confidence") - F.col("_c")) < 1e-9))
+                .alias("same_as_batch"))
 
 
-@register("stream_service_metrics", f"""
+@register("stream_prediction_log", f"""
+SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text, props AS text, prediction, latency_ms FROM (
+  SELECT l.*, e.props FROM {LOG} l JOIN events e ON l.id = e.event_id)""")
+def stream_prediction_log(spark, sf):
+    """I2 + A7: the prediction log stream, with the scored payload as its text,
+    appended to a JSON inference log."""
+    events = table_stream(spark, sf, "events")
+    s = prediction_columns(events.withColumn("text", F.col("props")), extra=["text"]).withWatermark("ts", SO.WATERMARK)
+    s = s.select("id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "text", "prediction",
+                 "latency_ms")
+    out = run_available_now(s, fmt="json")
+    log = spark.read.schema("id bigint, " + INFERENCE_LOG_SCHEMA).json(out)
+    return log.withColumnRenamed("timestamp", "ts_text")
+
+
+_METRICS_SQL = f"""
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, requests, mean_latency_ms, labelled
 FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS ws, event_type, CAST(count(*) AS BIGINT) AS requests,
              round(avg(latency_ms), 3) AS mean_latency_ms, CAST(count(true_label) AS BIGINT) AS labelled
-      FROM {LOG} GROUP BY time_bucket(INTERVAL 1 DAY, ts), event_type)
-WHERE ws + INTERVAL 1 DAY <= {CLOSED}""")
+      FROM {LOG} GROUP BY time_bucket(INTERVAL 1 DAY, ts), event_type)"""
+
+
+@register("stream_service_metrics", _METRICS_SQL)
 def stream_service_metrics(spark, sf):
-    """Per day and event type, written when the watermark closes the day."""
+    """Per day and event type, open days included (update mode)."""
+    s = SO.windowed_metrics(SO.prediction_stream(table_stream(spark, sf, "events")))
+    return latest(spark.read.parquet(run_updates(s)), ["window_start", "event_type"])
+
+
+@register("stream_closed_metrics", f"{_METRICS_SQL} WHERE ws + INTERVAL 1 DAY <= {CLOSED}")
+def stream_closed_metrics(spark, sf):
+    """I3 in append mode: a day is written once, when the watermark closes it."""
     s = SO.windowed_metrics(SO.prediction_stream(table_stream(spark, sf, "events")))
     return spark.read.parquet(run_available_now(s))
 
@@ -54,13 +87,12 @@ def stream_service_metrics(spark, sf):
 WITH s AS (SELECT TIMESTAMP '2023-12-31 00:00:00' + INTERVAL (h) HOUR AS ws FROM range(0, 24 * 40, 12) t(h))
 SELECT strftime(s.ws, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS requests,
        round(avg(latency_ms), 3) AS mean_latency_ms, CAST(count(true_label) AS BIGINT) AS labelled
-FROM {LOG} l JOIN s ON l.ts >= s.ws AND l.ts < s.ws + INTERVAL 1 DAY
-WHERE s.ws + INTERVAL 1 DAY <= {CLOSED} GROUP BY s.ws""")
+FROM {LOG} l JOIN s ON l.ts >= s.ws AND l.ts < s.ws + INTERVAL 1 DAY GROUP BY s.ws""")
 def stream_service_metrics_sliding(spark, sf):
-    """I3 sliding: 1-day windows every 12 hours."""
+    """I3 sliding: 1-day windows every 12 hours, open ones included."""
     s = SO.windowed_metrics(SO.prediction_stream(table_stream(spark, sf, "events")), "1 day", "12 hours",
                             by_type=False)
-    return spark.read.parquet(run_available_now(s))
+    return latest(spark.read.parquet(run_updates(s)), ["window_start"])
 
 
 @register("stream_window_accuracy", f"""
@@ -72,59 +104,94 @@ FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) A
 WHERE rn <= 50 GROUP BY key""")
 def stream_window_accuracy(spark, sf):
     """I4: rolling last-50 labelled accuracy per key with bounded state."""
-    s = SO.rolling_last_n_accuracy(SO.prediction_stream(table_stream(spark, sf, "events")), 50)
-    return SO.latest_per_key(spark.read.parquet(run_available_now(s)))
+    base = stream_dir(spark)
+    run_available_now(SO.prediction_stream(table_stream(spark, sf, "events")),
+                      foreach_batch=SO.rolling_last_n(50, base), base=base)
+    return SO.rolling_accuracy(spark.read.parquet(f"{base}/state"))
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 
 @register("stream_delayed_labels", f"""
 SELECT event_id AS id, CASE WHEN value >= 20 THEN 'positive' ELSE 'negative' END AS prediction,
-       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 THEN 'positive' ELSE 'negative' END
+       CASE WHEN event_type <> 'error' AND {_K} <= 60 THEN CASE WHEN {_K} % 2 = 0 THEN 'positive' ELSE 'negative' END END
          AS true_label,
-       CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 60 AS BIGINT) AS label_delay_min
-FROM events WHERE event_type <> 'error'""")
+       CASE WHEN event_type <> 'error' AND {_K} <= 60 THEN CAST({_K} AS BIGINT) END AS label_delay_min
+FROM events""")
 def stream_delayed_labels(spark, sf):
-    """Prediction stream joined with the later label stream (watermarks on
-    both sides, label within one hour of the prediction)."""
+    """Every prediction, with its label if one arrives within an hour
+    (watermarks on both sides); later labels are ignored."""
     j = SO.delayed_labels(table_stream(spark, sf, "events"), table_stream(spark, sf, "events"))
-    return spark.read.parquet(run_available_now(j))
+    return SO.with_pending(spark.read.parquet(run_available_now(j)), table(spark, sf, "events"))
 
 
 _DAILY = psi_sql(_LAT_REF, _LAT_PROD, prod_keys=("day",))
 
 
-@register("stream_daily_drift", f"""
-SELECT day, feature, psi, status, production_rows FROM ({_DAILY})
-WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= {CLOSED}""")
-def stream_daily_drift(spark, sf):
-    """I6 + I7: latency PSI of each closed day against the first week; days
-    whose status is not 'No change' are appended to the alert log."""
-    log = prediction_log(spark, sf)
-    cut = F.lit("2024-01-08 00:00:00").cast("timestamp")
-    ref_vc = materialize(log.where(F.col("ts") < cut).groupBy(F.lit("latency_ms").alias("feature"),
-                                                              F.col("latency_ms").alias("value"))
+def latency_baseline(spark, sf):
+    """Interior edges of the reference latencies and their bucket shares
+    (at most buckets + 1 rows)."""
+    log = prediction_log(spark, sf).where(F.col("ts") < F.lit(LATENCY_BORDER).cast("timestamp"))
+    ref_vc = materialize(log.groupBy(F.lit("latency_ms").alias("feature"), F.col("latency_ms").alias("value"))
                          .agg(F.count(F.lit(1)).alias("cnt")))
-    edges = D.reference_edges(ref_vc, 10).collect()[0]  # one row: <= 9 interior edges
-    inner, bins, n = list(edges["inner"]), edges["bins"], edges["n"]
-    e = F.size(F.filter(F.array(*[F.lit(float(x)) for x in inner]) if inner else F.array().cast("array<double>"),
-                        lambda x: F.col("value") >= x))
-    base = ref_vc.groupBy(e.alias("bucket")).agg((F.sum("cnt") / F.lit(n)).alias("e"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bucket"))
-    baseline = materialize(grid.join(base, "bucket", "left").select("bucket", F.coalesce("e", F.lit(0.0)).alias("e")))
-
-    pred = SO.prediction_stream(table_stream(spark, sf, "events")).where(F.col("ts") >= cut)
-    counts = SO.bucket_counts(pred, inner)
-    base_dir = stream_dir(spark)
-    out = f"{base_dir}/psi"
-
-    def per_batch(batch, batch_id):
-        # idempotent on retry: each micro-batch owns (and overwrites) one folder
-        r = SO.window_psi(batch, baseline, bins)
-        r.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        alerts = r.where(F.col("status") != D.STATUS_NO_CHANGE).select(
-            F.lit("DRIFT").alias("type"), F.lit("WARNING").alias("severity"),
-            F.concat(F.lit("Latency drift on "), F.col("day")).alias("message"),
-            F.to_json(F.struct("day", "psi", "status")).alias("meta"))
-        write_alerts(alerts, f"{base_dir}/alerts/batch_id={batch_id}", overwrite=True)
-
-    run_available_now(counts, foreach_batch=per_batch, base=base_dir)
-    return spark.read.parquet(out).select("day", "feature", "psi", "status", "production_rows")
+    edges = D.reference_edges(ref_vc, 10).first()  # one row: <= 9 interior edges
+    inner = [float(x) for x in edges["inner"]]
+    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in inner]).cast("array<double>"), lambda x: F.col("value") >= x))
+    shares = ref_vc.groupBy(bucket.alias("bucket")).agg((F.sum("cnt") / F.lit(edges["n"])).alias("e"))
+    grid = spark.range(edges["bins"]).select(F.col("id").cast("int").alias("bucket"))
+    return inner, materialize(grid.join(shares, "bucket", "left").select("bucket", F.coalesce("e", F.lit(0.0)).alias("e")))
+
+
+def run_daily_drift(spark, sf):
+    """Bucket counts of each day by stream, in update mode; after each batch
+    the days it touched are compared with the baseline."""
+    inner, baseline = latency_baseline(spark, sf)
+    pred = SO.prediction_stream(table_stream(spark, sf, "events")).where(
+        F.col("ts") >= F.lit(LATENCY_BORDER).cast("timestamp"))
+    counts = SO.bucket_counts(pred, inner).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "bucket", "cnt")
+    base = stream_dir(spark)
+
+    def after(batch_id):
+        updates = spark.read.parquet(f"{base}/out")
+        touched = updates.where(F.col("batch_id") == batch_id).select("day").distinct()
+        own = latest(updates.join(touched, "day", "left_semi"), ["day", "bucket"])
+        SO.window_psi(own, baseline).write.mode("overwrite").parquet(f"{base}/psi/batch_id={batch_id}")
+    run_updates(counts, base, after)
+    return latest(spark.read.parquet(f"{base}/psi"), ["day"])
+
+
+@register("stream_daily_drift", f"SELECT day, feature, psi, status, production_rows FROM ({_DAILY})")
+def stream_daily_drift(spark, sf):
+    """Latency PSI of each day against the reference days."""
+    return run_daily_drift(spark, sf).select("day", "feature", "psi", "status", "production_rows")
+
+
+@register("stream_alerts", f"""
+WITH p AS ({_DAILY}),
+a AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
+             round(sum(CASE WHEN prediction = true_label THEN 1 ELSE 0 END) / count(*), 3) AS accuracy
+      FROM {LOG} WHERE true_label IS NOT NULL GROUP BY 1)
+SELECT 'DRIFT' AS type, CASE WHEN status = 'Significant shift' THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+       'Latency drift on ' || day AS message,
+       '{{"day":"' || day || '","psi":' || printf('%.6f', psi) || '}}' AS meta FROM p WHERE status <> 'No change'
+UNION ALL
+SELECT 'METRICS', CASE WHEN accuracy < 0.6 THEN 'CRITICAL' ELSE 'WARNING' END,
+       CASE WHEN accuracy < 0.6 THEN 'Severe accuracy drop detected' ELSE 'Moderate accuracy drop detected' END,
+       '{{"day":"' || day || '","accuracy":' || printf('%.6f', accuracy) || '}}' FROM a WHERE accuracy < 0.75""")
+def stream_alerts(spark, sf):
+    """Drift and accuracy (H2) alerts per day, from streams, written to the
+    JSON alert log and read back from it."""
+    psi = run_daily_drift(spark, sf).where(F.col("status") != D.STATUS_NO_CHANGE)
+    drift = psi.select(
+        F.lit("DRIFT").alias("type"), F.when(F.col("status") == D.STATUS_SIGNIFICANT, "CRITICAL").otherwise("WARNING")
+        .alias("severity"), F.concat(F.lit("Latency drift on "), "day").alias("message"),
+        F.format_string('{"day":"%s","psi":%.6f}', "day", "psi").alias("meta"))
+    daily = SO.daily_accuracy(SO.prediction_stream(table_stream(spark, sf, "events"))).select(
+        F.date_format("w.start", "yyyy-MM-dd").alias("day"), "labelled", "correct")
+    daily = latest(spark.read.parquet(run_updates(daily)), ["day"])
+    daily = daily.select("day", F.round(F.col("correct") / F.col("labelled"), 3).alias("accuracy"))
+    drops = M.accuracy_alerts(daily, meta=F.format_string('{"day":"%s","accuracy":%.6f}', "day", "accuracy"))
+    path = scratch_path(spark, "alert_log")
+    write_alerts(drift.unionByName(drops), path)
+    return read_json_log(spark, path, ALERT_SCHEMA).select("type", "severity", "message", "meta")

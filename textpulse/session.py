@@ -64,6 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+    _written(spark, path)
+    return path
+
+
 def materialize(df):
     """Cut lineage: write ``df`` as a parquet table under the reliable
     checkpoint folder and read it back.
@@ -73,14 +80,16 @@ def materialize(df):
     would run the plan twice: once for the eager count and again to write the
     files.) The folder goes when the session's driver ends."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     df.write.mode("error").parquet(path)
-    _written(spark, path)
     return spark.read.parquet(path)
 
 
 def _written(spark: SparkSession, path: str) -> None:
-    """Have Hadoop's file system remove the folder when this driver's JVM ends."""
+    """Have Hadoop's file system remove the folder when this driver's JVM ends
+    (it asks for an existing path, so the folder is made first)."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    fs.deleteOnExit(target)

@@ -1,8 +1,9 @@
 """Dataset fingerprint and change detection.
 
-Order-independent: ``rows``, summed text length and the XOR of per-row hashes,
-each row hash being the first 15 hex digits of md5 over the '|'-joined column
-values. Two snapshots are equal iff their fingerprints are equal (up to hash
+Order-independent: ``rows``, summed text length, and the XOR and the sum of
+per-row hashes (a pair of equal rows cancels in the XOR, not in the sum), each
+row hash being the first 15 hex digits of md5 over the '|'-joined column values
+with nulls marked. Two snapshots are equal iff their fingerprints are equal (up to hash
 collisions), so a stage re-runs only when its input changed.
 """
 
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+NULL_MARK = "\x00"
+
+
 def row_hash(cols: Sequence[str]):
-    joined = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in cols])
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint")
 
 
@@ -23,18 +27,20 @@ def fingerprint(df: DataFrame, name: str, cols: Sequence[str], text_col: str | N
     chars = F.sum(F.length(F.col(text_col))) if text_col else F.lit(0)
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                   F.coalesce(chars, F.lit(0)).cast("bigint").alias("text_chars"),
-                  F.bit_xor(row_hash(cols)).alias("content_hash")) \
-             .select(F.lit(name).alias("table_name"), "rows", "text_chars", "content_hash")
+                  F.bit_xor(row_hash(cols)).alias("content_hash"),
+                  F.sum(row_hash(cols).cast("decimal(38,0)")).cast("string").alias("content_sum")) \
+             .select(F.lit(name).alias("table_name"), "rows", "text_chars", "content_hash", "content_sum")
 
 
 def sql_fingerprint(name: str, cols: Sequence[str], text_col: str | None) -> str:
-    joined = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+    joined = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in cols) + ")"
     chars = f"coalesce(sum(length({text_col})), 0)" if text_col else "0"
     return (f"(SELECT '{name}' AS table_name, CAST(count(*) AS BIGINT) AS rows, CAST({chars} AS BIGINT) AS text_chars, "
-            f"bit_xor(CAST('0x' || substr(md5({joined}), 1, 15) AS BIGINT)) AS content_hash FROM {name})")
+            f"bit_xor(CAST('0x' || substr(md5({joined}), 1, 15) AS BIGINT)) AS content_hash, "
+            f"CAST(sum(CAST('0x' || substr(md5({joined}), 1, 15) AS HUGEINT)) AS VARCHAR) AS content_sum FROM {name})")
 
 
 def changed(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Tables whose fingerprint differs between two snapshots (re-run needed)."""
-    keys = ["table_name", "rows", "text_chars", "content_hash"]
+    keys = ["table_name", "rows", "text_chars", "content_hash", "content_sum"]
     return current.select(*keys).join(previous.select(*keys), keys, "left_anti").select("table_name")

@@ -1,8 +1,8 @@
 """File sources and sinks.
 
 Every log is an append-only folder of files (JSON lines or CSV) written by
-Spark tasks, so batch readers and ``readStream`` read the same data; an
-explicit schema is always given (no inference pass over the data).
+Spark tasks, so batch readers and ``readStream`` read the same data; every
+reader has an explicit schema (no inference pass over the data).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.functions.labels import stars_to_sentiment
+from textpulse.functions.text import LABEL_COLUMNS, TEXT_COLUMNS, first_present
+from textpulse.operators.sampling import cap_per_class
 
 # ---- fixed values ---------------------------------------------------------
 REVIEW_CSV_SCHEMA = "text string, label string"
@@ -25,29 +27,36 @@ HEALTH_SCHEMA = ("timestamp string, request_count bigint, prediction_count bigin
 # ---------------------------------------------------------------------------
 
 
-def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: review CSV (``review``/``text``, ``label``/``sentiment``) with quoted
-    multi-line fields; columns renamed by presence (B1)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .csv(path))
-    if "review" in df.columns:
-        df = df.withColumnRenamed("review", "text")
-    if "label" in df.columns:
-        df = df.withColumnRenamed("label", "sentiment")
-    return df
+def read_review_csv(spark: SparkSession, path: str, schema: str = REVIEW_CSV_SCHEMA,
+                    multi_line: bool = False) -> DataFrame:
+    """A1: review CSV as ``(text, sentiment)``, whatever of the known names its
+    columns have (B1); rows missing either are left out. ``multi_line`` allows
+    line breaks in quoted fields, at the price of one task per file."""
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
+          .option("enforceSchema", False).csv(path))
+    text, label = first_present(df.columns, TEXT_COLUMNS), first_present(df.columns, LABEL_COLUMNS)
+    return df.select(F.col(text).alias("text"), F.col(label).alias("sentiment")).where(
+        F.col("text").isNotNull() & F.col("sentiment").isNotNull())
 
 
-def read_star_reviews(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_star_reviews(spark: SparkSession, path: str, max_per_class: int | None = None,
+                      max_lines: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A2: JSON lines with ``text`` and ``stars``; broken lines and rows missing
-    either field are skipped; returns ``(rows with sentiment, bad-line count)``."""
-    raw = (spark.read.schema(STAR_JSON_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_bad").json(path))
+    either field are skipped; returns ``(rows with sentiment, line counts)``.
+    ``max_lines`` reads the first raw lines only (A3), ``max_per_class`` caps the
+    rows of each class in seeded hash order of the text (C3)."""
+    lines = spark.read.text(path)
+    if max_lines is not None:
+        lines = lines.limit(max_lines)
+    raw = lines.select(F.from_json("value", STAR_JSON_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+                       .alias("r")).select("r.*")
     good = raw.where(F.col("_bad").isNull() & F.col("text").isNotNull() & F.col("stars").isNotNull())
     rows = good.select("text", "stars", stars_to_sentiment(F.col("stars")).alias("sentiment"))
-    # the scan must read a data column besides the corrupt-record one
-    bad = raw.agg(F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("bad_lines"),
-                  F.count(F.when(F.col("_bad").isNull() & F.col("text").isNotNull(), 1)).alias("text_lines"))
-    return rows, bad
+    if max_per_class is not None:
+        rows = cap_per_class(rows.withColumn("_id", F.md5("text")), "sentiment", "_id", max_per_class).drop("_id")
+    counts = raw.agg(F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("bad_lines"),
+                     F.count(F.when(F.col("_bad").isNull() & F.col("text").isNotNull(), 1)).alias("text_lines"))
+    return rows, counts
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -91,6 +100,28 @@ def write_alerts(alerts: DataFrame, path: str, overwrite: bool = False) -> None:
         append_json(stamped, path)
 
 
+def write_feedback(df: DataFrame, path: str) -> None:
+    """Feedback records as JSON lines, with the time of writing."""
+    append_json(_stamped(df, FEEDBACK_SCHEMA), path)
+
+
+def write_inference_log(df: DataFrame, path: str) -> None:
+    """Scored texts as JSON lines."""
+    append_json(_stamped(df, INFERENCE_LOG_SCHEMA), path)
+
+
+def write_health(snapshot: DataFrame, path: str) -> None:
+    """A service snapshot as one JSON line."""
+    append_json(_stamped(snapshot, HEALTH_SCHEMA), path)
+
+
+def _stamped(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``, ``timestamp`` being now where ``df`` has none."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return df.select(*[now.alias(c) if c == "timestamp" and c not in df.columns else F.col(c) for c in names])
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row report as a single JSON document."""
     report.coalesce(1).write.mode("overwrite").json(path)

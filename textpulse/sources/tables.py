@@ -6,6 +6,8 @@ columns and pushes filters down to the files.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction_columns(table(spark, sf_dir, "events"))
 
 
-def prediction_columns(ev: DataFrame) -> DataFrame:
+def prediction_columns(ev: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """The prediction-log projection of an events frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
@@ -66,7 +68,7 @@ def prediction_columns(ev: DataFrame) -> DataFrame:
          .when(k % 2 == 0, F.lit("positive"))
          .otherwise(F.lit("negative")).alias("true_label"),
         F.round(F.lit(0.5) + (k % 50) / F.lit(100.0), 2).alias("confidence"),
-        F.col("value").alias("latency_ms"),
+        F.col("value").alias("latency_ms"), *extra,
     )
 
 

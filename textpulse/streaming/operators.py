@@ -1,32 +1,34 @@
 """Streaming operators.
 
-* I1/I2 stateless scoring and log streams: the batch column expressions on a
-  stream, file sink with checkpoint (exactly-once).
-* I3 service metrics over event time: watermark + tumbling/sliding windows,
-  append mode (a window is written once, when the watermark passes its end).
-* I4 rolling last-N labelled accuracy per key: ``applyInPandasWithState`` with
-  a bounded state per key (the N newest labelled records by (ts, id)); merging
-  keeps the newest N whatever the arrival order, so the result equals the
-  batch twin.
-* I5 delayed labels: stream-stream join with watermarks on both sides and an
-  event-time interval, so join state is dropped once a label cannot arrive.
-* I6/I7 drift per window: bucket counts per (day, bucket) in windowed state,
-  PSI against the broadcast baseline shares in ``foreachBatch`` when a day
-  closes, alerts appended as JSON lines.
+* I1/I2 stateless cleaning, scoring and log streams: the batch column
+  expressions (and the saved model) on a stream, file sink with checkpoint
+  (exactly-once).
+* I3 service metrics over event time: watermark + tumbling/sliding windows, in
+  append mode (a window is written once, when the watermark passes its end) or in
+  update mode (every window, also the open ones).
+* I4 rolling last-N labelled accuracy per key: each micro-batch keeps the newest
+  N of a key in the JVM (a window with a group limit before its shuffle) and
+  merges them with the newest N kept so far; whatever the arrival order, the
+  result equals the batch twin.
+* I5 delayed labels: stream-stream left outer join with watermarks on both sides
+  and an event-time interval, so join state is dropped once a label cannot arrive.
+* I6/I7 drift per window: bucket counts per (day, bucket) in windowed state, PSI
+  against the baseline shares and accuracy per day in ``foreachBatch``, alerts
+  written as JSON lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from textpulse.functions.text import clean_text, compute_once
 from textpulse.operators.drift import PSI_EPSILON, classify_psi
+from textpulse.operators.model import predict
+from textpulse.operators.scalars import attach
 from textpulse.sources.tables import prediction_columns
 
 WATERMARK = "1 hour"
@@ -56,70 +58,76 @@ def windowed_metrics(pred: DataFrame, duration: str = "1 day", slide: str | None
                     F.col("labelled").cast("bigint").alias("labelled"))
 
 
-LAST_N_OUT = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("version", T.LongType()),
-    T.StructField("total_samples", T.LongType()), T.StructField("correct", T.LongType())])
-LAST_N_STATE = T.StructType([
-    T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType())),
-    T.StructField("ok", T.ArrayType(T.IntegerType())), T.StructField("version", T.LongType())])
-
-
-def _last_n_updater(n: int):
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            ts, ids, ok, version = state.get
-            kept = pd.DataFrame({"t": list(ts), "id": list(ids), "ok": list(ok)})
-        else:
-            kept, version = pd.DataFrame({"t": [], "id": [], "ok": []}), 0
-        for b in batches:
-            kept = pd.concat([kept, pd.DataFrame({"t": b["t"], "id": b["id"], "ok": b["ok"]})])
-            # bounded state: only the newest n labelled records by (ts, id)
-            kept = kept.sort_values(["t", "id"]).tail(n)
-        version += 1
-        state.update((kept["t"].astype("int64").tolist(), kept["id"].astype("int64").tolist(),
-                      kept["ok"].astype("int32").tolist(), version))
-        yield pd.DataFrame({"key": [key[0]], "version": [version], "total_samples": [len(kept)],
-                            "correct": [int(kept["ok"].sum())]})
-    return update
+def scored_document_stream(docs: DataFrame, model: PipelineModel) -> DataFrame:
+    """Cleaned and scored documents: the model's record for each text."""
+    return predict(model, cleaned_document_stream(docs), ["doc_id"])
+
 
+def newest(labelled: DataFrame, n: int, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """The newest ``n`` records of each key by (ts, id)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("id"))
+    return labelled.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
-def rolling_last_n_accuracy(pred: DataFrame, n: int = 50) -> DataFrame:
-    """I4: per key, the accuracy of its newest ``n`` labelled records."""
-    lab = pred.where(F.col("true_label").isNotNull()).select(
-        "key", "ts", F.unix_micros("ts").alias("t"), F.col("id"),
-        F.when(F.col("prediction") == F.col("true_label"), 1).otherwise(0).alias("ok"))
-    return lab.groupBy("key").applyInPandasWithState(
-        _last_n_updater(n), LAST_N_OUT, LAST_N_STATE, "append", GroupStateTimeout.NoTimeout)
 
+def rolling_last_n(n: int, base: str):
+    """I4 as a ``foreachBatch`` function: after batch b, ``<base>/state/batch_id=b``
+    holds the newest ``n`` labelled records of every key. A retried batch reads
+    the state of the batch before it again and overwrites its own."""
+    def update(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("true_label").isNotNull()).select(
+            "key", "ts", "id", (F.col("prediction") == F.col("true_label")).alias("ok"))
+        rows = newest(rows, n)
+        if batch_id > 0:
+            rows = newest(rows.unionByName(batch.sparkSession.read.parquet(f"{base}/state/batch_id={batch_id - 1}")), n)
+        rows.write.mode("overwrite").parquet(f"{base}/state/batch_id={batch_id}")
+    return update
 
-def latest_per_key(updates: DataFrame) -> DataFrame:
-    """Final state of I4 from its appended updates (bounded: one row per key
-    and batch)."""
-    best = updates.groupBy("key").agg(F.max("version").alias("version"))
-    u = updates.join(best, ["key", "version"])
-    return u.select("key", "total_samples", "correct",
+
+def rolling_accuracy(state: DataFrame) -> DataFrame:
+    """I4: per key, the accuracy over its newest labelled records."""
+    last = state.where(F.col("batch_id") == state.agg(F.max("batch_id")).scalar())
+    g = last.groupBy("key").agg(F.count(F.lit(1)).cast("bigint").alias("total_samples"),
+                                F.sum(F.col("ok").cast("int")).cast("bigint").alias("correct"))
+    return g.select("key", "total_samples", "correct",
                     F.round(F.col("correct") / F.col("total_samples"), 3).alias("accuracy"))
 
 
-def delayed_labels(pred_events: DataFrame, label_events: DataFrame, max_delay: str = "1 hour") -> DataFrame:
-    """Predictions joined with labels that arrive later (label time within
-    ``max_delay`` after the prediction). Labels are derived from the same
-    events: delay = k mod 60 minutes."""
-    p = prediction_columns(pred_events).select("id", "ts", "prediction").withWatermark("ts", "2 hours")
+MAX_LABEL_DELAY = "1 hour"
+
+
+def label_stream(events: DataFrame) -> DataFrame:
+    """Labels that arrive k minutes after their event (k from the log, up to 99:
+    some come too late); error events get none."""
     k = F.get_json_object("props", "$.k").cast("int")
-    lab = label_events.where(F.col("event_type") != "error").select(
-        F.col("event_id").alias("lid"),
-        (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=k % 60)).alias("label_ts"),
-        F.when(k % 2 == 0, "positive").otherwise("negative").alias("true_label")
-    ).withWatermark("label_ts", "2 hours")
+    return events.where(F.col("event_type") != "error").select(
+        F.col("event_id").alias("lid"), (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=k)).alias("label_ts"),
+        F.when(k % 2 == 0, "positive").otherwise("negative").alias("true_label"))
+
+
+def delayed_labels(pred_events: DataFrame, label_events: DataFrame, max_delay: str = MAX_LABEL_DELAY) -> DataFrame:
+    """Predictions, left outer joined with labels that arrive within
+    ``max_delay`` after them; a prediction without one keeps null labels. A
+    streaming join gives such a row once the watermark has passed its interval;
+    ``pending`` adds those that still wait."""
+    p = prediction_columns(pred_events).select("id", "ts", "prediction")
+    lab = label_stream(label_events)
+    if pred_events.isStreaming:
+        p, lab = p.withWatermark("ts", "2 hours"), lab.withWatermark("label_ts", "2 hours")
     cond = (F.col("id") == F.col("lid")) & (F.col("label_ts") >= F.col("ts")) & \
            (F.col("label_ts") <= F.col("ts") + F.expr(f"INTERVAL {max_delay}"))
-    j = p.join(lab, cond, "inner")
+    j = p.join(lab, cond, "left_outer")
     return j.select("id", "prediction", "true_label",
                     ((F.unix_micros("label_ts") - F.unix_micros("ts")) / 60_000_000).cast("bigint")
                     .alias("label_delay_min"))
 
 
+def with_pending(joined: DataFrame, events: DataFrame) -> DataFrame:
+    """``joined`` and, without a label, the predictions whose wait isn't over."""
+    waiting = prediction_columns(events).select("id", "prediction").join(joined.select("id"), "id", "left_anti")
+    return joined.unionByName(waiting.select("id", "prediction", F.lit(None).cast("string").alias("true_label"),
+                                             F.lit(None).cast("bigint").alias("label_delay_min")))
+
+
 def bucket_counts(pred: DataFrame, inner_edges: list[float]) -> DataFrame:
     """I6 state: per (day, bucket) counts of latency, edges broadcast as a
     literal array (buckets + 1 values at most)."""
@@ -129,18 +137,24 @@ def bucket_counts(pred: DataFrame, inner_edges: list[float]) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def window_psi(closed: DataFrame, baseline: DataFrame, bins: int) -> DataFrame:
-    """PSI of each closed day from its bucket counts against the baseline
+def daily_accuracy(pred: DataFrame) -> DataFrame:
+    """I7 state: labelled and correct predictions per day."""
+    ok = F.when(F.col("prediction") == F.col("true_label"), 1).otherwise(0)
+    return pred.where(F.col("true_label").isNotNull()).groupBy(F.window("ts", "1 day").alias("w")).agg(
+        F.count(F.lit(1)).alias("labelled"), F.sum(ok).alias("correct"))
+
+
+def window_psi(counts: DataFrame, baseline: DataFrame) -> DataFrame:
+    """PSI of each day from its ``(day, bucket, cnt)`` against the baseline
     shares ``(bucket, e)``; zero shares become epsilon, as in the batch form."""
-    day = F.date_format("w.start", "yyyy-MM-dd")
-    c = closed.select(day.alias("day"), "bucket", "cnt")
-    m = c.groupBy("day").agg(F.sum("cnt").alias("m"))
-    grid = m.crossJoin(F.broadcast(baseline))
-    j = grid.join(c, ["day", "bucket"], "left")
-    a = F.coalesce(F.col("cnt"), F.lit(0)) / F.col("m")
+    m = counts.groupBy("day").agg(F.sum("cnt").alias("m"), F.map_from_entries(F.collect_list(
+        F.struct("bucket", "cnt"))).alias("own"))  # a day has one row a bucket
+    shares = baseline.agg(F.sort_array(F.collect_list(F.struct("bucket", "e"))).alias("shares"))
+    grid = attach(m, shares).select("day", "m", "own", F.explode("shares").alias("s"))
+    a = F.coalesce(F.try_element_at("own", F.col("s.bucket")), F.lit(0)) / F.col("m")
     a = F.when(a == 0, PSI_EPSILON).otherwise(a)
-    e = F.when(F.col("e") == 0, PSI_EPSILON).otherwise(F.col("e"))
-    t = j.select("day", "m", ((a - e) * F.log(a / e)).alias("term"))
+    e = F.when(F.col("s.e") == 0, PSI_EPSILON).otherwise(F.col("s.e"))
+    t = grid.select("day", "m", ((a - e) * F.log(a / e)).alias("term"))
     r = t.groupBy("day").agg(F.sum("term").alias("psi_raw"), F.first("m").alias("m"))
     return r.select("day", F.lit("latency_ms").alias("feature"), F.round("psi_raw", 6).alias("psi"),
                     classify_psi(F.col("psi_raw")).alias("status"),

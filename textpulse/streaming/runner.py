@@ -3,26 +3,31 @@ sink and checkpoint live under the shared checkpoint folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textpulse.session import ensure_checkpoint_dir
+from textpulse.session import scratch_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None
                  ) -> DataFrame:
-    """A file stream over ``<sf_dir>/<name>.parquet`` (new files of the same
-    name pattern are picked up by later triggers)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A file stream over the table ``<sf_dir>/<name>.parquet``: the table's own
+    folder of part files, where new ones are picked up by later triggers, or a
+    single file of that name."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(target).isDirectory():
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def stream_dir(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return scratch_path(spark, "streams")
 
 
 def run_available_now(df: DataFrame, mode: str = "append", fmt: str = "parquet",
@@ -39,3 +44,25 @@ def run_available_now(df: DataFrame, mode: str = "append", fmt: str = "parquet",
     q = w.start()
     q.awaitTermination()
     return f"{base}/out"
+
+
+def run_updates(df: DataFrame, base: str | None = None, after=None) -> str:
+    """Run an aggregating stream in update mode: every micro-batch writes the
+    rows it changed to a folder of its own (overwritten on a retry), so windows
+    that the watermark hasn't closed are there too. ``after(batch_id)`` runs once
+    the batch is written. Read the result with ``latest``."""
+    base = base or stream_dir(df.sparkSession)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+        if after is not None:
+            after(batch_id)
+    run_available_now(df, mode="update", foreach_batch=write, base=base)
+    return f"{base}/out"
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key, the row of the last batch that changed it."""
+    values = [c for c in updates.columns if c not in keys and c != "batch_id"]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
