@@ -117,7 +117,8 @@ def test_long_texts_in_pieces_and_small_buckets(spark, monkeypatch):
     monkeypatch.setattr(windows, "BUCKET_BYTES", 500)
     for module in (substring, suffixes):
         monkeypatch.setattr(module, "CHUNK", 300)
-        monkeypatch.setattr(module, "BATCH", 2000)
+    monkeypatch.setattr(windows, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(windows, "BATCH_KEYS", 200)
     df = brute.frame(spark, rows)
     assert brute.collected(substring.digest(df), "doc_id", "n_words", "n_removed", "kept_sha256") == words
     assert brute.collected(suffixes.digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == data

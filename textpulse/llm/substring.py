@@ -27,21 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textpulse.llm import windows
-from textpulse.llm.windows import Outbox, mix, runs_of, sliding_min
+from textpulse.llm.windows import mix, runs_of, sliding_min
 
 WINDOW, MINIMISER = 13, 3
 CHUNK = 4 << 20  # bytes of text whose windows are computed together
-BATCH = 48 << 20  # bytes of super-k-mers packed together
 PLACE = 28  # low bits of a minimiser's key: its place
 BASE = 0x9E3779B97F4A7C15
 
 
-def _super_kmers(box: Outbox, ids: list[int], tags: list[int], texts: list[list[bytes]]) -> None:
-    """Put the super-k-mers of some documents (as word lists) into ``box``."""
-    words = [w for t in texts for w in t]
+def _pieces(text: bytes) -> list[tuple[int, bytes]]:
+    return [(0, text)]
+
+
+def _runs(at: np.ndarray, texts: tuple[bytes, ...]) -> tuple | None:
+    """The super-k-mers of some documents: the text that holds them, the document
+    of each, and their begin, end (bytes), minimiser and first word."""
+    split = [t.split() for t in texts]
+    words = [w for t in split for w in t]
     if len(words) < WINDOW:
-        return
-    n = np.array([len(t) for t in texts], np.int64)
+        return None
+    n = np.array([len(t) for t in split], np.int64)
     first = np.cumsum(n) - n
     own = np.repeat(np.arange(len(n)), n)
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -50,38 +55,15 @@ def _super_kmers(box: Outbox, ids: list[int], tags: list[int], texts: list[list[
     grams = np.zeros(len(words) - MINIMISER + 1, np.uint64)
     for k in range(MINIMISER):
         grams = grams * np.uint64(BASE) + code[k:len(code) - MINIMISER + 1 + k]
-    keys = mix(grams) >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(grams), dtype=np.uint64)
+    grams = mix(grams)
+    keys = grams >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(grams), dtype=np.uint64)
     keys = sliding_min(keys, WINDOW - MINIMISER + 1)
-    whole = np.flatnonzero(own[:len(keys)] == own[WINDOW - 1:])
-    a, b = runs_of(keys, whole)
+    a, b = runs_of(keys, np.flatnonzero(own[:len(keys)] == own[WINDOW - 1:]))
     if not len(a):
-        return
-    text = b" ".join(words)
+        return None
     last = b + WINDOW - 1
-    strings = [text[i:j] for i, j in zip(begin[a].tolist(), (begin[last] + size[last]).tolist())]
-    doc = own[a]
-    box.add(strings, keys[a] >> np.uint64(PLACE), np.array(ids, np.int64)[doc], np.array(tags, np.int32)[doc],
-            a - first[doc])
-
-
-def _emit(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(buckets)
-        held, size = [], 0
-        for batch in batches:
-            for d, t, g in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-                t = t.as_py() or b""
-                held.append((d, g, t.split()))
-                size += len(t)
-                if size > CHUNK:
-                    _super_kmers(box, *zip(*held))
-                    held, size = [], 0
-                    if box.size > BATCH:
-                        yield from box.rows()
-        if held:
-            _super_kmers(box, *zip(*held))
-        yield from box.rows()
-    return run
+    gram = grams[(keys[a] & np.uint64((1 << PLACE) - 1)).astype(np.int64)]
+    return b" ".join(words), own[a], (begin[a], begin[last] + size[last], gram, a - first[own[a]])
 
 
 def _count(texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -142,7 +124,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     that stay, joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = windows.with_tag(docs)
-    spans = windows.repeated_spans(docs, _emit, _count, _group, WINDOW)
+    spans = windows.repeated_spans(docs, _runs, _pieces, CHUNK, _count, _group, WINDOW)
     return windows.join_spans(docs, spans).mapInArrow(
         _apply, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
@@ -157,7 +139,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sha, pa.string())],
                                              ["doc_id", "n_words", "n_removed", "kept_sha256"])
     docs = windows.with_tag(docs)
-    spans = windows.repeated_spans(docs, _emit, _count, _group, WINDOW)
+    spans = windows.repeated_spans(docs, _runs, _pieces, CHUNK, _count, _group, WINDOW)
     return windows.join_spans(docs, spans).mapInArrow(
         run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 

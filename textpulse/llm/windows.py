@@ -3,26 +3,30 @@
 Both exact repeat finders (``substring``: words, ``suffixes``: bytes) work alike:
 
 1. Each document's windows are cut into runs that share a minimiser (the
-   smallest hashed k-gram inside the window, the leftmost if equal). Equal
-   windows have equal minimisers, so a run travels as one packed string (a
-   super-k-mer) to its minimiser's bucket.
-2. Before that, equal strings of a batch become one, with the smallest
-   document: a passage that a third of all documents share is one string a
-   batch. Strings (part 0) and where they occur (part 1) are separate,
-   compressed rows.
-3. A bucket reads its strings first. Strings alone with their minimiser can't
-   share a window and are set aside; the others' windows are compared exactly.
-   Each window's first document follows. The occurrences then stream past,
-   batch by batch, and give the spans to remove, so memory holds distinct
-   strings only, never the members of a group.
-4. Spans go to their documents and are applied there.
-
-Buckets are dealt by size: about ``BUCKET_BYTES`` of text each at any scale.
+   smallest hashed k-gram inside the window, the leftmost if equal); a run's
+   text is a super-k-mer. Equal windows have equal minimisers.
+2. A sieve: only the minimisers' hashes travel first, a few bytes each. Runs
+   whose minimiser occurs in one document alone can't share a window; the others
+   are named to their documents.
+3. The named runs travel as packed strings to their minimiser's bucket. A bucket
+   compares the windows of its distinct strings exactly and learns each window's
+   first document.
+4. Spans to remove go to their documents and are applied there.
+
+In 2 and 3, what is equal in a batch is sent once, with its smallest and largest
+document: a passage that a third of all documents share is one hash and one
+string a batch. What is compared (part 0) and where it occurs (part 1) are
+separate rows; a task reads a bucket's part 0 first, and the occurrences then
+stream past, so memory holds distinct hashes and strings, never the members of
+a group. Buckets are dealt by size: about ``BUCKET_BYTES`` of text each at any
+scale. Steps 3 and 4 join the same exchange of the texts, which Spark reuses:
+texts are shuffled once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ from textpulse.llm.common import save
 
 BUCKET_BYTES = 4 << 20
 TASK_BUCKETS = 4
+BATCH_KEYS, BATCH_BYTES = 4 << 20, 48 << 20  # minimisers, and bytes of strings, packed together
 ROWS = "bucket int, part int, origin long, data binary"
 
 
@@ -92,11 +97,71 @@ def _unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
 
 
+def _rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(out), 64):
+        cols = list(zip(*out[k:k + 64]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+             pa.array(cols[3], pa.binary())], ["bucket", "part", "origin", "data"])
+
+
+def _task() -> int:
+    """First number for the batches of this task."""
+    context = TaskContext.get()
+    return context.partitionId() << 32 if context else 0
+
+
+def _low_bytes(hashes: np.ndarray) -> bytes:
+    """Five bytes of each hash (the bucket holds others): a false match costs
+    work, never a result."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+class Keybox:
+    """Collects the minimisers of a batch and packs them by bucket."""
+
+    def __init__(self, buckets: int, limit: int):
+        self.buckets, self.limit, self.origin, self.held, self.size = buckets, limit, _task(), [], 0
+
+    def add(self, runs: tuple, text: bytes) -> None:
+        _, _, hashes, docs, tags, starts, _ = runs
+        self.held.append((hashes, docs.astype(np.int64), tags.astype(np.int32), starts.astype(np.uint32)))
+        self.size += len(hashes)
+
+    def full(self) -> bool:
+        return self.size > self.limit
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        hashes, docs, tags, starts = (np.concatenate([h[i] for h in self.held]) for i in range(4))
+        self.held, self.size = [], 0
+        to = (mix(hashes) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(self.buckets + 1))
+        out = []
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            own = order[cuts[b]:cuts[b + 1]]
+            each, first, of = np.unique(hashes[own], return_index=True, return_inverse=True)
+            rank = np.argsort(first)  # numbered as they come, which packs well
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            of, each, d = place[of], each[rank], docs[own]
+            low, high = np.full(len(each), np.iinfo(np.int64).max), np.full(len(each), np.iinfo(np.int64).min)
+            np.minimum.at(low, of, d)
+            np.maximum.at(high, of, d)
+            out.append((b, 0, self.origin, _pack(_low_bytes(each), low, high - low)))
+            out.append((b, 1, self.origin, _pack(np.diff(of, prepend=0).astype(np.int32), np.diff(d, prepend=0),
+                                                 tags[own], starts[own])))
+        self.origin += 1
+        yield from _rows(out)
+
+
 class Outbox:
     """Collects the super-k-mers of a batch and packs them by bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.origin = buckets, (TaskContext.get().partitionId() << 32 if TaskContext.get() else 0)
+    def __init__(self, buckets: int, limit: int):
+        self.buckets, self.limit, self.origin = buckets, limit, _task()
         self.clear()
 
     def clear(self) -> None:
@@ -106,8 +171,13 @@ class Outbox:
         self.where: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, strings: list[bytes], minimisers: np.ndarray, docs: np.ndarray, tags: np.ndarray,
-            starts: np.ndarray) -> None:
+    def add(self, runs: tuple, text: bytes) -> None:
+        """``runs``: begin, end, minimiser, document, tag and start of each run in
+        ``text``, and which of them were named."""
+        begin, end, minimisers, docs, tags, starts, named = runs
+        begin, end, minimisers, docs, tags, starts = (
+            x[named] for x in (begin, end, minimisers, docs, tags, starts))
+        strings = [text[i:j] for i, j in zip(begin.tolist(), end.tolist())]
         known = len(self.seen)
         put = self.seen.setdefault
         of = np.array([put(s, len(self.seen)) for s in strings], np.int64)
@@ -117,7 +187,10 @@ class Outbox:
         self.mins.append(mins)
         self.of.append(of)
         self.where.append((docs.astype(np.int64), tags.astype(np.int32), starts.astype(np.uint32)))
-        self.size += sum(map(len, strings))
+        self.size += int((end - begin).sum())
+
+    def full(self) -> bool:
+        return self.size > self.limit
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.seen:
@@ -144,11 +217,7 @@ class Outbox:
                                                  docs[at], tags[at], starts[at])))
         self.origin += 1
         self.clear()
-        for k in range(0, len(out), 64):
-            cols = list(zip(*out[k:k + 64]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.binary())], ["bucket", "part", "origin", "data"])
+        yield from _rows(out)
 
 
 class Bucket:
@@ -219,44 +288,144 @@ class Bucket:
         return docs[own], tags[own], starts[own] + nth[up], starts[own] + nth[down] + width
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
+    """(bucket's state, part, origin, data), a new ``kind()`` for each bucket."""
+    now, at = None, None
+    for batch in batches:
+        for b, part, origin, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != now:
+                now, at = b, kind()
+            yield at, part, origin, data
+
+
+class Sieve:
+    """The distinct minimisers of one bucket, and which occur in two documents."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+        self.shared: dict[int, np.ndarray] | None = None
+
+    def keys(self, origin: int, data: bytes) -> None:
+        raw, low, more = _unpack(data)
+        wide = np.zeros((len(raw) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        low = np.frombuffer(low, np.int64)
+        self.held.append((origin, wide.view(np.uint64).ravel(), low, low + np.frombuffer(more, np.int64)))
+
+    def solve(self) -> None:
+        _, of = np.unique(np.concatenate([h[1] for h in self.held]), return_inverse=True)
+        low, high = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(low, of, np.concatenate([h[2] for h in self.held]))
+        np.maximum.at(high, of, np.concatenate([h[3] for h in self.held]))
+        parts = np.split((low < high)[of], np.cumsum([len(h[1]) for h in self.held])[:-1])
+        self.shared = {h[0]: p for h, p in zip(self.held, parts)}
+        self.held = []
+
+    def named(self, origin: int, data: bytes) -> tuple:
+        of, docs, tags, starts = (np.frombuffer(x, t) for x, t in
+                                  zip(_unpack(data), (np.int32, np.int64, np.int32, np.uint32)))
+        keep = self.shared[origin][np.cumsum(of)]
+        return np.cumsum(docs)[keep], tags[keep], starts[keep].astype(np.int64)
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for at, part, origin, data in _by_bucket(batches, Sieve):
+        if part == 0:
+            at.keys(origin, data)
+            continue
+        if at.shared is None:
+            at.solve()
+        docs, tags, starts = at.named(origin, data)
+        if len(docs):
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(tags), pa.array(starts)],
+                                             ["doc_id", "tag", "start"])
+
+
 def _solve_buckets(count: Callable, group: Callable, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = None, Bucket()
+        for at, part, origin, data in _by_bucket(batches, Bucket):
+            if part == 0:
+                at.strings(origin, data)
+                continue
+            if not at.solved:
+                at.solve(count, group)
+            if (found := at.spans(origin, data, width)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "tag", "start", "end"])
+    return run
+
+
+def _emit(runs: Callable, pieces: Callable, chunk: int, box_of: Callable):
+    """Rows of a box from (doc_id, text, tag[, named starts])."""
+    def flush(box, held: list) -> None:
+        ids, tags, named, at, texts = zip(*held)
+        if found := runs(np.array(at, np.int64), texts):
+            text, doc, (begin, end, hashes, starts) = found
+            pick = slice(None)
+            if named[0] is not None:
+                known = np.concatenate([(np.asarray(s, np.int64) + (k << 40)) for k, s in enumerate(named)])
+                pick = np.isin(starts + (doc.astype(np.int64) << 40), known)
+            box.add((begin, end, hashes, np.array(ids, np.int64)[doc], np.array(tags, np.int32)[doc], starts, pick), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box, held, size = box_of(), [], 0
         for batch in batches:
-            for b, part, origin, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if b != now:
-                    now, at = b, Bucket()
-                if part == 0:
-                    at.strings(origin, data)
+            named = batch.column(3) if batch.num_columns > 3 else None
+            for k, (d, t, g) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))):
+                if named is not None and not named[k].is_valid:
                     continue
-                if not at.solved:
-                    at.solve(count, group)
-                if (found := at.spans(origin, data, width)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found],
-                                                     ["doc_id", "tag", "start", "end"])
+                own = named[k].values.to_numpy(zero_copy_only=False) if named is not None else None
+                for at, text in pieces(t.as_py() or b""):
+                    held.append((d.as_py(), g.as_py(), own, at, text))
+                    size += len(text)
+                    if size >= chunk:
+                        flush(box, held)
+                        held, size = [], 0
+                        if box.full():
+                            yield from box.rows()
+        if held:
+            flush(box, held)
+        yield from box.rows()
     return run
 
 
-def repeated_spans(docs: DataFrame, emit: Callable, count: Callable, group: Callable, width: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, runs: Callable, pieces: Callable, chunk: int, count: Callable,
+                   group: Callable, width: int) -> DataFrame:
     """(doc_id, tag, spans): what windows that also start in a smaller document
     cover, as (start, end) pairs in any order. ``docs``: (doc_id, text, tag)."""
     buckets = bucket_count(docs)
-    rows = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "tag").mapInArrow(emit(buckets), ROWS)
-    # a task reads a few buckets, one after the other, strings before occurrences
-    rows = (rows.repartition(max(1, buckets // TASK_BUCKETS), "bucket")
-            .sortWithinPartitions("bucket", "part"))
-    found = rows.mapInArrow(_solve_buckets(count, group, width), "doc_id long, tag int, start long, end long")
+    tasks = max(1, buckets // TASK_BUCKETS)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        # a task reads a few buckets, one after the other, part 0 before part 1
+        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "part")
+    long_id = F.col("doc_id").cast("long").alias("doc_id")
+    keys = docs.where("doc_id IS NOT NULL").select(long_id, "text", "tag").mapInArrow(
+        _emit(runs, pieces, chunk, partial(Keybox, buckets, BATCH_KEYS)), ROWS)
+    named = (dealt(keys).mapInArrow(_sift, "doc_id long, tag int, start long")
+             .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts")))
+    # rows without starts are passed over in the task: a filter here would reach
+    # the texts' exchange and make it another one
+    strings = join_tagged(docs, named, "starts").select(
+        long_id, "text", "tag", "starts").mapInArrow(
+        _emit(runs, pieces, chunk, partial(Outbox, buckets, BATCH_BYTES)), ROWS)
+    found = dealt(strings).mapInArrow(_solve_buckets(count, group, width),
+                                      "doc_id long, tag int, start long, end long")
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def join_tagged(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with the columns of ``found`` for its document, or nulls. A left
+    join both times, so that both times the same texts are exchanged."""
+    found = found.select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), *columns)
+    return docs.join(found, (F.col("doc_id") == F.col("of_doc")) & (F.col("tag") == F.col("of_tag")),
+                     "left").select("doc_id", "text", "tag", *columns)
+
+
 def join_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, starts, ends) for every row of ``docs``, null where
     nothing goes."""
-    spans = spans.select(F.col("doc_id").alias("span_doc"), F.col("tag").alias("span_tag"),
-                         F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-    return docs.join(spans, (F.col("doc_id") == F.col("span_doc")) & (F.col("tag") == F.col("span_tag")),
-                     "left").select("doc_id", "text", "starts", "ends")
+    return join_tagged(docs, spans, "spans").select("doc_id", "text", F.col("spans.start").alias("starts"),
+                                                    F.col("spans.end").alias("ends"))
 
 
 def covered(n: int, starts, ends) -> np.ndarray:
