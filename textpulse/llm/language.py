@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpulse.llm.common import learn_split
+from textpulse.llm.common import learn_split, save
 
 DIM = 1024
 LEARN_DOCS = 4000
@@ -105,8 +105,8 @@ def prototypes(docs: DataFrame, learn_docs: int = LEARN_DOCS) -> tuple[list[str]
     """Languages (sorted) and their prototypes as unit vectors."""
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (learn_split(F.col("doc_id")) != 0))
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(learn_docs)) / F.count(F.lit(1)))
-                                       .alias("share"))
+    shares = save(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(learn_docs)) / F.count(F.lit(1)))
+                                            .alias("share")))  # one row a language, broadcast as a small file
     draw = F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.join(shares, "lang").where(draw < F.col("share")).select("lang", "text")
 
