@@ -52,3 +52,49 @@ def test_validation(spark):
     got = [tuple(r) for r in df.select(v["reject_reason"], v["stripped"]).collect()]
     assert [g[0] for g in got] == ["missing", "blank", None, "too_long", None]
     assert got[4][1] == "ok"
+    # the limit of a single request is on the text as sent, a batch's on the stripped text
+    padded = spark.createDataFrame([(" " * 5 + "x" * 9_998,)], "text string")
+    single, batch = validate_request(F.col("text")), validate_request(F.col("text"), stripped_length=True)
+    assert tuple(padded.select(single["reject_reason"].alias("a"), batch["reject_reason"].alias("b")).first()) == ("too_long", None)
+
+
+def plain_clean(text):
+    """The cleaner's rules in plain Python, written from their description."""
+    import re
+    t = text or ""
+    t = re.sub(r"[\w.\-]+@[\w.\-]+\.\w+", "[ANONYMIZED_EMAIL]", t)
+    t = re.sub(r"@\w+", "[ANONYMIZED_USER]", t)
+    t = re.sub(r"http\S+|www\S+", "", t)
+    t = re.sub(r"<.*?>", "", t)
+    t = " ".join(t.split())
+    return re.sub(r"[^a-zA-Z0-9\s\[\]_]", "", t.lower()).strip()
+
+
+def test_cleaner_against_plain_python(spark):
+    odd = ["a<b<c>d>e", "<\n>x", "x@y.z@w.q", "ＡＢ c", "İı ẞ", "a_b-c", "www", "tab\tand\x0bvt\u2003em", "@@a @b-c", "<>"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    df = docs.unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+    for r in df.select("text", T.clean_text("text").alias("c")).collect():
+        assert r.c == plain_clean(r.text), r.text[:80]
+
+
+def test_accents_and_column_names(spark):
+    import pytest
+    from textpulse.operators import tfidf as TF
+    df = spark.createDataFrame([("Café Ünïted e\u0301t ñandú the Ångström",)], "text string")
+    got = df.select(TF.terms("text", ngram_max=1, accents=True)).first()[0]
+    assert got == ["cafe", "united", "et", "nandu", "angstrom"]
+    assert T.first_present(["label", "text", "cleaned_text"], T.TEXT_COLUMNS) == "cleaned_text"
+    with pytest.raises(ValueError):
+        T.first_present(["a"], T.LABEL_COLUMNS)
+
+
+def test_quality_gate_checks_the_cleaned_text_and_columns(spark):
+    import pytest
+    from textpulse.operators.sampling import split_quality_gate
+    rows = [("train", "x", k % 2) for k in range(101)] + [("test", "y", 0)] * 20 + [("test", "", 1)]
+    df = spark.createDataFrame(rows, "split string, cleaned_text string, sentiment int")
+    got = {r.check: r.passed for r in split_quality_gate(df, "cleaned_text", "sentiment").collect()}
+    assert got == {"train_rows": True, "test_rows": True, "no_empty_text": False, "two_classes": True}
+    with pytest.raises(ValueError, match="sentiment"):
+        split_quality_gate(df.drop("sentiment"), "cleaned_text", "sentiment")

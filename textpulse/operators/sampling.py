@@ -135,7 +135,11 @@ def shuffled_write(df: DataFrame, path: str, id_col: str, partitions: int,
 
 def split_quality_gate(split_df: DataFrame, text_col: str, label_col: str,
                        min_train: int = 100, min_test: int = 20) -> DataFrame:
-    """Data-quality checks on a split table as ``(check, passed, detail)``."""
+    """Data-quality checks on a split table as ``(check, passed, detail)``;
+    a missing column is an error."""
+    missing = [c for c in ("split", text_col, label_col) if c not in split_df.columns]
+    if missing:
+        raise ValueError(f"the split table lacks {', '.join(missing)}")
     s = split_df.agg(
         F.count(F.when(F.col("split") == "train", 1)).alias("train_rows"),
         F.count(F.when(F.col("split") == "test", 1)).alias("test_rows"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from textpulse.functions import labels as L
-from textpulse.functions.text import clean_text, compute_once
+from textpulse.functions.text import clean_text, compute_once, sql_clean
+from textpulse.operators import jobs as JB
 from textpulse.operators import model as MD
 from textpulse.operators.evaluation import confusion_counts, summary
 from textpulse.operators.scalars import attach
@@ -246,3 +248,40 @@ def drift_retrain(spark, sf):
 def drift_retrain_shifted(spark, sf):
     """E12 where there is drift: the retrain runs and its model is saved."""
     return retrain_row(spark, sf, shifted_flags(spark, sf))
+
+
+_JOB_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS cleaner, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(t)) AS BIGINT) AS chars
+FROM (SELECT {expr} AS t FROM {view('reviews')}) WHERE length(t) > 0""" for name, expr in (
+        ("full", sql_clean("text")), ("keep_case", sql_clean("text", lowercase=False, remove_special=False)),
+        ("none", "coalesce(text, '')")))
+
+
+@register("job_cleaners", _JOB_SQL)
+def job_cleaners(spark, sf):
+    """The same job with each registered cleaner: rows and characters left."""
+    def one(name):
+        rows = JB.TextJob(cleaner=name).rows(spark, sf)
+        return rows.agg(F.lit(name).alias("cleaner"), F.count(F.lit(1)).cast("bigint").alias("n"),
+                        F.sum(F.length("text")).cast("bigint").alias("chars"))
+    return reduce(lambda a, b: a.unionByName(b), map(one, ("full", "keep_case", "none")))
+
+
+@register("pruned_comparison")
+def pruned_comparison(spark, sf):
+    """Baseline and pruned model refitted on the same training rows:
+    terms, size against the baseline, accuracy on the test rows."""
+    train, test = split_frames(spark, sf)
+    named = lambda d: d.select(F.col("doc_id").alias("id"), F.col("cleaned_text").alias("text"),
+                               F.col("sentiment").alias("label"))
+    rows = []
+    for name in ("baseline", "pruned"):
+        job = JB.TextJob(model=name)
+        m = job.fit(named(train))
+        scored = job.predict(m, named(test)).join(named(test).select("id", "label"), "id")
+        ok = F.when(F.col("prediction") == L.normalize_label(F.col("label")), 1.0).otherwise(0.0)
+        rows.append((name, len(m.stages[1].vocabulary), scored.agg(F.avg(ok)).first()[0]))
+    base = rows[0]
+    rows = [(n, t, round(100.0 * (1 - t / base[1]), 2), a, a - base[2]) for n, t, a in rows]
+    return spark.createDataFrame(rows, "variant string, terms bigint, size_reduction_pct double, accuracy double, "
+                                       "accuracy_change double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textpulse.functions.text import clean_text, sql_clean
 from textpulse.operators import sampling as S
 from textpulse.plans.catalog import register
 from textpulse.plans.sqltext import view
@@ -50,17 +51,21 @@ def split_class_counts(spark, sf):
         F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@register("split_quality_gate", f"""WITH {RAW_SPLIT_SQL},
+_CLEAN_RV = (f"(SELECT doc_id, sentiment, {sql_clean('text')} AS cleaned_text FROM {view('reviews')})")
+
+
+@register("split_quality_gate", f"""WITH {split_sql(_CLEAN_RV)},
 s AS (SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'test') AS te,
-             count(*) FILTER (WHERE length(coalesce(text, '')) = 0) AS em,
+             count(*) FILTER (WHERE length(cleaned_text) = 0) AS em,
              count(DISTINCT sentiment) FILTER (WHERE split = 'train') AS cl FROM sp)
 SELECT 'train_rows' AS "check", tr > 100 AS passed, CAST(tr AS VARCHAR) AS detail FROM s
 UNION ALL SELECT 'test_rows', te > 20, CAST(te AS VARCHAR) FROM s
 UNION ALL SELECT 'no_empty_text', em = 0, CAST(em AS VARCHAR) FROM s
 UNION ALL SELECT 'two_classes', cl >= 2, CAST(cl AS VARCHAR) FROM s""")
 def split_quality_gate(spark, sf):
-    """Quality gate over the split."""
-    return S.split_quality_gate(split_reviews(spark, sf), "text", "sentiment")
+    """Quality gate over the split of the cleaned reviews."""
+    rv = reviews(spark, sf).select("doc_id", "sentiment", clean_text("text").alias("cleaned_text"))
+    return S.split_quality_gate(S.stratified_split(rv, "sentiment", "doc_id"), "cleaned_text", "sentiment")
 
 
 @register("sample_documents", f"""

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpulse.functions.labels import stars_to_sentiment
 from textpulse.functions.text import LABEL_COLUMNS, TEXT_COLUMNS, first_present
 from textpulse.operators.sampling import cap_per_class
 
 # ---- fixed values ---------------------------------------------------------
-REVIEW_CSV_SCHEMA = "text string, label string"
+REVIEW_CSV_COLUMNS = ("text", "label")
 STAR_JSON_SCHEMA = "text string, stars double, _bad string"
 FEEDBACK_SCHEMA = "timestamp string, text string, prediction string, true_label string, confidence double"
 INFERENCE_LOG_SCHEMA = "timestamp string, text string, prediction string, latency_ms double"
@@ -27,13 +28,15 @@ HEALTH_SCHEMA = ("timestamp string, request_count bigint, prediction_count bigin
 # ---------------------------------------------------------------------------
 
 
-def read_review_csv(spark: SparkSession, path: str, schema: str = REVIEW_CSV_SCHEMA,
-                    multi_line: bool = False) -> DataFrame:
+def read_review_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A1: review CSV as ``(text, sentiment)``, whatever of the known names its
-    columns have (B1); rows missing either are left out. ``multi_line`` allows
-    line breaks in quoted fields, at the price of one task per file."""
+    columns have (B1); rows missing either are left out. Columns are strings, named
+    by the header line, which alone is read for that. ``multi_line`` allows line
+    breaks in quoted fields, at the price of one task per file."""
+    names = spark.read.option("header", False).csv(path).first()
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names or REVIEW_CSV_COLUMNS])
     df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
-          .option("enforceSchema", False).csv(path))
+          .csv(path))
     text, label = first_present(df.columns, TEXT_COLUMNS), first_present(df.columns, LABEL_COLUMNS)
     return df.select(F.col(text).alias("text"), F.col(label).alias("sentiment")).where(
         F.col("text").isNotNull() & F.col("sentiment").isNotNull())
