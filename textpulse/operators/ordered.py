@@ -91,8 +91,8 @@ def rank_threshold(rows: DataFrame, group_cols: Sequence[str], key_col: str, id_
     for low in range(64 - LEVEL_BITS, -1, -LEVEL_BITS):
         # order-preserving bits: unsigned shifts of the key with its sign bit turned
         above = F.shiftrightunsigned("_bits", low + LEVEL_BITS) if low + LEVEL_BITS < 64 else F.lit(0).cast("bigint")
-        live = narrow.join(state, (_same(narrow, state, g) if g else F.lit(True)) & (above == F.col("_prefix"))) \
-            if g else attach(narrow, state).where(above == F.col("_prefix"))
+        live = narrow.join(state, _same(narrow, state, g) & (above == F.col("_prefix"))) if g \
+            else attach(narrow, state).where(above == F.col("_prefix"))
         keep = [*[F.col(f"_o_{c}") for c in g], F.col("_need")]
         counts = live.groupBy(*keep, F.shiftrightunsigned("_bits", low).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
         upto = Window.partitionBy(*[f"_o_{c}" for c in g]).orderBy("_next")

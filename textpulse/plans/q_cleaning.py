@@ -12,10 +12,8 @@ from textpulse.plans.sqltext import cleaned_docs
 from textpulse.sources.tables import table
 
 
-def cleaned_documents(spark, sf, cond=None):
+def cleaned_documents(spark, sf):
     d = table(spark, sf, "documents")
-    if cond is not None:
-        d = d.where(cond)
     c = d.select("doc_id", "lang", "text", T.compute_once(T.clean_text("text")).alias("cleaned_text"))
     return c.where(F.length("cleaned_text") > 0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textpulse.functions.text import clean_text, sql_clean
@@ -9,6 +10,8 @@ from textpulse.operators import sampling as S
 from textpulse.plans.catalog import register
 from textpulse.plans.sqltext import view
 from textpulse.sources.fingerprint import fingerprint, sql_fingerprint
+from textpulse.session import scratch_path
+from textpulse.sources.sinks import write_splits
 from textpulse.sources.tables import reviews, table
 
 H = S.sql_hash_key("doc_id")
@@ -111,6 +114,33 @@ def head_documents(spark, sf):
     return S.head_rows(table(spark, sf, "documents").select("doc_id", "lang"), 50, "doc_id")
 
 
+@register("shuffled_documents", f"""
+SELECT doc_id, CAST(row_number() OVER (ORDER BY {H}, doc_id) AS BIGINT) AS position FROM documents""")
+def shuffled_documents(spark, sf):
+    """Documents written in seeded hash order, read back with their place in
+    the files (rows before the file + row in the file)."""
+    path = scratch_path(spark, "shuffled")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    S.shuffled_write(table(spark, sf, "documents").select("doc_id"), path, "doc_id", n)
+    back = spark.read.parquet(path).select("doc_id", F.col("_metadata.file_name").alias("_file"),
+                                           F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = back.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return back.join(files, "_file").select("doc_id", (F.col("_before") + F.col("_row") + 1).alias("position"))
+
+
+@register("split_write", f"""WITH {RAW_SPLIT_SQL}
+SELECT split, CAST(count(*) AS BIGINT) AS n, 'written' AS first, 'skipped' AS second FROM sp GROUP BY split""")
+def split_write(spark, sf):
+    """A5: the split written once; a second write is skipped; what is there."""
+    path = scratch_path(spark, "splits")
+    sp = split_reviews(spark, sf)
+    first, second = write_splits(sp, path), write_splits(sp, path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(
+        "split", "n", F.lit(first).alias("first"), F.lit(second).alias("second"))
+
+
 @register("dataset_fingerprint", " UNION ALL ".join(
     sql_fingerprint(t, cols, tcol) for t, cols, tcol in (
         ("documents", ["doc_id", "text", "lang", "source", "n_chars"], "text"),
