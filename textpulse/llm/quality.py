@@ -37,7 +37,7 @@ LEARN_DOCS = 6000
 LEARN_PASSAGES = 24
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
-TOGETHER = 1 << 22  # bytes encoded together
+TOGETHER = 1 << 20  # bytes encoded together
 
 # Byte classes: lower, upper, digit, blank, newline, sentence marks, comma-like,
 # exclamation, pipe, brackets and quotes, hyphen-like, other ASCII marks, control, non-ASCII
