@@ -33,5 +33,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from textpulse.plans import (  # noqa: F401
         q_cleaning, q_drift, q_sampling, q_evaluation, q_monitoring, q_features, q_model,
-        q_streaming,
+        q_sources, q_streaming,
     )

@@ -42,6 +42,12 @@ def read_review_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
         F.col("text").isNotNull() & F.col("sentiment").isNotNull())
 
 
+def write_review_csv(df: DataFrame, path: str) -> None:
+    """A1: reviews as quoted CSV that ``read_review_csv`` reads back as they are."""
+    (df.write.mode("append").option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def read_star_reviews(spark: SparkSession, path: str, max_per_class: int | None = None,
                       max_lines: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A2: JSON lines with ``text`` and ``stars``; broken lines and rows missing
