@@ -28,7 +28,9 @@ empty table gives no pieces; other columns may have any name.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,20 @@ from pyspark.sql import functions as F
 from textpulse.llm.common import save
 
 WINDOW, CELL, END = 2048, 128, 1
-CACHE = 1 << 20  # words a task remembers
-BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+CACHE = 1 << 19  # words a worker remembers
+MARKS = "!\"#$%&()*+,-./:;=?@[]_{|}~"  # ASCII marks but the apostrophe and what special tokens begin with
+LATIN_END = "\u0250"  # below it no letter combines or changes when normalised
+
+
+def _byte_chars() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself where
+    it prints, else one of the code points from 256 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
 
 
 def tokenizer_path() -> str:
@@ -48,35 +62,68 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Ids of whole texts by way of their words. The tokenizer breaks at white
-    space before anything else, so the ids of blank-separated words, joined,
-    are the ids of the text; words are looked up once a task. Texts that hold
-    the start of a special token are encoded whole."""
+class Encoder(dict):
+    """Ids of whole texts by way of their words: a map from each word (bytes) to
+    its ids, filled as words come. Ids are little-endian numbers of ``width``
+    bytes: two where the vocabulary allows it, else four.
+
+    The tokenizer breaks at white space before anything else, so the ids of
+    blank-separated words, joined, are the ids of the text. It also breaks between
+    letters and marks: a word of Latin letters with ASCII marks at its end goes to
+    the tokenizer's model lower-cased, byte by byte, as its normalizer and
+    pre-tokenizer would pass it on; any other word goes through all of the
+    tokenizer, and so does a text that holds the start of a special token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        super().__init__({b"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.model, self.cores, self.tails = self.tokenizer.model, {"": b""}, {"": b""}
+        self.code = "H" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+            self.cores = {"": b""}
+            self[b""] = b""
+        text = word.decode()
+        core = text.rstrip(MARKS)
+        tail, core = text[len(core):], core.lower()
+        if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
+            ids = self.cores.get(core)
+            if ids is None:
+                spelt = core if core.isascii() else "".join([BYTE_CHARS[b] for b in core.encode()])
+                self.cores[core] = ids = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            if tail not in self.tails:
+                if len(self.tails) >= CACHE:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._whole(tail)
+            ids += self.tails[tail]
+        else:
+            ids = self._whole(text)
+        self[word] = ids
+        return ids
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
+        """The ids of a text, ``width`` bytes each."""
         if b"<|" in text:
-            return self._ids(text.decode())
-        words = text.translate(BLANKS).split(b" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHE:
-                known = self.known = {b"": b""}
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-            return b"".join([known[w] for w in words])
+            return self._whole(text.decode())
+        words = text.split()  # ASCII white space, all of which the tokenizer breaks at
+        return b"".join(itemgetter(*words)(self)) if len(words) > 1 else self[b"".join(words)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process: the words it knows serve its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Schedule:
@@ -128,19 +175,20 @@ class Schedule:
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, end = Encoder(path), {}, np.array([END], np.uint32).tobytes()
+        words, at = encoder(path), {}
+        end, width = array(words.code, [END]).tobytes(), words.width
         part = TaskContext.get().partitionId()
         for batch in batches:
             starts, ids = [], []
             sources = batch.column(2).to_pylist()
             for text, source in zip(batch.column(1).cast(pa.binary()), sources):
-                own = encoder.ids(text.as_py() or b"") + end
+                own = words.ids(text.as_py() or b"") + end
                 starts.append(at.get(source, 0))
-                at[source] = starts[-1] + len(own) // 4
+                at[source] = starts[-1] + len(own) // width
                 ids.append(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()),
-                 pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                 pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "source", "part", "start", "n", "ids"])
     return run
 
@@ -149,8 +197,9 @@ def _cut(names: list[str | None], schedule: Schedule):
     index = {s: k for k, s in enumerate(names)}
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column(4).to_pylist()
-        n = np.array([len(i) // 4 for i in ids], np.int64)
+        n = batch.column(5).to_numpy().astype(np.int64)
+        ids = [raw if len(raw) == 4 * k else np.frombuffer(raw, np.uint16).astype(np.uint32).tobytes()
+               for raw, k in zip(batch.column(4).to_pylist(), n.tolist())]
         source = np.array([index[s] for s in batch.column(1).to_pylist()], np.int64)
         a = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
         first, last = a // CELL, (a + n - 1) // CELL
@@ -189,9 +238,9 @@ def _cut(names: list[str | None], schedule: Schedule):
 
 
 def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Saved (doc_id, source, part, start, n, ids): each document's ids as
-    little-endian 32-bit numbers, and the tokens before it in its task's part of
-    its source's queue."""
+    """Saved (doc_id, source, part, start, n, ids): each document's ids (see
+    ``Encoder``), how many, and the tokens before it in its task's part of its
+    source's queue."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     return save(rows.mapInArrow(_tokenise(path or tokenizer_path()),
@@ -213,6 +262,6 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, path:
     rows = tokens.join(offsets, (F.col("part") == F.col("of_part"))
                        & F.col("source").eqNullSafe(F.col("of_source")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "source", "base", "start", "ids").mapInArrow(
+    return rows.select("doc_id", "source", "base", "start", "ids", tokens["n"]).mapInArrow(
         _cut(names, schedule), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
                                "sequence_id long, offset long")
