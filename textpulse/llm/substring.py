@@ -106,12 +106,11 @@ def _group(texts: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, removed, kept = [], [], []
-        for t, s, e in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            words = (t.as_py() or b"").split()
+        for t, spans in zip(windows.unpacked(batch.column(1)), batch.column(2).to_pylist()):
+            words = t.split()
             total.append(len(words))
-            if s:
-                stay = ~windows.covered(len(words), s, e)
-                words = [w for w, x in zip(words, stay.tolist()) if x]
+            if (gone := windows.gone(len(words), spans)) is not None:
+                words = [w for w, x in zip(words, gone.tolist()) if not x]
             removed.append(total[-1] - len(words))
             kept.append(b" ".join(words).decode())
         yield pa.RecordBatch.from_arrays(
@@ -119,29 +118,28 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _apply(batches):
+        sha = [hashlib.sha256(k.as_py()).hexdigest() for k in b.column(3).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sha, pa.string())],
+                                         ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def _run(docs: DataFrame, last, column: str) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = windows.repeated_spans(docs, _runs, _pieces, CHUNK, _count, _group, WINDOW)
+    return found.mapInArrow(last, f"doc_id {kind}, n_words long, n_removed long, {column}")
+
+
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) per row of ``docs``; kept: the words
     that stay, joined by one space."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = windows.with_tag(docs)
-    spans = windows.repeated_spans(docs, _runs, _pieces, CHUNK, _count, _group, WINDOW)
-    return windows.join_spans(docs, spans).mapInArrow(
-        _apply, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return _run(docs, _apply, "kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: doc_id, n_words, n_removed, kept_sha256."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _apply(batches):
-            sha = [hashlib.sha256(k.as_py()).hexdigest() for k in b.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sha, pa.string())],
-                                             ["doc_id", "n_words", "n_removed", "kept_sha256"])
-    docs = windows.with_tag(docs)
-    spans = windows.repeated_spans(docs, _runs, _pieces, CHUNK, _count, _group, WINDOW)
-    return windows.join_spans(docs, spans).mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _run(docs, _digests, "kept_sha256 string")
 
 
 SQL = r"""

@@ -79,6 +79,24 @@ def with_tag(docs: DataFrame) -> DataFrame:
     return docs.join(repeated, "doc_id", "left").select("doc_id", "text", tag.alias("tag"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, tag) with the text compressed, for its exchange;
+    ``unpacked`` reads it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [press.compress(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)],
+                                             ["doc_id", "text", "tag"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, text binary, tag int")
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return (press.decompress(t.as_py()) for t in column)
+
+
 def bucket_count(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(TASK_BUCKETS, -(-total // BUCKET_BYTES))
@@ -341,6 +359,9 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["doc_id", "tag", "start"])
 
 
+SPAN_BITS = 20  # a span is start << SPAN_BITS | length; super-k-mers are far shorter
+
+
 def _solve_buckets(count: Callable, group: Callable, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, part, origin, data in _by_bucket(batches, Bucket):
@@ -350,12 +371,16 @@ def _solve_buckets(count: Callable, group: Callable, width: int):
             if not at.solved:
                 at.solve(count, group)
             if (found := at.spans(origin, data, width)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "tag", "start", "end"])
+                docs, tags, start, end = found
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs), pa.array(tags), pa.array(start << SPAN_BITS | (end - start))],
+                    ["doc_id", "tag", "span"])
     return run
 
 
 def _emit(runs: Callable, pieces: Callable, chunk: int, box_of: Callable):
-    """Rows of a box from (doc_id, text, tag[, named starts])."""
+    """Rows of a box from (doc_id, text, tag) or (doc_id, packed text, tag, named
+    starts)."""
     def flush(box, held: list) -> None:
         ids, tags, named, at, texts = zip(*held)
         if found := runs(np.array(at, np.int64), texts):
@@ -369,12 +394,15 @@ def _emit(runs: Callable, pieces: Callable, chunk: int, box_of: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, held, size = box_of(), [], 0
         for batch in batches:
-            named = batch.column(3) if batch.num_columns > 3 else None
-            for k, (d, t, g) in enumerate(zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))):
-                if named is not None and not named[k].is_valid:
-                    continue
+            named = None
+            if batch.num_columns > 3:  # rows without starts are passed over here, not by a filter
+                batch = batch.filter(batch.column(3).is_valid())
+                named = batch.column(3)
+            texts = unpacked(batch.column(1)) if named is not None else \
+                (t.as_py() or b"" for t in batch.column(1).cast(pa.binary()))
+            for k, (d, t, g) in enumerate(zip(batch.column(0), texts, batch.column(2))):
                 own = named[k].values.to_numpy(zero_copy_only=False) if named is not None else None
-                for at, text in pieces(t.as_py() or b""):
+                for at, text in pieces(t):
                     held.append((d.as_py(), g.as_py(), own, at, text))
                     size += len(text)
                     if size >= chunk:
@@ -390,8 +418,10 @@ def _emit(runs: Callable, pieces: Callable, chunk: int, box_of: Callable):
 
 def repeated_spans(docs: DataFrame, runs: Callable, pieces: Callable, chunk: int, count: Callable,
                    group: Callable, width: int) -> DataFrame:
-    """(doc_id, tag, spans): what windows that also start in a smaller document
-    cover, as (start, end) pairs in any order. ``docs``: (doc_id, text, tag)."""
+    """(doc_id, text, spans) for every row of ``docs``: the packed text and what
+    windows that also start in a smaller document cover, packed spans in any
+    order, null where there are none. Read by ``gone``."""
+    docs = with_tag(docs)
     buckets = bucket_count(docs)
     tasks = max(1, buckets // TASK_BUCKETS)
 
@@ -403,29 +433,29 @@ def repeated_spans(docs: DataFrame, runs: Callable, pieces: Callable, chunk: int
         _emit(runs, pieces, chunk, partial(Keybox, buckets, BATCH_KEYS)), ROWS)
     named = (dealt(keys).mapInArrow(_sift, "doc_id long, tag int, start long")
              .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts")))
-    # rows without starts are passed over in the task: a filter here would reach
-    # the texts' exchange and make it another one
-    strings = join_tagged(docs, named, "starts").select(
-        long_id, "text", "tag", "starts").mapInArrow(
+    texts = packed(docs)
+    # a left join without a filter both times, so that both exchange the same texts
+    strings = _join_tagged(texts, named, "starts").select(long_id, "text", "tag", "starts").mapInArrow(
         _emit(runs, pieces, chunk, partial(Outbox, buckets, BATCH_BYTES)), ROWS)
-    found = dealt(strings).mapInArrow(_solve_buckets(count, group, width),
-                                      "doc_id long, tag int, start long, end long")
-    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = (dealt(strings).mapInArrow(_solve_buckets(count, group, width), "doc_id long, tag int, span long")
+             .groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans")))
+    return _join_tagged(texts, spans, "spans").select("doc_id", "text", "spans")
 
 
-def join_tagged(docs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with the columns of ``found`` for its document, or nulls. A left
-    join both times, so that both times the same texts are exchanged."""
-    found = found.select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), *columns)
+def _join_tagged(docs: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a column of ``found`` for its document, or null."""
+    found = found.select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), column)
     return docs.join(found, (F.col("doc_id") == F.col("of_doc")) & (F.col("tag") == F.col("of_tag")),
-                     "left").select("doc_id", "text", "tag", *columns)
+                     "left").select("doc_id", "text", "tag", column)
 
 
-def join_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text, starts, ends) for every row of ``docs``, null where
-    nothing goes."""
-    return join_tagged(docs, spans, "spans").select("doc_id", "text", F.col("spans.start").alias("starts"),
-                                                    F.col("spans.end").alias("ends"))
+def gone(n: int, spans) -> np.ndarray | None:
+    """Which of ``n`` places the packed spans cover; None without spans."""
+    if spans is None:
+        return None
+    spans = np.asarray(spans, np.int64)
+    start = spans >> SPAN_BITS
+    return covered(n, start, start + (spans & ((1 << SPAN_BITS) - 1)))
 
 
 def covered(n: int, starts, ends) -> np.ndarray:
