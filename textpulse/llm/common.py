@@ -3,12 +3,10 @@ hot-group splitting and connected components."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.session import ensure_checkpoint_dir
+from textpulse.session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -20,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder shared by all executors and read it back:
-    later steps start from files, so a lost executor costs no recomputation."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    later steps start from files, so a lost executor costs no recomputation. The
+    files go when the driver ends."""
+    path = scratch_path(df.sparkSession, "tables")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
