@@ -426,8 +426,8 @@ def repeated_spans(docs: DataFrame, runs: Callable, pieces: Callable, chunk: int
     tasks = max(1, buckets // TASK_BUCKETS)
 
     def dealt(rows: DataFrame) -> DataFrame:
-        # a task reads a few buckets, one after the other, part 0 before part 1
-        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "part")
+        # a task reads every tasks-th bucket, one after the other, part 0 before part 1
+        return rows.repartitionById(tasks, "bucket").sortWithinPartitions("bucket", "part")
     long_id = F.col("doc_id").cast("long").alias("doc_id")
     keys = docs.where("doc_id IS NOT NULL").select(long_id, "text", "tag").mapInArrow(
         _emit(runs, pieces, chunk, partial(Keybox, buckets, BATCH_KEYS)), ROWS)
