@@ -78,10 +78,11 @@ def rank_threshold(rows: DataFrame, group_cols: Sequence[str], key_col: str, id_
     Radix selection: each level counts rows by the next ``LEVEL_BITS`` bits of
     the key among those that share the prefix found so far, so every count is a
     combined aggregate of at most 2^LEVEL_BITS rows a group, whatever the
-    values. Rows that tie on the whole key are ordered by id."""
+    values. Rows that tie on the whole key are ordered by id. ``rows`` is read once
+    a level: pass a saved table of narrow rows."""
     g = list(group_cols)
-    narrow = materialize(rows.select(*g, F.col(key_col).alias("_key"),
-                                     F.col(key_col).bitwiseXOR(F.lit(-1 << 63)).alias("_bits"), F.col(id_col).alias("_id")))
+    narrow = rows.select(*g, F.col(key_col).alias("_key"),
+                         F.col(key_col).bitwiseXOR(F.lit(-1 << 63)).alias("_bits"), F.col(id_col).alias("_id"))
     size = narrow.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"))
     q = quotas.select(*[F.col(c).alias(f"_o_{c}") for c in g], F.col("quota").cast("bigint").alias("_q"))
     sized = size.join(q, _same(size, q, g)) if g else attach(size, q)

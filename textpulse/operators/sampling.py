@@ -15,7 +15,7 @@ are selected together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,13 +46,16 @@ def sql_hash_key(id_expr: str, seed: int = DEFAULT_SEED) -> str:
 
 
 def select_by_rank(df: DataFrame, group_cols: Sequence[str], key: Column, id_col: str,
-                   quotas: DataFrame, out_col: str = "selected") -> DataFrame:
+                   quotas_of: Callable[[DataFrame], DataFrame], out_col: str = "selected") -> DataFrame:
     """Add boolean ``out_col``: the row's rank by (key, id) inside its group is
-    within ``quotas.quota`` (``quotas`` has one row per group; missing group =
-    nothing selected). Exact, and no task ever holds a whole group."""
+    within its group's quota (``quotas_of`` the saved (group, key, id) rows:
+    ``(group cols, quota)``, one row per group; missing group = nothing selected).
+    ``df`` is read once for the narrow rows and once for the result; no task ever
+    holds a whole group."""
     g = list(group_cols)
     keyed = df.withColumn("_k", key)
-    cut = rank_threshold(keyed, g, "_k", id_col, quotas)
+    narrow = materialize(keyed.select(*dict.fromkeys([*g, "_k", id_col])))
+    cut = rank_threshold(narrow, g, "_k", id_col, quotas_of(narrow))
     cut = materialize(cut.select(*[F.col(c).alias(f"_o_{c}") for c in g], "cut_key", "cut_id"))  # one row a group
     if g:
         same = [keyed[c].eqNullSafe(cut[f"_o_{c}"]) for c in g]
@@ -83,32 +86,34 @@ def stratified_quotas(df: DataFrame, label_col: str, test_size: float = DEFAULT_
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: float = DEFAULT_TEST_SIZE,
                      seed: int = DEFAULT_SEED) -> DataFrame:
     """Add ``split`` = 'test' / 'train' (quota per class, hash order)."""
-    q = stratified_quotas(df, label_col, test_size)
-    s = select_by_rank(df, [label_col], hash_key(id_col, seed), id_col, q, "_test")
+    s = select_by_rank(df, [label_col], hash_key(id_col, seed), id_col,
+                       lambda rows: stratified_quotas(rows, label_col, test_size), "_test")
     return s.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
+def _at_most(n: int, *group_cols: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.groupBy(*group_cols).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
+
+
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """min(n, rows) rows, the same rows for the same seed."""
-    q = df.agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
-    return select_by_rank(df, [], hash_key(id_col, seed), id_col, q, "_s").where("_s").drop("_s")
+    return select_by_rank(df, [], hash_key(id_col, seed), id_col, _at_most(n), "_s").where("_s").drop("_s")
 
 
 def cap_per_class(df: DataFrame, label_col: str, id_col: str, cap: int = DEFAULT_MAX_PER_CLASS,
                   seed: int = DEFAULT_SEED) -> DataFrame:
     """At most ``cap`` rows of each class."""
-    q = df.groupBy(label_col).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("quota"))
-    return select_by_rank(df, [label_col], hash_key(id_col, seed), id_col, q, "_s").where("_s").drop("_s")
+    return select_by_rank(df, [label_col], hash_key(id_col, seed), id_col, _at_most(cap, label_col), "_s") \
+        .where("_s").drop("_s")
 
 
 def balanced_extract(df: DataFrame, label_col: str, id_col: str, sample_size: int = DEFAULT_BALANCED_SAMPLE,
                      seed: int = DEFAULT_SEED) -> DataFrame:
     """The first k = max(sample_size // 2, 1) rows of each class by id,
-    then listed in seeded hash order (column ``shuffle_rank``)."""
+    with their seeded hash order (column ``shuffle_key``)."""
     k = max(sample_size // 2, 1)
-    q = df.groupBy(label_col).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("quota"))
-    s = select_by_rank(df, [label_col], F.col(id_col).cast("bigint"), id_col, q, "_s").where("_s").drop("_s")
-    return s.withColumn("shuffle_key", hash_key(id_col, seed))
+    s = select_by_rank(df, [label_col], F.col(id_col).cast("bigint"), id_col, _at_most(k, label_col), "_s")
+    return s.where("_s").drop("_s").withColumn("shuffle_key", hash_key(id_col, seed))
 
 
 def class_distribution(df: DataFrame, label_col: str) -> DataFrame:

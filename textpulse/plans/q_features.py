@@ -11,6 +11,7 @@ from textpulse.operators import tfidf as TF
 from textpulse.plans.catalog import register
 from textpulse.plans.q_sampling import split_sql
 from textpulse.plans.sqltext import view
+from textpulse.session import materialize
 from textpulse.sources.tables import reviews
 
 TOKS = TF.sql_terms("cleaned_text", ngram_max=1)  # unigram list; bigrams added below
@@ -115,6 +116,13 @@ def split_clean(spark, sf):
     return S.stratified_split(cleaned_reviews(spark, sf), "sentiment", "doc_id")
 
 
+def split_frames(spark, sf):
+    """Training and test rows; what a job reads several times is cleaned and
+    written once."""
+    sp = materialize(split_clean(spark, sf))
+    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+
+
 _NB_SQL = f"""WITH {_SPLIT_CLEAN},
 tr AS (SELECT doc_id, sentiment, cleaned_text FROM sp WHERE split = 'train'),
 te AS (SELECT doc_id, sentiment, cleaned_text FROM sp WHERE split = 'test'),
@@ -136,8 +144,7 @@ sc AS (SELECT te.doc_id, te.sentiment, coalesce(en.s, 0.0) + (SELECT ln(n_pos /
 
 
 def nb_scores(spark, sf):
-    sp = split_clean(spark, sf)
-    train, test = (sp.where(F.col("split") == name) for name in ("train", "test"))
+    train, test = split_frames(spark, sf)
     vocab = TF.vocabulary(train, "cleaned_text", label_col="sentiment")
     weights, intercept = SC.log_count_ratio_weights(vocab)
     cells = TF.tfidf(test, "cleaned_text", vocab, ["doc_id"])

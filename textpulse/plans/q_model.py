@@ -15,7 +15,7 @@ from textpulse.operators.evaluation import confusion_counts, summary
 from textpulse.operators.scalars import attach
 from textpulse.plans.catalog import register
 from textpulse.plans.q_drift import DRIFT_FLAGS_SQL, SHIFTED_FLAGS_SQL, drift_flags, shifted_flags
-from textpulse.plans.q_features import CLEAN_REVIEWS_SQL, split_clean
+from textpulse.plans.q_features import CLEAN_REVIEWS_SQL, split_frames
 from textpulse.plans.q_sampling import RAW_SPLIT_SQL, split_reviews, split_sql
 from textpulse.plans.sqltext import cleaned_docs, view
 from textpulse.session import ensure_checkpoint_dir, materialize
@@ -76,11 +76,6 @@ def prediction_records(spark, sf):
                                             ("confidence", "p_negative", "p_neutral", "p_positive")])
 
 
-def split_frames(spark, sf):
-    sp = materialize(split_clean(spark, sf))  # a fit reads it several times: cleaned and written once
-    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-
-
 def fitted(spark, sf):
     train, test = split_frames(spark, sf)
     return MD.TextModel().fit(train, "cleaned_text", "sentiment"), train, test
