@@ -18,7 +18,7 @@ document: a passage that a third of all documents share is one hash and one
 string a batch. What is compared (part 0) and where it occurs (part 1) are
 separate rows; a task reads a bucket's part 0 first, and the occurrences then
 stream past, so memory holds distinct hashes and strings, never the members of
-a group. Buckets are dealt by size: about ``BUCKET_BYTES`` of text each at any
+a group (a very common string's occurrences take their bucket's task more time). Buckets are dealt by size: about ``BUCKET_BYTES`` of text each at any
 scale. Steps 3 and 4 join the same exchange of the texts, which Spark reuses:
 texts are shuffled once.
 """
