@@ -117,19 +117,23 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = flat.reshape(rows.num_rows, -1)
                 each = flat.shape[1]
                 take = pa.array(np.repeat(np.arange(rows.num_rows), each))
-                keys = pa.array(flat.tolist(), pa.list_(pa.int64()))
+                # 32 bits of each travel along: a key's table is told by its place
+                small = pa.array(found.astype(np.uint32).view(np.int32).ravel())
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * each), small)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat.ravel()), rows.column(0).take(take), rows.column(1).take(take),
                      rows.column(2).take(take), keys.take(take)], ["cell", "class_id", "size", "embedding", "keys"])
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first key that each pair shares: of the first table, the smallest."""
+    """The first key that each pair shares: of the first table, the smallest; with
+    its table above its 32 bits, as in a cell."""
     a, b = (k.reshape(len(k), TABLES, -1) for k in (a, b))
     same = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
     table = same.any(axis=2).argmax(axis=1)
     rows = np.arange(len(a))
-    return np.where(same[rows, table], a[rows, table], np.iinfo(np.int64).max).min(axis=1)
+    low = np.where(same[rows, table], a[rows, table].view(np.uint32).astype(np.int64), np.iinfo(np.int64).max).min(axis=1)
+    return table.astype(np.int64) << 32 | low
 
 
 def _links_of(cell: tuple, ids, sizes, blocks, x, keys, least: float):
@@ -152,7 +156,7 @@ def _links_of(cell: tuple, ids, sizes, blocks, x, keys, least: float):
             i, j = (v[blocks[i] != blocks[j]] for v in (i, j))
         for k in range(0, len(i), 1 << 16):
             a, b = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
-            here = _first_shared(keys[a], keys[b]) == cell[0]
+            here = _first_shared(keys[a], keys[b]) == cell[0] & ((1 << 40) - 1)
             np.add.at(total, a[here], sizes[b[here]])
             np.add.at(total, b[here], sizes[a[here]])
         for a, b in zip(i.tolist(), j.tolist()):
@@ -205,13 +209,13 @@ def embedding_links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     good = (F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
             & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
             & F.exists("embedding", lambda v: v != 0))
-    rows = save(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"),
-                               F.coalesce(good, F.lit(False)).alias("good")))
+    rows = save(vectors.select("vec_id", "embedding", F.coalesce(good, F.lit(False)).alias("good")))
+    kind = rows.schema["embedding"].dataType.simpleString()  # travels as it is; compared in double precision
     classes = save(rows.where("good").groupBy("embedding")
                    .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("size"))
                    .withColumn("class_id", F.monotonically_increasing_id()))
     spread = classes.select("class_id", "size", "embedding", F.size("embedding").alias("dim")).mapInArrow(
-        _replicate, "cell long, class_id long, size long, embedding array<double>, keys array<long>")
+        _replicate, f"cell long, class_id long, size long, embedding {kind}, keys array<int>")
     dealt = split_hot(spread, "cell", "class_id", CELL).select(
         "cell", "cell_i", "cell_j", "class_id", "size", "block", "embedding", "keys")
     found = save(dealt.repartition(partitions(spark), "cell", "cell_i", "cell_j")
