@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpulse.llm import (decontaminate, embedding, language, line_dedup, packing, pii, quality,
-                           simhash, substring, suffixes)
+from textpulse.llm import (alignment, decontaminate, embedding, language, line_dedup, packing, pii, quality,
+                           simhash, spelling, substring, suffixes, url_filter)
 from textpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 _on_documents("op1_simhash_dedup", simhash.simhash_groups)
 QUERIES["op2_embedding_dedup"] = op2_embedding_dedup
 _on_documents("op3_pii", pii.digest)
@@ -46,3 +50,6 @@ _on_documents("op7_language_id", language.language_id)
 _on_documents("op8_packing", packing.pack)
 _on_documents("op9_substring_dedup", substring.digest, substring.SQL)
 _on_documents("op10_suffix_array_dedup", suffixes.digest, suffixes.SQL)
+_on_documents("op11_tokenizer_alignment", alignment.alignment)
+QUERIES["op12_url_filter"] = op12_url_filter
+_on_documents("op13_spelling_variants", spelling.variants)
