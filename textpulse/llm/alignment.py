@@ -31,6 +31,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ from textpulse.llm.common import save
 
 SLICE = 1 << 20  # characters of one text that are worked on together
 TOGETHER = 1 << 20  # characters of short texts that are worked on together
-CACHE = 300_000  # chunks a worker remembers
+CACHE = 450_000  # chunks a worker remembers
 CACHE_CHARS = 1 << 23
+JOINED = 200  # chunks that A encodes in one call
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 MARK = "▁"
 
@@ -63,7 +65,15 @@ def byte_of_letter() -> dict[str, int]:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for one in lists for i in one), np.int64, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _bytes(chunk: str) -> int:
+    return len(chunk) if chunk.isascii() else len(chunk.encode())
+
+
+def _open_end(chunk: str) -> bool:
+    return chunk[-1].isspace()
 
 
 def labels(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +147,24 @@ class Chunks:
             self._learn(new)
         return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
+    def encode_a(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A, and how many each chunk has; chunks that end in white space
+        come last. The others are encoded ``JOINED`` at a time, as A breaks
+        where a chunk begins; their sizes follow from the tokens' bytes."""
+        def encode(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+        closed = sum(not _open_end(c) for c in chunks)
+        flat = np.fromiter(chain.from_iterable(encode(
+            ["".join(chunks[k:min(k + JOINED, closed)]) for k in range(0, closed, JOINED)])), np.int64)
+        ends = np.concatenate(([0], np.cumsum(self.length_a[flat])))
+        stops = np.cumsum([0, *map(_bytes, chunks[:closed])])
+        at = np.searchsorted(ends, stops)
+        if at[-1] != len(flat) or not np.array_equal(ends[at], stops):
+            return _flat(encode(chunks))  # not its bytes: each for itself
+        rest, sizes = _flat(encode(chunks[closed:]))
+        return np.concatenate((flat, rest)), np.concatenate((np.diff(at), sizes))
+
     def encode_b(self, chunks: list[str]) -> list[list[int]]:
         """Ids of B for chunks of space + text: the tokenizer adds the space."""
         raw = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
@@ -144,18 +172,13 @@ class Chunks:
 
     def _learn(self, new: list[str]) -> None:
         base = len(self.at)
-        ids_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        ids_b = self.encode_b(new)
-        get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        whole = []
-        for k, c in enumerate(new):
-            raw = c.encode()
-            good = b"".join(map(get_a, ids_a[k])) == raw and b"".join(map(get_b, ids_b[k])) == raw
-            if not good:
-                ids_a[k], ids_b[k] = [], []
-            whole.append(good)
-        flat_a, size_a = _flat(ids_a)
-        flat_b, size_b = _flat(ids_b)
+        new.sort(key=_open_end)
+        flat_a, size_a = self.encode_a(new)
+        flat_b, size_b = _flat(self.encode_b(new))
+        whole = self._whole(new, flat_a, size_a, flat_b, size_b)
+        if not whole.all():
+            flat_a, flat_b = flat_a[np.repeat(whole, size_a)], flat_b[np.repeat(whole, size_b)]
+            size_a, size_b = size_a * whole, size_b * whole
         label_a, label_b = labels(np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b]))
         terminal, first_a, in_a = np.unique(label_a, return_index=True, return_counts=True)
         _, first_b, in_b = np.unique(label_b, return_index=True, return_counts=True)
@@ -181,13 +204,28 @@ class Chunks:
         for k in groups.tolist():
             self.shown.append(";".join(text[stop:stop + k]))
             stop += k
-        self._counts.append(np.stack([size_a, size_b, groups, links, np.array(whole, np.int64)], axis=1))
+        self._counts.append(np.stack([size_a, size_b, groups, links, whole.astype(np.int64)], axis=1))
         self._pairs.append(values[which] if len(which) else which)
         self._weights.append(weight)
         self._sizes.append(np.bincount(owner, minlength=len(new)) if len(owner) else np.zeros(len(new), np.int64))
         self.at.update(zip(new, range(base, base + len(new))))
         self.chars += sum(map(len, new))
 
+    def _whole(self, new: list[str], *tokens: np.ndarray) -> np.ndarray:
+        """Which chunks both tokenizers keep byte for byte."""
+        text = "".join(new).encode()
+        sizes = np.fromiter(map(_bytes, new), np.int64, len(new))
+        good = np.ones(len(new), bool)
+        for flat, size, length, raw in ((*tokens[:2], self.length_a, self.bytes_a), (*tokens[2:], self.length_b, self.bytes_b)):
+            parts = list(map(raw.__getitem__, flat.tolist()))
+            ends = np.concatenate(([0], np.cumsum(length[flat])))[np.cumsum(size)]
+            good &= np.diff(ends, prepend=0) == sizes
+            if good.all() and b"".join(parts) == text:
+                continue
+            edges = [0, *np.cumsum(size).tolist()]
+            good &= [b"".join(parts[a:b]) == c.encode() for a, b, c in zip(edges[:-1], edges[1:], new)]
+        return good
+
     def counts(self) -> np.ndarray:
         return self._one(self._counts)
 
