@@ -174,19 +174,3 @@ def test_window_beyond_the_watermark_is_dropped_in_append_mode(spark, tmp_path):
     out = spark.read.parquet(run_available_now(stream(), base=base))
     got = {r.window_start: r.requests for r in out.collect()}
     assert got["2024-01-01 00:00:00"] == 1 and got["2024-01-03 00:00:00"] == 1
-
-
-def test_rolling_state_is_idempotent_and_bounded(spark, tmp_path):
-    rows = [(k, 1, f"2024-01-01 00:00:{k % 60:02d}", k % 3) for k in range(40)]
-    df = spark.createDataFrame(rows, "id long, key long, ts string, m int").select(
-        "id", "key", F.col("ts").cast("timestamp").alias("ts"), F.lit("positive").alias("prediction"),
-        F.when(F.col("m") == 0, "positive").when(F.col("m") == 1, "negative").alias("true_label"))
-    update = SO.rolling_last_n(5, str(tmp_path))
-    update(df.where("id < 20"), 0)
-    update(df.where("id >= 20"), 1)
-    update(df.where("id >= 20"), 1)  # a retry
-    state = spark.read.parquet(f"{tmp_path}/state")
-    assert state.where("batch_id = 1").count() == 5
-    want = sorted((k for k in range(40) if k % 3 != 2), reverse=True)[:5]
-    r = SO.rolling_accuracy(state).first()
-    assert (r.total_samples, r.correct) == (5, sum(k % 3 == 0 for k in want))

@@ -53,15 +53,17 @@ def drift_alerts(full: DataFrame) -> DataFrame:
         F.lit("DRIFT").alias("type"), "r.severity", "r.message", "r.meta")
 
 
-def accuracy_alerts(metrics: DataFrame, acc_col: str = "accuracy", meta: F.Column | None = None) -> DataFrame:
-    """H2: CRITICAL below 0.6, WARNING below 0.75, nothing when unknown."""
+def accuracy_alerts(metrics: DataFrame, acc_col: str = "accuracy", meta: F.Column | None = None,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
+    """H2: CRITICAL below 0.6, WARNING below 0.75, nothing when unknown; after
+    the columns ``keep``."""
     a = F.col(acc_col)
     sev = F.when(a < ACCURACY_CRITICAL_BELOW, "CRITICAL").when(a < ACCURACY_WARNING_BELOW, "WARNING")
     msg = F.when(a < ACCURACY_CRITICAL_BELOW, MSG_ACCURACY_CRITICAL).when(a < ACCURACY_WARNING_BELOW,
                                                                            MSG_ACCURACY_WARNING)
     if meta is None:
         meta = F.concat(F.lit('{"accuracy":'), _number(a), F.lit("}"))
-    return metrics.select(F.lit("METRICS").alias("type"), sev.alias("severity"), msg.alias("message"),
+    return metrics.select(*keep, F.lit("METRICS").alias("type"), sev.alias("severity"), msg.alias("message"),
                           meta.alias("meta")).where(F.col("severity").isNotNull())
 
 

@@ -101,9 +101,10 @@ def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = DEFAULT_SEED) ->
 
 
 def cap_per_class(df: DataFrame, label_col: str, id_col: str, cap: int = DEFAULT_MAX_PER_CLASS,
-                  seed: int = DEFAULT_SEED) -> DataFrame:
-    """At most ``cap`` rows of each class."""
-    return select_by_rank(df, [label_col], hash_key(id_col, seed), id_col, _at_most(cap, label_col), "_s") \
+                  seed: int = DEFAULT_SEED, order_col: str | None = None) -> DataFrame:
+    """At most ``cap`` rows of each class, in seeded hash order of
+    ``order_col`` (the id, if none is named) and then of the id."""
+    return select_by_rank(df, [label_col], hash_key(order_col or id_col, seed), id_col, _at_most(cap, label_col), "_s") \
         .where("_s").drop("_s")
 
 

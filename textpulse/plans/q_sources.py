@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textpulse.functions.labels import stars_to_sentiment
 from textpulse.plans.catalog import register
 from textpulse.plans.sqltext import view
 from textpulse.session import scratch_path
+from textpulse.sources import datasource as DS
 from textpulse.sources import sinks as K
 from textpulse.sources.tables import prediction_log, reviews, table
+from textpulse.streaming.runner import run_available_now
 
 LOG = view("pred_log")
 
@@ -30,7 +33,7 @@ def review_csv(spark, sf):
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 
-@register("star_json", f"""
+_STAR_SQL = f"""
 WITH l AS (SELECT event_id, CASE WHEN {_K} % 10 = 0 THEN 'broken' WHEN {_K} % 10 = 1 THEN 'no stars' ELSE 'good' END AS kind,
                   1 + {_K} % 5 AS stars FROM events),
 s AS (SELECT CASE WHEN stars <= 2 THEN 'negative' WHEN stars = 3 THEN 'neutral' ELSE 'positive' END AS sentiment
@@ -38,10 +41,11 @@ s AS (SELECT CASE WHEN stars <= 2 THEN 'negative' WHEN stars = 3 THEN 'neutral'
 SELECT sentiment, CAST(least(count(*), 50) AS BIGINT) AS n,
        (SELECT CAST(count(*) AS BIGINT) FROM l WHERE kind = 'broken') AS bad_lines,
        (SELECT CAST(count(*) AS BIGINT) FROM l WHERE kind <> 'broken') AS text_lines
-FROM s GROUP BY sentiment""")
-def star_json(spark, sf):
-    """JSON lines with stars, some broken, some without; at most 50
-    rows a class, and the line counts."""
+FROM s GROUP BY sentiment"""
+
+
+def star_lines(spark, sf) -> str:
+    """A folder of JSON lines with stars, some broken, some without."""
     k = F.get_json_object("props", "$.k").cast("int")
     name = F.concat(F.lit("event "), F.col("event_id").cast("string"))
     line = (F.when(k % 10 == 0, F.lit('{"text": "broken'))
@@ -49,6 +53,13 @@ def star_json(spark, sf):
             .otherwise(F.to_json(F.struct(name.alias("text"), (1 + k % 5).cast("double").alias("stars")))))
     path = scratch_path(spark, "star_json")
     table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    return path
+
+
+@register("star_json", _STAR_SQL)
+def star_json(spark, sf):
+    """At most 50 rows a class, and the line counts."""
+    path = star_lines(spark, sf)
     rows, lines = K.read_star_reviews(spark, path, max_per_class=50)
     counts = lines.first()  # two numbers
     return rows.groupBy("sentiment").agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(
@@ -56,6 +67,54 @@ def star_json(spark, sf):
         F.lit(counts["text_lines"]).cast("bigint").alias("text_lines"))
 
 
+_SOURCE_SQL = f"""
+SELECT sentiment, n, bad_lines, text_lines FROM (
+WITH l AS (SELECT CASE WHEN {_K} % 10 = 0 THEN 'broken' WHEN {_K} % 10 = 1 THEN 'no stars' ELSE 'good' END AS kind,
+                  1 + {_K} % 5 AS stars FROM events)
+SELECT CASE WHEN kind <> 'good' THEN kind WHEN stars <= 2 THEN 'negative' WHEN stars = 3 THEN 'neutral' ELSE 'positive' END
+         AS sentiment, CAST(count(*) AS BIGINT) AS n,
+       CAST(count(*) FILTER (WHERE kind = 'broken') AS BIGINT) AS bad_lines,
+       CAST(count(*) FILTER (WHERE kind <> 'broken') AS BIGINT) AS text_lines
+FROM l GROUP BY 1)"""
+
+
+def _star_classes(rows):
+    kind = (F.when(F.col("broken"), "broken").when(F.col("stars").isNull(), "no stars")
+            .otherwise(stars_to_sentiment(F.col("stars"))))
+    return rows.groupBy(kind.alias("sentiment")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.count(F.when(F.col("broken"), 1)).cast("bigint").alias("bad_lines"),
+        F.count(F.when(~F.col("broken"), 1)).cast("bigint").alias("text_lines"))
+
+
+@register("source_star_reviews", _SOURCE_SQL)
+def source_star_reviews(spark, sf):
+    """The same lines by ``spark.read.format``, cut into small splits."""
+    DS.register(spark)
+    return _star_classes(spark.read.format("star_reviews").option("splitBytes", 1 << 20).load(star_lines(spark, sf)))
+
+
+@register("source_star_stream", _SOURCE_SQL)
+def source_star_stream(spark, sf):
+    """The same lines by ``readStream``."""
+    DS.register(spark)
+    stream = spark.readStream.format("star_reviews").load(star_lines(spark, sf))
+    return _star_classes(spark.read.parquet(run_available_now(stream)))
+
+
+@register("source_feedback_log", f"""
+SELECT prediction, true_label, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS confidence
+FROM {LOG} GROUP BY ALL""")
+def source_feedback_log(spark, sf):
+    """The feedback log by ``spark.read.format``."""
+    DS.register(spark)
+    path = scratch_path(spark, "feedback")
+    log = prediction_log(spark, sf).withColumn("text", F.col("event_type"))
+    K.write_feedback(log.select("text", "prediction", "true_label", "confidence"), path)
+    rows = spark.read.format("feedback_log").load(path).where("NOT broken")
+    return rows.groupBy("prediction", "true_label").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
 @register("feedback_logs", f"""
 SELECT 'json' AS log, prediction, true_label, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS confidence
 FROM {LOG} GROUP BY ALL

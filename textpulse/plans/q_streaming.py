@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from textpulse.operators import drift as D
 from textpulse.operators import model as MD
-from textpulse.operators import monitoring as M
 from textpulse.plans.catalog import register
 from textpulse.plans.q_drift import _LAT_PROD, _LAT_REF, LATENCY_BORDER
 from textpulse.plans.q_sampling import split_reviews
 from textpulse.plans.sqltext import cleaned_docs, psi_sql, view
 from textpulse.session import materialize, scratch_path
-from textpulse.sources.sinks import ALERT_SCHEMA, INFERENCE_LOG_SCHEMA, read_json_log, write_alerts
+from textpulse.sources.sinks import ALERT_SCHEMA, INFERENCE_LOG_SCHEMA, read_json_log, stamped_alerts
 from textpulse.sources.tables import prediction_columns, prediction_log, table
 from textpulse.streaming import operators as SO
-from textpulse.streaming.runner import latest, run_available_now, run_updates, stream_dir, table_stream
+from textpulse.streaming import state as ST
+from textpulse.streaming.runner import latest, run_available_now, run_updates, table_stream, update_stream
 
 LOG = view("pred_log")
+IDLE = "400 days"  # event time after which keys without new rows lose their state
 CLOSED = f"(SELECT max(ts) - INTERVAL 1 HOUR FROM {LOG})"
 
 
@@ -104,10 +105,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, id DESC) A
 WHERE rn <= 50 GROUP BY key""")
 def stream_window_accuracy(spark, sf):
     """I4: rolling last-50 labelled accuracy per key with bounded state."""
-    base = stream_dir(spark)
-    run_available_now(SO.prediction_stream(table_stream(spark, sf, "events")),
-                      foreach_batch=SO.rolling_last_n(50, base), base=base)
-    return SO.rolling_accuracy(spark.read.parquet(f"{base}/state"))
+    s = ST.rolling_last_n(prediction_columns(table_stream(spark, sf, "events")), 50, idle=IDLE)
+    return latest(spark.read.parquet(run_updates(s, conf=ST.ROCKSDB)), ["key"])
 
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -143,28 +142,23 @@ def latency_baseline(spark, sf):
     return inner, materialize(grid.join(shares, "bucket", "left").select("bucket", F.coalesce("e", F.lit(0.0)).alias("e")))
 
 
-def run_daily_drift(spark, sf):
-    """Bucket counts of each day by stream, in update mode; after each batch
-    the days it touched are compared with the baseline."""
+def daily_psi_updates(spark, sf) -> str:
+    """Each day's bucket counts as keyed state; the folder of the PSI of the
+    days of each batch."""
     inner, baseline = latency_baseline(spark, sf)
-    pred = SO.prediction_stream(table_stream(spark, sf, "events")).where(
+    shares = [r["e"] for r in baseline.orderBy("bucket").collect()]  # one a bucket
+    pred = prediction_columns(table_stream(spark, sf, "events")).where(
         F.col("ts") >= F.lit(LATENCY_BORDER).cast("timestamp"))
-    counts = SO.bucket_counts(pred, inner).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "bucket", "cnt")
-    base = stream_dir(spark)
-
-    def after(batch_id):
-        updates = spark.read.parquet(f"{base}/out")
-        touched = updates.where(F.col("batch_id") == batch_id).select("day").distinct()
-        own = latest(updates.join(touched, "day", "left_semi"), ["day", "bucket"])
-        SO.window_psi(own, baseline).write.mode("overwrite").parquet(f"{base}/psi/batch_id={batch_id}")
-    run_updates(counts, base, after)
-    return latest(spark.read.parquet(f"{base}/psi"), ["day"])
+    s = ST.daily_psi(pred, "latency_ms", inner, shares, idle=IDLE)
+    return run_updates(s.select("day", F.round("psi_raw", 6).alias("psi"), D.classify_psi(F.col("psi_raw")).alias("status"),
+                                "production_rows"), conf=ST.ROCKSDB)
 
 
 @register("stream_daily_drift", f"SELECT day, feature, psi, status, production_rows FROM ({_DAILY})")
 def stream_daily_drift(spark, sf):
     """Latency PSI of each day against the reference days."""
-    return run_daily_drift(spark, sf).select("day", "feature", "psi", "status", "production_rows")
+    days = latest(spark.read.parquet(daily_psi_updates(spark, sf)), ["day"])
+    return days.withColumn("feature", F.lit("latency_ms"))
 
 
 @register("stream_alerts", f"""
@@ -180,18 +174,13 @@ SELECT 'METRICS', CASE WHEN accuracy < 0.6 THEN 'CRITICAL' ELSE 'WARNING' END,
        CASE WHEN accuracy < 0.6 THEN 'Severe accuracy drop detected' ELSE 'Moderate accuracy drop detected' END,
        '{{"day":"' || day || '","accuracy":' || printf('%.6f', accuracy) || '}}' FROM a WHERE accuracy < 0.75""")
 def stream_alerts(spark, sf):
-    """Drift and accuracy (H2) alerts per day, from streams, written to the
-    JSON alert log and read back from it."""
-    psi = run_daily_drift(spark, sf).where(F.col("status") != D.STATUS_NO_CHANGE)
-    drift = psi.select(
-        F.lit("DRIFT").alias("type"), F.when(F.col("status") == D.STATUS_SIGNIFICANT, "CRITICAL").otherwise("WARNING")
-        .alias("severity"), F.concat(F.lit("Latency drift on "), "day").alias("message"),
-        F.format_string('{"day":"%s","psi":%.6f}', "day", "psi").alias("meta"))
+    """Drift and accuracy (H2) alerts per day from the streams of daily
+    updates, each written once to the JSON alert log and read back from it."""
     daily = SO.daily_accuracy(SO.prediction_stream(table_stream(spark, sf, "events"))).select(
-        F.date_format("w.start", "yyyy-MM-dd").alias("day"), "labelled", "correct")
-    daily = latest(spark.read.parquet(run_updates(daily)), ["day"])
-    daily = daily.select("day", F.round(F.col("correct") / F.col("labelled"), 3).alias("accuracy"))
-    drops = M.accuracy_alerts(daily, meta=F.format_string('{"day":"%s","accuracy":%.6f}', "day", "accuracy"))
-    path = scratch_path(spark, "alert_log")
-    write_alerts(drift.unionByName(drops), path)
-    return read_json_log(spark, path, ALERT_SCHEMA).select("type", "severity", "message", "meta")
+        F.date_format("w.start", "yyyy-MM-dd").alias("day"), F.round(F.col("correct") / F.col("labelled"), 3).alias("accuracy"))
+    streams = []
+    for path in (daily_psi_updates(spark, sf), run_updates(daily)):
+        streams.append(update_stream(spark, path, spark.read.option("recursiveFileLookup", True).parquet(path).schema))
+    alerts = SO.daily_alert_stream(*streams)
+    log = run_available_now(stamped_alerts(alerts), fmt="json")
+    return read_json_log(spark, log, ALERT_SCHEMA).select("type", "severity", "message", "meta")

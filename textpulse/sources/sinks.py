@@ -7,13 +7,15 @@ reader has an explicit schema (no inference pass over the data).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpulse.functions.labels import stars_to_sentiment
 from textpulse.functions.text import LABEL_COLUMNS, TEXT_COLUMNS, first_present
 from textpulse.operators.sampling import cap_per_class
+from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
 REVIEW_CSV_COLUMNS = ("text", "label")
@@ -51,21 +53,43 @@ def write_review_csv(df: DataFrame, path: str) -> None:
 def read_star_reviews(spark: SparkSession, path: str, max_per_class: int | None = None,
                       max_lines: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A2: JSON lines with ``text`` and ``stars``; broken lines and rows missing
-    either field are skipped; returns ``(rows with sentiment, line counts)``.
-    ``max_lines`` reads the first raw lines only (A3), ``max_per_class`` caps the
-    rows of each class in seeded hash order of the text (C3)."""
-    lines = spark.read.text(path)
+    either field are skipped; returns ``(rows with sentiment, line counts)``. Lines
+    are read once, with an id each, and counted as they pass. ``max_lines`` takes
+    the first raw lines only (A3): by file name and place in the file, which one
+    running count over the files' sizes decides. ``max_per_class`` caps the rows of
+    each class in seeded hash order of the text (C3); the line's id breaks ties, so
+    equal texts don't exceed it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                         F.monotonically_increasing_id().alias("_id"))
     if max_lines is not None:
-        lines = lines.limit(max_lines)
-    raw = lines.select(F.from_json("value", STAR_JSON_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-                       .alias("r")).select("r.*")
+        lines = first_lines(lines, max_lines)
+    raw = lines.select("_id", F.from_json("value", STAR_JSON_SCHEMA, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("_id", "r.*")
+    seen = Observation()
+    raw = raw.observe(seen, F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("bad_lines"),
+                      F.count(F.when(F.col("_bad").isNull() & F.col("text").isNotNull(), 1)).alias("text_lines"))
     good = raw.where(F.col("_bad").isNull() & F.col("text").isNotNull() & F.col("stars").isNotNull())
-    rows = good.select("text", "stars", stars_to_sentiment(F.col("stars")).alias("sentiment"))
+    rows = materialize(good.select("_id", "text", "stars", stars_to_sentiment(F.col("stars")).alias("sentiment")))
+    counts = spark.createDataFrame([(seen.get["bad_lines"], seen.get["text_lines"])], "bad_lines bigint, text_lines bigint")
     if max_per_class is not None:
-        rows = cap_per_class(rows.withColumn("_id", F.md5("text")), "sentiment", "_id", max_per_class).drop("_id")
-    counts = raw.agg(F.count(F.when(F.col("_bad").isNotNull(), 1)).alias("bad_lines"),
-                     F.count(F.when(F.col("_bad").isNull() & F.col("text").isNotNull(), 1)).alias("text_lines"))
-    return rows, counts
+        rows = cap_per_class(rows, "sentiment", "_id", max_per_class, order_col="text")
+    return rows.drop("_id"), counts
+
+
+def first_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of ``(_file, _id, ...)`` by file and place, ids rising
+    within a file: files before the cut are taken whole, and of the one file where
+    it falls the rows up to an id."""
+    lines = materialize(lines)
+    sizes = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    quota = materialize(sizes.select("_file", "_n", F.least(F.col("_n"), F.greatest(
+        F.lit(0), F.lit(n) - F.coalesce(before, F.lit(0)))).alias("_take")))
+    whole = lines.join(quota.where("_take = _n").select("_file"), "_file", "left_semi")
+    part = quota.where("_take > 0 AND _take < _n").select("_file", "_take").first()  # one file at most
+    if part is None:
+        return whole
+    return whole.unionByName(lines.where(F.col("_file") == part["_file"]).orderBy("_id").limit(part["_take"]))
 
 
 def append_json(df: DataFrame, path: str) -> None:
@@ -77,8 +101,8 @@ def read_json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A missing log reads as empty."""
     try:
         return spark.read.schema(schema).json(path)
-    except Exception as ex:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(ex) or "does not exist" in str(ex):
+    except AnalysisException as ex:
+        if ex.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 
@@ -97,16 +121,22 @@ def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
         "is_accurate", F.col("is_accurate").cast("boolean"))
 
 
+def stamped_alerts(alerts: DataFrame) -> DataFrame:
+    """A10: alerts with the time of writing; ``meta`` is ``{}`` where there is
+    none, an ``alert_id`` is kept."""
+    return alerts.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+                         "type", "severity", "message",
+                         (F.col("meta") if "meta" in alerts.columns else F.lit("{}")).alias("meta"),
+                         *([F.col("alert_id")] if "alert_id" in alerts.columns else []))
+
+
 def write_alerts(alerts: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A10: alerts with an event timestamp as JSON lines (appended, or owning
-    ``path`` when ``overwrite`` - the idempotent form for micro-batches)."""
-    stamped = alerts.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
-                            "type", "severity", "message",
-                            (F.col("meta") if "meta" in alerts.columns else F.lit("{}")).alias("meta"))
+    """A10: alerts as JSON lines (appended, or owning ``path`` when ``overwrite``:
+    the idempotent form for micro-batches)."""
     if overwrite:
-        stamped.write.mode("overwrite").json(path)
+        stamped_alerts(alerts).write.mode("overwrite").json(path)
     else:
-        append_json(stamped, path)
+        append_json(stamped_alerts(alerts), path)
 
 
 def write_feedback(df: DataFrame, path: str) -> None:

@@ -6,29 +6,24 @@
 * I3 service metrics over event time: watermark + tumbling/sliding windows, in
   append mode (a window is written once, when the watermark passes its end) or in
   update mode (every window, also the open ones).
-* I4 rolling last-N labelled accuracy per key: each micro-batch keeps the newest
-  N of a key in the JVM (a window with a group limit before its shuffle) and
-  merges them with the newest N kept so far; whatever the arrival order, the
-  result equals the batch twin.
+* I4 rolling last-N labelled accuracy per key and I6 drift per day keep keyed state
+  in the state store (``state.py``).
 * I5 delayed labels: stream-stream left outer join with watermarks on both sides
   and an event-time interval, so join state is dropped once a label cannot arrive.
-* I6/I7 drift per window: bucket counts per (day, bucket) in windowed state, PSI
-  against the baseline shares and accuracy per day in ``foreachBatch``, alerts
-  written as JSON lines.
+* I7 alerts carry an id made of what they say; a stream keeps the ids of the
+  watermark's span, so that an alert raised again is written once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.text import clean_text, compute_once
-from textpulse.operators.drift import PSI_EPSILON, classify_psi
+from textpulse.operators.drift import STATUS_NO_CHANGE, STATUS_SIGNIFICANT
 from textpulse.operators.model import predict
-from textpulse.operators.scalars import attach
+from textpulse.operators.monitoring import accuracy_alerts
 from textpulse.sources.tables import prediction_columns
 
 WATERMARK = "1 hour"
@@ -63,35 +58,6 @@ def scored_document_stream(docs: DataFrame, model: PipelineModel) -> DataFrame:
     return predict(model, cleaned_document_stream(docs), ["doc_id"])
 
 
-def newest(labelled: DataFrame, n: int, keys: Sequence[str] = ("key",)) -> DataFrame:
-    """The newest ``n`` records of each key by (ts, id)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("id"))
-    return labelled.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def rolling_last_n(n: int, base: str):
-    """I4 as a ``foreachBatch`` function: after batch b, ``<base>/state/batch_id=b``
-    holds the newest ``n`` labelled records of every key. A retried batch reads
-    the state of the batch before it again and overwrites its own."""
-    def update(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.where(F.col("true_label").isNotNull()).select(
-            "key", "ts", "id", (F.col("prediction") == F.col("true_label")).alias("ok"))
-        rows = newest(rows, n)
-        if batch_id > 0:
-            rows = newest(rows.unionByName(batch.sparkSession.read.parquet(f"{base}/state/batch_id={batch_id - 1}")), n)
-        rows.write.mode("overwrite").parquet(f"{base}/state/batch_id={batch_id}")
-    return update
-
-
-def rolling_accuracy(state: DataFrame) -> DataFrame:
-    """I4: per key, the accuracy over its newest labelled records."""
-    last = state.where(F.col("batch_id") == state.agg(F.max("batch_id")).scalar())
-    g = last.groupBy("key").agg(F.count(F.lit(1)).cast("bigint").alias("total_samples"),
-                                F.sum(F.col("ok").cast("int")).cast("bigint").alias("correct"))
-    return g.select("key", "total_samples", "correct",
-                    F.round(F.col("correct") / F.col("total_samples"), 3).alias("accuracy"))
-
-
 MAX_LABEL_DELAY = "1 hour"
 
 
@@ -128,15 +94,6 @@ def with_pending(joined: DataFrame, events: DataFrame) -> DataFrame:
                                              F.lit(None).cast("bigint").alias("label_delay_min")))
 
 
-def bucket_counts(pred: DataFrame, inner_edges: list[float]) -> DataFrame:
-    """I6 state: per (day, bucket) counts of latency, edges broadcast as a
-    literal array (buckets + 1 values at most)."""
-    edges = F.array(*[F.lit(float(e)) for e in inner_edges]) if inner_edges else F.array().cast("array<double>")
-    b = F.size(F.filter(edges, lambda e: F.col("latency_ms") >= e))
-    return pred.groupBy(F.window("ts", "1 day").alias("w"), b.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-
-
 def daily_accuracy(pred: DataFrame) -> DataFrame:
     """I7 state: labelled and correct predictions per day."""
     ok = F.when(F.col("prediction") == F.col("true_label"), 1).otherwise(0)
@@ -144,18 +101,28 @@ def daily_accuracy(pred: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("labelled"), F.sum(ok).alias("correct"))
 
 
-def window_psi(counts: DataFrame, baseline: DataFrame) -> DataFrame:
-    """PSI of each day from its ``(day, bucket, cnt)`` against the baseline
-    shares ``(bucket, e)``; zero shares become epsilon, as in the batch form."""
-    m = counts.groupBy("day").agg(F.sum("cnt").alias("m"), F.map_from_entries(F.collect_list(
-        F.struct("bucket", "cnt"))).alias("own"))  # a day has one row a bucket
-    shares = baseline.agg(F.sort_array(F.collect_list(F.struct("bucket", "e"))).alias("shares"))
-    grid = attach(m, shares).select("day", "m", "own", F.explode("shares").alias("s"))
-    a = F.coalesce(F.try_element_at("own", F.col("s.bucket")), F.lit(0)) / F.col("m")
-    a = F.when(a == 0, PSI_EPSILON).otherwise(a)
-    e = F.when(F.col("s.e") == 0, PSI_EPSILON).otherwise(F.col("s.e"))
-    t = grid.select("day", "m", ((a - e) * F.log(a / e)).alias("term"))
-    r = t.groupBy("day").agg(F.sum("term").alias("psi_raw"), F.first("m").alias("m"))
-    return r.select("day", F.lit("latency_ms").alias("feature"), F.round("psi_raw", 6).alias("psi"),
-                    classify_psi(F.col("psi_raw")).alias("status"),
-                    F.col("m").cast("bigint").alias("production_rows"))
+ALERT_SPAN = "400 days"
+
+
+def alert_id(*identity: str) -> Column:
+    """A stable id of what an alert is about: equal for the same alert raised
+    again by a later or a replayed batch."""
+    return F.sha2(F.to_json(F.struct(*identity)), 256)
+
+
+def daily_alert_stream(drift: DataFrame, accuracy: DataFrame, span: str = ALERT_SPAN) -> DataFrame:
+    """Alerts from the streams of per-day updates ``drift`` (day, psi, status)
+    and ``accuracy`` (day, accuracy), each raised once: an alert's identity is
+    its type, severity and day, and ids within the watermark's span are kept in
+    the state store. So neither a replayed batch nor a later update of a day
+    raises it again; one that gets worse is a new alert."""
+    drifted = drift.where(F.col("status") != STATUS_NO_CHANGE).select(
+        "day", F.lit("DRIFT").alias("type"),
+        F.when(F.col("status") == STATUS_SIGNIFICANT, "CRITICAL").otherwise("WARNING").alias("severity"),
+        F.concat(F.lit("Latency drift on "), "day").alias("message"),
+        F.format_string('{"day":"%s","psi":%.6f}', "day", "psi").alias("meta"))
+    dropped = accuracy_alerts(accuracy, meta=F.format_string('{"day":"%s","accuracy":%.6f}', "day", "accuracy"), keep=("day",))
+    alerts = drifted.unionByName(dropped).select(
+        alert_id("type", "severity", "day").alias("alert_id"), F.to_timestamp("day").alias("day_start"),
+        "type", "severity", "message", "meta")
+    return alerts.withWatermark("day_start", span).dropDuplicatesWithinWatermark(["alert_id"])

@@ -3,8 +3,12 @@ sink and checkpoint live under the shared checkpoint folder."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpulse.session import scratch_path
 
@@ -30,10 +34,24 @@ def stream_dir(spark: SparkSession) -> str:
     return scratch_path(spark, "streams")
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the time being; a query keeps those it starts with."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_available_now(df: DataFrame, mode: str = "append", fmt: str = "parquet",
-                      foreach_batch=None, base: str | None = None) -> str:
+                      foreach_batch=None, base: str | None = None, conf: Mapping[str, str] | None = None) -> str:
     """Run a streaming query over everything available now, exactly once into
-    a file sink (or ``foreach_batch``); returns the output path."""
+    a file sink (or ``foreach_batch``), under the settings ``conf``; returns the
+    output path."""
     base = base or stream_dir(df.sparkSession)
     w = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/chk")
          .trigger(availableNow=True))
@@ -41,26 +59,30 @@ def run_available_now(df: DataFrame, mode: str = "append", fmt: str = "parquet",
         w = w.foreachBatch(foreach_batch)
     else:
         w = w.format(fmt).option("path", f"{base}/out")
-    q = w.start()
+    with settings(df.sparkSession, conf or {}):
+        q = w.start()
     q.awaitTermination()
     return f"{base}/out"
 
 
-def run_updates(df: DataFrame, base: str | None = None, after=None) -> str:
-    """Run an aggregating stream in update mode: every micro-batch writes the
-    rows it changed to a folder of its own (overwritten on a retry), so windows
-    that the watermark hasn't closed are there too. ``after(batch_id)`` runs once
-    the batch is written. Read the result with ``latest``."""
+def run_updates(df: DataFrame, base: str | None = None, conf: Mapping[str, str] | None = None) -> str:
+    """Run a stateful stream in update mode: every micro-batch writes the rows it
+    changed to a folder of its own (overwritten on a retry), so windows that the
+    watermark hasn't closed are there too. Read the result with ``latest``."""
     base = base or stream_dir(df.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-        if after is not None:
-            after(batch_id)
-    run_available_now(df, mode="update", foreach_batch=write, base=base)
+    run_available_now(df, mode="update", foreach_batch=write, base=base, conf=conf)
     return f"{base}/out"
 
 
+def update_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The updates that ``run_updates`` writes to ``path``, as a stream of their
+    own; a retried batch comes again."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key, the row of the last batch that changed it."""
     values = [c for c in updates.columns if c not in keys and c != "batch_id"]
