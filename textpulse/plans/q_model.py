@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -11,14 +12,17 @@ from textpulse.functions import labels as L
 from textpulse.functions.text import clean_text, compute_once, sql_clean
 from textpulse.operators import jobs as JB
 from textpulse.operators import model as MD
+from textpulse.operators import predictor
+from textpulse.operators import tfidf as TF
+from textpulse.operators.estimator import TextClassifier, TextClassifierModel
 from textpulse.operators.evaluation import confusion_counts, summary
 from textpulse.operators.scalars import attach
 from textpulse.plans.catalog import register
 from textpulse.plans.q_drift import DRIFT_FLAGS_SQL, SHIFTED_FLAGS_SQL, drift_flags, shifted_flags
-from textpulse.plans.q_features import CLEAN_REVIEWS_SQL, split_frames
+from textpulse.plans.q_features import CLEAN_REVIEWS_SQL, split_frames, tf_sql, vocab_sql
 from textpulse.plans.q_sampling import RAW_SPLIT_SQL, split_reviews, split_sql
 from textpulse.plans.sqltext import cleaned_docs, view
-from textpulse.session import ensure_checkpoint_dir, materialize
+from textpulse.session import ensure_checkpoint_dir, materialize, scratch_path
 from textpulse.sources.sinks import append_json, read_json_log
 from textpulse.sources.tables import prediction_log, table
 
@@ -109,17 +113,15 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM tr) AS train_rows, (SELECT CAST(cou
        TRUE AS probabilities_sum_to_one, TRUE AS beats_majority, TRUE AS converged""")
 def lr_model_facts(spark, sf):
     """Exact facts of the fit, and whether its invariants hold: class
-    probabilities sum to 1, the balanced accuracy on all reviews beats the
-    majority class's 0.5, L-BFGS stopped before its iteration limit."""
+    probabilities sum to 1, the balanced accuracy on the held-out test rows beats
+    the majority class's 0.5, L-BFGS stopped before its iteration limit."""
     m, train, test = fitted(spark, sf)
-    rows = train.unionByName(test)
-    pred = materialize(MD.predict(m, rows, ["sentiment", "split"])
-                       .withColumn("truth", L.normalize_label(F.col("sentiment"))))
+    pred = materialize(MD.predict(m, test, ["sentiment"]).withColumn("truth", L.normalize_label(F.col("sentiment"))))
     ok = F.when(F.col("truth") == F.col("prediction"), 1.0).otherwise(0.0)
     total = F.col("p_negative") + F.col("p_neutral") + F.col("p_positive")
-    share = pred.groupBy("truth").agg(F.count(F.when(F.col("split") == "test", 1)).alias("c"), F.avg(ok).alias("recall"))
+    share = pred.groupBy("truth").agg(F.count(F.lit(1)).alias("c"), F.avg(ok).alias("recall"))
     share = share.agg(F.round(F.max("c") / F.sum("c"), 6).alias("majority_share"), F.avg("recall").alias("_balanced"))
-    facts = attach(pred.agg(F.count(F.when(F.col("split") == "test", 1)).alias("test_rows"), F.max(F.abs(total - 1.0)).alias("_gap")), share)
+    facts = attach(pred.agg(F.count(F.lit(1)).alias("test_rows"), F.max(F.abs(total - 1.0)).alias("_gap")), share)
     return attach(facts, train.agg(F.count(F.lit(1)).alias("train_rows"))).select(
         F.col("train_rows").cast("bigint").alias("train_rows"), F.col("test_rows").cast("bigint").alias("test_rows"),
         F.lit(",".join(L.NUMERIC_LABELS.get(c, c) for c in MD.classes(m))).alias("classes"), "majority_share",
@@ -127,6 +129,103 @@ def lr_model_facts(spark, sf):
         F.lit(m.stages[-1].summary.totalIterations < MD.DEFAULT_MAX_ITER).alias("converged"))
 
 
+# The fit on two terms, solved a second way: Newton's steps over the sums of
+# gradient and Hessian, from the same objective sum(w loss) + |b|^2 / 2.
+_NEWTON_SQL = f"""WITH RECURSIVE {_SPLIT},
+tr AS (SELECT * FROM sp WHERE split = 'train'), te AS (SELECT * FROM sp WHERE split = 'test'),
+{tf_sql('tr')}, {vocab_sql('tr', 2)},
+ta AS (SELECT doc_id, {TF.sql_terms('cleaned_text', ngram_max=1)} AS tk FROM sp),
+tb AS (SELECT doc_id, unnest(list_concat(tk, [tk[i] || ' ' || tk[i + 1] FOR i IN range(1, len(tk))])) AS term FROM ta),
+cell AS (SELECT doc_id, idx, count(*) * any_value(idf) AS w FROM tb JOIN voc ON tb.term = voc.term GROUP BY doc_id, idx),
+norm AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM cell GROUP BY doc_id),
+x AS (SELECT sp.doc_id, sp.split, CAST(sp.sentiment AS DOUBLE) AS y,
+             coalesce(sum(w / s) FILTER (WHERE idx = 0), 0.0) AS x1, coalesce(sum(w / s) FILTER (WHERE idx = 1), 0.0) AS x2
+      FROM sp LEFT JOIN cell ON sp.doc_id = cell.doc_id LEFT JOIN norm ON sp.doc_id = norm.doc_id
+      GROUP BY sp.doc_id, sp.split, sp.sentiment),
+xw AS (SELECT x.*, (SELECT count(*) FROM tr) / (2.0 * count(*) OVER (PARTITION BY y)) AS w FROM x WHERE split = 'train'),
+step AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+  UNION ALL
+  SELECT k + 1, b0 - (g0 * (h11 * h22 - h12 * h12) + g1 * (h02 * h12 - h01 * h22) + g2 * (h01 * h12 - h02 * h11)) / det,
+         b1 - (g0 * (h12 * h02 - h01 * h22) + g1 * (h00 * h22 - h02 * h02) + g2 * (h01 * h02 - h00 * h12)) / det,
+         b2 - (g0 * (h01 * h12 - h11 * h02) + g1 * (h01 * h02 - h00 * h12) + g2 * (h00 * h11 - h01 * h01)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+        FROM (SELECT k, b0, b1, b2, sum(w * (p - y)) AS g0, sum(w * (p - y) * x1) + b1 AS g1, sum(w * (p - y) * x2) + b2 AS g2,
+                     sum(w * q) AS h00, sum(w * q * x1) AS h01, sum(w * q * x2) AS h02, sum(w * q * x1 * x1) + 1 AS h11,
+                     sum(w * q * x1 * x2) AS h12, sum(w * q * x2 * x2) + 1 AS h22
+              FROM (SELECT k, b0, b1, b2, w, y, x1, x2, p, p * (1 - p) AS q
+                    FROM (SELECT step.*, xw.*, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM step, xw WHERE k < 12))
+              GROUP BY k, b0, b1, b2))),
+fit AS (SELECT * FROM step WHERE k = 12)"""
+
+
+def small_fit(spark, sf):
+    train, test = split_frames(spark, sf)
+    settings = MD.TextModel(max_features=2, tol=1e-12)
+    return settings.fit(train, "cleaned_text", "sentiment"), test
+
+
+@register("lr_small_coefficients", _NEWTON_SQL + """
+SELECT '(intercept)' AS term, round(b0, 4) AS coefficient FROM fit
+UNION ALL SELECT term, round(CASE WHEN idx = 0 THEN b1 ELSE b2 END, 4) FROM voc, fit""")
+def lr_small_coefficients(spark, sf):
+    """The weighted, penalised fit on two terms: its coefficients."""
+    m, _ = small_fit(spark, sf)
+    lr, terms = m.stages[-1], m.stages[1].vocabulary
+    rows = [("(intercept)", float(lr.intercept)), *zip(terms, map(float, lr.coefficients))]
+    return spark.createDataFrame(rows, "term string, coefficient double").select(
+        "term", F.round("coefficient", 4).alias("coefficient"))
+
+
+@register("lr_small_predictions", _NEWTON_SQL + """
+SELECT doc_id, CASE WHEN p > 0.5 THEN 'positive' ELSE 'negative' END AS prediction, round(1 - p, 4) AS p_negative,
+       round(p, 4) AS p_positive
+FROM (SELECT doc_id, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM x, fit WHERE split = 'test')""")
+def lr_small_predictions(spark, sf):
+    """Classes and probabilities of the held-out rows by that fit."""
+    m, test = small_fit(spark, sf)
+    return MD.predict(m, test, ["doc_id"]).select("doc_id", "prediction", F.round("p_negative", 4).alias("p_negative"),
+                                                  F.round("p_positive", 4).alias("p_positive"))
+
+
+_BY_CLASS_SQL = f"""WITH {_SPLIT}
+SELECT {L.sql_normalize_label('sentiment')} AS truth, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_same
+FROM sp WHERE split = 'test' GROUP BY 1"""
+
+
+def _same_by_class(mine, base):
+    """Rows of each class, and how many have one record in both frames."""
+    joined = mine.join(base.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("prediction", "p_negative", "p_positive")]),
+                       "doc_id")
+    same = (F.col("prediction") == F.col("_prediction")) & (F.abs(F.col("p_positive") - F.col("_p_positive")) < 1e-9) \
+        & (F.abs(F.col("p_negative") - F.col("_p_negative")) < 1e-9)
+    return joined.groupBy(L.normalize_label(F.col("sentiment")).alias("truth")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.count(F.when(same, 1)).cast("bigint").alias("n_same"))
+
+
+@register("estimator_records", _BY_CLASS_SQL)
+def estimator_records(spark, sf):
+    """The Estimator's model, saved and loaded, against the plain fit with
+    the same settings: held-out rows with the same record."""
+    train, test = split_frames(spark, sf)
+    path = scratch_path(spark, "estimator")
+    TextClassifier(textCol="cleaned_text", labelCol="sentiment", maxFeatures=1000).fit(train).write().save(path)
+    model = TextClassifierModel.load(path)
+    base = MD.TextModel(max_features=1000).fit(train, "cleaned_text", "sentiment")
+    return _same_by_class(model.records(test, ["doc_id", "sentiment"]), MD.predict(base, test, ["doc_id"]))
+
+
+@register("sql_predictor_records", _BY_CLASS_SQL)
+def sql_predictor_records(spark, sf):
+    """The Arrow function in SQL against the model's own transform: held-out
+    rows with the same record."""
+    m, _, test = fitted(spark, sf)
+    name = f"score_text_{uuid.uuid4().hex[:8]}"
+    predictor.register(spark, name, m)
+    mine = test.selectExpr("doc_id", "sentiment", f"{name}(cleaned_text) AS r").select("doc_id", "sentiment", "r.*")
+    return _same_by_class(mine, MD.predict(m, test, ["doc_id"]))
+
+
 def star_reviews(spark, sf):
     """Documents with a three-class label, their text-length class by star
     rules: short texts 1 star, middle 3, long 5."""
@@ -141,21 +240,21 @@ _STARS3 = f"""(SELECT doc_id, CASE WHEN length(cleaned_text) < 800 THEN 'negativ
 
 @register("three_class_facts", f"""
 SELECT sentiment, CAST(count(*) AS BIGINT) AS n, TRUE AS probabilities_sum_to_one, TRUE AS beats_majority FROM {_STARS3}
-GROUP BY sentiment""")
+WHERE doc_id % 5 = 0 GROUP BY sentiment""")
 def three_class_facts(spark, sf):
-    """String labels and three classes: per class its rows; probabilities
-    sum to 1 and the fit is better on its own rows than the largest class."""
+    """String labels and three classes: per class its held-out rows (every
+    fifth document); their probabilities sum to 1 and the fit's mean recall over
+    the classes beats the third that one class for all would have."""
     docs = materialize(star_reviews(spark, sf))
-    m = MD.TextModel(max_features=2000, max_iter=50).fit(docs, "cleaned_text", "sentiment")
-    pred = materialize(MD.predict(m, docs, ["sentiment"]))
+    m = MD.TextModel(max_features=2000, max_iter=50).fit(docs.where("doc_id % 5 <> 0"), "cleaned_text", "sentiment")
+    pred = materialize(MD.predict(m, docs.where("doc_id % 5 = 0"), ["sentiment"]))
     total = F.col("p_negative") + F.col("p_neutral") + F.col("p_positive")
-    right = pred.agg(F.avg(F.when(F.col("sentiment") == F.col("prediction"), 1.0).otherwise(0.0)).alias("_acc"),
-                     F.max(F.abs(total - 1.0)).alias("_gap"), F.count(F.lit(1)).alias("_all"))
-    by_class = pred.groupBy("sentiment").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    most = by_class.agg(F.max("n").alias("_most"))
-    return attach(attach(by_class, right), most).select(
+    by_class = pred.groupBy("sentiment").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.max(F.abs(total - 1.0)).alias("_gap"),
+        F.avg(F.when(F.col("sentiment") == F.col("prediction"), 1.0).otherwise(0.0)).alias("_recall"))
+    return attach(by_class, by_class.agg(F.avg("_recall").alias("_mean"))).select(
         "sentiment", "n", (F.col("_gap") < 1e-9).alias("probabilities_sum_to_one"),
-        (F.col("_acc") > F.col("_most") / F.col("_all")).alias("beats_majority"))
+        (F.col("_mean") > 1 / 3).alias("beats_majority"))
 
 
 RUN_SCHEMA = "requested bigint, sample_size bigint, status string, accuracy double, f1_score double, error string"
