@@ -38,9 +38,6 @@ PRUNED_MAX_FEATURES = 1_000
 # ---------------------------------------------------------------------------
 
 
-MARKS_RE = r"\p{Mn}"
-
-
 @lru_cache(maxsize=1)
 def stop_word_list() -> tuple[str, ...]:
     """Spark's default English stop words: from its library, where that lies
@@ -52,12 +49,66 @@ def stop_word_list() -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=1)
-def accent_pairs() -> tuple[str, str]:
-    """Letters with an accent and their base letters, from the Unicode
-    decompositions of U+00C0 to U+024F."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def decompositions() -> tuple[str, str, dict[int, str]]:
+    """What becomes of code points when a text is decomposed for compatibility
+    (NFKD) and loses its combining marks, from Python's Unicode tables: code
+    points that turn into one other, or (at the end) vanish; what they turn into;
+    and those that turn into several. Decomposition works code point by code point
+    but for the order of the marks, which go."""
+    one, gone, several = {}, [], {}
+    for c in range(0x80, 0x110000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        letter = chr(c)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(x))
+        if not plain:
+            gone.append(letter)
+        elif len(plain) > 1:
+            several[c] = plain
+        elif plain != letter:
+            one[letter] = plain
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
+def _ranges(points: Sequence[int]) -> str:
+    """A character class of the code points."""
+    out, begin = [], None
+    points = sorted(points)
+    for k, c in enumerate(points):
+        begin = c if begin is None else begin
+        if k + 1 == len(points) or points[k + 1] != c + 1:
+            out.append(f"\\x{{{begin:x}}}-\\x{{{c:x}}}")
+            begin = None
+    return "[" + "".join(out) + "]"
+
+
+@lru_cache(maxsize=1)
+def _several_sql() -> tuple[str, str, str]:
+    """SQL literals: the character class of code points that turn into several;
+    for each 256 code points their block in the table (-1: none); the table, one
+    entry a code point of those blocks."""
+    _, _, several = decompositions()
+    blocks = sorted({c >> 8 for c in several})
+    at = [-1] * (blocks[-1] + 1)
+    for k, block in enumerate(blocks):
+        at[block] = k
+    separator = "\ue000"
+    entries = [several.get(block * 256 + k, "") for block in blocks for k in range(256)]
+    return (_quoted(_ranges(several)), f"cast(split('{','.join(map(str, at))}', ',') AS array<int>)",
+            f"split({_quoted(separator.join(entries))}, '{separator}')")
+
+
+def strip_accents_sql(text: str) -> str:
+    """Spark SQL: ``text`` decomposed for compatibility, without combining marks.
+    One translation for code points that become one or none; texts with others
+    (ligatures, Hangul, squared words) also go through the table, letter by
+    letter. Both tables are constants of the expression."""
+    changed, plain, _ = decompositions()
+    several, at, table = _several_sql()
+    entry = f"get({table}, get({at}, ascii(c) div 256) * 256 + ascii(c) % 256)"
+    return (f"transform(array(translate({text}, {_quoted(changed)}, {_quoted(plain)})), x -> CASE WHEN x RLIKE {several} "
+            f"THEN array_join(transform(split(x, ''), c -> CASE WHEN get({at}, ascii(c) div 256) >= 0 "
+            f"THEN coalesce(nullif({entry}, ''), c) ELSE c END), '') ELSE x END)[0]")
 
 
 def terms(text_col: str, **term_args) -> Column:
@@ -131,13 +182,9 @@ def tfidf(docs: DataFrame, text_col: str, vocab: DataFrame, keep: Sequence[str],
 
 def terms_sql(text_col: str, ngram_max: int = 2, stop_words: Sequence[str] | None = None,
               lowercase: bool = True, accents: bool = False) -> str:
-    """Spark SQL text of ``terms``. Accents: letters with a mark in the Latin
-    blocks become their base letter, and marks that stand alone go."""
-    t = text_col
-    if accents:
-        marked, plain = accent_pairs()
-        t = f"regexp_replace(translate({t}, '{marked}', '{plain}'), {_quoted(MARKS_RE)}, '')"
-    t = f"coalesce({'lower(' + t + ')' if lowercase else t}, '')"
+    """Spark SQL text of ``terms``. Accents go after the change of case."""
+    t = f"lower({text_col})" if lowercase else text_col
+    t = f"coalesce({strip_accents_sql(t) if accents else t}, '')"
     words = stop_word_list() if stop_words is None else stop_words
     found = f"regexp_extract_all({t}, {_quoted(TOKEN_RE)}, 0)"
     if words:
@@ -154,9 +201,8 @@ def sql_terms(text: str, ngram_max: int = 2, stop_words: Sequence[str] | None =
               accents: bool = False) -> str:
     """DuckDB twin of ``terms`` (for the oracle strings)."""
     stop_words = stop_word_list() if stop_words is None else stop_words
-    if accents:
-        text = f"strip_accents({text})"
-    t = f"coalesce({'lower(' + text + ')' if lowercase else text}, '')"
+    t = f"lower({text})" if lowercase else text
+    t = f"coalesce({f'strip_accents({t})' if accents else t}, '')"
     toks = f"regexp_extract_all({t}, '{TOKEN_RE}')"
     if stop_words:
         lst = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words) + "]"
