@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from textpulse.functions.text import clean_text, sql_clean
 from textpulse.operators import sampling as S
 from textpulse.plans.catalog import register
 from textpulse.plans.sqltext import view
-from textpulse.sources.fingerprint import fingerprint, sql_fingerprint
+from textpulse.sources.fingerprint import file_fingerprints, fingerprint, sql_fingerprint
 from textpulse.session import scratch_path
 from textpulse.sources.sinks import write_splits
 from textpulse.sources.tables import reviews, table
@@ -141,20 +143,25 @@ def split_write(spark, sf):
         "split", "n", F.lit(first).alias("first"), F.lit(second).alias("second"))
 
 
-@register("dataset_fingerprint", " UNION ALL ".join(
-    sql_fingerprint(t, cols, tcol) for t, cols, tcol in (
-        ("documents", ["doc_id", "text", "lang", "source", "n_chars"], "text"),
-        ("labels", ["doc_id", "quality", "toxic"], None),
-        ("pages", ["page_id", "url", "html"], "html"),
-        ("conversations", ["conv_id", "turn", "role", "text"], "text"))))
+_FINGERPRINTED = (
+    ("documents", ["doc_id", "text", "lang", "source", "n_chars"], "text"),
+    ("labels", ["doc_id", "quality", "toxic"], None),
+    ("pages", ["page_id", "url", "html"], "html"),
+    ("conversations", ["conv_id", "turn", "role", "text"], "text"))
+
+
+@register("dataset_fingerprint", " UNION ALL ".join(sql_fingerprint(*t) for t in _FINGERPRINTED))
 def dataset_fingerprint(spark, sf):
-    """Order-independent fingerprint (rows, text chars, xor of row hashes) per table."""
-    parts = [fingerprint(table(spark, sf, t), t, cols, tcol) for t, cols, tcol in (
-        ("documents", ["doc_id", "text", "lang", "source", "n_chars"], "text"),
-        ("labels", ["doc_id", "quality", "toxic"], None),
-        ("pages", ["page_id", "url", "html"], "html"),
-        ("conversations", ["conv_id", "turn", "role", "text"], "text"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Order-independent fingerprint (rows, text chars, folded row hashes) per table."""
+    return reduce(lambda a, b: a.unionByName(b), (
+        fingerprint(table(spark, sf, name), name, cols, text) for name, cols, text in _FINGERPRINTED))
+
+
+@register("file_fingerprints", " UNION ALL ".join(
+    f"SELECT *, '{t[0]}.parquet' AS file FROM {sql_fingerprint(*t)}" for t in _FINGERPRINTED))
+def file_fingerprints_query(spark, sf):
+    """The fingerprint of each file of the tables (here one a table)."""
+    parts = [file_fingerprints(spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet"), name, cols, text)
+             for name, cols, text in _FINGERPRINTED]
+    files = reduce(lambda a, b: a.unionByName(b), parts)
+    return files.withColumn("file", F.substring_index("file", "/", -1))

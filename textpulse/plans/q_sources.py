@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpulse.functions.labels import stars_to_sentiment
+from textpulse.functions.text import WS_SET
+from textpulse.functions.validation import sql_validate_request
 from textpulse.plans.catalog import register
 from textpulse.plans.sqltext import view
 from textpulse.session import scratch_path
 from textpulse.sources import datasource as DS
 from textpulse.sources import sinks as K
 from textpulse.sources.tables import prediction_log, reviews, table
-from textpulse.streaming.runner import run_available_now
+from textpulse.streaming.runner import run_available_now, table_stream
 
 LOG = view("pred_log")
 
@@ -135,3 +137,45 @@ def feedback_logs(spark, sf):
                                                F.col("correct_label").alias("true_label")).agg(n)
     return js.select(F.lit("json").alias("log"), "*").unionByName(
         cs.select(F.lit("csv").alias("log"), "*", F.lit(None).cast("double").alias("confidence")))
+
+
+_CHECKED_SQL = f"""(SELECT *, {sql_validate_request('text')} AS reject_reason,
+  regexp_replace(coalesce(text, ''), '^[{WS_SET}]+|[{WS_SET}]+$', '', 'g') AS stripped FROM documents)"""
+
+
+def _validated(spark, sf):
+    """Documents as scoring requests, validated and written in one pass."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    path = scratch_path(spark, "validated")
+    K.write_validated(docs, "text", path)
+    return path, docs.schema
+
+
+@register("accepted_requests", f"""
+SELECT doc_id, lang, CAST(length(stripped) AS BIGINT) AS chars, md5(stripped) AS digest FROM {_CHECKED_SQL}
+WHERE reject_reason IS NULL""")
+def accepted_requests(spark, sf):
+    """The table of accepted requests, texts stripped."""
+    return K.read_accepted(spark, *_validated(spark, sf)).select(
+        "doc_id", "lang", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+
+
+@register("quarantined_requests", f"""
+SELECT doc_id, lang, reject_reason, CAST(length(text) AS BIGINT) AS chars, md5(text) AS digest FROM {_CHECKED_SQL}
+WHERE reject_reason IS NOT NULL""")
+def quarantined_requests(spark, sf):
+    """The quarantine table of the same pass, texts as sent."""
+    return K.read_quarantine(spark, *_validated(spark, sf)).select(
+        "doc_id", "lang", "reject_reason", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+
+
+@register("stream_quarantine", f"""
+SELECT coalesce(reject_reason, 'accepted') AS outcome, CAST(count(*) AS BIGINT) AS n FROM {_CHECKED_SQL} GROUP BY 1""")
+def stream_quarantine(spark, sf):
+    """B17 on a stream: rows of both tables by reason."""
+    stream = table_stream(spark, sf, "documents", max_files_per_trigger=1).select("doc_id", "lang", "text")
+    path = scratch_path(spark, "validated")
+    run_available_now(stream, foreach_batch=K.validated_sink("text", path))
+    good = K.read_accepted(spark, path, stream.schema).select(F.lit("accepted").alias("outcome"))
+    bad = K.read_quarantine(spark, path, stream.schema).select(F.col("reject_reason").alias("outcome"))
+    return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).cast("bigint").alias("n"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from textpulse.functions.labels import stars_to_sentiment
 from textpulse.functions.text import LABEL_COLUMNS, TEXT_COLUMNS, first_present
+from textpulse.functions.validation import validate_request
 from textpulse.operators.sampling import cap_per_class
 from textpulse.session import materialize
 
@@ -179,3 +180,39 @@ def write_splits(split_df: DataFrame, path: str) -> str:
         return "skipped"
     split_df.write.mode("overwrite").partitionBy("split").parquet(path)
     return "written"
+
+
+def write_validated(df: DataFrame, text_col: str, path: str, mode: str = "append", partition: str = "") -> None:
+    """One pass over ``df`` that writes two tables below ``path``: the
+    accepted rows, with the stripped text, and the quarantined rows, with the text
+    as sent and the reason. Every row lands in one of them. ``partition`` is a
+    sub-folder of both (a micro-batch's own)."""
+    checked = validate_request(F.col(text_col))
+    rows = df.withColumn("reject_reason", checked["reject_reason"])
+    rows = rows.withColumn("accepted", F.col("reject_reason").isNull())
+    rows = rows.withColumn(text_col, F.when(F.col("accepted"), checked["stripped"]).otherwise(F.col(text_col)))
+    rows.write.mode(mode).partitionBy("accepted").parquet(f"{path}/{partition}".rstrip("/"))
+
+
+def validated_sink(text_col: str, path: str):
+    """B17 as a ``foreachBatch`` function: a folder a batch, overwritten when the
+    batch is retried."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_validated(batch, text_col, path, "overwrite", f"batch_id={batch_id}")
+    return write
+
+
+def read_accepted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The accepted rows of ``write_validated``; ``schema`` is that of its input."""
+    return _validated(spark, path, schema, True).select(*schema.names)
+
+
+def read_quarantine(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The quarantined rows and why (``reject_reason``)."""
+    return _validated(spark, path, schema, False).select(*schema.names, "reject_reason")
+
+
+def _validated(spark: SparkSession, path: str, schema: T.StructType, accepted: bool) -> DataFrame:
+    columns = T.StructType([*schema.fields, T.StructField("reject_reason", T.StringType()),
+                            T.StructField("accepted", T.BooleanType())])
+    return spark.read.schema(columns).option("basePath", path).parquet(path).where(F.col("accepted") == F.lit(accepted))
