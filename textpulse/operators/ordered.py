@@ -16,16 +16,17 @@ one label or one feature), so ordered work is cut by position instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from textpulse.operators.scalars import attach
 from textpulse.session import materialize
 
 LEVEL_BITS = 16  # key bits that one radix level settles
+FEW = 100_000  # rows of a group that one task may order
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -70,39 +71,60 @@ def order_statistics(value_counts: DataFrame, group_cols: Sequence[str], value_c
 
 
 def rank_threshold(rows: DataFrame, group_cols: Sequence[str], key_col: str, id_col: str,
-                   quotas: DataFrame) -> DataFrame:
-    """Per group with a quota ``(group cols, quota)``: ``(group cols, cut_key,
-    cut_id)`` such that exactly ``quota`` rows (all, if there are fewer) have
-    (key, id) up to it; nothing for a quota of 0. Keys are bigints.
-
-    Radix selection: each level counts rows by the next ``LEVEL_BITS`` bits of
-    the key among those that share the prefix found so far, so every count is a
-    combined aggregate of at most 2^LEVEL_BITS rows a group, whatever the
-    values. Rows that tie on the whole key are ordered by id. ``rows`` is read once
-    a level: pass a saved table of narrow rows."""
+                   quotas: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Per group with a quota ``(group cols, quota)``, given or made from the
+    group sizes ``(group cols, _rows)``: ``(group cols, cut_key, cut_id, cut_rows,
+    cut_take)`` such that ``quota`` rows (all, if there are fewer) are those with a
+    smaller (key, id) and ``cut_take`` of the ``cut_rows`` that have this one;
+    nothing for a quota of 0. Keys are bigints; null ids come first.
+
+    Radix selection: group sizes and the bits that vary in a group's keys take one
+    read; a count by the next ``LEVEL_BITS`` varying bits finds the bucket of the
+    rank, every count being a combined aggregate of at most 2^LEVEL_BITS rows a
+    group; further levels follow while a bucket has more than ``FEW`` rows. The
+    bucket's distinct (key, id) are then ordered: three reads for keys that spread.
+    ``rows`` is read once a step: pass a saved table of narrow rows."""
     g = list(group_cols)
+    outer = [f"_o_{c}" for c in g]
     narrow = rows.select(*g, F.col(key_col).alias("_key"),
                          F.col(key_col).bitwiseXOR(F.lit(-1 << 63)).alias("_bits"), F.col(id_col).alias("_id"))
-    size = narrow.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"))
-    q = quotas.select(*[F.col(c).alias(f"_o_{c}") for c in g], F.col("quota").cast("bigint").alias("_q"))
+    size = materialize(narrow.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"), F.bit_and("_bits").alias("_all"),
+                                              F.bit_or("_bits").alias("_any")))  # one row a group
+    q = quotas(size.select(*g, "_rows")) if callable(quotas) else quotas
+    q = q.select(*[F.col(c).alias(f"_o_{c}") for c in g], F.col("quota").cast("bigint").alias("_q"))
     sized = size.join(q, _same(size, q, g)) if g else attach(size, q)
-    state = materialize(sized.where("_q > 0").select(
+    varying = F.col("_all").bitwiseXOR(F.col("_any"))
+    bits = F.when(varying == 0, 0).when(varying < 0, 64).otherwise(F.length(F.bin(varying)))
+    state = sized.where("_q > 0 AND _rows > 0").select(
         *[F.col(c).alias(f"_o_{c}") for c in g], F.least("_q", "_rows").alias("_need"),
-        F.lit(0).cast("bigint").alias("_prefix")))
-    for low in range(64 - LEVEL_BITS, -1, -LEVEL_BITS):
-        # order-preserving bits: unsigned shifts of the key with its sign bit turned
-        above = F.shiftrightunsigned("_bits", low + LEVEL_BITS) if low + LEVEL_BITS < 64 else F.lit(0).cast("bigint")
-        live = narrow.join(state, _same(narrow, state, g) & (above == F.col("_prefix"))) if g \
-            else attach(narrow, state).where(above == F.col("_prefix"))
-        keep = [*[F.col(f"_o_{c}") for c in g], F.col("_need")]
-        counts = live.groupBy(*keep, F.shiftrightunsigned("_bits", low).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
-        upto = Window.partitionBy(*[f"_o_{c}" for c in g]).orderBy("_next")
-        cum = counts.withColumn("_upto", F.sum("_n").over(upto))
+        F.lit(None).cast("bigint").alias("_prefix"), F.lit(0).alias("_from"),
+        F.greatest(F.lit(0), bits - LEVEL_BITS).cast("int").alias("_low"))
+
+    def live() -> DataFrame:
+        """The rows of the buckets found so far. Order-preserving bits: unsigned
+        shifts of the key with its sign bit turned."""
+        inside = F.col("_prefix").isNull() | (F.expr("shiftrightunsigned(_bits, _from)") == F.col("_prefix"))
+        return narrow.join(state, _same(narrow, state, g) & inside) if g else attach(narrow, state).where(inside)
+
+    while True:
+        counts = live().groupBy(*outer, "_need", "_low", F.expr("shiftrightunsigned(_bits, _low)").alias("_next")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        cum = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*outer).orderBy("_next")))
+        seen = Observation()
         state = materialize(cum.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
-                            .select(*[f"_o_{c}" for c in g], (F.col("_need") - (F.col("_upto") - F.col("_n"))).alias("_need"),
-                                    F.col("_next").alias("_prefix")))
-    tied = narrow.join(state, _same(narrow, state, g) & (F.col("_bits") == F.col("_prefix"))) if g \
-        else attach(narrow, state).where(F.col("_bits") == F.col("_prefix"))
-    order = Window.partitionBy(*[f"_o_{c}" for c in g]).orderBy("_id")
-    last = tied.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_need"))
-    return last.select(*[F.col(f"_o_{c}").alias(c) for c in g], F.col("_key").alias("cut_key"), F.col("_id").alias("cut_id"))
+                            .select(*outer, (F.col("_need") - (F.col("_upto") - F.col("_n"))).alias("_need"),
+                                    F.col("_next").alias("_prefix"), F.col("_low").alias("_from"),
+                                    F.greatest(F.lit(0), F.col("_low") - LEVEL_BITS).alias("_low"), "_n")
+                            .observe(seen, F.coalesce(F.max("_n"), F.lit(0)).alias("n"), F.max("_from").alias("open")))
+        most = seen.get
+        if most["n"] <= FEW or not most["open"]:
+            break
+    tied = live().groupBy(*outer, "_need", F.struct("_key", "_id").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    if most["n"] <= FEW:
+        tied = tied.withColumn("_n_cum", F.sum("_n").over(Window.partitionBy(*outer).orderBy("_at")))
+    else:
+        tied = running_total(tied, outer, "_at", ["_n"])
+    cut = tied.where((F.col("_n_cum") >= F.col("_need")) & (F.col("_n_cum") - F.col("_n") < F.col("_need")))
+    return cut.select(*[F.col(f"_o_{c}").alias(c) for c in g], F.col("_at._key").alias("cut_key"),
+                      F.col("_at._id").alias("cut_id"), F.col("_n").alias("cut_rows"),
+                      (F.col("_need") - (F.col("_n_cum") - F.col("_n"))).alias("cut_take"))

@@ -18,12 +18,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from textpulse.operators.scalars import attach
 
-from textpulse.operators.ordered import rank_threshold
+from textpulse.operators.ordered import rank_threshold, running_total
 from textpulse.session import materialize
 
 # ---- fixed values ---------------------------------------------------------
@@ -48,28 +48,47 @@ def sql_hash_key(id_expr: str, seed: int = DEFAULT_SEED) -> str:
 def select_by_rank(df: DataFrame, group_cols: Sequence[str], key: Column, id_col: str,
                    quotas_of: Callable[[DataFrame], DataFrame], out_col: str = "selected") -> DataFrame:
     """Add boolean ``out_col``: the row's rank by (key, id) inside its group is
-    within its group's quota (``quotas_of`` the saved (group, key, id) rows:
+    within its group's quota (``quotas_of`` the group sizes ``(group cols, _rows)``:
     ``(group cols, quota)``, one row per group; missing group = nothing selected).
-    ``df`` is read once for the narrow rows and once for the result; no task ever
-    holds a whole group."""
+    Of rows that share the (key, id) at the quota's rank, as many are selected as
+    the quota leaves. ``df`` is read once for the narrow rows and once for the
+    result (twice, if such rows are to be told apart); no task ever holds a whole
+    group."""
     g = list(group_cols)
     keyed = df.withColumn("_k", key)
     narrow = materialize(keyed.select(*dict.fromkeys([*g, "_k", id_col])))
-    cut = rank_threshold(narrow, g, "_k", id_col, quotas_of(narrow))
-    cut = materialize(cut.select(*[F.col(c).alias(f"_o_{c}") for c in g], "cut_key", "cut_id"))  # one row a group
+    seen = Observation()
+    cut = materialize(rank_threshold(narrow, g, "_k", id_col, quotas_of).observe(  # one row a group
+        seen, F.count(F.when(F.col("cut_take") < F.col("cut_rows"), 1)).alias("torn")))
+    names = ("cut_key", "cut_id", "cut_rows", "cut_take")
     if g:
+        cut = cut.select(*[F.col(c).alias(f"_o_{c}") for c in g], *names)
         same = [keyed[c].eqNullSafe(cut[f"_o_{c}"]) for c in g]
         j = keyed.join(cut, reduce(lambda a, b: a & b, same), "left")
     else:
-        j = attach(keyed, cut.agg(F.max("cut_key").alias("cut_key"), F.max("cut_id").alias("cut_id")))
-    below = (F.col("_k") < F.col("cut_key")) | ((F.col("_k") == F.col("cut_key")) & (F.col(id_col) <= F.col("cut_id")))
-    return j.select(*df.columns, F.coalesce(below, F.lit(False)).alias(out_col))
-
-
-def stratified_quotas(df: DataFrame, label_col: str, test_size: float = DEFAULT_TEST_SIZE) -> DataFrame:
-    """Per-class test quota: n_test = ceil(test_size * n); floor(n_test * n_c / n)
-    seats each, remaining seats by largest remainder, ties by label text."""
-    cc = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("nc"))
+        j = attach(keyed, cut.agg(*[F.max(c).alias(c) for c in names]))
+    at_key = F.col("_k") == F.col("cut_key")
+    before = F.col(id_col).isNull() & F.col("cut_id").isNotNull() | F.coalesce(F.col(id_col) < F.col("cut_id"), F.lit(False))
+    equal = at_key & F.col(id_col).eqNullSafe(F.col("cut_id"))
+    below = (F.col("_k") < F.col("cut_key")) | (at_key & before) | equal
+    flag = F.coalesce(below, F.lit(False)).alias(out_col)
+    if not seen.get["torn"]:
+        return j.select(*df.columns, flag)
+    torn = F.coalesce(equal & (F.col("cut_take") < F.col("cut_rows")), F.lit(False))
+    rest = j.where(~torn).select(*df.columns, flag)
+    # equal rows are counted, ordered by a hash of all columns, and written out again
+    kinds = j.where(torn).groupBy(*df.columns, "cut_take").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = running_total(kinds.withColumn("_x", F.xxhash64(*df.columns)), g, "_x", ["_n"])
+    take = F.least("_n", F.greatest(F.lit(0), F.col("cut_take") - (F.col("_n_cum") - F.col("_n")))).cast("int")
+    flags = F.concat(F.array_repeat(F.lit(True), take), F.array_repeat(F.lit(False), F.col("_n").cast("int") - take))
+    return rest.unionByName(kinds.select(*df.columns, F.explode(flags).alias(out_col)))
+
+
+def stratified_quotas(sizes: DataFrame, label_col: str, test_size: float = DEFAULT_TEST_SIZE) -> DataFrame:
+    """Per-class test quota from the class sizes ``(label, _rows)``: n_test =
+    ceil(test_size * n); floor(n_test * n_c / n) seats each, remaining seats by
+    largest remainder, ties by label text."""
+    cc = sizes.select(label_col, F.col("_rows").alias("nc"))
     tot = cc.agg(F.sum("nc").alias("n")).select(
         "n", F.ceil(F.lit(test_size) * F.col("n")).cast("bigint").alias("nt"))
     b = attach(cc, tot)
@@ -87,12 +106,12 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: floa
                      seed: int = DEFAULT_SEED) -> DataFrame:
     """Add ``split`` = 'test' / 'train' (quota per class, hash order)."""
     s = select_by_rank(df, [label_col], hash_key(id_col, seed), id_col,
-                       lambda rows: stratified_quotas(rows, label_col, test_size), "_test")
+                       lambda sizes: stratified_quotas(sizes, label_col, test_size), "_test")
     return s.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def _at_most(n: int, *group_cols: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda rows: rows.groupBy(*group_cols).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
+    return lambda sizes: sizes.select(*group_cols, F.least("_rows", F.lit(n)).alias("quota"))
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int = DEFAULT_SEED) -> DataFrame:

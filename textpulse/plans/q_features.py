@@ -118,8 +118,8 @@ def split_clean(spark, sf):
 
 def split_frames(spark, sf):
     """Training and test rows; what a job reads several times is cleaned and
-    written once."""
-    sp = materialize(split_clean(spark, sf))
+    written once, before the split."""
+    sp = S.stratified_split(materialize(cleaned_reviews(spark, sf)), "sentiment", "doc_id")
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
