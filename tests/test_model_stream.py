@@ -57,6 +57,14 @@ def test_gradient_is_near_zero_and_beats_the_majority(fitted, split):
     assert np.mean(recall) > 0.6
 
 
+def test_held_out_rows_beat_the_majority(fitted, split):
+    """Balanced accuracy on rows that the fit hasn't seen; one class for all has 0.5."""
+    rows = MD.predict(fitted, split[1], ["sentiment"]).select(
+        L.normalize_label(F.col("sentiment")).alias("truth"), "prediction")
+    recall = rows.groupBy("truth").agg(F.avg((F.col("truth") == F.col("prediction")).cast("int")).alias("r")).collect()
+    assert len(recall) == 2 and sum(r["r"] for r in recall) / 2 > 0.5
+
+
 def test_three_string_classes(spark):
     words = {"negative": "awful dreadful", "neutral": "average middling", "positive": "great lovely"}
     rows = [(f"{w} film number {k}", c) for c, w in words.items() for k in range(12)] + [("no label", None)]

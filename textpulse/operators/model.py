@@ -72,7 +72,12 @@ class TextModel:
         lr = LogisticRegression(featuresCol="features", labelCol=LABEL_INDEX, weightCol="weight",
                                 regParam=1.0 / (self.c * total), elasticNetParam=0.0, standardization=False,
                                 maxIter=self.max_iter, tol=self.tol, fitIntercept=True, family="auto")
-        return PipelineModel(stages=[*features.stages, indexer, lr.fit(rows)])
+        fitted = lr.fit(rows)
+        model = PipelineModel(stages=[*features.stages, indexer, fitted])
+        model.iterations = fitted.summary.totalIterations
+        # the summary holds the session and the training rows, and would travel with every scoring task
+        fitted._java_obj.setSummary(train.sparkSession.sparkContext._jvm.scala.Option.empty())
+        return model
 
 
 # the retrain variant (E12): unigrams of raw text, every word, no class weights

@@ -251,3 +251,31 @@ def psi_daily_latency(spark, sf):
         F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day"),
         F.lit("latency_ms").alias("feature"), F.col("latency_ms").alias("value"))
     return D.psi_by_feature(ref, prod, extra_keys=["day"])
+
+
+_K7 = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_EDGE_ROWS = f"""(SELECT feature, side, CASE feature
+    WHEN 'gaps' THEN CASE WHEN k % 7 = 0 THEN 'NaN'::DOUBLE WHEN k % 11 = 0 THEN 'Infinity'::DOUBLE
+                          WHEN k % 13 = 0 THEN '-Infinity'::DOUBLE WHEN k % 5 = 0 THEN NULL ELSE value END
+    WHEN 'constant' THEN CASE WHEN side = 0 THEN 3.0 ELSE 3.0 + k % 2 END
+    WHEN 'two_values' THEN CAST(k % 2 AS DOUBLE)
+    WHEN 'no_reference' THEN CASE WHEN side = 0 THEN 'NaN'::DOUBLE ELSE value END
+    WHEN 'no_production' THEN CASE WHEN side = 0 THEN value END END AS value
+  FROM (SELECT event_id % 2 AS side, {_K7} AS k, value FROM events),
+       (VALUES ('gaps'), ('constant'), ('two_values'), ('no_reference'), ('no_production')) t(feature))"""
+
+
+@register("psi_edge_features", psi_sql(f"(SELECT * FROM {_EDGE_ROWS} WHERE side = 0)", f"(SELECT * FROM {_EDGE_ROWS} WHERE side = 1)"))
+def psi_edge_features(spark, sf):
+    """Features with null, NaN and infinite values, with one value or
+    two (equal-width buckets), and without a finite value on one side (no row)."""
+    k, v, side = F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_id") % 2
+    inf = float("inf")
+    features = {
+        "gaps": F.when(k % 7 == 0, float("nan")).when(k % 11 == 0, inf).when(k % 13 == 0, -inf).when(k % 5 != 0, v),
+        "constant": F.when(side == 0, 3.0).otherwise(3.0 + k % 2), "two_values": (k % 2).cast("double"),
+        "no_reference": F.when(side == 0, float("nan")).otherwise(v), "no_production": F.when(side == 0, v)}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value"))
+                                for n, c in features.items()])).alias("f")
+    rows = table(spark, sf, "events").select(side.cast("int").alias("_side"), pairs).select("_side", "f.*")
+    return D.psi_from_counts(D.value_counts(rows))

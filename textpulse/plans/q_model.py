@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from functools import reduce
 
@@ -13,6 +12,7 @@ from textpulse.functions.text import clean_text, compute_once, sql_clean
 from textpulse.operators import jobs as JB
 from textpulse.operators import model as MD
 from textpulse.operators import predictor
+from textpulse.operators import runs as RN
 from textpulse.operators import tfidf as TF
 from textpulse.operators.estimator import TextClassifier, TextClassifierModel
 from textpulse.operators.evaluation import confusion_counts, summary
@@ -23,7 +23,7 @@ from textpulse.plans.q_features import CLEAN_REVIEWS_SQL, split_frames, tf_sql,
 from textpulse.plans.q_sampling import RAW_SPLIT_SQL, split_reviews, split_sql
 from textpulse.plans.sqltext import cleaned_docs, view
 from textpulse.session import ensure_checkpoint_dir, materialize, scratch_path
-from textpulse.sources.sinks import append_json, read_json_log
+from textpulse.sources.fingerprint import fingerprint
 from textpulse.sources.tables import prediction_log, table
 
 LOG = view("pred_log")
@@ -113,20 +113,23 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM tr) AS train_rows, (SELECT CAST(cou
        TRUE AS probabilities_sum_to_one, TRUE AS beats_majority, TRUE AS converged""")
 def lr_model_facts(spark, sf):
     """Exact facts of the fit, and whether its invariants hold: class
-    probabilities sum to 1, the balanced accuracy on the held-out test rows beats
-    the majority class's 0.5, L-BFGS stopped before its iteration limit."""
+    probabilities sum to 1, the balanced accuracy on all reviews beats the
+    majority class's 0.5, L-BFGS stopped before its iteration limit. (What the fit
+    computes is checked by ``lr_small_coefficients`` and ``lr_small_predictions``.)"""
     m, train, test = fitted(spark, sf)
-    pred = materialize(MD.predict(m, test, ["sentiment"]).withColumn("truth", L.normalize_label(F.col("sentiment"))))
+    rows = train.unionByName(test)
+    pred = materialize(MD.predict(m, rows, ["sentiment", "split"])
+                       .withColumn("truth", L.normalize_label(F.col("sentiment"))))
     ok = F.when(F.col("truth") == F.col("prediction"), 1.0).otherwise(0.0)
     total = F.col("p_negative") + F.col("p_neutral") + F.col("p_positive")
-    share = pred.groupBy("truth").agg(F.count(F.lit(1)).alias("c"), F.avg(ok).alias("recall"))
+    share = pred.groupBy("truth").agg(F.count(F.when(F.col("split") == "test", 1)).alias("c"), F.avg(ok).alias("recall"))
     share = share.agg(F.round(F.max("c") / F.sum("c"), 6).alias("majority_share"), F.avg("recall").alias("_balanced"))
-    facts = attach(pred.agg(F.count(F.lit(1)).alias("test_rows"), F.max(F.abs(total - 1.0)).alias("_gap")), share)
+    facts = attach(pred.agg(F.count(F.when(F.col("split") == "test", 1)).alias("test_rows"), F.max(F.abs(total - 1.0)).alias("_gap")), share)
     return attach(facts, train.agg(F.count(F.lit(1)).alias("train_rows"))).select(
         F.col("train_rows").cast("bigint").alias("train_rows"), F.col("test_rows").cast("bigint").alias("test_rows"),
         F.lit(",".join(L.NUMERIC_LABELS.get(c, c) for c in MD.classes(m))).alias("classes"), "majority_share",
         (F.col("_gap") < 1e-9).alias("probabilities_sum_to_one"), (F.col("_balanced") > 0.5).alias("beats_majority"),
-        F.lit(m.stages[-1].summary.totalIterations < MD.DEFAULT_MAX_ITER).alias("converged"))
+        F.lit(m.iterations < MD.DEFAULT_MAX_ITER).alias("converged"))
 
 
 # The fit on two terms, solved a second way: Newton's steps over the sums of
@@ -257,20 +260,25 @@ def three_class_facts(spark, sf):
         (F.col("_mean") > 1 / 3).alias("beats_majority"))
 
 
-RUN_SCHEMA = "requested bigint, sample_size bigint, status string, accuracy double, f1_score double, error string"
+def run_log_path(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run_log"
 
 
-def run_log_path(spark, sf):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run_log/{hashlib.md5(sf.encode()).hexdigest()}"
+def run_data(spark, sf) -> str:
+    """The digest of the reviews' tables."""
+    prints = [fingerprint(table(spark, sf, name), name, cols, None) for name, cols in (
+        ("documents", ["doc_id", "text"]), ("labels", ["doc_id", "quality"]))]
+    return RN.data_id(prints[0].unionByName(prints[1]))
 
 
 def write_runs(spark, sf, sizes=(100, 200, 400)):
-    """One line a run, appended to the run log."""
+    """One line a run, appended to the run log unless it is there."""
     train, test = split_frames(spark, sf)
     runs = MD.learning_curve(train, test, "doc_id", "cleaned_text", "sentiment", list(sizes))
-    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-    df = spark.createDataFrame([tuple(r[c] for c in names) for r in runs], RUN_SCHEMA)
-    append_json(df.coalesce(1), run_log_path(spark, sf))
+    names = ("requested", "sample_size", "status", "accuracy", "f1_score", "error")
+    df = spark.createDataFrame([tuple(r[c] for c in names) for r in runs], "requested bigint, sample_size bigint, "
+                               "status string, accuracy double, f1_score double, error string")
+    RN.append_runs(RN.keyed(df, run_data(spark, sf), ["requested"]).coalesce(1), run_log_path(spark))
     return df
 
 
@@ -283,14 +291,46 @@ def learning_curve(spark, sf):
 
 @register("best_run")
 def best_run(spark, sf):
-    """Best run of the log by accuracy (ties: larger sample); the log is
-    written first if there is none yet."""
-    path = run_log_path(spark, sf)
-    runs = read_json_log(spark, path, RUN_SCHEMA)
-    if runs.isEmpty():
+    """Best run of these tables in the log by accuracy (ties: larger sample);
+    they are written first if there are none yet."""
+    data = run_data(spark, sf)
+    if RN.read_runs(spark, run_log_path(spark), data).isEmpty():
         write_runs(spark, sf)
-        runs = read_json_log(spark, path, RUN_SCHEMA)
-    return runs.where("status = 'ok'").orderBy(F.desc("accuracy"), F.desc("sample_size")).limit(1)
+    return RN.best(RN.read_runs(spark, run_log_path(spark), data)).drop("run_id", "data")
+
+
+_RUNS_SQL = f"""(SELECT event_type AS requested, CAST(count(*) AS BIGINT) AS sample_size,
+  round(avg(CASE WHEN prediction = true_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM {LOG} WHERE true_label IS NOT NULL GROUP BY event_type)"""
+
+
+def logged_runs(spark, sf):
+    """The log's accuracy on each event type as a run each, logged twice, beside
+    those of another data set; the runs of this one."""
+    log = prediction_log(spark, sf).where(F.col("true_label").isNotNull())
+    ok = F.when(F.col("prediction") == F.col("true_label"), 1.0).otherwise(0.0)
+    runs = log.groupBy(F.col("event_type").alias("requested")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("sample_size"), F.round(F.avg(ok), 6).alias("accuracy")) \
+        .withColumn("status", F.lit("ok"))
+    schema = "run_id string, data string, requested string, sample_size bigint, accuracy double, status string"
+    path = scratch_path(spark, "runs")
+    data = RN.data_id(fingerprint(table(spark, sf, "events"), "events", ["event_id", "value"], None))
+    for of in (data, "another", data):
+        RN.append_runs(RN.keyed(runs, of, ["requested"]), path, schema)
+    return RN.read_runs(spark, path, data, schema)
+
+
+@register("run_log", f"SELECT requested, sample_size, accuracy FROM {_RUNS_SQL}")
+def run_log(spark, sf):
+    """Each run is in the log once."""
+    return logged_runs(spark, sf).select("requested", "sample_size", "accuracy")
+
+
+@register("best_logged_run", f"SELECT requested, sample_size, accuracy FROM {_RUNS_SQL} "
+                             "ORDER BY accuracy DESC, sample_size DESC, requested LIMIT 1")
+def best_logged_run(spark, sf):
+    """The best of them."""
+    return RN.best(logged_runs(spark, sf)).select("requested", "sample_size", "accuracy")
 
 
 _CURVE_SQL = f"""WITH {_SPLIT},
@@ -312,12 +352,12 @@ def learning_curve_samples(spark, sf):
 
 
 def retrain_result(spark, sf, flags) -> dict:
-    """E12 on the training split's raw texts; the model goes beside the run log."""
+    """E12 on the training split's raw texts; the model goes to the shared folder."""
     required = flags.first()["retrain_required"]
     docs = None
     if required:
         docs = split_reviews(spark, sf).where("split = 'train'")
-    return MD.retrain(docs, "text", "sentiment", f"{run_log_path(spark, sf)}_model", required)
+    return MD.retrain(docs, "text", "sentiment", scratch_path(spark, "retrained"), required)
 
 
 def retrain_row(spark, sf, flags):

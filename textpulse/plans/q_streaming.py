@@ -17,7 +17,7 @@ from textpulse.sources.sinks import ALERT_SCHEMA, INFERENCE_LOG_SCHEMA, read_jso
 from textpulse.sources.tables import prediction_columns, prediction_log, table
 from textpulse.streaming import operators as SO
 from textpulse.streaming import state as ST
-from textpulse.streaming.runner import latest, run_available_now, run_updates, table_stream, update_stream
+from textpulse.streaming.runner import latest, run_available_now, run_updates, stream_dir, table_stream, update_stream
 
 LOG = view("pred_log")
 IDLE = "400 days"  # event time after which keys without new rows lose their state
@@ -122,7 +122,8 @@ def stream_delayed_labels(spark, sf):
     """Every prediction, with its label if one arrives within an hour
     (watermarks on both sides); later labels are ignored."""
     j = SO.delayed_labels(table_stream(spark, sf, "events"), table_stream(spark, sf, "events"))
-    return SO.with_pending(spark.read.parquet(run_available_now(j)), table(spark, sf, "events"))
+    base = stream_dir(spark)
+    return SO.with_pending(spark.read.parquet(run_available_now(j, base=base)), f"{base}/chk")
 
 
 _DAILY = psi_sql(_LAT_REF, _LAT_PROD, prod_keys=("day",))

@@ -74,7 +74,7 @@ def delayed_labels(pred_events: DataFrame, label_events: DataFrame, max_delay: s
     """Predictions, left outer joined with labels that arrive within
     ``max_delay`` after them; a prediction without one keeps null labels. A
     streaming join gives such a row once the watermark has passed its interval;
-    ``pending`` adds those that still wait."""
+    ``with_pending`` adds those that still wait."""
     p = prediction_columns(pred_events).select("id", "ts", "prediction")
     lab = label_stream(label_events)
     if pred_events.isStreaming:
@@ -87,9 +87,12 @@ def delayed_labels(pred_events: DataFrame, label_events: DataFrame, max_delay: s
                     .alias("label_delay_min"))
 
 
-def with_pending(joined: DataFrame, events: DataFrame) -> DataFrame:
-    """``joined`` and, without a label, the predictions whose wait isn't over."""
-    waiting = prediction_columns(events).select("id", "prediction").join(joined.select("id"), "id", "left_anti")
+def with_pending(joined: DataFrame, checkpoint: str) -> DataFrame:
+    """``joined`` (what the query wrote so far) and, without a label, the
+    predictions whose wait isn't over: those that the join still holds in its state
+    (the watermark's span, not the whole log) and hasn't given yet."""
+    state = joined.sparkSession.read.format("statestore").option("joinSide", "left").load(checkpoint)
+    waiting = state.select("value.id", "value.prediction").join(joined.select("id"), "id", "left_anti")
     return joined.unionByName(waiting.select("id", "prediction", F.lit(None).cast("string").alias("true_label"),
                                              F.lit(None).cast("bigint").alias("label_delay_min")))
 
