@@ -2,6 +2,7 @@
 empty and long texts, ties, repeated rows and clashing columns; SQL on sf0.001."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -96,6 +97,27 @@ def test_decontamination_matches_brute_force(spark, docs):
         assert got == brute.expected(brute.contamination(brute.TEXTS, none))
 
 
+def test_decontamination_shuffles_no_words(spark, docs, monkeypatch):
+    items = [(1, brute.PASSAGE), (2, "ONE Two three"), (5, "the"), (7, brute.PASSAGE + " the"), (8, "the the the the the")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plans, save = [], decontaminate.save
+
+    def noted(df):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return save(df)
+    monkeypatch.setattr(decontaminate, "save", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = brute.collected(decontaminate.digest(docs, bench),
+                              "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute.expected(brute.contamination(brute.TEXTS, items))
+    places = [p for p in plans if re.search(r"Exchange\nInput \[\d+\]: \[.*pos#", p)]
+    assert places and not any(re.search(r"Exchange\nInput \[\d+\]: \[.*\bw#", p) for p in plans)
+
+
 def test_substring_dedup_matches_brute_force(spark, docs):
     for df, rows in ((docs, brute.TEXTS), (brute.frame(spark, near_copies()), near_copies())):
         got = brute.collected(substring.digest(df), "doc_id", "n_words", "n_removed", "kept_sha256")

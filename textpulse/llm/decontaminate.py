@@ -10,16 +10,18 @@ the rarest. Plan:
 1. Windows of the benchmark, each distinct word sequence once, and their
    shingles with offsets.
 2. One pass over the documents explodes shingle positions and keeps those whose
-   shingle (by hash) occurs in the benchmark, with the words around (a window's
-   length to either side). Only these few rows are written.
+   shingle (by hash) occurs in the benchmark: numbers only, no words.
 3. Rarity is the count of a shingle over all documents. Each window keeps its
    rarest shingle (ties: smallest offset) as its prefix; documents join on it.
 4. Length and positional bounds: the window must fit between the document's
-   ends at the prefix's offset; then the words themselves are compared, so
+   ends at the prefix's offset. The places left go back to their texts, which are
+   read once more, and the words there are compared with the window's, so
    neither hashes nor prefixes decide anything.
 
 The benchmark's shingles are a saved table: Spark broadcasts it where its files
-are below spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise.
+are below spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise; then
+ids, places and hashes of shingles are all that it shuffles of a document, and
+a text travels once, if windows may occur in it.
 
 Defined results: a null or wordless text has no words, no hits and the digest
 of the empty string; wordless items match nothing; repeated items count once
@@ -77,12 +79,10 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = 10, shingle: in
     found = None
     for k in lengths:
         at = (rows.where(F.size("w") >= k)
-              .select("doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
-              .withColumn("token", _token(F.col("pos"), "w", k, shingle)))
-        lead = F.least("pos", F.lit(window - k))
-        at = at.join(tokens.where(F.col("k") == k).select("token"), "token").select(
-            "doc_id", "text_hash", "pos", "token", lead.alias("lead"),
-            F.slice("w", F.col("pos") - lead + 1, F.col("lead") + window).alias("around"))
+              .select("doc_id", "text_hash", F.size("w").alias("n_words"), "w",
+                      F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
+              .select("doc_id", "text_hash", "n_words", "pos", _token(F.col("pos"), "w", k, shingle).alias("token"))
+              .join(tokens.where(F.col("k") == k).select("token"), "token"))
         found = at if found is None else found.unionByName(at)
     if found is None:  # no item has a word
         ids = [x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (items, "item_id"))]
@@ -96,11 +96,18 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = 10, shingle: in
                    F.min(F.struct("n", "shift", "token", "k")).alias("p"))
               .where(F.col("present") == F.size("seq") - F.col("p.k") + 1)
               .select("window_id", "seq", F.col("p.shift").alias("shift"), F.col("p.token").alias("token")))
-    hits = (found.join(save(prefix), "token")
-            .where(F.col("shift") <= F.col("lead"))
-            .where(F.slice("around", F.col("lead") - F.col("shift") + 1, F.size("seq")) == F.col("seq"))
-            .select("doc_id", "text_hash", (F.col("pos") - F.col("shift")).alias("start"),
-                    F.size("seq").alias("length"), "seq", "window_id"))
+    start, length = F.col("pos") - F.col("shift"), F.col("length")
+    spots = save(found.join(save(prefix.select("token", "shift", F.size("seq").alias("length")).distinct()), "token")
+                 .where((start >= 0) & (start + length <= F.col("n_words")))
+                 .groupBy(F.col("doc_id").alias("spot_id"), F.col("text_hash").alias("spot_hash"))
+                 .agg(F.collect_set(F.struct(start.alias("start"), "length")).alias("spots")))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    hits = (texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id"))
+                       & (F.col("text_hash") == F.col("spot_hash")))
+            .select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("spots").alias("spot"))
+            .select("doc_id", "text_hash", "spot.start", "spot.length",
+                    F.slice("w", F.col("spot.start") + 1, F.col("spot.length")).alias("seq")))
+    hits = hits.withColumn("window_id", F.xxhash64("seq"))
     return hits.join(owners, ["window_id", "seq"]).select(
         "doc_id", "text_hash", "start", "length", "item_id")
 
