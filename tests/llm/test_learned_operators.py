@@ -1,6 +1,9 @@
 """Operators that learn, search or tokenise: recall, held-out accuracy, exact
 round trips, and defined results for odd rows."""
 
+import math
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -182,6 +185,97 @@ def test_quality_gradients():
         assert abs(slope - g[at]) < 1e-4, name
 
 
+def plain_passage(data):
+    """One passage's vector, counted byte by byte and word by word."""
+    kinds = [int(quality.BYTE_CLASS[b]) for b in data]
+    n, c = max(len(data), 1), quality.CLASSES
+    single, pairs, grams = [0.0] * c, [0.0] * (c * c), [0.0] * quality.GRAM_BUCKETS
+    for k in kinds:
+        single[k] += 4 / n
+    for a, b in zip(kinds, kinds[1:]):
+        pairs[a * c + b] += 4 / n
+    runs = [data[i:i + quality.GRAM] for i in range(len(data) - quality.GRAM + 1)]
+    for run in runs:
+        g = int.from_bytes(run, "big")
+        g = (g ^ g >> 15) * 0x9E3779B1 % 2 ** 32
+        grams[(g >> 16) % quality.GRAM_BUCKETS] += 4 / len(runs)
+    return single, pairs, grams
+
+
+def plain_words(data):
+    """Of each passage of a text: shares of repeated and of distinct words, mean length."""
+    begins = [(m.start(), m.group()) for m in re.finditer(rb"[^ \t\n\r]+", data)]
+    out = []
+    for at in range(0, max(len(data), 1), quality.PASSAGE):
+        part = data[at:at + quality.PASSAGE]
+        here = [w for b, w in begins if at <= b < at + quality.PASSAGE]
+        if not here:
+            out.append([0, 0, min(max(len(part), 1) / 20, 3), len(part) / quality.PASSAGE])
+            continue
+        again = sum(a == b for a, b in zip(here, here[1:]))
+        out.append([again / len(here), len(set(here)) / len(here), min(max(len(part), 1) / len(here) / 20, 3),
+                    len(part) / quality.PASSAGE])
+    return out
+
+
+def plain_score(model, text):
+    bag = []
+    for cut in range(0, max(len(text), 1), quality.PIECE):
+        data = text[cut:cut + quality.PIECE]
+        for k, extra in enumerate(plain_words(data)):
+            single, pairs, grams = plain_passage(data[k * quality.PASSAGE:(k + 1) * quality.PASSAGE])
+            bag.append((np.array(single + pairs + extra + grams) - model.mean) * model.scale)
+    w, total, weight = model.w, np.zeros(quality.HIDDEN), 0.0
+    for x in bag:
+        h = np.maximum(x @ w["E"] + w["e"], 0)
+        s = math.exp((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"])
+        total, weight = total + s * h, weight + s
+    return 1 / (1 + math.exp(-(total / weight @ w["c"] + w["b"][0])))
+
+
+def test_quality_scores_match_a_plain_version(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [r[1].encode() if r[1] else b"" for r in brute.TEXTS] + [
+        b"", b" ", b"x" * 5000, "żółć, straße! ".encode() * 300,
+        b" ".join(bytes(rng.integers(97, 105, rng.integers(1, 9)).astype(np.uint8)) for _ in range(3000))]
+    model = quality.AttentionMIL()
+    model.w["e"] = rng.standard_normal(quality.HIDDEN).astype(np.float32)
+    model.mean, model.scale = np.full(quality.FEATURES, 0.02), np.full(quality.FEATURES, 1.5)
+    whole = quality.score_texts(model, texts)
+    assert np.allclose(whole, [plain_score(model, t) for t in texts], atol=1e-5)
+    assert whole.std() > 0.01
+    monkeypatch.setattr(quality, "PIECE", 2 * quality.PASSAGE)
+    cut = quality.score_texts(model, texts)
+    assert np.allclose(cut, [plain_score(model, t) for t in texts], atol=1e-5)
+
+
+def test_quality_learns_from_every_passage_of_its_sample(spark):
+    docs = spark.createDataFrame([(k, "word " * (20 + 900 * (k % 3)), 1) for k in range(60)] * 2,
+                                 "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    learned = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    every = quality._sample(docs, labels, 6000, 1 << 24)
+    assert every.count() == len(learned)
+    bags = every.mapInArrow(quality._passages, "label int, x binary").collect()
+    assert sorted(len(r.x) // 2 // quality.FEATURES for r in bags) == \
+        sorted(-(-5 * (20 + 900 * (k % 3)) // quality.PASSAGE) for k in learned)
+    sizes = [r.n for r in quality._sample(docs, labels, 6000, 30_000).selectExpr("length(text) AS n").collect()]
+    assert sum(sizes) >= 30_000 > sum(sizes) - max(sizes)
+    assert quality._sample(docs, labels, 5, 1 << 24).count() == 5
+
+
+def test_quality_reads_a_very_long_text_by_pieces():
+    model = quality.AttentionMIL()
+    text = b"some words of a long text, " * 1_500_000  # 40 MB
+    tracemalloc.start()
+    try:
+        score = quality.score_texts(model, [b"short", text])
+        assert tracemalloc.get_traced_memory()[1] < 250e6
+    finally:
+        tracemalloc.stop()
+    assert abs(score[1] - model.score_long(text[:quality.PIECE * 3])) < 1e-3
+
+
 # --- language -----------------------------------------------------------------
 
 def test_language_on_held_out_documents(spark):

@@ -2,22 +2,25 @@
 
 A document is a bag of passages of ``PASSAGE`` bytes (the whole text, in
 order). Each passage is encoded as a vector: shares of byte classes, of pairs of
-classes, and of words that repeat. A small network maps each passage to a
-hidden vector h, scores it by gated attention
+classes, of words that repeat, and of hashed runs of ``GRAM`` bytes. A small
+network maps each passage to a hidden vector h, scores it by gated attention
 w . (tanh(V h) * sigmoid(U h)), and classifies the attention-weighted mean of
 its document's passages by a logistic layer. All weights are learned together,
 from document labels alone.
 
-The network is fitted by Adam on a bounded sample: ``LEARN_DOCS`` labelled
-documents (a parameter) with the smallest hash of their id, at most
-``LEARN_PASSAGES`` evenly spaced passages of each. Scoring reads every passage
-of every text in one pass without a shuffle.
+The network is fitted by Adam on every passage of a bounded sample of labelled
+documents: those with the smallest hash of their id, until there are
+``LEARN_DOCS`` of them or they have ``LEARN_BYTES`` bytes (the one that reaches
+that number is the last). Scoring reads every passage of every text in one pass
+without a shuffle. A text is read ``PIECE`` bytes at a time, and attention
+keeps running sums from piece to piece, so memory doesn't grow with a text; a
+word that lies across two pieces counts as one in each.
 
 Defined results: a null or empty text is one blank passage and gets a score
 like any other; without both labels to learn from, every score is the share of
 label 1 (0.5 without labels); a null id is never learned from and not held out;
-repeated rows get equal scores; several labels of one document each count;
-other columns may have any name.
+repeated rows get equal scores and are learned from once; several labels of one
+document that differ each count; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textpulse.llm.common import learn_split
+from textpulse.llm.common import learn_split, save
 
 PASSAGE = 512
 LEARN_DOCS = 6000
-LEARN_PASSAGES = 24
+LEARN_BYTES = 24 << 20
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
-TOGETHER = 1 << 20  # bytes encoded together
+GRAM, GRAM_BUCKETS = 4, 64
+PIECE = 1 << 20  # bytes encoded together: whole passages
 
 # Byte classes: lower, upper, digit, blank, newline, sentence marks, comma-like,
 # exclamation, pipe, brackets and quotes, hyphen-like, other ASCII marks, control, non-ASCII
@@ -56,7 +60,26 @@ def _classes() -> np.ndarray:
 
 
 BYTE_CLASS = _classes()
-FEATURES = CLASSES + CLASSES * CLASSES + 4
+FEATURES = CLASSES + CLASSES * CLASSES + 4 + GRAM_BUCKETS
+
+
+def _gram_shares(data: np.ndarray, passage: np.ndarray, total: int) -> np.ndarray:
+    """Shares of each passage's runs of ``GRAM`` bytes by bucket of their hash."""
+    out = np.zeros((total, GRAM_BUCKETS), np.float32)
+    if len(data) < GRAM:
+        return out
+    last = len(data) - GRAM + 1
+    gram = np.zeros(last, np.uint32)
+    for k in range(GRAM):
+        gram = gram << np.uint32(8) | data[k:last + k]
+    # by the upper half of a product, mixed: every byte has a say in it
+    gram = (gram ^ gram >> np.uint32(15)) * np.uint32(0x9E3779B1)
+    bucket = (gram >> np.uint32(16)) % np.uint32(GRAM_BUCKETS)
+    inside = passage[GRAM - 1:] == passage[:last]
+    at = passage[:last][inside]
+    out += np.bincount(at * GRAM_BUCKETS + bucket[inside].astype(np.int64),
+                       minlength=total * GRAM_BUCKETS).reshape(total, -1)
+    return out / np.maximum(np.bincount(at, minlength=total), 1)[:, None].astype(np.float32)
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,27 +98,35 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     follow = (kind[:-1] * CLASSES + kind[1:])[same] if (same := passage[1:] == passage[:-1]).any() else kind[:0]
     pairs = np.bincount((passage[1:][same] if len(follow) else passage[:0]) * CLASSES * CLASSES + follow,
                         minlength=total * CLASSES * CLASSES).reshape(total, -1) / length
-    # words: runs without blanks; their hash by sums of powers
+    # words: runs without blanks; their hash is a polynomial of their bytes
     inside = (kind != 3) & (kind != 4)
     begin = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1] & (own[1:] == own[:-1])))) \
         if len(data) else np.zeros(0, np.int64)
     extra = np.zeros((total, 4))
+    at = passage[begin]
+    count = np.maximum(np.bincount(at, minlength=total), 1)
     if len(begin):
-        powers = np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(data), dtype=np.uint64) + np.uint64(1))
+        powers = np.multiply.accumulate(np.full(len(data), 0x9E3779B97F4A7C15, np.uint64))
         place = np.arange(len(data)) - begin[np.maximum(np.searchsorted(begin, np.arange(len(data)), "right") - 1, 0)]
-        mixed = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * (powers[place] | np.uint64(1)), np.uint64(0))
+        mixed = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * powers[place], np.uint64(0))
         words = np.add.reduceat(mixed, begin)
-        at = passage[begin]
-        count = np.maximum(np.bincount(at, minlength=total), 1)
         again = np.concatenate(([False], (words[1:] == words[:-1]) & (at[1:] == at[:-1])))
         extra[:, 0] = np.bincount(at, again, minlength=total) / count
         order = np.lexsort((words, at))
         sw, sa = words[order], at[order]
         new = np.concatenate(([True], (sw[1:] != sw[:-1]) | (sa[1:] != sa[:-1])))
         extra[:, 1] = np.bincount(sa, new, minlength=total) / count
-        extra[:, 2] = np.minimum(length[:, 0] / count / 20.0, 3.0)
+    extra[:, 2] = np.minimum(length[:, 0] / count / 20.0, 3.0)
     extra[:, 3] = (np.bincount(passage, minlength=total) / PASSAGE)
-    return np.concatenate([single * 4, pairs * 4, extra], axis=1).astype(np.float32), n
+    grams = _gram_shares(data, passage, total)
+    return np.concatenate([single * 4, pairs * 4, extra, grams * 4], axis=1).astype(np.float32), n
+
+
+def pieces(text) -> Iterator[memoryview]:
+    """A text's bytes, ``PIECE`` at a time; an empty text is one piece."""
+    view = memoryview(text)
+    for at in range(0, max(len(view), 1), PIECE):
+        yield view[at:at + PIECE]
 
 
 class AttentionMIL:
@@ -110,11 +141,16 @@ class AttentionMIL:
         self.mean = np.zeros(FEATURES, np.float32)
         self.scale = np.ones(FEATURES, np.float32)
 
-    def _forward(self, x: np.ndarray, n: np.ndarray) -> dict:
-        w, starts = self.w, np.concatenate(([0], np.cumsum(n)[:-1]))
+    def _attention(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden vectors of passages, both gates and the attention before softmax."""
+        w = self.w
         h = np.maximum(x @ w["E"] + w["e"], 0)
         t, u = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-np.clip(h @ w["U"], -30, 30)))
-        s = (t * u) @ w["a"]
+        return h, t, u, (t * u) @ w["a"]
+
+    def _forward(self, x: np.ndarray, n: np.ndarray) -> dict:
+        w, starts = self.w, np.concatenate(([0], np.cumsum(n)[:-1]))
+        h, t, u, s = self._attention(x)
         s = np.exp(s - np.repeat(np.maximum.reduceat(s, starts), n))
         a = s / np.repeat(np.add.reduceat(s, starts), n)
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
@@ -124,6 +160,19 @@ class AttentionMIL:
         o = self._forward((x - self.mean) * self.scale, n)["o"]
         return 1 / (1 + np.exp(-np.clip(o.astype(np.float64), -30, 30)))
 
+    def score_long(self, text) -> float:
+        """The score of one text, read by pieces: its attention's greatest value,
+        weights and weighted sum are carried along."""
+        top, weight, total = -np.inf, 0.0, np.zeros(HIDDEN)
+        for piece in pieces(text):
+            h, _, _, s = self._attention((encode([piece])[0] - self.mean) * self.scale)
+            now = max(top, float(s.max()))
+            a = np.exp(s - now, dtype=np.float64)
+            fade = np.exp(top - now)
+            top, weight, total = now, weight * fade + a.sum(), total * fade + a @ h
+        o = total / weight @ self.w["c"] + self.w["b"][0]
+        return float(1 / (1 + np.exp(-np.clip(o, -30, 30))))
+
     def _gradients(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict:
         w, f = self.w, self._forward(x, n)
         do = ((1 / (1 + np.exp(-np.clip(f["o"], -30, 30))) - y) / len(y)).astype(np.float32)
@@ -169,25 +218,47 @@ class Constant:
     def scores(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.full(len(n), self.share)
 
+    def score_long(self, text) -> float:
+        return self.share
+
+
+def _bytes(column: pa.Array) -> list:
+    """The bytes of each text, not copied; none for null."""
+    return [v.as_buffer() or b"" for v in column]
+
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) to (label, vectors as bytes) for learning."""
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            x, _ = encode([text or b""])
-            if len(x) > LEARN_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, LEARN_PASSAGES).astype(int)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([label], pa.int32()), pa.array([x.astype(np.float16).tobytes()])], ["label", "x"])
+        for label, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
+            x = b"".join(encode([piece])[0].astype(np.float16).tobytes() for piece in pieces(text))
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([x])], ["label", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, seed: int = 7):
-    """A model with ``scores``, fitted on the bounded sample."""
+def _sample(docs: DataFrame, labels: DataFrame, learn_docs: int, learn_bytes: int) -> DataFrame:
+    """(label, text) of the labelled documents to learn from."""
+    order = ["h", "label", "text_hash"]
     known = (labels.select("doc_id", F.col("quality").cast("int").alias("label"))
-             .where(F.col("label").isin(0, 1) & (learn_split(F.col("doc_id")) != 0))
-             .orderBy(F.xxhash64(F.lit("learn"), "doc_id"), "label").limit(learn_docs))
-    rows = (docs.select("doc_id", "text").join(known, "doc_id").select("label", "text")
-            .mapInArrow(_passages, "label int, x binary").collect())  # at most learn_docs documents' vectors
+             .where(F.col("label").isin(0, 1) & (learn_split(F.col("doc_id")) != 0)).distinct()
+             .withColumn("h", F.xxhash64(F.lit("learn"), "doc_id"))
+             .orderBy("h", "label").limit(learn_docs))
+    text = F.coalesce("text", F.lit(""))
+    rows = save(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
+                .join(known, "doc_id").dropDuplicates(order).select(*order, "text"))
+    sizes = rows.select(*order, F.octet_length("text").alias("size")).orderBy(*order).limit(learn_docs).collect()
+    if not sizes:
+        return rows.select("label", "text")
+    before = np.concatenate(([0], np.cumsum([r["size"] for r in sizes])[:-1]))
+    end = sizes[int((before < learn_bytes).sum()) - 1]
+    upto = F.struct(*[F.lit(end[c]).cast(rows.schema[c].dataType).alias(c) for c in order])
+    return rows.where(F.struct(*order) <= upto).select("label", "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, seed: int = 7,
+          learn_bytes: int = LEARN_BYTES):
+    """A model with ``scores`` and ``score_long``, fitted on the bounded sample."""
+    rows = (_sample(docs, labels, learn_docs, learn_bytes)
+            .mapInArrow(_passages, "label int, x binary").collect())  # vectors of about learn_bytes bytes of text
     rows.sort(key=lambda r: (r[0], bytes(r[1])))  # whatever order they came in
     y = np.array([r[0] for r in rows], np.float32)
     if len(y) == 0 or y.min() == y.max():
@@ -198,16 +269,21 @@ def learn(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS, seed
     return model
 
 
-def _score_all(model, texts: list[bytes]) -> np.ndarray:
-    out, at = [], 0
+def score_texts(model, texts: list) -> np.ndarray:
+    """Scores of texts (bytes): short ones encoded together, long ones by pieces."""
+    out, at = np.zeros(len(texts)), 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+        while end < len(texts) and size + len(texts[end]) <= PIECE:
             size += len(texts[end])
             end += 1
-        out.append(model.scores(*encode(texts[at:end])))
+        if end == at:
+            out[at] = model.score_long(texts[at])
+            end += 1
+        else:
+            out[at:end] = model.scores(*encode(texts[at:end]))
         at = end
-    return np.concatenate(out) if out else np.zeros(0)
+    return out
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_DOCS) -> DataFrame:
@@ -216,9 +292,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_docs: int = LEARN_D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).field("text").cast(pa.binary()).to_pylist()]
+            texts = _bytes(batch.column(0).field("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_score_all(model, texts))], ["row", "score"])
+                [batch.column(0), pa.array(score_texts(model, texts))], ["row", "score"])
     out = docs.select(F.struct("*").alias("row")).mapInArrow(run, T.StructType(
         [T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())]))
     held_out = F.coalesce(learn_split(F.col("row.doc_id")) == 0, F.lit(False))
