@@ -104,7 +104,8 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = 10, shingle: in
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     hits = (texts.join(spots, F.col("doc_id").eqNullSafe(F.col("spot_id"))
                        & (F.col("text_hash") == F.col("spot_hash")))
-            .select("doc_id", "text_hash", words(F.col("text")).alias("w"), F.explode("spots").alias("spot"))
+            .select("doc_id", "text_hash", words(F.col("text")).alias("w"), "spots")  # words once a text
+            .select("doc_id", "text_hash", "w", F.explode("spots").alias("spot"))
             .select("doc_id", "text_hash", "spot.start", "spot.length",
                     F.slice("w", F.col("spot.start") + 1, F.col("spot.length")).alias("seq")))
     hits = hits.withColumn("window_id", F.xxhash64("seq"))
