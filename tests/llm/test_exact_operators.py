@@ -3,6 +3,8 @@ empty and long texts, ties, repeated rows and clashing columns; SQL on sf0.001."
 
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -146,6 +148,101 @@ def test_long_texts_in_pieces_and_small_buckets(spark, monkeypatch):
     assert brute.collected(suffixes.digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == data
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_minimisers_of_many_strings_go_window_by_window(spark, monkeypatch, most):
+    from textpulse.llm import windows
+    monkeypatch.setattr(windows, "HOT_STRINGS", most)
+    monkeypatch.setattr(windows, "HOT_STEP", 50)
+    rows = near_copies(40, 8) + brute.TEXTS
+    df = brute.frame(spark, rows)
+    got = brute.collected(substring.digest(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute.expected(brute.substrings(rows))
+    got = brute.collected(suffixes.digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.expected(brute.suffixes(rows))
+
+
+@pytest.mark.parametrize("module", [substring, suffixes])
+def test_no_bucket_holds_all_strings_of_a_common_phrase(module):
+    """A phrase that stands in every document in other surroundings is one
+    minimiser of many strings; split, its windows spread over the buckets."""
+    import numpy as np
+    import pyarrow as pa
+    from textpulse.llm import windows
+    rng = random.Random(11)
+    docs = [" ".join([f"q{rng.randrange(10**9)}" for _ in range(12)] + ["of all that is known"]
+                     + [f"q{rng.randrange(10**9)}" for _ in range(12)]).encode() for _ in range(400)]
+    box_runs = module._runs(np.zeros(len(docs), np.int64), tuple(docs))
+    ids, tags = np.arange(400, dtype=np.int64)[box_runs.doc], np.zeros(len(box_runs.doc), np.int32)
+    keys = windows.Keybox(1, 1 << 20)
+    keys.add(box_runs, ids, tags, None)
+    batches = list(keys.rows())
+    most = {}
+    for limit in (1 << 16, 20):
+        starts = pa.Table.from_batches(windows._sift(limit)(iter(batches))).to_pydict()
+        known = {(d, s >> 1): 1 + (s & 1) for d, s in zip(starts["doc_id"], starts["start"])}
+        named = np.array([known.get(x, 0) for x in zip(ids.tolist(), box_runs.starts.tolist())])
+        out = windows.Outbox(1, 1 << 30)
+        out.add(box_runs, ids, tags, named)
+        minimisers = np.concatenate(out.mins)
+        most[limit] = int(np.unique(minimisers, return_counts=True)[1].max())
+    assert most[1 << 16] >= 100 and most[20] <= 20, most
+
+
+def test_string_hashes_follow_the_content():
+    import numpy as np
+    rng = random.Random(12)
+    texts = tuple(" ".join(rng.choice("ab") for _ in range(rng.randrange(60))).encode() for _ in range(300))
+    for module in (substring, suffixes):
+        runs = module._runs(np.zeros(len(texts), np.int64), texts)
+        begin, end = runs.spans(runs.first, runs.last)
+        strings = [runs.text[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+        pairs = set(zip(strings, runs.hashes(runs.first, runs.last).tolist()))
+        assert len(pairs) == len(set(strings)) == len({h for _, h in pairs})
+
+
+def test_word_pieces_hold_every_window_once(monkeypatch):
+    rng = random.Random(13)
+    for size in (5, 40, 200, 10_000):
+        monkeypatch.setattr(substring, "CHUNK", size)
+        text = "".join(rng.choice(["a", "bc", "d" * 30]) + rng.choice([" ", "  ", "\n\t"]) for _ in range(300)).encode()
+        for t in (text, b" " + text, text.strip(), b"x" * 100, b"", b" "):
+            words, got = t.split(), []
+            for at, piece in substring._pieces(t):
+                own = piece.split()
+                got += [(at + k, tuple(own[k:k + 13])) for k in range(len(own) - 12)]
+            assert sorted(got) == [(k, tuple(words[k:k + 13])) for k in range(len(words) - 12)]
+            half = len(words) // 2
+            spans = [3 << 20 | 4, half << 20 | 1] if half > 10 else None
+            gone = {3, 4, 5, 6, half} if spans else set()
+            assert substring._kept(t, spans) == (
+                len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone))
+
+
+def test_long_text_of_words_takes_bounded_memory():
+    root = brute.__file__.rsplit("/tests/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", LONG.format(root=root)], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500, out.stdout
+
+
+LONG = """
+import random, resource, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa
+from functools import partial
+from textpulse.llm import substring, windows
+rng = random.Random(1)
+text = " ".join(f"word{{rng.randrange(10**6)}}" for _ in range(2_200_000))
+assert len(text) > 20_000_000
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([0], pa.int32())], ["doc_id", "text", "tag"])
+data = text.encode()
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+emit = windows._emit(substring._runs, substring._pieces, substring.CHUNK, partial(windows.Keybox, 16, 1 << 20))
+assert sum(b.num_rows for b in emit(iter([batch])))
+assert substring._kept(data, [0 << 20 | 13])[:2] == (2_200_000, 13)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+
+
 def test_general_outputs_hold_the_texts(spark):
     rows = near_copies(9)
     got = {r.doc_id: r.kept for r in substring.substring_dedup(brute.frame(spark, rows)).collect()}
@@ -170,6 +267,20 @@ def test_deep_shallow_orders_like_sorting():
     assert {tuple(sorted(v)) for v in found.values() if len(v) > 1} == shared
 
 
+def test_multikey_quicksort_keeps_ties_in_order():
+    import numpy as np
+    rng = random.Random(5)
+    for letters, n in (("ab", 3000), ("a", 200), ("abcdefgh", 2000), ("ab", 51)):
+        text = "".join(rng.choice(letters) for _ in range(n)).encode() * 2
+        at = np.array(rng.sample(range(len(text) - suffixes.WINDOW + 1), min(n, len(text) - suffixes.WINDOW)))
+        live, tie = suffixes.multikey_ties(text, at)
+        keys = [text[p:p + suffixes.SHALLOW] for p in at.tolist()]
+        own = [keys[k] for k in live.tolist()]
+        assert own == sorted(k for k in keys if keys.count(k) > 1)
+        assert [a == b for a, b in zip(own, own[1:])] == (tie[1:] == tie[:-1]).tolist()
+    assert len(suffixes.multikey_ties(text, at[:0])[0]) == 0
+
+
 def test_blind_trie_orders_and_groups():
     rng = random.Random(6)
     tails = ["".join(rng.choice("ab\x00\xff") for _ in range(6)).encode("latin-1") for _ in range(300)]

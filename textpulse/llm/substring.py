@@ -7,7 +7,7 @@ ASCII white space, unchanged). Consecutive windows that share a minimiser of
 document it starts in. Every word covered by a window that also starts in a
 smaller document goes.
 
-In a bucket, windows are first sorted by a 64-bit hash; those alone with their
+A text above ``CHUNK`` bytes is split piece by piece. In a bucket, windows are first sorted by a 64-bit hash; those alone with their
 hash are unique, the rest are sorted as the words themselves.
 
 Defined results: a null text has no words; rows with the same doc_id are one
@@ -19,6 +19,7 @@ any name.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,21 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textpulse.llm import windows
-from textpulse.llm.windows import mix, runs_of, sliding_min
+from textpulse.llm.windows import Runs, mix, runs_of, sliding_min
 
 WINDOW, MINIMISER = 13, 3
 CHUNK = 4 << 20  # bytes of text whose windows are computed together
 PLACE = 28  # low bits of a minimiser's key: its place
 BASE = 0x9E3779B97F4A7C15
-
-
-def _pieces(text: bytes) -> list[tuple[int, bytes]]:
-    return [(0, text)]
-
-
-def _runs(at: np.ndarray, texts: tuple[bytes, ...]) -> tuple | None:
-    """The super-k-mers of some documents: the text that holds them, the document
-    of each, and their begin, end (bytes), minimiser and first word."""
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _slices(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in slices of about ``size`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > size:
+        cut = BLANK.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(first word, text): a long text goes in pieces that overlap by a window
+    less one word."""
+    at, tail = 0, b""
+    for piece in _slices(text, CHUNK):
+        piece = tail + piece
+        yield at, piece
+        parts = piece.rsplit(None, WINDOW - 1) if len(text) > CHUNK else []
+        tail = piece
+        if len(parts) == WINDOW:  # else all of it is the next one's overlap
+            tail = b" ".join(parts[1:])
+            at += len(parts[0].split())
+
+
+def _runs(at: np.ndarray, texts: tuple[bytes, ...]) -> Runs | None:
+    """The super-k-mers of some texts, which begin at word ``at`` of their documents."""
     split = [t.split() for t in texts]
     words = [w for t in split for w in t]
     if len(words) < WINDOW:
@@ -61,9 +84,10 @@ def _runs(at: np.ndarray, texts: tuple[bytes, ...]) -> tuple | None:
     a, b = runs_of(keys, np.flatnonzero(own[:len(keys)] == own[WINDOW - 1:]))
     if not len(a):
         return None
-    last = b + WINDOW - 1
     gram = grams[(keys[a] & np.uint64((1 << PLACE) - 1)).astype(np.int64)]
-    return b" ".join(words), own[a], (begin[a], begin[last] + size[last], gram, a - first[own[a]])
+    doc, end = own[a], begin + size
+    return Runs(b" ".join(words), doc, a, b, gram, a - first[doc] + at[doc], grams, MINIMISER, WINDOW,
+                lambda first, last: (begin[first], end[last + WINDOW - 1]))
 
 
 def _count(texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -103,18 +127,36 @@ def _group(texts: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, classes
 
 
+def _kept(text: bytes, spans) -> tuple[int, int, bytes]:
+    """Number of words, how many go, and the others joined by one space. A long
+    text is split slice by slice."""
+    if len(text) <= CHUNK:
+        slices = [text.split()]
+        n = len(slices[0])
+    else:
+        slices = (part.split() for part in _slices(text, CHUNK))
+        n = sum(len(part.split()) for part in _slices(text, CHUNK))
+    lost = windows.gone(n, spans)
+    out, at, removed = [], 0, 0
+    for words in slices:
+        at += len(words)
+        if lost is not None:
+            own = lost[at - len(words):at].tolist()
+            removed += sum(own)
+            words = [w for w, x in zip(words, own) if not x]
+        if words:
+            out.append(b" ".join(words))
+    return n, removed, b" ".join(out)
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        total, removed, kept = [], [], []
-        for t, spans in zip(windows.unpacked(batch.column(1)), batch.column(2).to_pylist()):
-            words = t.split()
-            total.append(len(words))
-            if (gone := windows.gone(len(words), spans)) is not None:
-                words = [w for w, x in zip(words, gone.tolist()) if not x]
-            removed.append(total[-1] - len(words))
-            kept.append(b" ".join(words).decode())
+        rows = [_kept(t, spans) for t, spans in
+                zip(windows.unpacked(batch.column(1)), batch.column(2).to_pylist())]
+        total, removed, kept = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)],
+            [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+             pa.array(kept, pa.binary()).cast(pa.string())],
             ["doc_id", "n_words", "n_removed", "kept"])
 
 

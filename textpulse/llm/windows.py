@@ -5,12 +5,14 @@ Both exact repeat finders (``substring``: words, ``suffixes``: bytes) work alike
 1. Each document's windows are cut into runs that share a minimiser (the
    smallest hashed k-gram inside the window, the leftmost if equal); a run's
    text is a super-k-mer. Equal windows have equal minimisers.
-2. A sieve: only the minimisers' hashes travel first, a few bytes each. Runs
-   whose minimiser occurs in one document alone can't share a window; the others
-   are named to their documents.
+2. A sieve: only the minimisers' hashes travel first, a few bytes each, with how
+   many different strings have them. Runs whose minimiser occurs in one document
+   alone can't share a window; the others are named to their documents.
 3. The named runs travel as packed strings to their minimiser's bucket. A bucket
    compares the windows of its distinct strings exactly and learns each window's
-   first document.
+   first document. A minimiser that stands in more than ``HOT_STRINGS`` strings (a
+   common phrase in ever other surroundings) is split: its runs travel window by
+   window, dealt by a hash of the whole window, which equal windows share too.
 4. Spans to remove go to their documents and are applied there.
 
 In 2 and 3, what is equal in a batch is sent once, with its smallest and largest
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,15 @@ from textpulse.llm.common import save
 
 BUCKET_BYTES = 4 << 20
 TASK_BUCKETS = 4
+HOT_STRINGS = 1 << 16  # strings that may meet under one minimiser; a batch counts its own
+HOT_STEP = 1 << 18  # windows of hot runs that are cut out together
 BATCH_KEYS, BATCH_BYTES = 4 << 20, 48 << 20  # minimisers, and bytes of strings, packed together
 ROWS = "bucket int, part int, origin long, data binary"
 
 
+STEP = 0xD6E8FEB86659FD93
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -58,6 +66,31 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (width - size)], x[width - size:]) if width > size else x
 
 
+class Runs(NamedTuple):
+    """The super-k-mers of some texts. Windows and grams are numbered by the unit
+    (word or byte) of all texts at which they begin."""
+    text: bytes
+    doc: np.ndarray  # index of each run's text
+    first: np.ndarray  # first and last window of each run
+    last: np.ndarray
+    minimisers: np.ndarray
+    starts: np.ndarray  # place of the first window in its document
+    grams: np.ndarray  # hash of the gram at each unit
+    gram: int  # units of a gram and of a window
+    window: int
+    spans: Callable  # bytes (begin, end) of the units of windows first to last
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hash of the units of the windows ``first`` to ``last``, from grams that
+        cover them without a gap."""
+        end = last + self.window - self.gram
+        out = mix(self.grams[first] + (end - first).astype(np.uint64))
+        for step in range(self.gram, int((end - first).max(initial=0)) + self.gram, self.gram):
+            more = mix(out * np.uint64(STEP) + self.grams[np.minimum(first + step, end)])
+            out = np.where(first + step - self.gram < end, more, out)
+        return out
+
+
 def runs_of(keys: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of valid ``windows`` with the same minimiser
     (``keys`` hold its place too, so runs of two documents differ)."""
@@ -141,10 +174,10 @@ class Keybox:
     def __init__(self, buckets: int, limit: int):
         self.buckets, self.limit, self.origin, self.held, self.size = buckets, limit, _task(), [], 0
 
-    def add(self, runs: tuple, text: bytes) -> None:
-        _, _, hashes, docs, tags, starts, _ = runs
-        self.held.append((hashes, docs.astype(np.int64), tags.astype(np.int32), starts.astype(np.uint32)))
-        self.size += len(hashes)
+    def add(self, runs: Runs, docs: np.ndarray, tags: np.ndarray, named: np.ndarray | None) -> None:
+        self.held.append((runs.minimisers, docs, tags, runs.starts.astype(np.uint32),
+                          runs.hashes(runs.first, runs.last)))
+        self.size += len(docs)
 
     def full(self) -> bool:
         return self.size > self.limit
@@ -152,7 +185,7 @@ class Keybox:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        hashes, docs, tags, starts = (np.concatenate([h[i] for h in self.held]) for i in range(4))
+        hashes, docs, tags, starts, strings = (np.concatenate([h[i] for h in self.held]) for i in range(5))
         self.held, self.size = [], 0
         to = (mix(hashes) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(to, kind="stable")
@@ -168,7 +201,9 @@ class Keybox:
             low, high = np.full(len(each), np.iinfo(np.int64).max), np.full(len(each), np.iinfo(np.int64).min)
             np.minimum.at(low, of, d)
             np.maximum.at(high, of, d)
-            out.append((b, 0, self.origin, _pack(_low_bytes(each), low, high - low)))
+            _, one = np.unique(strings[own], return_index=True)
+            many = np.bincount(of[one], minlength=len(each)).astype(np.int32)
+            out.append((b, 0, self.origin, _pack(_low_bytes(each), low, high - low, many)))
             out.append((b, 1, self.origin, _pack(np.diff(of, prepend=0).astype(np.int32), np.diff(d, prepend=0),
                                                  tags[own], starts[own])))
         self.origin += 1
@@ -189,12 +224,24 @@ class Outbox:
         self.where: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, runs: tuple, text: bytes) -> None:
-        """``runs``: begin, end, minimiser, document, tag and start of each run in
-        ``text``, and which of them were named."""
-        begin, end, minimisers, docs, tags, starts, named = runs
-        begin, end, minimisers, docs, tags, starts = (
-            x[named] for x in (begin, end, minimisers, docs, tags, starts))
+    def add(self, runs: Runs, docs: np.ndarray, tags: np.ndarray, named: np.ndarray) -> None:
+        """``named``: 1 for the runs to send, 2 for those to send window by window."""
+        whole = np.flatnonzero(named == 1)
+        self._put(runs.text, *runs.spans(runs.first[whole], runs.last[whole]), runs.minimisers[whole],
+                  docs[whole], tags[whole], runs.starts[whole])
+        hot = np.flatnonzero(named == 2)
+        n = runs.last[hot] - runs.first[hot] + 1
+        begin = np.cumsum(n) - n
+        for at in range(0, int(n.sum()), HOT_STEP):
+            nth = np.arange(at, min(at + HOT_STEP, int(n.sum())))
+            of = np.searchsorted(begin, nth, "right") - 1
+            nth, of = nth - begin[of], hot[of]
+            window = runs.first[of] + nth
+            self._put(runs.text, *runs.spans(window, window), runs.hashes(window, window),
+                      docs[of], tags[of], runs.starts[of] + nth)
+
+    def _put(self, text: bytes, begin: np.ndarray, end: np.ndarray, minimisers: np.ndarray,
+             docs: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> None:
         strings = [text[i:j] for i, j in zip(begin.tolist(), end.tolist())]
         known = len(self.seen)
         put = self.seen.setdefault
@@ -204,7 +251,7 @@ class Outbox:
         mins[of[fresh] - known] = minimisers[fresh]
         self.mins.append(mins)
         self.of.append(of)
-        self.where.append((docs.astype(np.int64), tags.astype(np.int32), starts.astype(np.uint32)))
+        self.where.append((docs, tags, starts.astype(np.uint32)))
         self.size += int((end - begin).sum())
 
     def full(self) -> bool:
@@ -306,7 +353,7 @@ class Bucket:
         return docs[own], tags[own], starts[own] + nth[up], starts[own] + nth[down] + width
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], kind: Callable) -> Iterator[tuple]:
     """(bucket's state, part, origin, data), a new ``kind()`` for each bucket."""
     now, at = None, None
     for batch in batches:
@@ -317,46 +364,56 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]
 
 
 class Sieve:
-    """The distinct minimisers of one bucket, and which occur in two documents."""
+    """The distinct minimisers of one bucket, which of them occur in two documents
+    (1) and which of those in more than ``most`` strings (2)."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.held: list[tuple] = []
         self.shared: dict[int, np.ndarray] | None = None
 
     def keys(self, origin: int, data: bytes) -> None:
-        raw, low, more = _unpack(data)
+        raw, low, more, many = _unpack(data)
         wide = np.zeros((len(raw) // 5, 8), np.uint8)
         wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         low = np.frombuffer(low, np.int64)
-        self.held.append((origin, wide.view(np.uint64).ravel(), low, low + np.frombuffer(more, np.int64)))
+        self.held.append((origin, wide.view(np.uint64).ravel(), low, low + np.frombuffer(more, np.int64),
+                          np.frombuffer(many, np.int32)))
 
     def solve(self) -> None:
         _, of = np.unique(np.concatenate([h[1] for h in self.held]), return_inverse=True)
         low, high = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, np.iinfo(np.int64).min)
         np.minimum.at(low, of, np.concatenate([h[2] for h in self.held]))
         np.maximum.at(high, of, np.concatenate([h[3] for h in self.held]))
-        parts = np.split((low < high)[of], np.cumsum([len(h[1]) for h in self.held])[:-1])
+        many = np.bincount(of, np.concatenate([h[4] for h in self.held]))
+        kind = np.where(low < high, 1 + (many > self.most), 0).astype(np.int8)
+        parts = np.split(kind[of], np.cumsum([len(h[1]) for h in self.held])[:-1])
         self.shared = {h[0]: p for h, p in zip(self.held, parts)}
         self.held = []
 
     def named(self, origin: int, data: bytes) -> tuple:
         of, docs, tags, starts = (np.frombuffer(x, t) for x, t in
                                   zip(_unpack(data), (np.int32, np.int64, np.int32, np.uint32)))
-        keep = self.shared[origin][np.cumsum(of)]
-        return np.cumsum(docs)[keep], tags[keep], starts[keep].astype(np.int64)
+        kind = self.shared[origin][np.cumsum(of)]
+        keep = kind > 0
+        return np.cumsum(docs)[keep], tags[keep], starts[keep].astype(np.int64) << 1 | (kind[keep] > 1)
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for at, part, origin, data in _by_bucket(batches, Sieve):
-        if part == 0:
-            at.keys(origin, data)
-            continue
-        if at.shared is None:
-            at.solve()
-        docs, tags, starts = at.named(origin, data)
-        if len(docs):
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(tags), pa.array(starts)],
-                                             ["doc_id", "tag", "start"])
+def _sift(most: int):
+    """(doc_id, tag, start) of the runs to send, start << 1 with a last bit for
+    those to send window by window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, part, origin, data in _by_bucket(batches, partial(Sieve, most)):
+            if part == 0:
+                at.keys(origin, data)
+                continue
+            if at.shared is None:
+                at.solve()
+            docs, tags, starts = at.named(origin, data)
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(tags), pa.array(starts)],
+                                                 ["doc_id", "tag", "start"])
+    return run
 
 
 SPAN_BITS = 20  # a span is start << SPAN_BITS | length; super-k-mers are far shorter
@@ -384,12 +441,12 @@ def _emit(runs: Callable, pieces: Callable, chunk: int, box_of: Callable):
     def flush(box, held: list) -> None:
         ids, tags, named, at, texts = zip(*held)
         if found := runs(np.array(at, np.int64), texts):
-            text, doc, (begin, end, hashes, starts) = found
-            pick = slice(None)
+            of, kind = found.doc, None
             if named[0] is not None:
-                known = np.concatenate([(np.asarray(s, np.int64) + (k << 40)) for k, s in enumerate(named)])
-                pick = np.isin(starts + (doc.astype(np.int64) << 40), known)
-            box.add((begin, end, hashes, np.array(ids, np.int64)[doc], np.array(tags, np.int32)[doc], starts, pick), text)
+                known = np.concatenate([np.asarray(s, np.int64) + (k << 40) for k, s in enumerate(named)])
+                own = (found.starts << 1) + (of.astype(np.int64) << 40)
+                kind = np.isin(own, known) + 2 * np.isin(own + 1, known)
+            box.add(found, np.array(ids, np.int64)[of], np.array(tags, np.int32)[of], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box, held, size = box_of(), [], 0
@@ -431,7 +488,7 @@ def repeated_spans(docs: DataFrame, runs: Callable, pieces: Callable, chunk: int
     long_id = F.col("doc_id").cast("long").alias("doc_id")
     keys = docs.where("doc_id IS NOT NULL").select(long_id, "text", "tag").mapInArrow(
         _emit(runs, pieces, chunk, partial(Keybox, buckets, BATCH_KEYS)), ROWS)
-    named = (dealt(keys).mapInArrow(_sift, "doc_id long, tag int, start long")
+    named = (dealt(keys).mapInArrow(_sift(HOT_STRINGS), "doc_id long, tag int, start long")
              .groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts")))
     texts = packed(docs)
     # a left join without a filter both times, so that both exchange the same texts
