@@ -4,7 +4,7 @@ Texts are never shuffled. Tokenizing, stop-word removal, n-grams and sorting are
 array expressions on the row; term counts, weights and the L2 norm are computed
 inside the row too, by the library's vectorizer over the fitted vocabulary. What
 moves is the corpus statistics: ``(term, cf, df)`` partials after map-side
-combination, so a term present in every document costs one row per partition.
+combination, so a term present in every document costs a few rows per task.
 The vocabulary is bounded by ``max_features`` and held by the driver.
 
 Formulas are the smooth-IDF defaults of the reproduced vectorizer:
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import unicodedata
 import zipfile
+from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer,
@@ -35,6 +37,8 @@ TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 DEFAULT_MAX_FEATURES = 10_000
 RETRAIN_MAX_FEATURES = 5_000
 PRUNED_MAX_FEATURES = 1_000
+HELD_TERMS = 300_000  # terms that a task counts before it hands their counts on
+OUT_TERMS = 50_000  # rows of a batch of counts
 # ---------------------------------------------------------------------------
 
 
@@ -122,28 +126,93 @@ def _quoted(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def counted_terms(docs: DataFrame, text_col: str, keep: Sequence[str] = (), **term_args) -> DataFrame:
-    """A row for each term of each document, with ``first`` = 1 at its first
-    occurrence there, and the ``keep`` columns; the empty term stands once for
-    each document. Terms are sorted in the row, so equal ones are neighbours."""
-    rows = docs.select(*keep, F.concat(F.array(F.lit("")), F.sort_array(terms(text_col, **term_args)))
-                       .alias("_terms"))
-    at = rows.select(*keep, "_terms", F.posexplode("_terms").alias("_at", "term"))
-    first = (F.col("_at") == 0) | (F.get("_terms", F.col("_at") - 1) != F.col("term"))
-    return at.select(*keep, "term", first.cast("int").alias("first"))
+def _partial_counts(sizes: Sequence[int], among: frozenset[str] | None):
+    """For ``mapInArrow`` over ``(label, words)``: what a task has counted, handed on
+    whenever it reaches ``HELD_TERMS`` terms."""
+    def run(batches):
+        held = {}
+
+        def out():
+            for label, (n, first) in held.items():
+                names = list(n)
+                for k in range(0, len(names), OUT_TERMS):
+                    some = names[k:k + OUT_TERMS]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([label] * len(some), pa.int32()), pa.array(some, pa.string()),
+                        pa.array([n[t] for t in some], pa.int64()), pa.array([first[t] for t in some], pa.int64())],
+                        names=["label", "term", "n", "first"])
+            held.clear()
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = [w for w in text.as_py().split(" ") if w]
+                found = ["", *words] if 1 in sizes else []
+                if 2 in sizes:
+                    pairs = zip(words, words[1:])
+                    found += [f"{a} {b}" for a, b in pairs if among is None or a in among and b in among]
+                n, first = held.setdefault(label, (Counter(), Counter()))
+                n.update(found)
+                first.update(set(found))
+                if sum(len(counts) for counts, _ in held.values()) >= HELD_TERMS:
+                    yield from out()
+        yield from out()
+    return run
+
+
+def words_of(docs: DataFrame, text_col: str, label_col: str | None = None, **term_args) -> DataFrame:
+    """``(label, words)``: the words of each document (D1-D3) joined by spaces, and
+    its label if that is 0 or 1, else null."""
+    label = F.when(F.col(label_col) == 1, 1).when(F.col(label_col) == 0, 0) if label_col else F.lit(None)
+    return docs.select(label.cast("int").alias("label"), F.array_join(terms(text_col, ngram_max=1, **term_args), " ").alias("words"))
+
+
+def counted_words(words: DataFrame, sizes: Sequence[int], among: frozenset[str] | None = None) -> DataFrame:
+    """Of ``words_of``, partial counts ``(label, term, n, first)``, to be summed: ``n``
+    occurrences of a term in ``first`` documents, for terms of 1 or 2 words; with
+    ``among`` only pairs of those words. Tasks count before terms move. Beside
+    single words the empty term stands once for each document."""
+    return words.mapInArrow(_partial_counts(tuple(sizes), among), "label int, term string, n bigint, first bigint")
+
+
+def counted_terms(docs: DataFrame, text_col: str, label_col: str | None = None, ngram_max: int = 2,
+                  **term_args) -> DataFrame:
+    """``counted_words`` of all terms of the documents, in one pass."""
+    return counted_words(words_of(docs, text_col, label_col, **term_args), (1, 2) if ngram_max >= 2 else (1,))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    by_label = [F.sum(F.when(F.col("label") == v, F.col("first")).otherwise(0)).alias(c) for v, c in ((1, "pos_df"), (0, "neg_df"))]
+    return counts.groupBy("term").agg(F.sum("n").alias("cf"), F.sum("first").alias("df"), *by_label)
+
+
+def frequent_words(counted: DataFrame, max_features: int) -> frozenset[str] | None:
+    """The words whose pairs can be among the top ``max_features`` terms. A pair is
+    at most as frequent as either of its words, so where so many words have a count
+    of c, pairs with a rarer word are below them all. None (any word): there are
+    fewer words, or so many at c that the driver should not hold them."""
+    words = counted.where("term <> ''")
+    top = words.orderBy(F.desc("cf")).limit(max_features).agg(F.min("cf").alias("cf"), F.count(F.lit(1)).alias("n")).first()
+    if not 0 < max_features <= top["n"]:
+        return None
+    most = 4 * max_features
+    found = words.where(F.col("cf") >= top["cf"]).select("term").limit(most + 1).collect()
+    return frozenset(r["term"] for r in found) if len(found) <= most else None
 
 
 def vocabulary(docs: DataFrame, text_col: str, max_features: int = DEFAULT_MAX_FEATURES,
-               label_col: str | None = None, **term_args) -> DataFrame:
+               label_col: str | None = None, ngram_max: int = 2, **term_args) -> DataFrame:
     """D5 + D7: top ``max_features`` terms by corpus count (ties by term) with
     document frequency, smooth idf and a 0-based column index; with a 0/1
     ``label_col`` also the document frequency in each class, and the class sizes
-    ``n_pos`` and ``n_neg``. One pass over the texts; saved (small)."""
-    rows = counted_terms(docs, text_col, [label_col] if label_col else [], **term_args)
-    by_label = [F.sum(F.when(F.col(label_col) == v, F.col("first")).otherwise(0)).cast("bigint").alias(f"{c}_df")
-                for v, c in ((1, "pos"), (0, "neg"))] if label_col else []
-    stats = rows.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("cf"),
-                                     F.sum("first").cast("bigint").alias("df"), *by_label)
+    ``n_pos`` and ``n_neg``. One pass over the texts. For pairs their words are saved
+    and single words counted first, then the pairs that can still be among the top
+    (most distinct terms are pairs that can't). Saved (small)."""
+    if ngram_max < 2:
+        stats = _summed(counted_terms(docs, text_col, label_col, ngram_max, **term_args))
+    else:
+        words = materialize(words_of(docs, text_col, label_col, **term_args))
+        stats = materialize(_summed(counted_words(words, [1])))
+        stats = stats.unionByName(_summed(counted_words(words, [2], frequent_words(stats, max_features))))
     # the empty term counts documents; it goes first here and is left out below
     order = [F.desc(F.col("term") == ""), F.desc("cf"), F.asc("term")]
     top = materialize(stats.orderBy(*order).limit(max_features + 1))
