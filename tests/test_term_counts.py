@@ -1,9 +1,11 @@
 """Term counts: pairs are only counted where they can reach the vocabulary; whitespace of all kinds."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from textpulse.functions import text as T
 from textpulse.operators import tfidf as TF
@@ -53,3 +55,44 @@ def test_collapse_of_every_whitespace(spark):
     space = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
     got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", T.collapse_whitespace("text").alias("t"))
     assert {r.id: r.t for r in got.collect()} == {k: re.sub(space, " ", t).strip(" ") for k, t in enumerate(texts)}
+
+
+def test_counts_of_runs_against_counting_each_document(spark, monkeypatch):
+    """Labels of all kinds, texts without words, one word and many; runs of a document, of some, of all."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "eé"], k=rng.choice([0, 0, 1, 2, 9, 40]))) for _ in range(60)]
+    rows = [(rng.choice([None, 0, 1]), t) for t in texts]
+    n, first = Counter(), Counter()
+    for label, t in rows:
+        w = t.split()
+        found = ["", *w, *(f"{a} {b}" for a, b in zip(w, w[1:]) if "bb" not in (a, b))]
+        n.update((label, x) for x in found)
+        first.update((label, x) for x in set(found))
+    words = spark.createDataFrame(rows, "label int, words string").repartition(2)
+    for held in (1, 50, 1_000_000):
+        monkeypatch.setattr(TF, "HELD_TERMS", held)
+        got = TF.counted_words(words, [1]).unionByName(TF.counted_words(words, [2], frozenset({"aa", "cc", "dd", "eé", "zz"})))
+        got = got.groupBy("label", "term").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).collect()
+        assert {(r.label, r.term): r.n for r in got} == n
+        assert {(r.label, r.term): r["first"] for r in got} == first
+
+
+def test_features_of_words_are_those_of_the_texts(spark):
+    """A fit takes its features from the words it has counted, and makes only pairs that the vocabulary can have."""
+    docs = _docs(spark)
+    for ngram_max, stop_words, k in ((2, (), 4), (2, (), 50), (2, ("bb",), 5), (1, (), 50), (2, ("aa", "bb"), 0)):
+        args = {"ngram_max": ngram_max, "stop_words": stop_words}
+        words = TF.words_of(docs, "text", keep=["text"], stop_words=stop_words)
+        vocab = TF.vocabulary_of(words, k, ngram_max=ngram_max)
+        of_texts, of_words = TF.featurizers(vocab, "text", **args)
+        terms = [r.term for r in vocab.orderBy("index").collect()]
+        for row in of_texts.transform(docs).collect():
+            w = [x for x in re.findall(r"\w{2,}", (row.text or "").lower()) if x not in stop_words]
+            all_terms = Counter(w + ([f"{a} {b}" for a, b in zip(w, w[1:])] if ngram_max > 1 else []))
+            assert {terms[i]: int(n) for i, n in zip(row._tf.indices, row._tf.values)} == {
+                t: n for t, n in all_terms.items() if t in terms} if terms else row._tf.numNonzeros() == 0
+        by_text = {r.text: r.features for r in of_texts.transform(docs).collect()}
+        assert {r.text: r.features for r in of_words.transform(words).collect()} == by_text
+    only = TF.featurizer(TF.vocabulary(docs, "text", 4, stop_words=()), "text", stop_words=())
+    made = {t for r in only.transform(docs).collect() for t in r._terms if " " in t}
+    assert made == {"aa bb"}

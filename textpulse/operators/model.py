@@ -56,18 +56,21 @@ class TextModel:
         """Vocabulary + IDF from ``train``, then the (weighted) LR. Labels
         may be numbers or strings; classes are their sorted texts."""
         train = train.where(F.col(label_col).isNotNull()).withColumn("_class", F.col(label_col).cast("string"))
-        indexer = StringIndexer(inputCol="_class", outputCol=LABEL_INDEX, stringOrderType="alphabetAsc").fit(train)
+        # the texts are read once: words serve for the vocabulary and the features
+        args = {"stop_words": self.stop_words}
+        words = materialize(TF.words_of(train, text_col, keep=["_class"], **args))
+        indexer = StringIndexer(inputCol="_class", outputCol=LABEL_INDEX, stringOrderType="alphabetAsc").fit(words)
         if len(indexer.labels) < 2:
             raise ValueError("a classifier needs at least two classes to learn from")
-        args = {"ngram_max": self.ngram_max, "stop_words": self.stop_words}
-        features = TF.featurizer(TF.vocabulary(train, text_col, self.max_features, **args), text_col, **args)
-        rows = train.select(text_col, "_class")
+        vocab = TF.vocabulary_of(words, self.max_features, ngram_max=self.ngram_max)
+        features, features_of_words = TF.featurizers(vocab, text_col, self.ngram_max, **args)
+        rows = words.select("words", "_class")
         if self.balanced:
             rows = rows.join(materialize(SC.balanced_weights(rows, "_class").select("_class", "weight")), "_class")
         else:
             rows = rows.withColumn("weight", F.lit(1.0))
         # saved: every L-BFGS pass reads these rows, also after a lost executor
-        rows = materialize(indexer.transform(features.transform(rows)).select("features", LABEL_INDEX, "weight"))
+        rows = materialize(indexer.transform(features_of_words.transform(rows)).select("features", LABEL_INDEX, "weight"))
         total = rows.agg(F.sum("weight")).first()[0]
         lr = LogisticRegression(featuresCol="features", labelCol=LABEL_INDEX, weightCol="weight",
                                 regParam=1.0 / (self.c * total), elasticNetParam=0.0, standardization=False,

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import unicodedata
 import zipfile
-from collections import Counter
 from collections.abc import Sequence
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer,
@@ -37,7 +38,7 @@ TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 DEFAULT_MAX_FEATURES = 10_000
 RETRAIN_MAX_FEATURES = 5_000
 PRUNED_MAX_FEATURES = 1_000
-HELD_TERMS = 300_000  # terms that a task counts before it hands their counts on
+HELD_TERMS = 1_000_000  # words that a task counts before it hands their counts on
 OUT_TERMS = 50_000  # rows of a batch of counts
 # ---------------------------------------------------------------------------
 
@@ -126,44 +127,72 @@ def _quoted(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _counts(texts: pa.Array, size: int, among: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms of ``size`` words of the texts (words joined by spaces): the distinct
+    terms, their occurrences, and the texts they occur in."""
+    lists = pc.split_pattern(texts, " ")
+    at = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    if size == 1:
+        known = code[code != names.index("").as_py()]  # a text without words is one empty word
+        at, n = at[code != names.index("").as_py()], np.bincount(known, minlength=len(names))
+        cells = _distinct(at * len(names) + known)
+        return names, n, np.bincount(cells % len(names), minlength=len(names)) if len(names) else n
+    wanted = np.ones(len(names), bool) if among is None else pc.is_in(names, among).to_numpy(zero_copy_only=False)
+    wanted = wanted[code]
+    some = np.flatnonzero(wanted[:-1] & wanted[1:] & (at[:-1] == at[1:]))
+    pairs, pair, n = np.unique(code[some] * len(names) + code[some + 1], return_inverse=True, return_counts=True)
+    cells = _distinct(at[some] * len(pairs) + pair)
+    first = np.bincount(cells % len(pairs), minlength=len(pairs)) if len(pairs) else n
+    left, right = (names.take(pa.array(x)) for x in (pairs // max(len(names), 1), pairs % max(len(names), 1)))
+    return pc.binary_join_element_wise(left, right, " "), n, first
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=-1) != 0]
+
+
 def _partial_counts(sizes: Sequence[int], among: frozenset[str] | None):
-    """For ``mapInArrow`` over ``(label, words)``: what a task has counted, handed on
-    whenever it reaches ``HELD_TERMS`` terms."""
-    def run(batches):
-        held = {}
-
-        def out():
-            for label, (n, first) in held.items():
-                names = list(n)
-                for k in range(0, len(names), OUT_TERMS):
-                    some = names[k:k + OUT_TERMS]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([label] * len(some), pa.int32()), pa.array(some, pa.string()),
-                        pa.array([n[t] for t in some], pa.int64()), pa.array([first[t] for t in some], pa.int64())],
-                        names=["label", "term", "n", "first"])
-            held.clear()
+    """For ``mapInArrow`` over ``(label, words)``: counts of runs of documents that
+    have about ``HELD_TERMS`` words."""
+    among = None if among is None else pa.array(sorted(among), pa.string())
+
+    def counted(label, texts):
+        found = [_counts(texts, size, among) for size in sizes]
+        if 1 in sizes:
+            found.append((pa.array([""]), np.array([len(texts)]), np.array([len(texts)])))
+        for terms_, n, first in found:
+            some = np.flatnonzero(n)
+            for k in range(0, len(some), OUT_TERMS):
+                part = some[k:k + OUT_TERMS]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([label] * len(part), pa.int32()), terms_.take(pa.array(part)).cast(pa.string()),
+                    pa.array(n[part], pa.int64()), pa.array(first[part], pa.int64())],
+                    names=["label", "term", "n", "first"])
 
+    def run(batches):
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = [w for w in text.as_py().split(" ") if w]
-                found = ["", *words] if 1 in sizes else []
-                if 2 in sizes:
-                    pairs = zip(words, words[1:])
-                    found += [f"{a} {b}" for a, b in pairs if among is None or a in among and b in among]
-                n, first = held.setdefault(label, (Counter(), Counter()))
-                n.update(found)
-                first.update(set(found))
-                if sum(len(counts) for counts, _ in held.values()) >= HELD_TERMS:
-                    yield from out()
-        yield from out()
+            labels, texts = batch.column(0), batch.column(1)
+            words = np.cumsum(pc.add(pc.count_substring(texts, " "), 1).to_numpy(zero_copy_only=False))
+            # a run ends before the document that reaches the next multiple of HELD_TERMS
+            ends = np.append(np.flatnonzero(np.diff(words // HELD_TERMS)) + 1, len(words))
+            for begin, end in zip([0, *ends], ends):
+                run_labels, run_texts = labels.slice(begin, end - begin), texts.slice(begin, end - begin)
+                for label in run_labels.unique().to_pylist():
+                    same = pc.is_null(run_labels) if label is None else pc.fill_null(pc.equal(run_labels, label), False)
+                    yield from counted(label, run_texts.filter(same))
     return run
 
 
-def words_of(docs: DataFrame, text_col: str, label_col: str | None = None, **term_args) -> DataFrame:
-    """``(label, words)``: the words of each document (D1-D3) joined by spaces, and
-    its label if that is 0 or 1, else null."""
+def words_of(docs: DataFrame, text_col: str, label_col: str | None = None, keep: Sequence[str] = (),
+             **term_args) -> DataFrame:
+    """``(keep, label, words)``: the words of each document (D1-D3) joined by spaces,
+    and its label if that is 0 or 1, else null."""
     label = F.when(F.col(label_col) == 1, 1).when(F.col(label_col) == 0, 0) if label_col else F.lit(None)
-    return docs.select(label.cast("int").alias("label"), F.array_join(terms(text_col, ngram_max=1, **term_args), " ").alias("words"))
+    joined = F.array_join(terms(text_col, ngram_max=1, **term_args), " ")
+    return docs.select(*keep, label.cast("int").alias("label"), joined.alias("words"))
 
 
 def counted_words(words: DataFrame, sizes: Sequence[int], among: frozenset[str] | None = None) -> DataFrame:
@@ -171,7 +200,7 @@ def counted_words(words: DataFrame, sizes: Sequence[int], among: frozenset[str]
     occurrences of a term in ``first`` documents, for terms of 1 or 2 words; with
     ``among`` only pairs of those words. Tasks count before terms move. Beside
     single words the empty term stands once for each document."""
-    return words.mapInArrow(_partial_counts(tuple(sizes), among), "label int, term string, n bigint, first bigint")
+    return words.select("label", "words").mapInArrow(_partial_counts(tuple(sizes), among), "label int, term string, n bigint, first bigint")
 
 
 def counted_terms(docs: DataFrame, text_col: str, label_col: str | None = None, ngram_max: int = 2,
@@ -207,37 +236,57 @@ def vocabulary(docs: DataFrame, text_col: str, max_features: int = DEFAULT_MAX_F
     ``n_pos`` and ``n_neg``. One pass over the texts. For pairs their words are saved
     and single words counted first, then the pairs that can still be among the top
     (most distinct terms are pairs that can't). Saved (small)."""
-    if ngram_max < 2:
-        stats = _summed(counted_terms(docs, text_col, label_col, ngram_max, **term_args))
-    else:
-        words = materialize(words_of(docs, text_col, label_col, **term_args))
-        stats = materialize(_summed(counted_words(words, [1])))
+    words = words_of(docs, text_col, label_col, **term_args)
+    return vocabulary_of(words if ngram_max < 2 else materialize(words), max_features, label_col is not None, ngram_max)
+
+
+def vocabulary_of(words: DataFrame, max_features: int = DEFAULT_MAX_FEATURES, labelled: bool = False,
+                  ngram_max: int = 2) -> DataFrame:
+    """``vocabulary`` of ``words_of`` documents; saved words, where there are pairs."""
+    stats = _summed(counted_words(words, [1]))
+    if ngram_max >= 2:
+        stats = materialize(stats)
         stats = stats.unionByName(_summed(counted_words(words, [2], frequent_words(stats, max_features))))
     # the empty term counts documents; it goes first here and is left out below
     order = [F.desc(F.col("term") == ""), F.desc("cf"), F.asc("term")]
     top = materialize(stats.orderBy(*order).limit(max_features + 1))
     sizes = top.where("term = ''").select(F.col("df").alias("n_docs"), *[
-        F.col(f"{c}_df").alias(f"n_{c}") for c in (("pos", "neg") if label_col else ())])
+        F.col(f"{c}_df").alias(f"n_{c}") for c in (("pos", "neg") if labelled else ())])
     sizes = sizes.groupBy().agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in sizes.columns])
     at = F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1  # <= max_features rows
     idf = F.log((F.lit(1) + F.col("n_docs")) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     return attach(top.where("term <> ''"), sizes).select(
         "term", "cf", "df", at.alias("index"), idf.alias("idf"),
-        *(["pos_df", "neg_df", "n_pos", "n_neg"] if label_col else []))
+        *(["pos_df", "neg_df", "n_pos", "n_neg"] if labelled else []))
 
 
 def featurizer(vocab: DataFrame, text_col: str, **term_args) -> PipelineModel:
     """D6-D8 as a pipeline: terms, counts over the vocabulary, times idf, L2
-    norm; column ``features``. The driver holds the vocabulary (max_features)."""
+    norm; column ``features``. Only pairs of words that form pairs of the vocabulary
+    are made. The driver holds the vocabulary (max_features)."""
+    return _featurizers(vocab, lambda among: terms_sql(text_col, among=among, **term_args))[0]
+
+
+def featurizers(vocab: DataFrame, text_col: str, ngram_max: int = 2, **term_args) -> tuple[PipelineModel, PipelineModel]:
+    """``featurizer``, and one for ``words_of`` the texts, with the same features."""
+    def of_words(among):
+        found = "split(words, ' ')"
+        return with_pairs_sql(found, among) if ngram_max >= 2 else found
+    return _featurizers(vocab, lambda among: terms_sql(text_col, ngram_max, among=among, **term_args), of_words)
+
+
+def _featurizers(vocab: DataFrame, *terms_for) -> tuple[PipelineModel, ...]:
     rows = vocab.orderBy("index").select("term", "idf").collect()
+    pairs = [r["term"].split(" ") for r in rows if " " in r["term"]]
+    among = tuple(sorted({p[k] for p in pairs}) for k in (0, 1))
     stages = [
-        SQLTransformer(statement=f"SELECT *, {terms_sql(text_col, **term_args)} AS _terms FROM __THIS__"),
         CountVectorizerModel.from_vocabulary([r["term"] for r in rows] or ["_"], inputCol="_terms", outputCol="_tf"),
         ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows] or [1.0]), inputCol="_tf",
                            outputCol="_tfidf"),
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
     ]
-    return PipelineModel(stages=stages)
+    return tuple(PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {f(among)} AS _terms FROM __THIS__"), *stages])
+                 for f in terms_for)
 
 
 def tfidf(docs: DataFrame, text_col: str, vocab: DataFrame, keep: Sequence[str], **term_args) -> DataFrame:
@@ -250,20 +299,31 @@ def tfidf(docs: DataFrame, text_col: str, vocab: DataFrame, keep: Sequence[str],
 
 
 def terms_sql(text_col: str, ngram_max: int = 2, stop_words: Sequence[str] | None = None,
-              lowercase: bool = True, accents: bool = False) -> str:
-    """Spark SQL text of ``terms``. Accents go after the change of case."""
+              lowercase: bool = True, accents: bool = False,
+              among: tuple[Sequence[str], Sequence[str]] | None = None) -> str:
+    """Spark SQL text of ``terms``. Accents go after the change of case. ``among``:
+    first and second words of the pairs that are wanted; others are empty."""
     t = f"lower({text_col})" if lowercase else text_col
     t = f"coalesce({strip_accents_sql(t) if accents else t}, '')"
     words = stop_word_list() if stop_words is None else stop_words
     found = f"regexp_extract_all({t}, {_quoted(TOKEN_RE)}, 0)"
     if words:
         found = f"filter({found}, x -> NOT x IN ({', '.join(map(_quoted, words))}))"
-    if ngram_max < 2:
-        return found
+    return with_pairs_sql(found, among) if ngram_max >= 2 else found
+
+
+def with_pairs_sql(words: str, among: tuple[Sequence[str], Sequence[str]] | None = None) -> str:
+    """Spark SQL text of the array ``words`` followed by its pairs (D4), ``among`` as in
+    ``terms_sql``."""
+    pair = "concat_ws(' ', a, b)"
+    if among is not None:
+        if not all(among):
+            return words
+        first, second = (", ".join(map(_quoted, x)) for x in among)
+        pair = f"CASE WHEN a IN ({first}) AND b IN ({second}) THEN {pair} ELSE '' END"
     # the list is named once, by a one-element transform
     n = "greatest(size(tk) - 1, 0)"
-    return (f"transform(array({found}), tk -> concat(tk, zip_with(slice(tk, 1, {n}), slice(tk, 2, {n}), "
-            f"(a, b) -> concat_ws(' ', a, b))))[0]")
+    return f"transform(array({words}), tk -> concat(tk, zip_with(slice(tk, 1, {n}), slice(tk, 2, {n}), (a, b) -> {pair})))[0]"
 
 
 def sql_terms(text: str, ngram_max: int = 2, stop_words: Sequence[str] | None = None, lowercase: bool = True,
